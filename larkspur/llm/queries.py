@@ -7,18 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import jaccard_classes
+from .packing import pack_documents
+from .token_counts import count_tokens
+from .toxicity import toxicity
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the public tokenizers' package keeps a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_read(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_ngram_jaccard_join": op4_ngram_jaccard_join}
+    return {
+        "op2_toxicity": op2_toxicity,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op6_token_counts": op6_token_counts,
+        "op10_best_fit_packing": op10_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: ASCII letters and digits, and all bytes over 127, make words; the rest stands between them.
+_NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _COEF = _RNG.integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _powers: np.ndarray = np.ones(1, dtype=np.uint64)
@@ -43,15 +45,15 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and the offsets of each text's words.
 
-    A null text counts as empty.
+    With letters, punctuation stands between words too.  A null text counts as empty.
     """
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     data = np.frombuffer(b" ".join(raw).translate(_LOWER) + b" ", dtype=np.uint8)
     ends_of_text = np.cumsum([len(r) + 1 for r in raw])
-    space = _SPACE[data]
+    space = (_NO_LETTER if letters else _SPACE)[data]
     before = np.concatenate([[True], space[:-1]])
     start = np.flatnonzero(~space & before)
     end = np.flatnonzero(space & ~before)
