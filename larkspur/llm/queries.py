@@ -12,6 +12,7 @@ from .html_extract import extract_pages
 from .jaccard_join import jaccard_classes
 from .lexicon import build_lexicon, decode, encode
 from .packing import pack_documents
+from .quality import quality_rules
 from .token_counts import count_tokens
 from .toxicity import toxicity
 
@@ -53,6 +54,12 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_conversations(format_conversations(rows.unionByName(own)))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _read(spark, sf_dir, "labels").where("quality = 1")
+    out = quality_rules(_read(spark, sf_dir, "documents"), trusted)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     both = decode(encode(docs, vocabulary_path(), build_lexicon(docs, vocabulary_path())), vocabulary_path())
@@ -75,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_token_counts": op6_token_counts,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_quality_rules": op8_quality_rules,
         "op9_bpe_encoding": op9_bpe_encoding,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
