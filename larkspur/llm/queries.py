@@ -14,6 +14,7 @@ from .lexicon import build_lexicon, decode, encode
 from .packing import pack_documents
 from .quality import quality_rules
 from .token_counts import count_tokens
+from .topk import scaled, top_k
 from .toxicity import toxicity
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +31,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = scaled(_read(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -77,6 +83,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk_search": op1_topk_search,
         "op2_toxicity": op2_toxicity,
         "op3_html_extraction": op3_html_extraction,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
@@ -88,5 +95,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query.  The others are tested against brute force."""
+    return {"op1_topk_search": _TOP_K}
