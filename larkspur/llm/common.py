@@ -24,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/larkspur-{spark.sparkContext.applicationId}"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and return a reader of it.
 
@@ -31,7 +36,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     what made them.  ``forget`` deletes all tables of a session.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,7 +44,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
 def forget(spark: SparkSession) -> None:
     """Delete every table that ``save`` wrote in this application."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{shared_dir(spark)}/larkspur-{spark.sparkContext.applicationId}")
+    path = hadoop.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

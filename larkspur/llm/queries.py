@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
 from .chat import digest_conversations, format_conversations
 from .html_extract import extract_pages
 from .jaccard_join import jaccard_classes
 from .lexicon import build_lexicon, decode, encode
 from .packing import pack_documents
 from .quality import quality_rules
+from .shards import ShardStore
 from .token_counts import count_tokens
 from .topk import scaled, top_k
 from .toxicity import toxicity
@@ -49,6 +52,16 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in 16 batches, are compacted and read back from the last version."""
+    docs = _read(spark, sf_dir, "documents")
+    store = ShardStore(spark, f"{common.own_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store.append(docs.withColumn("arrival", F.col("doc_id") % 16).withColumn("batch", F.col("arrival")), "batch")
+    store.compact()
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", F.col("arrival").cast("int").alias("arrival"), F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text.cast("binary")).alias("text_md5"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -87,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_html_extraction": op3_html_extraction,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_sharding": op5_sharding,
         "op6_token_counts": op6_token_counts,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_quality_rules": op8_quality_rules,
@@ -110,6 +124,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+_SHARDS = """
+SELECT doc_id, CAST(doc_id % 16 AS INTEGER) AS arrival, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, md5(coalesce(text, '')) AS text_md5
+FROM documents
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query.  The others are tested against brute force."""
-    return {"op1_topk_search": _TOP_K}
+    return {"op1_topk_search": _TOP_K, "op5_sharding": _SHARDS}
