@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..corpus import Corpus
+from ..fixtures import ANN, TWEETS, annotations, tweets
+from ..functions import text as X
+from ..operators import annotations as A
+from ..operators import classify, cluster, domain, features, filters, labels, lexicon, phrases, results, tokens, verify
+from ..sources import corpora
+from ..streaming import ingest
+from . import workflow
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -15,7 +25,7 @@ def register(name: str, sql: str | None = None):
     def put(f):
         _QUERIES[name] = f
         if sql is not None:
-            _SQL[name] = sql
+            _SQL[name] = re.sub(r"\bat\b", '"at"', sql)  # a keyword to some parsers
         return f
 
     return put
@@ -25,6 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("identifier"), F.col("text").alias("document"), "lang", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -33,10 +47,522 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+_T = f"WITH {TWEETS} "
+_TA = f"WITH {TWEETS}, {ANN} "
+_FOLD = "translate(document, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_STRIP = "array_to_string(list_filter(string_split(document, ' '), lambda w: NOT contains(w, 'http')), ' ')"
+_NO_TAGGED = "WITH d AS (SELECT doc_id AS identifier, text AS document, lang, source FROM documents) "
+
+
+# Filters
+
+
+@register("basic_filter", _T + f"SELECT identifier, document FROM tweets WHERE NOT {_FOLD} LIKE '%the%'")
+def basic_filter(spark, d):
+    return filters.drop_like(tweets(spark, d), filters.pattern_of("the")).select("identifier", "document")
+
+
+@register("basic_not_filter", _T + f"SELECT identifier, document FROM tweets WHERE {_FOLD} LIKE '%apple%'")
+def basic_not_filter(spark, d):
+    return filters.keep_like(tweets(spark, d), filters.pattern_of("Apple")).select("identifier", "document")
+
+
+@register("retweet_filter", _T + f"SELECT identifier, document FROM tweets WHERE NOT {_FOLD} LIKE 'rt%'")
+def retweet_filter(spark, d):
+    return filters.drop_like(tweets(spark, d), filters.pattern_of("RT", before=False)).select("identifier", "document")
+
+
+@register("url_filter", _T + f"SELECT identifier FROM tweets WHERE NOT {_FOLD} LIKE '%http%'")
+def url_filter(spark, d):
+    return filters.drop_like(tweets(spark, d), filters.pattern_of("http")).select("identifier")
+
+
+@register("linebreak_filter", "SELECT doc_id AS identifier, lang FROM documents WHERE NOT contains(text, chr(10))")
+def linebreak_filter(spark, d):
+    return filters.drop_line_breaks(documents(spark, d)).select("identifier", "lang")
+
+
+@register("unique_filter", "SELECT doc_id AS identifier FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) = 1)")
+def unique_filter(spark, d):
+    return filters.unique_documents(documents(spark, d)).select("identifier")
+
+
+@register(
+    "unique_text_filter",
+    _T
+    + f""", s AS (SELECT identifier, {_STRIP} AS t FROM tweets),
+ o AS (SELECT *, row_number() OVER (ORDER BY t, identifier) AS rn, count(*) OVER () AS n,
+  lead(t) OVER (ORDER BY t, identifier) AS nx, lag(t) OVER (ORDER BY t, identifier) AS pv FROM s)
+ SELECT identifier FROM o WHERE NOT (coalesce(nx = t AND rn <= n - 2, false) OR coalesce(pv = t AND rn - 1 <= n - 2, false))""",
+)
+def unique_text_filter(spark, d):
+    return filters.unique_text(tweets(spark, d)).select("identifier")
+
+
+_SPAM = "CASE WHEN length(document) > 140 OR length(regexp_replace(document, '[A-Za-z ]', '', 'g'))::DOUBLE > 2.0::DOUBLE + 12.0::DOUBLE / 140.0::DOUBLE * length(document) THEN 1 ELSE 0 END"
+
+
+@register("label_filter", _T + f"SELECT identifier FROM tweets WHERE {_SPAM} = 0")
+def label_filter(spark, d):
+    t = tweets(spark, d)
+    return filters.label_filter(t, labels.literal_labels(t, labels.probably_spam(F.col("document"))), [0]).select("identifier")
+
+
+@register(
+    "popular_label_filter",
+    _T + ", l AS (SELECT identifier, hash_len AS label FROM (SELECT identifier, CAST(trunc((length(document) - 5)::DOUBLE / 10) AS BIGINT) * 10 AS hash_len FROM tweets)), top AS (SELECT label FROM l GROUP BY label ORDER BY count(*) DESC, label LIMIT 3) SELECT identifier, label FROM l WHERE label IN (SELECT label FROM top)",
+)
+def popular_label_filter(spark, d):
+    t = tweets(spark, d)
+    made = labels.literal_labels(t, labels.length_bin(F.length("document"), 10))
+    return filters.label_filter(t, made, most_popular=3).join(made.withColumnRenamed("document_identifier", "identifier"), "identifier").select("identifier", "label")
+
+
+_GOOD = " OR ".join(f"contains(document, '{x}')" for x in labels.GOOD)
+_BAD = " OR ".join(f"contains(document, '{x}')" for x in labels.BAD)
+_EMO = f"CASE WHEN ({_GOOD}) AND NOT ({_BAD}) THEN 1 WHEN ({_BAD}) AND NOT ({_GOOD}) THEN -1 END"
+
+
+@register("has_label_filter", _T + f"SELECT identifier FROM tweets WHERE ({_EMO}) IS NULL")
+def has_label_filter(spark, d):
+    t = tweets(spark, d)
+    return filters.without_label(t, labels.literal_labels(t, labels.emoticon(F.col("document")))).select("identifier")
+
+
+@register("has_no_label_filter", _T + f"SELECT identifier FROM tweets WHERE ({_EMO}) IS NOT NULL")
+def has_no_label_filter(spark, d):
+    t = tweets(spark, d)
+    return filters.with_label(t, labels.literal_labels(t, labels.emoticon(F.col("document")))).select("identifier")
+
+
+@register("stemmer", "SELECT doc_id AS identifier, md5(lower(text)) AS lowered FROM documents")
+def stemmer(spark, d):
+    return documents(spark, d).select("identifier", F.md5(F.lower("document").cast("binary")).alias("lowered"))
+
+
+# Labellers
+
+
+@register("length_label", _T + "SELECT identifier AS document_identifier, CAST(trunc((length(document) - 1)::DOUBLE / 2) AS BIGINT) * 2 AS label FROM tweets")
+def length_label(spark, d):
+    return labels.literal_labels(tweets(spark, d), labels.length_bin(F.length("document"), 2))
+
+
+@register("special_length_label", _T + "SELECT identifier AS document_identifier, CAST(length(regexp_replace(document, '[A-Za-z ]', '', 'g')) AS BIGINT) AS label FROM tweets")
+def special_length_label(spark, d):
+    return labels.literal_labels(tweets(spark, d), labels.length_bin(labels.special_characters(F.col("document")), 1))
+
+
+@register("spam_label", _T + f"SELECT identifier AS document_identifier, CAST({_SPAM} AS BIGINT) AS label FROM tweets")
+def spam_label(spark, d):
+    return labels.literal_labels(tweets(spark, d), labels.probably_spam(F.col("document")))
+
+
+@register("emoticon_label", _T + f"SELECT * FROM (SELECT identifier AS document_identifier, CAST({_EMO} AS BIGINT) AS label FROM tweets) WHERE label IS NOT NULL")
+def emoticon_label(spark, d):
+    return labels.literal_labels(tweets(spark, d), labels.emoticon(F.col("document")))
+
+
+@register("train_test_split", _T + "SELECT identifier AS document_identifier, CAST(CASE WHEN (identifier * 2654435761) % 1000 < 600 THEN 1 ELSE 0 END AS BIGINT) AS label FROM tweets")
+def train_test_split(spark, d):
+    return labels.literal_labels(tweets(spark, d), labels.split_label(F.col("identifier"), 0.6))
+
+
+def _enumerated(words: str) -> str:
+    return _T + f", x AS (SELECT DISTINCT identifier AS document_identifier, unnest({words}) AS token FROM tweets) SELECT document_identifier, CAST(dense_rank() OVER (ORDER BY token) - 1 AS BIGINT) AS label, token FROM x"
+
+
+@register("hashtag_label", _enumerated("list_filter(string_split(document, ' '), lambda w: starts_with(w, '#'))"))
+def hashtag_label(spark, d):
+    return labels.token_labels(tweets(spark, d), labels.hash_tags(F.col("document")))
+
+
+@register("mention_label", _enumerated("list_filter(string_split(document, ' '), lambda w: starts_with(w, '@'))"))
+def mention_label(spark, d):
+    return labels.token_labels(tweets(spark, d), labels.mentions(F.col("document")))
+
+
+@register("basic_word_label", _enumerated("list_filter(string_split(document, ' '), lambda w: regexp_matches(w, '^[A-Za-z]{5,}$'))"))
+def basic_word_label(spark, d):
+    return labels.token_labels(tweets(spark, d), labels.basic_words(F.col("document")))
+
+
+_LONG = "list_filter(string_split(regexp_replace(document, '[^A-Za-z0-9]', ' ', 'g'), ' '), lambda w: length(w) > 4)"
+
+
+@register(
+    "bigram_label",
+    _T + f", w AS (SELECT identifier, {_LONG} AS w FROM tweets), x AS (SELECT DISTINCT identifier AS document_identifier, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) AS token FROM w) SELECT document_identifier, CAST(dense_rank() OVER (ORDER BY token) - 1 AS BIGINT) AS label, token FROM x",
+)
+def bigram_label(spark, d):
+    return labels.token_labels(tweets(spark, d), labels.bigrams(F.col("document")))
+
+
+@register("label_dictionary", "SELECT d.doc_id AS document_identifier, n.label_identifier AS label FROM documents d JOIN (SELECT source, row_number() OVER (ORDER BY source) AS label_identifier FROM (SELECT DISTINCT source FROM documents)) n USING (source)")
+def label_dictionary(spark, d):
+    return labels.dictionary_labels(documents(spark, d), F.col("source"))[1]
+
+
+# Tokens
+
+_TOKENS = "list_filter(list_transform(string_split(document, ' '), lambda w: regexp_extract(lower(w), '^.?[a-z#@]*')), lambda w: w <> '')"
+
+
+@register("whitespace_tokens", _T + f", x AS (SELECT identifier AS document_identifier, {_TOKENS} AS t FROM tweets) SELECT document_identifier, unnest(t) AS token, CAST(unnest(range(len(t))) AS INTEGER) AS at FROM x")
+def whitespace_tokens(spark, d):
+    return tweets(spark, d).select(F.col("identifier").alias("document_identifier"), F.posexplode(X.tweet_tokens(F.col("document"))).alias("at", "token"))
+
+
+@register("token_dictionary", _T + f", x AS (SELECT DISTINCT unnest({_TOKENS}) AS token FROM tweets) SELECT CAST(row_number() OVER (ORDER BY token) AS BIGINT) AS identifier, token FROM x")
+def token_dictionary(spark, d):
+    return tokens.tokenised(tweets(spark, d), X.tweet_tokens(F.col("document")))[0]
+
+
+@register("popular_tokens", _T + f", x AS (SELECT unnest({_TOKENS}) AS token FROM tweets) SELECT token, count(*) AS n FROM x GROUP BY token HAVING count(*) > 2 AND count(*) <= 10")
+def popular_tokens(spark, d):
+    names, seq = tokens.tokenised(tweets(spark, d), X.tweet_tokens(F.col("document")))
+    return tokens.token_counts(seq).join(tokens.unpopular(seq, 2, 10), "identifier", "left_semi").join(names, "identifier").select("token", "n")
+
+
+@register("rewrite_tokens", _T + f", x AS (SELECT identifier AS document_identifier, list_filter({_TOKENS}, lambda w: NOT w LIKE '%er%') AS t FROM tweets) SELECT document_identifier, len(t) AS n_tokens, array_to_string(t, ' ') AS joined FROM x")
+def rewrite_tokens(spark, d):
+    names, seq = tokens.tokenised(tweets(spark, d), X.tweet_tokens(F.col("document")))
+    c = Corpus(spark, {"input": tweets(spark, d), "pos_x": tokens.without_tokens(seq, tokens.matching(names, "er")), "pos_tokens_x": names})
+    made = tokens.tokens_of(c, "x").groupBy("document_identifier").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("s"))
+    out = c.table("pos_x").select("document_identifier").join(made, "document_identifier", "left")
+    return out.select("document_identifier", F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.array_join("s.token", " "), F.lit("")).alias("joined"))
+
+
+@register("letter_runs", _T + "SELECT identifier, unnest(regexp_extract_all(document, '[A-Za-z@#]+')) AS run FROM tweets")
+def letter_runs(spark, d):
+    return tweets(spark, d).select("identifier", F.explode(X.letter_runs(F.col("document"))).alias("run"))
+
+
+@register("greedy_phrases", _T + ", x AS (SELECT identifier, replace(concat(' ', lower(document), ' '), ' good apple ', ' good_apple ') AS t FROM tweets) SELECT identifier, CAST(len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS BIGINT) AS n_words, contains(t, 'good_apple') AS joined FROM x")
+def greedy_phrases(spark, d):
+    w = tokens.greedy_phrases(F.col("document"), ["good apple"])
+    return tweets(spark, d).select("identifier", F.size(w).cast("long").alias("n_words"), F.array_contains(w, "good_apple").alias("joined"))
+
+
+# Lexicon and domains
+
+_LEXICON = [("good", "a", "1", 0.75, 0.0), ("good", "n", "2", 0.5, 0.125), ("the", "r", "3", 0.0, 0.25), ("apple", "n", "4", 0.25, 0.0), ("der", "n", "4", 0.0, 0.5), ("la", "n", "5", 0.625, 0.25)]
+_LEX_SQL = "lex(word, pos, id, positive, negative) AS (VALUES " + ", ".join(f"('{w}', '{p}', '{i}', {a}::DOUBLE, {b}::DOUBLE)" for w, p, i, a, b in _LEXICON) + ")"
+_WORDS = "w AS (SELECT identifier, unnest(string_split(lower(document), ' ')) AS word FROM tweets)"
+
+
+def _lexicon(spark):
+    return spark.createDataFrame(_LEXICON, "word string, pos string, id string, positive double, negative double")
+
+
+@register("lexicon_strength", f"WITH {_LEX_SQL} SELECT word, max(positive) AS max_positive, max(negative) AS max_negative FROM lex GROUP BY word")
+def lexicon_strength(spark, d):
+    return lexicon.strengths(_lexicon(spark))
+
+
+@register("lexicon_label", _T + f", {_LEX_SQL}, {_WORDS} SELECT identifier AS document_identifier, CAST(CASE WHEN identifier IN (SELECT identifier FROM w JOIN lex USING (word) WHERE positive >= 0.5) THEN 1 ELSE 0 END AS BIGINT) AS label FROM tweets")
+def lexicon_label(spark, d):
+    return lexicon.strength_labels(tweets(spark, d), _lexicon(spark), 0.5)
+
+
+@register("lexicon_either_label", _T + f", {_LEX_SQL}, {_WORDS} SELECT identifier AS document_identifier, CAST(CASE WHEN identifier IN (SELECT identifier FROM w JOIN lex USING (word) WHERE positive >= 0.5 OR negative >= 0.5) THEN 1 ELSE 0 END AS BIGINT) AS label FROM tweets")
+def lexicon_either_label(spark, d):
+    return lexicon.strength_labels(tweets(spark, d), _lexicon(spark), 0.5, True)
+
+
+@register("subjectivity", _T + f", {_LEX_SQL}, {_WORDS}, s AS (SELECT word, avg(1 - (positive + negative)) AS score FROM lex GROUP BY word), m AS (SELECT identifier, avg(score) AS m FROM w JOIN s USING (word) GROUP BY identifier) SELECT t.identifier, round(coalesce(m, 0::DOUBLE), 9) AS subjectivity FROM tweets t LEFT JOIN m USING (identifier)")
+def subjectivity(spark, d):
+    return lexicon.subjectivity(tweets(spark, d), lexicon.objectivity(_lexicon(spark))).select("identifier", F.round("subjectivity", 9).alias("subjectivity"))
+
+
+_TREE = {"tech": {"Apple": {"terms": ["apple", "ipad mini"]}, "terms": ["the"]}, "sport": {"terms": ["tag1", "user3"]}}
+_TREE_SQL = "tree(token, label) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in domain.closure(_TREE)) + ")"
+
+
+@register("domain_labels", _T + f", {_TREE_SQL}, x AS (SELECT identifier AS document_identifier, unnest(list_transform(string_split(lower(document), ' '), lambda w: regexp_replace(w, '^[#@]', ''))) AS token FROM tweets) SELECT DISTINCT document_identifier, label FROM x JOIN tree USING (token)")
+def domain_labels(spark, d):
+    return domain.domain_labels(tweets(spark, d), _TREE)
+
+
+_GLOSS = [("good", "good.1", "the apple is fine"), ("good", "good.2", "er on it"), ("apple", "apple.1", "a fruit")]
+_GLOSS_SQL = "gloss(word, synset, text) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _GLOSS) + ")"
+
+
+@register(
+    "disambiguate",
+    _T
+    + f""", {_GLOSS_SQL}, p AS (SELECT identifier, string_split(document, ' ') AS ws FROM tweets),
+ tok AS (SELECT identifier AS document_identifier, unnest(ws) AS token, unnest(range(len(ws))) AS at, list_transform(ws, lambda w: lower(w)) AS ctx FROM p),
+ s AS (SELECT document_identifier, at, synset, len(list_intersect(list_distinct(ctx), string_split(text, ' '))) AS o FROM tok JOIN gloss ON gloss.word = lower(token)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY document_identifier, at ORDER BY o DESC, synset) AS rn, count(*) OVER (PARTITION BY document_identifier, at) AS n FROM s)
+ SELECT document_identifier, CAST(at AS INTEGER) AS at, synset FROM r WHERE rn = 1 AND (n = 1 OR o > 0)""",
+)
+def disambiguate(spark, d):
+    rows = tweets(spark, d).select(F.col("identifier").alias("document_identifier"), F.posexplode(F.split("document", " ")).alias("at", "token"))
+    return lexicon.disambiguate(rows, spark.createDataFrame(_GLOSS, "word string, synset string, gloss string"))
+
+
+# Clusters
+
+
+def _label_items(spark, d):
+    t = tweets(spark, d)
+    return t.select(F.col("identifier").alias("document_identifier"), F.explode(F.array_distinct(labels.basic_words(F.col("document")))).alias("label"))
+
+
+_ITEMS = "items AS (SELECT DISTINCT identifier AS d, unnest(list_filter(string_split(document, ' '), lambda w: regexp_matches(w, '^[A-Za-z]{5,}$'))) AS i FROM tweets)"
+_PAIRS = f"""{_ITEMS}, sizes AS (SELECT d, count(*) AS n FROM items GROUP BY d),
+ c AS (SELECT x.d AS a, y.d AS b, count(*) AS k FROM items x JOIN items y ON x.i = y.i AND x.d < y.d GROUP BY x.d, y.d),
+ pairs AS (SELECT a, b, 1.0::DOUBLE - k::DOUBLE / (p.n + q.n - k) AS distance FROM c JOIN sizes p ON p.d = a JOIN sizes q ON q.d = b)"""
+
+
+@register("jaccard_pairs", _T + f", {_PAIRS} SELECT a, b, round(distance, 9) AS distance FROM pairs WHERE distance < 0.6")
+def jaccard_pairs(spark, d):
+    return cluster.jaccard_pairs(_label_items(spark, d)).select("a", "b", F.round("distance", 9).alias("distance"))
+
+
+@register(
+    "dbscan",
+    f"WITH RECURSIVE {TWEETS}, {_PAIRS}"
+    """, near AS (SELECT a, b FROM pairs WHERE distance < 0.6 UNION ALL SELECT b, a FROM pairs WHERE distance < 0.6),
+ docs AS (SELECT DISTINCT d FROM items), core AS (SELECT a AS d FROM near GROUP BY a HAVING count(*) + 1 >= 4),
+ edge AS (SELECT a, b FROM near WHERE a IN (SELECT d FROM core) AND b IN (SELECT d FROM core)),
+ reach(d, r) AS (SELECT d, d FROM core UNION SELECT e.b, reach.r FROM reach JOIN edge e ON e.a = reach.d),
+ roots AS (SELECT d, min(r) AS root FROM reach GROUP BY d),
+ border AS (SELECT n.a AS d, min(n.b) AS c FROM near n WHERE n.b IN (SELECT d FROM core) AND n.a NOT IN (SELECT d FROM core) GROUP BY n.a)
+ SELECT docs.d AS document_identifier, CAST(coalesce(roots.root, br.root, -1) AS BIGINT) AS cluster
+ FROM docs LEFT JOIN roots ON roots.d = docs.d LEFT JOIN border ON border.d = docs.d LEFT JOIN roots br ON br.d = border.c""",
+)
+def dbscan(spark, d):
+    return cluster.dbscan(_label_items(spark, d))
+
+
+# Annotations and phrases
+
+_POS = "pos AS (SELECT identifier, annotator, unnest(string_split(annotation, '')) AS mark, unnest(range(length(annotation))) AS at FROM ann)"
+
+
+@register("empirical_vector", _TA + f", {_POS} SELECT identifier, CAST(at AS INTEGER) AS at, avg(CASE WHEN mark <> 'q' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM pos GROUP BY identifier, at")
+def empirical_vector(spark, d):
+    return A.subjectivity_vector(annotations(spark, d))
+
+
+@register(
+    "annotation_union",
+    _TA
+    + """, u AS (SELECT DISTINCT identifier, annotation FROM ann), p AS (SELECT identifier, unnest(string_split(annotation, '')) AS mark, unnest(range(length(annotation))) AS at FROM u),
+ n AS (SELECT identifier, at, mark, count(*) AS n FROM p GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY identifier, at ORDER BY CASE WHEN mark = 'q' AND n < 4 THEN 0 ELSE n END DESC, CASE mark WHEN 'p' THEN 3 WHEN 'e' THEN 2 WHEN 'n' THEN 1 ELSE 0 END DESC) AS rn FROM n)
+ SELECT identifier, CAST(at AS INTEGER) AS at, mark FROM r WHERE rn = 1""",
+)
+def annotation_union(spark, d):
+    return A.union_votes(annotations(spark, d))
+
+
+@register("majority_mark", _TA + ", m AS (SELECT identifier, substr(annotation, 1, 1) AS label FROM ann), n AS (SELECT identifier, label, count(*) AS n FROM m GROUP BY ALL), t AS (SELECT identifier, max(n) AS n FROM n GROUP BY identifier), b AS (SELECT identifier, count(*) AS k, min(label) AS label FROM n JOIN t USING (identifier, n) GROUP BY identifier) SELECT identifier, CASE WHEN k = 1 THEN label END AS label FROM b")
+def majority_mark(spark, d):
+    return A.majority_label(annotations(spark, d).select("identifier", F.substring("annotation", 1, 1).alias("label")))
+
+
+@register("phrase_runs", _TA + "SELECT identifier, annotator::INTEGER AS annotator, CAST(len(regexp_extract_all(annotation, 'pp+')) AS INTEGER) AS positive, CAST(len(regexp_extract_all(annotation, 'nn+')) AS INTEGER) AS negative FROM ann")
+def phrase_runs(spark, d):
+    return annotations(spark, d).select("identifier", "annotator", X.phrase_runs(F.col("annotation"), "p").alias("positive"), X.phrase_runs(F.col("annotation"), "n").alias("negative"))
+
+
+@register("mark_shares", _TA + "SELECT a.identifier, annotator::INTEGER AS annotator, length(regexp_replace(annotation, '[^p]', '', 'g'))::DOUBLE / len(string_split(document, ' ')) AS positive FROM ann a JOIN tweets t ON a.identifier = t.identifier")
+def mark_shares(spark, d):
+    return annotations(spark, d).select("identifier", "annotator", X.mark_share(F.col("annotation"), F.col("document"), "p").alias("positive"))
+
+
+@register("token_offsets", _T + ", x AS (SELECT identifier, string_split(document, ' ') AS ws FROM tweets), y AS (SELECT identifier, unnest(ws) AS word, unnest(range(len(ws))) AS at FROM x) SELECT identifier, CAST(at AS INTEGER) AS at, word, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY identifier ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM y")
+def token_offsets(spark, d):
+    return A.offsets(tweets(spark, d))
+
+
+_SHARES = f"{_POS}, sh AS (SELECT identifier, at, avg(CASE WHEN mark <> 'q' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM pos GROUP BY identifier, at)"
+_CLEAN = """cw AS (SELECT identifier, list_transform(list_filter(list_zip(string_split(document, ' '), range(len(string_split(document, ' ')))), lambda x: x[2] = 0 OR NOT regexp_matches(x[1], '^[A-Z]')), lambda x: regexp_replace(lower(x[1]), '[^a-z]', '', 'g')) AS ws FROM tweets),
+ wd AS (SELECT identifier, unnest(ws) AS word, unnest(range(len(ws))) AS at FROM cw),
+ lw AS (SELECT identifier, word, greatest(CAST(floor((share - 0.001::DOUBLE) * 10) AS INTEGER), 0) AS class FROM wd JOIN sh USING (identifier, at))"""
+
+
+@register(
+    "bayes_word_class",
+    _TA
+    + f""", {_SHARES}, {_CLEAN}, n AS (SELECT word, class, count(*) AS n FROM lw GROUP BY ALL), k AS (SELECT class, sum(n) AS nc FROM n GROUP BY class), t AS (SELECT sum(nc) AS t FROM k),
+ s AS (SELECT word, class, (n::DOUBLE / nc) / (nc::DOUBLE / t) AS score FROM n JOIN k USING (class), t),
+ r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, class) AS rn FROM s) SELECT word, CAST(class AS INTEGER) AS class, round(score, 9) AS score FROM r WHERE rn = 1""",
+)
+def bayes_word_class(spark, d):
+    a = annotations(spark, d)
+    return phrases.bayes_table(phrases.labelled_words(tweets(spark, d), A.subjectivity_vector(a))).select("word", "class", F.round("score", 9).alias("score"))
+
+
+@register("evaluator_sse", _TA + f", {_SHARES}, fx AS (SELECT identifier, unnest(string_split(lower(document), ' ')) AS word, unnest(range(len(string_split(document, ' ')))) AS at FROM tweets), pr AS (SELECT identifier, at, CASE word WHEN 'good' THEN 0.75::DOUBLE WHEN 'the' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS p FROM fx) SELECT identifier, round(sum(power(coalesce(p, 0) - coalesce(share, 0), 2)), 9) AS error FROM pr FULL JOIN sh USING (identifier, at) GROUP BY identifier")
+def evaluator_sse(spark, d):
+    predicted = phrases.fixed(tweets(spark, d), {"good": 0.75, "the": 0.25})
+    return phrases.squared_error(predicted, phrases.empirical(annotations(spark, d))).select("identifier", F.round("error", 9).alias("error"))
+
+
+@register("result_pivot", _TA + f", {_POS} SELECT annotator::INTEGER AS annotator, CAST(count(*) FILTER (mark = 'p') AS BIGINT) AS p, CAST(count(*) FILTER (mark = 'n') AS BIGINT) AS n, CAST(count(*) FILTER (mark = 'e') AS BIGINT) AS e, CAST(count(*) FILTER (mark = 'q') AS BIGINT) AS q FROM pos GROUP BY annotator")
+def result_pivot(spark, d):
+    return results.pivot(A.positions(annotations(spark, d).select("annotator", "annotation")).withColumn("one", F.lit(1).cast("long")), "annotator", "mark", "one", "sum", ["p", "n", "e", "q"])
+
+
+@register("cross_folds", _T + "SELECT CAST(((identifier * 2654435761) % 1000) % 10 AS INTEGER) AS fold, count(*) AS n FROM tweets GROUP BY 1")
+def cross_folds(spark, d):
+    return tweets(spark, d).groupBy(phrases.fold(F.col("identifier"), 10).alias("fold")).agg(F.count("*").alias("n"))
+
+
+@register("context_features", _T + ", x AS (SELECT identifier, string_split(document, ' ') AS ws FROM tweets), y AS (SELECT identifier, unnest(ws) AS w, unnest(range(len(ws))) AS at FROM x), z AS (SELECT *, lag(w, 2) OVER o AS a2, lag(w) OVER o AS a1, lead(w) OVER o AS b1, lead(w, 2) OVER o AS b2 FROM y WINDOW o AS (PARTITION BY identifier ORDER BY at)) SELECT identifier, CAST(at AS INTEGER) AS at, array_to_string(list_filter(['w[-2]=' || a2, 'w[-1]=' || a1, 'w[0]=' || w, 'w[1]=' || b1, 'w[2]=' || b2, 'w[-1]|w[0]=' || a1 || '|' || w, 'w[0]|w[1]=' || w || '|' || b1, CASE WHEN a1 IS NULL THEN '__BOS__' END, CASE WHEN b1 IS NULL THEN '__EOS__' END], lambda x: x IS NOT NULL), ' ') AS features FROM z")
+def context_features(spark, d):
+    return phrases.context_features(tweets(spark, d)).select("identifier", "at", F.array_join("features", " ").alias("features"))
+
+
+# Features
+
+_PLAIN = "list_filter(string_split(lower(regexp_replace(document, '[^a-zA-Z ]', '', 'g')), ' '), lambda w: w <> '')"
+
+
+@register("unigram_counts", _T + f", x AS (SELECT unnest({_PLAIN}) AS gram FROM tweets) SELECT gram, count(*) AS n FROM x GROUP BY gram HAVING count(*) >= 5")
+def unigram_counts(spark, d):
+    return features.gram_counts(tweets(spark, d), features.Options(1))
+
+
+@register("bigram_counts", _T + f", w AS (SELECT {_PLAIN} AS w FROM tweets), x AS (SELECT unnest(list_transform(range(2, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) AS gram FROM w) SELECT gram, count(*) AS n FROM x GROUP BY gram HAVING count(*) >= 5")
+def bigram_counts(spark, d):
+    return features.gram_counts(tweets(spark, d), features.Options(2, 1))
+
+
+@register("unigram_presence", _T + f", x AS (SELECT identifier, unnest({_PLAIN}) AS gram FROM tweets), v AS (SELECT gram, row_number() OVER (ORDER BY gram) - 1 AS feature FROM (SELECT gram FROM x GROUP BY gram HAVING count(*) >= 5)) SELECT DISTINCT identifier, CAST(feature AS BIGINT) AS feature FROM x JOIN v USING (gram)")
+def unigram_presence(spark, d):
+    o, t = features.Options(1), tweets(spark, d)
+    return features.presence(t, features.vocabulary(t, o), o)
+
+
+@register("subjective_phrases", _TA + f", {_SHARES}, h AS (SELECT identifier, at, at - row_number() OVER (PARTITION BY identifier ORDER BY at) AS g FROM sh WHERE share > 0.5), r AS (SELECT identifier, min(at) AS at, count(*) AS length FROM h GROUP BY identifier, g) SELECT identifier, CAST(row_number() OVER (PARTITION BY identifier ORDER BY at) AS INTEGER) AS phrase, CAST(at AS INTEGER) AS at, length FROM r")
+def subjective_phrases(spark, d):
+    return features.phrases(tweets(spark, d), annotations(spark, d))
+
+
+@register("word_shares", _TA + f", {_POS}, m AS (SELECT identifier, at, avg((mark = 'p')::INTEGER) AS positive, avg((mark = 'n')::INTEGER) AS negative FROM pos GROUP BY ALL), x AS (SELECT identifier, unnest(string_split(lower(document), ' ')) AS word, unnest(range(len(string_split(document, ' ')))) AS at FROM tweets) SELECT identifier, word, round(sum(positive), 9) AS positive, round(sum(negative), 9) AS negative FROM x JOIN m USING (identifier, at) GROUP BY ALL")
+def word_shares(spark, d):
+    return features.word_shares(tweets(spark, d), annotations(spark, d)).select("identifier", "word", F.round("positive", 9).alias("positive"), F.round("negative", 9).alias("negative"))
+
+
+@register(
+    "mutual_information",
+    _T
+    + f""", x AS (SELECT DISTINCT identifier, unnest({_PLAIN}) AS gram FROM tweets), lb AS (SELECT identifier, CAST({_EMO} AS INTEGER) AS label FROM tweets WHERE ({_EMO}) IS NOT NULL),
+ p AS (SELECT gram, label, count(*) AS c FROM x JOIN lb USING (identifier) GROUP BY ALL), f AS (SELECT gram, sum(c) AS nf FROM p GROUP BY gram), l AS (SELECT label, count(*) AS nl FROM lb GROUP BY label), t AS (SELECT count(*) AS n FROM lb),
+ g AS (SELECT f.gram, l.label, coalesce(c, 0)::DOUBLE AS c, nf::DOUBLE AS nf, nl::DOUBLE AS nl, n::DOUBLE AS n FROM f CROSS JOIN l CROSS JOIN t LEFT JOIN p ON p.gram = f.gram AND p.label = l.label)
+ SELECT gram AS feature, round(sum(CASE WHEN c > 0 THEN c / n * ln(c * n / (nf * nl)) ELSE 0 END + CASE WHEN nl - c > 0 THEN (nl - c) / n * ln((nl - c) * n / ((n - nf) * nl)) ELSE 0 END), 6) AS mi FROM g GROUP BY gram""",
+)
+def mutual_information(spark, d):
+    t = tweets(spark, d)
+    grams = features.grams(t, features.Options(1)).select("identifier", F.col("gram").alias("feature")).distinct()
+    y = labels.literal_labels(t, labels.emoticon(F.col("document"))).withColumnRenamed("document_identifier", "identifier")
+    return features.mutual_information(grams, y).select("feature", F.round("mi", 6).alias("mi"))
+
+
+# Verification, votes, conversions
+
+
+@register(
+    "verify_work",
+    _TA
+    + """, x AS (SELECT a.identifier, a.annotator, annotation AS a, document AS t, len(string_split(document, ' ')) AS n, length(annotation) AS la FROM ann a JOIN tweets t ON a.identifier = t.identifier),
+ y AS (SELECT *, 100.0::DOUBLE * length(regexp_replace(a, '[^p]', '', 'g')) / greatest(la, 1) AS pp, 100.0::DOUBLE * length(regexp_replace(a, '[^n]', '', 'g')) / greatest(la, 1) AS pn, 100.0::DOUBLE * length(regexp_replace(a, '[^e]', '', 'g')) / greatest(la, 1) AS pe FROM x)
+ SELECT identifier, annotator::INTEGER AS annotator, CASE WHEN a = '' THEN 'missing' WHEN n > 5 AND pp > 35 THEN 'too_positive' WHEN n > 5 AND pn > 72 THEN 'too_negative' WHEN n > 5 AND pe > 31 THEN 'too_neutral'
+  WHEN n > 5 AND NOT contains(a, 'q') THEN 'whole_tweet' WHEN length(regexp_extract(a, 'p+')) > 0.55 * length(t) THEN 'long_positive' WHEN length(regexp_extract(a, 'n+')) > 0.4 * length(t) THEN 'long_negative' WHEN length(regexp_extract(a, 'e+')) > 0.3 * length(t) THEN 'long_neutral' END AS reason FROM y""",
+)
+def verify_work(spark, d):
+    rows = annotations(spark, d).select("identifier", "annotator", F.col("document").alias("text"), F.lit("").alias("phrase"), "annotation", F.lit("w").alias("worker"))
+    return verify.verify(rows.withColumn("phrase", F.lit(None).cast("string")).fillna("\x00", ["phrase"])).select("identifier", "annotator", "reason")
+
+
+@register("four_row_times", "WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS row, event_type, CAST(event_id % 50 AS BIGINT) AS s FROM events) SELECT row // 4 AS \"group\", CAST(floor(sum(s) / 4) AS BIGINT) AS mean_time FROM r GROUP BY 1 HAVING count(*) = 4")
+def four_row_times(spark, d):
+    e = table(spark, d, "events")
+    rows = labels.number(e.select("event_id", F.col("event_type").alias("sentiment"), (F.col("event_id") % 50).cast("long").alias("seconds")), "event_id", 0, "row")
+    return verify.four_row_statistics(rows).select("group", "mean_time")
+
+
+@register("votes", "WITH v AS (SELECT doc_id, [doc_id % 3 - 1, doc_id % 5 - 2, doc_id % 2, doc_id % 3 - 1, doc_id % 4 - 2] AS v FROM documents), x AS (SELECT doc_id, unnest(v) AS label FROM v), n AS (SELECT doc_id, label, count(*) AS n FROM x GROUP BY ALL HAVING count(*) >= 3) SELECT doc_id AS document, CAST(label AS VARCHAR) AS label FROM n")
+def votes(spark, d):
+    i = F.col("doc_id")
+    v = F.array(i % 3 - 1, i % 5 - 2, i % 2, i % 3 - 1, i % 4 - 2).cast("array<int>")
+    return corpora.voted(table(spark, d, "documents").select(i.alias("document"), v.alias("votes")))
+
+
+# Streams (as tables)
+
+
+@register("keyword_capture", _T + "SELECT identifier FROM tweets WHERE lang = 'en' AND (contains(lower(document), 'apple') OR contains(lower(document), 'tag1')) AND NOT starts_with(document, 'RT ')")
+def keyword_capture(spark, d):
+    return ingest.capture(tweets(spark, d), ["Apple", "tag1"]).select("identifier")
+
+
+@register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    return ingest.windowed_counts(table(spark, d, "events")).select("window_start", "event_type", "n")
+
+
+@register("event_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER o + INTERVAL 30 MINUTE OR lag(ts) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k")
+def event_sessions(spark, d):
+    return ingest.sessions(table(spark, d, "events")).select("user_id", "session_start", "n")
+
+
+# Classifiers (no SQL: checked in tests)
+
+
+def _classified(spark, d):
+    t = tweets(spark, d)
+    y = labels.literal_labels(t, labels.emoticon(F.col("document"))).select(F.col("document_identifier").alias("identifier"), (F.col("label") > 0).cast("double").alias("y"))
+    return t.select("identifier", X.tweet_tokens(F.col("document")).alias("tokens"), F.col("lang").alias("domain")).join(y, "identifier")
+
+
+@register("benchmark_bayes")
+def benchmark_bayes(spark, d):
+    return classify.benchmark(_classified(spark, d), "NaiveBayes", 2)
+
+
+@register("benchmark_nearest")
+def benchmark_nearest(spark, d):
+    return classify.benchmark(_classified(spark, d), "IBk", 2)
+
+
+@register("cross_domain_benchmark")
+def cross_domain_benchmark(spark, d):
+    return classify.cross_domain(_classified(spark, d), "NaiveBayes", "en", "fr")
+
+
+@register("markov_annotator")
+def markov_annotator(spark, d):
+    t, a = tweets(spark, d), annotations(spark, d)
+    return phrases.markov(t, phrases.markov_model(phrases.labelled_words(t, A.subjectivity_vector(a))))
+
+
+# A whole workflow
+
+
 @register(
     "spam_fight",
-    "SELECT lang, count(*) AS n_docs FROM documents WHERE NOT contains(text, chr(10)) GROUP BY lang",
+    _T
+    + f""", a AS (SELECT * FROM tweets WHERE NOT {_FOLD} LIKE '%http%' AND NOT contains(document, chr(10)) AND NOT {_FOLD} LIKE 'rt%'),
+ b AS (SELECT * FROM a WHERE document IN (SELECT document FROM a GROUP BY document HAVING count(*) = 1))
+ SELECT lang, count(*) AS n_docs FROM b WHERE {_SPAM} = 0 GROUP BY lang""",
 )
-def spam_fight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.where(~F.col("text").contains("\n")).groupBy("lang").agg(F.count("*").alias("n_docs"))
+def spam_fight(spark, d):
+    w = workflow.Workflow(
+        "spam fight",
+        tasks=workflow.steps(
+            ("BasicFilter", {"filterText": "http"}),
+            "LineBreakFilter",
+            ("BasicFilter", {"filterText": "RT", "matchBefore": "false"}),
+            "UniqueFilter",
+            ("ProbablySpamUnicodeLabeller", {"table": "spam"}),
+            ("LabelFilter", {"table": "spam", "delete": "true"}, [("RetainLabel", {"id": "0"})]),
+        ),
+    )
+    done = workflow.run(spark, w, Corpus(spark, {"input": tweets(spark, d)}))
+    return done.input.groupBy("lang").agg(F.count("*").alias("n_docs"))
