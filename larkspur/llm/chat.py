@@ -70,7 +70,7 @@ def spans(render: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str,
 def text_span(render: Callable[[list[Turn]], str], turns: list[Turn], k: int, length: int) -> tuple[int, int] | None:
     """Where turn k's text stands in the rendered prefix of k+1 turns, which has length characters."""
     probe = PROBE
-    while any(probe in t for _, t in turns[: k + 1]):
+    while any(probe in x for turn in turns[: k + 1] for x in turn):
         probe += ""
     out = render([*turns[:k], (turns[k][0], probe)])
     at = out.find(probe)
