@@ -154,7 +154,7 @@ def absolute_error(predicted: DataFrame, observed: DataFrame) -> DataFrame:
 
 def fold(identifier: Column, folds: int, seed: int = 0) -> Column:
     """0 .. folds-1 by a hash that any SQL can compute."""
-    return ((((identifier + seed) * F.lit(2654435761)) % 1000) % folds).cast("int")
+    return (F.shiftright((identifier + seed) * F.lit(2654435761), 16) % folds).cast("int")
 
 
 def cross_validate(df: DataFrame, annotations: DataFrame, train_and_tag, folds: int = 10, seed: int = 0) -> DataFrame:

@@ -408,7 +408,7 @@ def result_pivot(spark, d):
     return results.pivot(A.positions(annotations(spark, d).select("annotator", "annotation")).withColumn("one", F.lit(1).cast("long")), "annotator", "mark", "one", "sum", ["p", "n", "e", "q"])
 
 
-@register("cross_folds", _T + "SELECT CAST(((identifier * 2654435761) % 1000) % 10 AS INTEGER) AS fold, count(*) AS n FROM tweets GROUP BY 1")
+@register("cross_folds", _T + "SELECT CAST(((identifier * 2654435761) >> 16) % 10 AS INTEGER) AS fold, count(*) AS n FROM tweets GROUP BY 1")
 def cross_folds(spark, d):
     return tweets(spark, d).groupBy(phrases.fold(F.col("identifier"), 10).alias("fold")).agg(F.count("*").alias("n"))
 
