@@ -14,8 +14,8 @@ import re
 import numpy as np
 import regex
 
-MOST_CHUNKS = 300_000  # held by a worker, then started anew
-MOST_WORDS = 200_000
+MOST_CHUNKS = 700_000  # held by a worker, about 100 MB, then started anew
+MOST_WORDS = 500_000  # about 75 MB
 LONG = 64  # bytes; longer chunks and pre-tokens are not held
 _NONE = np.int32(2**31 - 1)
 
@@ -47,8 +47,8 @@ class Vocabulary:
         made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         if len(np.unique(made)) != len(made):
             raise ValueError("a token with two merges: ranks may be applied out of order")
-        order = np.argsort(key)
-        self.size, self.keys, self.ranks, self.made = size, key[order], order.astype(np.int32), made
+        self.size, self.made = size, made
+        self._hash_pairs(key)
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
@@ -60,27 +60,69 @@ class Vocabulary:
         self.added_lead = {t[0] for t in added}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # for Latin letters this module and the tokenizer's agree on classes, and NFC changes nothing
-        self.find = regex.compile(pattern).findall
+        self.find = regex.compile(pattern + "| ").findall
         self.odd = re.compile("[\x1c-\x1f\x85\xa0ɐ-\U0010ffff]").search
 
-    def split(self, chunk: bytes) -> list:
-        """Pre-tokens of a chunk as UTF-8, an added token as its id."""
-        text = chunk.decode("utf-8", "replace")
-        if not self.odd(text) and "<|" not in text:
-            return [w.encode() for w in self.find(text.lower())]
+    def split(self, chunks: list[bytes]) -> list[list]:
+        """Pre-tokens of each chunk, an added token as its id."""
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        plain = [i for i, t in enumerate(texts) if not self.odd(t) and "<|" not in t]
+        out: list = [None] * len(texts)
+        # all plain chunks at once, the spaces between them found as well
+        found, last = self.find(" ".join([texts[i] for i in plain]).lower()), 0
+        at = [k for k, w in enumerate(found) if w == " "]
+        for i, k in zip(plain, [*at, len(found)], strict=True) if plain else ():
+            out[i] = found[last:k]
+            last = k + 1
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                out[i] = self._split_odd(t)
+        return out
+
+    def _split_odd(self, text: str) -> list:
+        """By the library's own normaliser and pre-tokeniser."""
         out: list = []
         for part in self.split_added.split(text) if self.split_added else [text]:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                out += [bytes(map(self.bytes_of.__getitem__, w)) for w, _ in self.pre_tokenize(self.normalize(part))]
+                out += [bytes(map(self.bytes_of.__getitem__, w)).decode("utf-8", "replace") for w, _ in self.pre_tokenize(self.normalize(part))]
         return out
 
+    def _hash_pairs(self, keys: np.ndarray) -> None:
+        """An open-addressed table from pair to rank, a sixteenth full at most."""
+        bits = max(4, int(len(keys)).bit_length() + 3)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot_key, self.slot_rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE, np.int32)
+        rank, at = np.arange(len(keys)), self._slot(keys)
+        while len(rank):
+            free = np.flatnonzero(self.slot_key[at] == -1)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.slot_key[at[put]], self.slot_rank[at[put]] = keys[rank[put]], rank[put]
+            rest = np.ones(len(rank), bool)
+            rest[put] = False
+            rank, at = rank[rest], at[rest] + 1 & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+        at = self._slot(key)
+        held = self.slot_key[at]
+        out = np.where(held == key, self.slot_rank[at], _NONE)
+        more = np.flatnonzero((held != key) & (held != -1))
+        at = at[more]
+        while len(more):
+            at = at + 1 & self.mask
+            held = self.slot_key[at]
+            hit = held == key[more]
+            out[more[hit]] = self.slot_rank[at[hit]]
+            on = ~hit & (held != -1)
+            more, at = more[on], at[on]
+        return out
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words and the offsets of each word's ids.
@@ -146,23 +188,22 @@ class Chunks:
     def __init__(self, vocabulary: Vocabulary, merge, ids: bool):
         self.v, self.merge, self.ids = vocabulary, merge, ids
         self.chunks: dict[bytes, bytes | int] = {}
-        self.words: dict[bytes, bytes | int] = {}
+        self.words: dict[str | int, bytes | int] = {}
 
     def _add(self, missing: list[bytes]) -> None:
-        pieces = [self.v.split(c) for c in missing]
-        words = list({w for p in pieces for w in p if isinstance(w, bytes) and w not in self.words})
-        if words:
-            self.words.update(zip(words, self.merge(words), strict=True))
-        get = self.words.__getitem__
-        if self.ids:
-            for c, p in zip(missing, pieces, strict=True):
-                self.chunks[c] = b"".join([w.to_bytes(4, "little") if isinstance(w, int) else get(w) for w in p])
-        else:
-            for c, p in zip(missing, pieces, strict=True):
-                self.chunks[c] = sum([1 if isinstance(w, int) else get(w) for w in p])
-        for w in words:
+        pieces = self.v.split(missing)
+        have = self.words
+        words = list({w for p in pieces for w in p if w not in have})
+        raw = [w for w in words if isinstance(w, str)]
+        have.update((w, w.to_bytes(4, "little") if self.ids else 1) for w in words if isinstance(w, int))
+        if raw:
+            have.update(zip(raw, self.merge([w.encode() for w in raw]), strict=True))
+        get = have.__getitem__
+        total = b"".join if self.ids else sum
+        self.chunks.update((c, total(map(get, p))) for c, p in zip(missing, pieces, strict=True))
+        for w in raw:
             if len(w) > LONG:
-                del self.words[w]
+                del have[w]
 
     def of(self, texts: list[str | None]) -> list:
         """The value of each text: all ids as bytes, or the number of tokens."""
@@ -170,17 +211,27 @@ class Chunks:
             self.chunks.clear()
         if len(self.words) > MOST_WORDS:
             self.words.clear()
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        held = self.chunks
-        missing = list({c for s in split for c in s if c not in held})
-        for lo in range(0, len(missing), 20_000):
-            self._add(missing[lo : lo + 20_000])
-        get = held.__getitem__
-        out = [b"".join(map(get, s)) for s in split] if self.ids else [sum(map(get, s)) for s in split]
-        for c in missing:
+        get = self.chunks.get
+        found, gaps, missing = [], [], set()
+        for t in texts:
+            chunks = t.encode("utf-8", "replace").split() if t else []
+            values = list(map(get, chunks))
+            at = -1
+            for _ in range(values.count(None)):
+                at = values.index(None, at + 1)
+                missing.add(chunks[at])
+                gaps.append((values, at, chunks[at]))
+            found.append(values)
+        todo = list(missing)
+        for lo in range(0, len(todo), 20_000):
+            self._add(todo[lo : lo + 20_000])
+        have = self.chunks
+        for values, at, c in gaps:
+            values[at] = have[c]
+        for c in todo:
             if len(c) > LONG:
-                del held[c]
-        return out
+                del have[c]
+        return [b"".join(v) for v in found] if self.ids else [sum(v) for v in found]
 
 
 _worker: dict = {}

@@ -25,6 +25,7 @@ from . import bpe
 from .shingles import batches
 
 ENTRIES = 65_536
+MOST_COUNTED = 300_000  # distinct chunks that a task counts before it hands them on
 WORD_BYTES = 32  # longer pre-tokens aren't compiled
 
 
@@ -132,18 +133,19 @@ def _words(path: str):
         held: Counter[bytes] = Counter()
 
         def out():
-            count: Counter[bytes] = Counter()
-            for c, k in held.items():
-                for w in v.split(c):
-                    if isinstance(w, bytes) and len(w) <= WORD_BYTES:
+            count: Counter[str] = Counter()
+            for words, k in zip(v.split(list(held)), held.values(), strict=True):
+                for w in words:
+                    if isinstance(w, str) and len(w) <= WORD_BYTES:
                         count[w] += k
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+            rows = [(b, n) for w, n in count.items() if len(b := w.encode()) <= WORD_BYTES]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
 
         for batch in it:
             for t in batch.column(0).to_pylist():
                 held.update(t.encode("utf-8", "replace").split() if t else ())
-                if len(held) > bpe.MOST_CHUNKS:
+                if len(held) > MOST_COUNTED:
                     yield out()
         yield out()
 
