@@ -140,12 +140,15 @@ def mutual_information(presence_: DataFrame, labels: DataFrame) -> DataFrame:
     presence_: (identifier, feature); labels: (identifier, label).  Counts of absence
     follow from the totals, so only present features are counted.
     """
-    per = labels.groupBy("label").agg(F.count("*").alias("nl"))
-    total = labels.agg(F.count("*").alias("n"))
+    per = labels.groupBy("label").agg(F.count("*").alias("nl")).collect()  # a row for each class
+    n = sum(r["nl"] for r in per)
+    classes = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["nl"]).alias("nl")) for r in per])
     both = presence_.join(labels, "identifier").groupBy("feature", "label").agg(F.count("*").alias("c"))
     sums = both.groupBy("feature").agg(F.sum("c").alias("nf"))
-    grid = sums.join(F.broadcast(per))  # a row per feature and class
-    grid = grid.join(both, ["feature", "label"], "left").fillna(0, ["c"]).join(F.broadcast(total))
+    if not per:
+        return sums.select("feature", F.lit(0.0).alias("mi"))
+    grid = sums.select("feature", "nf", F.inline(classes))
+    grid = grid.join(both, ["feature", "label"], "left").fillna(0, ["c"]).withColumn("n", F.lit(n))
     term = lambda x, f: F.when(x > 0, x / F.col("n") * F.log(x * F.col("n") / (f * F.col("nl")))).otherwise(0.0)
     mi = term(F.col("c").cast("double"), F.col("nf")) + term((F.col("nl") - F.col("c")).cast("double"), F.col("n") - F.col("nf"))
     return grid.groupBy("feature").agg(F.sum(mi).alias("mi"))

@@ -56,15 +56,15 @@ def without_tokens(sequences: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def greedy_phrases(text: Column, phrases: list[str]) -> Column:
-    """Words with the longest of the known multi-word phrases joined by _, from the left.
+    """Words with the known multi-word phrases joined by _, longer phrases first.
 
-    A fold over the words: an open match is kept as long as some phrase continues it.
+    Every word stands between two spaces of its own, so neighbouring phrases don't share one.
     """
-    known = sorted({tuple(p.replace("_", " ").split(" ")) for p in phrases if " " in p or "_" in p}, key=len, reverse=True)
-    out = F.concat(F.lit(" "), F.array_join(F.split(F.lower(text), " "), " "), F.lit(" "))
+    known = sorted({tuple(p.replace("_", " ").split(" ")) for p in phrases if " " in p or "_" in p}, key=lambda p: (-len(p), p))
+    out = F.concat(F.lit(" "), F.array_join(F.split(F.lower(text), " "), "  "), F.lit(" "))
     for p in known:
-        out = F.replace(out, F.lit(" " + " ".join(p) + " "), F.lit(" " + "_".join(p) + " "))
-    return F.filter(F.split(F.trim(out), " "), lambda w: w != "")
+        out = F.replace(out, F.lit(" " + "  ".join(p) + " "), F.lit(" " + "_".join(p) + " "))
+    return F.filter(F.split(out, " "), lambda w: w != "")
 
 
 def without_marks(tokens: Column) -> Column:

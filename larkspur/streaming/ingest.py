@@ -5,6 +5,7 @@ Windowed counts over events, with watermarks, go beyond what short-text research
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,7 +37,7 @@ def drain(spark: SparkSession, source: str, schema: str, target: str, checkpoint
         try:
             waiting = spark.read.parquet(held)
             together = batch.unionByName(waiting.select(*batch.columns))
-        except Exception:  # nothing waits yet
+        except AnalysisException:  # nothing waits yet
             together = batch
         if together.count() >= least:
             together.write.mode("overwrite").parquet(path)
