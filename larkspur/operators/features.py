@@ -154,6 +154,62 @@ def mutual_information(presence_: DataFrame, labels: DataFrame) -> DataFrame:
     return grid.groupBy("feature").agg(F.sum(mi).alias("mi"))
 
 
+def discrete_marks(df: DataFrame, annotations: DataFrame) -> DataFrame:
+    """identifier, word, mark: the majority mark of a word within a document, q on a tie."""
+    from .annotations import positions
+
+    marks = positions(annotations.select("identifier", "annotation")).select("identifier", "at", "mark")
+    rows = df.select("identifier", F.posexplode(words(F.lower("document"))).alias("at", "word"))
+    n = rows.join(marks, ["identifier", "at"]).groupBy("identifier", "word", "mark").agg(F.count("*").alias("n"))
+    top = n.groupBy("identifier", "word").agg(F.max("n").alias("n"))
+    best = n.join(top, ["identifier", "word", "n"]).groupBy("identifier", "word").agg(F.count("*").alias("k"), F.min("mark").alias("mark"))
+    return best.select("identifier", "word", F.when(F.col("k") == 1, F.col("mark")).otherwise("q").alias("mark"))
+
+
+def phrase_means(df: DataFrame, annotations: DataFrame) -> DataFrame:
+    """identifier, phrase, membership, positive, neutral, negative: mean shares over each phrase's positions."""
+    from .annotations import positions
+
+    marks = positions(annotations.select("identifier", "annotation"))
+    shares = marks.groupBy("identifier", "at").agg(F.avg((F.col("mark") != "q").cast("double")).alias("membership"), *(F.avg((F.col("mark") == m).cast("double")).alias(n) for m, n in (("p", "positive"), ("e", "neutral"), ("n", "negative"))))
+    spots = phrases(df, annotations).select("identifier", "phrase", F.explode(F.sequence(F.col("at"), (F.col("at") + F.col("length") - 1).cast("int"))).alias("at"))
+    return spots.join(shares, ["identifier", "at"]).groupBy("identifier", "phrase").agg(*(F.avg(n).alias(n) for n in ("membership", "positive", "neutral", "negative")))
+
+
+def subjectivity_flags(df: DataFrame, annotations: DataFrame) -> DataFrame:
+    """identifier, word, subjectivity (greatest share of marks other than q), present (1)."""
+    from .annotations import subjectivity_vector
+
+    rows = df.select("identifier", F.posexplode(words(F.lower("document"))).alias("at", "word"))
+    return rows.join(subjectivity_vector(annotations), ["identifier", "at"]).groupBy("identifier", "word").agg(F.max("share").alias("subjectivity"), F.lit(1).alias("present"))
+
+
+#: exports of a long table with the class of each document: name -> table of (documents, annotations)
+LONG_EXPORTERS = {
+    "SubjectivePhraseTweetClassficationDiscreteARFFExporter": discrete_marks,
+    "SubjectivePhraseTweetClassificationARFFExporter": phrase_means,
+    "SubjectivePhraseARFFExporter": phrases,
+    "SubjectiveWordARFFExporter": word_shares,
+    "SubjectiveARFFExporter": subjectivity_flags,
+}
+
+
+def _long_exporter(name: str, make):
+    @operator(name, ("path",))
+    def run(c: Corpus, s: Spec) -> Corpus:
+        from ..sources.sinks import write_csv
+
+        sub = c.dependent("subphrases").select(F.col("document_identifier").alias("identifier"), "annotation", "sentiment")
+        write_csv(make(c.input, sub.select("identifier", "annotation")).join(consensus(sub), "identifier"), s.get("path"))
+        return c
+
+    return run
+
+
+for _n, _f in LONG_EXPORTERS.items():
+    _long_exporter(_n, _f)
+
+
 EXPORTERS = {
     "SemEvalUnigramDataExporter": Options(1),
     "SemEvalBigramDataExporter": Options(2, 0),
@@ -168,7 +224,6 @@ EXPORTERS = {
     "UnigramBinaryPresenceWithPercentageSubjectiveARFFExporter": Options(1, statistics="percent"),
     "UnigramBinaryPresenceARFFExporter": Options(1),
     "BigramBinaryPresencePercentageSubjectiveGimpelTaggedARFFExporter": Options(2, 0, statistics="percent"),
-    "SubjectiveARFFExporter": Options(1),
 }
 _STATISTICS = {"none": [], "total": ["num_subjective"], "number": ["num_positive", "num_negative", "num_neutral"], "percent": ["percent_positive", "percent_negative", "percent_neutral"]}
 

@@ -231,9 +231,42 @@ _annotator(
 _annotator("NLTKSubjectivePhraseBayesianAnnotator", lambda c, s, d, m: bayesian(d, bayes_table(_learned(c, m))))
 _annotator("NLTKSubjectivePhraseMarkovAnnotator", lambda c, s, d, m: markov(d, markov_model(_learned(c, m))))
 # No CRF trainer is at hand: sequence labels come from the Markov model; features can be exported for one.
+for _name in ("ProduceCRFSTagList", "CRFSubjectivityTagger"):
+    _annotator(_name, lambda c, s, d, m: markov(d, markov_model(_learned(c, m))))
 _annotator("CRFSubjectiveAnnotator", lambda c, s, d, m: markov(d, markov_model(_learned(c, m))))
 
 
+def evolve_scores(df: DataFrame, annotations: DataFrame, size: int = 256, generations: int = 8, population: int = 10, spread: float = 0.005, seed: int = 0) -> dict[str, float]:
+    """Scores of the most frequent words that lessen the mean squared error of fixed scores, by genetic search.
+
+    The errors of a generation come from one aggregate: a genome's error is a sum over words of
+    n*g*g - 2*g*s + q, where n, s and q are a word's positions, sum and sum of squares of
+    observed shares, so the search itself needs no further pass over the data.
+    """
+    shares = subjectivity_vector(annotations)
+    rows = df.select("identifier", F.posexplode(words(F.lower("document"))).alias("at", "word")).join(shares, ["identifier", "at"])
+    stats = rows.groupBy("word").agg(F.count("*").alias("n"), F.sum("share").alias("s"), F.sum(F.col("share") * F.col("share")).alias("q"))
+    top = stats.orderBy(F.desc("n"), "word").limit(size).collect()  # ``size`` words
+    n, s, q = (np.array([r[k] for r in top], float) for k in ("n", "s", "q"))
+    rng = np.random.default_rng(seed)
+    pool = rng.random((population, len(top)))
+    error = lambda g: (g * g * n - 2 * g * s + q).sum(1) / max(n.sum(), 1)
+    for _ in range(generations * population):
+        e = error(pool)
+        if len(top) == 0 or e.max() - e.min() < spread:
+            break
+        a, b = pool[np.argsort(e)[rng.integers(0, max(2, population // 2), 2)]]
+        child = np.clip(np.where(rng.random(len(top)) < 0.5, a, b) + rng.normal(0, 0.05, len(top)), 0, 1)
+        worst = int(e.argmax())
+        if error(child[None])[0] < e[worst]:
+            pool[worst] = child
+    best = pool[int(error(pool).argmin())] if len(top) else []
+    return {r["word"]: float(x) for r, x in zip(top, best, strict=True)}
+
+
+_annotator("SubjectiveEvolution", lambda c, s, d, m: fixed(d, evolve_scores(c.input, m, seed=s.get("seed", 0, int))), "seed")
+
+
 @operator("SubjectiveAnnotationEvaluator", ("sourceTable", "predictedTable", "bucket"), ("metric",))
 def _evaluate(c: Corpus, s: Spec) -> Corpus:
     observed = empirical(c.dependent("subphrases").select(F.col("document_identifier").alias("identifier"), "annotation")) if s.get("sourceTable") == "subphrases" else c.table(f"subphrases_{s.get('sourceTable')}")

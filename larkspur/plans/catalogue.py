@@ -12,7 +12,7 @@ from ..corpus import Corpus
 from ..fixtures import ANN, TWEETS, annotations, tweets
 from ..functions import text as X
 from ..operators import annotations as A
-from ..operators import classify, cluster, domain, features, filters, labels, lexicon, phrases, results, tokens, verify
+from ..operators import classify, cluster, domain, features, filters, labels, lexicon, normalise, phrases, results, tokens, verify
 from ..sources import corpora
 from ..streaming import ingest
 from . import workflow
@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
     def put(f):
         _QUERIES[name] = f
         if sql is not None:
-            _SQL[name] = re.sub(r"\bat\b", '"at"', sql)  # a keyword to some parsers
+            _SQL[name] = re.sub(r"(?<!')\bat\b(?!')", '"at"', sql)  # a keyword to some parsers
         return f
 
     return put
@@ -464,6 +464,50 @@ def mutual_information(spark, d):
     return features.mutual_information(grams, y).select("feature", F.round("mi", 6).alias("mi"))
 
 
+_STOPS = ", ".join(f"'{w}'" for w in features.STOP_WORDS)
+
+
+@register(
+    "normalised_words",
+    _T
+    + f""", x AS (SELECT identifier, string_split(document, ' ') AS ws FROM tweets), y AS (SELECT identifier, unnest(ws) AS w, unnest(range(len(ws))) AS at FROM x),
+ z AS (SELECT identifier, at, w, regexp_replace(CASE WHEN length(lower(w)) >= 4 THEN regexp_replace(lower(w), '(ing|s|e)$', '') ELSE lower(w) END, '[^a-z]', '', 'g') AS v FROM y)
+ SELECT identifier, CAST(at AS INTEGER) AS at, CASE WHEN lower(w) IN ({_STOPS}) THEN 'STOPPED' WHEN v = '' THEN 'FILTERED' ELSE v END AS word FROM z""",
+)
+def normalised_words(spark, d):
+    return normalise.normalised_words(tweets(spark, d), normalise.Normaliser(True, "regexp", True, "[^a-z]"))
+
+
+@register(
+    "discrete_marks",
+    _TA
+    + f""", {_POS}, x AS (SELECT identifier, unnest(string_split(lower(document), ' ')) AS word, unnest(range(len(string_split(document, ' ')))) AS at FROM tweets),
+ n AS (SELECT identifier, word, mark, count(*) AS n FROM x JOIN pos USING (identifier, at) GROUP BY ALL), t AS (SELECT identifier, word, max(n) AS n FROM n GROUP BY ALL),
+ b AS (SELECT identifier, word, count(*) AS k, min(mark) AS mark FROM n JOIN t USING (identifier, word, n) GROUP BY identifier, word)
+ SELECT identifier, word, CASE WHEN k = 1 THEN mark ELSE 'q' END AS mark FROM b""",
+)
+def discrete_marks(spark, d):
+    return features.discrete_marks(tweets(spark, d), annotations(spark, d))
+
+
+@register(
+    "phrase_means",
+    _TA
+    + f""", {_POS}, m AS (SELECT identifier, at, avg((mark <> 'q')::INTEGER) AS membership, avg((mark = 'p')::INTEGER) AS positive FROM pos GROUP BY ALL),
+ h AS (SELECT *, at - row_number() OVER (PARTITION BY identifier ORDER BY at) AS g FROM m WHERE membership > 0.5),
+ r AS (SELECT *, dense_rank() OVER (PARTITION BY identifier ORDER BY g) AS phrase FROM h)
+ SELECT identifier, CAST(phrase AS INTEGER) AS phrase, round(avg(membership), 9) AS membership, round(avg(positive), 9) AS positive FROM r GROUP BY identifier, phrase""",
+)
+def phrase_means(spark, d):
+    return features.phrase_means(tweets(spark, d), annotations(spark, d)).select("identifier", "phrase", F.round("membership", 9).alias("membership"), F.round("positive", 9).alias("positive"))
+
+
+@register("majority_sentiment", _TA + ", s AS (SELECT identifier, CASE substr(annotation, 1, 1) WHEN 'p' THEN 'positive' WHEN 'n' THEN 'negative' ELSE 'neutral' END AS sentiment FROM ann), n AS (SELECT identifier, sentiment, count(*) AS n FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY n DESC, CASE sentiment WHEN 'positive' THEN 3 WHEN 'neutral' THEN 2 ELSE 1 END DESC) AS rn FROM n) SELECT identifier, sentiment FROM r WHERE rn = 1")
+def majority_sentiment(spark, d):
+    s = F.expr("CASE substr(annotation, 1, 1) WHEN 'p' THEN 'positive' WHEN 'n' THEN 'negative' ELSE 'neutral' END")
+    return A.majority_sentiment(annotations(spark, d).select("identifier", s.alias("sentiment")))
+
+
 # Verification, votes, conversions
 
 

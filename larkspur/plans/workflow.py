@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import operators as _operators  # noqa: F401
 from ..checkpoint import ResultStore, fingerprint
 from ..corpus import Corpus
-from ..operators import annotations, classify, cluster, domain, features, filters, labels, lexicon, phrases, results, tokens  # noqa: F401
+from ..operators import annotations, classify, cluster, domain, features, filters, labels, lexicon, normalise, phrases, results, tokens  # noqa: F401
 from ..registry import OPERATORS, Spec
 from ..sources import corpora, sinks  # noqa: F401
 
