@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import durable
 from ..corpus import Corpus
 from ..functions.text import pairs, words
 from ..registry import Spec, operator
@@ -31,8 +32,12 @@ def token_labels(df: DataFrame, tokens: Column, first: int = 0) -> DataFrame:
 
 
 def number(distinct: DataFrame, by: str, first: int = 0, name: str = "label") -> DataFrame:
-    """Rows of distinct values with their place in the order, from first on."""
-    parted = distinct.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id())
+    """Rows of distinct values with their place in the order, from first on.
+
+    Range bounds are sampled, so the partitions are written once and both steps read the
+    same ones, also when a task is run again.
+    """
+    parted = durable(distinct.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
     sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.expr("coalesce(sum(_n) OVER (ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_before"))
     placed = parted.withColumn("_at", F.expr(f"row_number() OVER (PARTITION BY _part ORDER BY {by})"))
