@@ -3,8 +3,10 @@
 Words and pairs of adjacent words are hashed to 2**16 buckets.  Two multinomials over
 the buckets are counted: one over all documents (the raw corpus), one over a bounded
 sample of documents labelled as good (the trusted target).  A bucket's weight is
-``round(1000 * ln(p_target / p_raw))``, with add-one smoothing; a document's ratio is
-the sum of its n-grams' weights, in integers, divided by their number.
+``round(1000 * ln((t + PRIOR) / (e + PRIOR)))``, where t is its count in the target and e
+the count to expect there if the target were like the raw corpus, so a bucket that the target
+is too small to tell about weighs little.  A document's ratio is the sum of its
+n-grams' weights, in integers, divided by their number.
 Documents at or over a threshold are kept, others not: the verdict on a text depends on
 the counts and that text alone.
 
@@ -23,6 +25,7 @@ from .common import save
 
 BUCKETS = 1 << 16
 SAMPLE = 16_384  # documents labelled as good that make the trusted target, at most
+PRIOR = 10.0
 THRESHOLD = -100  # thousandths of a nat per n-gram
 FEW_WORDS = 10
 WINDOW = 5
@@ -55,12 +58,9 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t")).first()
     if not total["t"]:  # nothing is trusted: every n-gram is as likely in either
         return [0] * BUCKETS
-    ratio = (F.col("target") + 1) / F.lit(float(total["t"] + BUCKETS)) / ((F.col("raw") + 1) / F.lit(float(total["r"] + BUCKETS)))
-    weighed = counts.select("b", F.round(F.log(ratio) * 1000).cast("int").alias("weight")).collect()
-    from math import log
-
-    unseen = round(1000 * log((total["r"] + BUCKETS) / (total["t"] + BUCKETS)))
-    out = [unseen] * BUCKETS
+    expected = F.col("raw") * F.lit(total["t"] / total["r"])
+    weighed = counts.select("b", F.round(F.log((F.col("target") + PRIOR) / (expected + PRIOR)) * 1000).cast("int").alias("weight")).collect()
+    out = [0] * BUCKETS  # an n-gram of no document says nothing
     for r in weighed:
         out[r["b"]] = r["weight"]
     return out
@@ -109,4 +109,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
     out = out.withColumn("_sum", one + two)
     kept = ~F.col("base_failed") & (F.col("_sum") >= threshold * grams)
-    return out.withColumns({"kept": kept, "ratio": F.when(grams > 0, F.col("_sum") / grams)}).drop("_w", "_sum")
+    out = out.withColumns({"kept": kept, "ratio": F.when(grams > 0, F.col("_sum") / grams)})
+    # Catalyst moves a filter on a result below the steps it is made of, and puts their expressions into
+    # each other's lambdas, where they are evaluated for every element.  A generator of one row stops that.
+    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"]
+    own = [c for c in docs.columns if c not in results]
+    return out.select(*own, F.explode(F.array(F.struct(*results))).alias("_r")).select(*own, *(F.col(f"_r.{c}").alias(c) for c in results))

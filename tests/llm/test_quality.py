@@ -6,7 +6,7 @@ from collections import Counter
 
 import xxhash
 
-from larkspur.llm.quality import BUCKETS, quality_rules
+from larkspur.llm.quality import PRIOR, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [
@@ -53,12 +53,12 @@ def brute(rows, trusted, threshold):
         raw.update(g)
         if i in trusted:
             target.update(g)
-    r, t = sum(raw.values()) + BUCKETS, sum(target.values()) + BUCKETS
+    share = sum(target.values()) / sum(raw.values())
     out = {}
     for i, text in rows:
         n, c, s, d, p = counts(text)
         failed = n < 10 or 100 * p > 20 * n
-        total = sum(round(1000 * math.log(((target[b] + 1) / t) / ((raw[b] + 1) / r))) for b in grams[i])
+        total = sum(round(1000 * math.log((target[b] + PRIOR) / (raw[b] * share + PRIOR))) for b in grams[i])
         out[i] = (n, c, s, d, p, failed, not failed and total >= threshold * len(grams[i]))
     return out
 
@@ -73,6 +73,13 @@ def test_brute_force(spark):
         assert {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in got} == want
 
 
+def test_a_filter_on_results_stays_above_them(spark):
+    """Else the steps' expressions end up within each other's lambdas."""
+    long = " ".join(f"w{i % 700}" for i in range(6000))
+    docs = spark.createDataFrame([(i, long) for i in range(3)], "doc_id long, text string")
+    assert quality_rules(docs, docs.select("doc_id")).where("NOT kept AND n_words = 6000").select("doc_id").count() == 3
+
+
 def test_empty_table_and_clashing_columns(spark):
     none = spark.createDataFrame([], "doc_id long, text string, kept string")
     assert quality_rules(none, none.select("doc_id")).count() == 0
