@@ -19,8 +19,8 @@ from .shingles import _COEF, batches, mix, word_hashes
 
 BITS = 20
 SAMPLE = 16_384  # labelled rows that training reads at most
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 0.5
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.05
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
