@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
+from .common import save
 from .shingles import batches
 
 ENTRIES = 65_536
@@ -153,10 +154,17 @@ def _words(path: str):
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, entries: int = ENTRIES, text_col: str = "text") -> bytes:
-    """Compile the ``entries`` most frequent pre-tokens of all texts (ties by bytes)."""
+    """Compile the most frequent pre-tokens of all texts, ``entries`` at most.
+
+    All words are counted.  How many words have each count gives the least count of which
+    all words fit; words of that count or more, and of two at least, are taken, so no tie
+    is cut and no more than ``entries`` words reach the driver, however many tasks count.
+    """
     words = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_words(vocabulary), "word binary, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries).collect()  # entries * 32 bytes at most
-    found = [bytes(r["word"]) for r in top]
+    counts = save(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    sizes = counts.groupBy("n").agg(F.count("*").alias("k"))  # as many rows as there are different counts
+    fits = sizes.withColumn("above", F.expr("sum(k) OVER (ORDER BY n DESC)")).where(F.col("above") <= entries).agg(F.min("n")).first()[0]
+    found = sorted(bytes(r["word"]) for r in counts.where(F.col("n") >= fits).select("word").collect()) if fits is not None else []
     return compile_lexicon(dict(zip(found, bpe.vocabulary(vocabulary).merged_ids(found), strict=True)) if found else {})
 
 
