@@ -14,8 +14,8 @@ import re
 import numpy as np
 import regex
 
-MOST_CHUNKS = 700_000  # held by a worker, about 100 MB, then started anew
-MOST_WORDS = 500_000  # about 75 MB
+MOST_CHUNKS = 600_000  # held by a worker, about 90 MB, then started anew
+MOST_WORDS = 400_000  # about 60 MB
 LONG = 64  # bytes; longer chunks and pre-tokens are not held
 _NONE = np.int32(2**31 - 1)
 
@@ -256,3 +256,8 @@ def count_chunks(path: str) -> Chunks:
         v = vocabulary(path)
         _worker["n", path] = Chunks(v, v.merged_counts, False)
     return _worker["n", path]
+
+
+def release() -> None:
+    """Free what this worker holds for encoding; called where another operator's work begins."""
+    _worker.clear()

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import components, save
 from .shingles import batches, shingle_sets
 
@@ -43,6 +44,7 @@ SLICES = 16
 HOT = 64  # rows of a column from which it adds a star
 ROWS = 512  # rows of a block of the exact product
 ENTRIES = 500_000  # entries of a block of columns
+FLUSH = 400_000  # entries that a task holds before it hands them on
 
 
 def _vertex(s: np.ndarray) -> int:
@@ -51,6 +53,7 @@ def _vertex(s: np.ndarray) -> int:
 
 def _sets(batch: pa.RecordBatch, n: int):
     """(id, set) of each row of a batch, a bounded share of the texts at a time."""
+    bpe.release()
     ids, col = batch.column(0), batch.column(1)
     texts = col.to_pylist()
     for lo, hi in batches(texts):
@@ -117,9 +120,10 @@ def _prefixes(n: int, t: tuple[int, int], sketch, blocks: int):
             o = np.argsort(b, kind="stable")
             cut = np.flatnonzero(np.diff(b[o])) + 1
             lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(o)]])
-            rec = np.empty(len(o), np.dtype([("h", "<u8"), ("v", "<i8"), ("n", "<i4"), ("p", "<i4")]))
-            rec["h"], rec["v"], rec["n"], rec["p"] = h[o], v[o], m[o], pos[o]
-            return pa.RecordBatch.from_arrays([pa.array(b[o][lo], pa.int32()), pa.array([rec[a:z].tobytes() for a, z in zip(lo, hi, strict=True)], pa.binary())], names=["block", "data"])
+            # column by column, so that equal neighbours compress; 32 bits of the hash tell
+            # columns of a block apart well enough, as candidates are compared exactly later
+            cols = [h[o].astype("<u4"), v[o], m[o], np.minimum(pos[o], 65535).astype("<u2")]
+            return pa.RecordBatch.from_arrays([pa.array(b[o][lo], pa.int32()), pa.array([b"".join(c[a:z].tobytes() for c in cols) for a, z in zip(lo, hi, strict=True)], pa.binary())], names=["block", "data"])
 
         for batch in it:
             for _, s in _sets(batch, n):
@@ -131,7 +135,7 @@ def _prefixes(n: int, t: tuple[int, int], sketch, blocks: int):
                 order = np.argsort(key, kind="stable")[:k]  # s is sorted: ties go by hash
                 held.append((s[order], v, len(s)))
                 size += k
-                if size > 1_000_000:
+                if size > FLUSH:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -140,6 +144,18 @@ def _prefixes(n: int, t: tuple[int, int], sketch, blocks: int):
     return run
 
 
+_ENTRY = [("h", "<u4"), ("v", "<i8"), ("n", "<i4"), ("p", "<u2")]
+
+
+def _entries(data: bytes) -> np.ndarray:
+    n = len(data) // sum(np.dtype(k).itemsize for _, k in _ENTRY)
+    out, at = np.empty(n, np.dtype([(name, "<i4" if name == "p" else kind) for name, kind in _ENTRY])), 0
+    for name, kind in _ENTRY:
+        out[name] = np.frombuffer(data, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
 PAIRS = ["x", "y", "nx", "ny", "c", "px", "py", "star"]
 _PAIR_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
@@ -149,10 +165,10 @@ def _product(t: tuple[int, int]):
     p, q = t
 
     def one(parts: list[bytes]):
-        e = np.frombuffer(b"".join(parts), np.dtype([("h", "<u8"), ("v", "<i8"), ("n", "<i4"), ("p", "<i4")]))
-        e = e[np.lexsort((e["v"], e["h"]))]
-        if len(e) > 1:  # copies of a vertex from several tasks
-            e = e[np.concatenate([[True], (e["h"][1:] != e["h"][:-1]) | (e["v"][1:] != e["v"][:-1])])]
+        e = np.concatenate([_entries(x) for x in parts])
+        e = e[np.lexsort((e["p"], e["v"], e["h"]))]
+        if len(e) > 1:  # the same entry of a vertex from several tasks
+            e = e[np.concatenate([[True], (e["h"][1:] != e["h"][:-1]) | (e["v"][1:] != e["v"][:-1]) | (e["p"][1:] != e["p"][:-1])])]
         first = np.concatenate([[True], e["h"][1:] != e["h"][:-1]])
         run = np.cumsum(first) - 1
         m = np.bincount(run)
@@ -182,7 +198,7 @@ def _product(t: tuple[int, int]):
             swap = (a["n"] > b["n"]) | ((a["n"] == b["n"]) & (a["v"] > b["v"]))
             x, y = np.where(swap, b, a), np.where(swap, a, b)
             nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
-            keep = (q * nx >= p * ny) & (x["p"] < nx - _bound(2 * p, p + q, nx) + 1)
+            keep = (x["v"] != y["v"]) & (q * nx >= p * ny) & (x["p"] < nx - _bound(2 * p, p + q, nx) + 1)
             out.append((x[keep], y[keep]))
         if out:
             x, y = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -324,7 +340,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         clusters = save(components(edges, "candidates"), "clusters").select(F.col("node").alias("v"), F.col("root").alias("cluster"))
         many = clusters.count()
         if many:
-            bits = min(27, max(16, int(many * 8).bit_length()))
+            bits = min(27, max(16, int(many * 32).bit_length()))
             bitmap = spark.sparkContext.broadcast(_bitmap(clusters, bits))
             sets = docs.mapInArrow(_rows_of(n, bitmap), "v long, data binary").dropDuplicates(["v"])
             sized = clusters.join(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / ROWS).alias("k")), "cluster")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import save
 from .shingles import _COEF, batches, mix, word_hashes
 
@@ -25,6 +26,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.05
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, coordinate) of every n-gram of the texts, repeats included."""
+    bpe.release()
     words, off = word_hashes(texts, letters=True)
     text = np.repeat(np.arange(len(texts)), np.diff(off))
     with np.errstate(over="ignore"):
@@ -59,7 +61,7 @@ def ftrl(rows: list[tuple[float, np.ndarray]], epochs: int = EPOCHS) -> tuple[np
     l1 = np.zeros(1)
     for _ in range(epochs):
         for y, at in rows:
-            at = np.append(at, bias)
+            at = np.append(at, np.uint32(bias))
             l1 = np.full(len(at), L1)
             l1[-1] = 0
             w = weight(z[at], n[at], l1)
@@ -75,7 +77,7 @@ def ftrl(rows: list[tuple[float, np.ndarray]], epochs: int = EPOCHS) -> tuple[np
 
 
 def _train(it):
-    rows = [(k, float(y), np.frombuffer(d, "<u4").astype(np.int64)) for batch in it for k, y, d in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    rows = [(k, float(y), np.frombuffer(d, "<u4")) for batch in it for k, y, d in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
     if not rows:
         return
     rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
