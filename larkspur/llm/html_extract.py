@@ -1,8 +1,9 @@
 """HTML extraction by wrapper induction.
 
-The pages of a host are trees that mostly came out of one template.  For each host a
-bounded number of pages are parsed and aligned by simple tree matching; nodes with the
-same text on all of them are the template, nodes whose text varies are slots.  The
+The pages of a host are trees that mostly came out of one template.  All distinct pages of
+a host are parsed and aligned by simple tree matching, in parts whose wrappers are then
+aligned with each other; nodes with the same text on all pages that have them are the
+template, nodes whose text varies are slots.  The
 slots of the region with most running text are its content.  Every page of the host
 is then aligned with the induced wrapper and gives the text of its content slots.
 
@@ -15,14 +16,16 @@ from __future__ import annotations
 
 import html
 import json
+from hashlib import blake2b
 import re
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 8  # pages of a host that its wrapper is induced from
 KIDS = 64  # child runs of a wrapper's node
+LEAST = 3  # distinct pages that a node is known to stand on; more need not be told apart
 SALT = 16  # parts that the pages of a host are dealt to
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -120,25 +123,25 @@ def parse(page: str | None) -> Node:
 class Run:
     """Consecutive siblings of one label, taken as one node: their texts and child runs."""
 
-    __slots__ = ("label", "tag", "away", "nodes", "texts", "size", "link", "kids", "pages", "same")
+    __slots__ = ("label", "tag", "away", "nodes", "texts", "size", "link", "kids", "keys", "same")
 
-    def __init__(self, nodes: list[Node]):
+    def __init__(self, nodes: list[Node], key: int = 0):
         self.nodes = nodes
         self.label, self.tag, self.away = nodes[0].label, nodes[0].tag, nodes[0].away
         self.texts = tuple(t for n in nodes if (t := _SPACE.sub(" ", "".join(x if isinstance(x, str) else " " for x in n.items)).strip()))
         self.size, self.link = sum(map(len, self.texts)), sum(n.link for n in nodes)
         self.kids: list[Run] = []
-        self.pages, self.same = 1, True
+        self.keys, self.same = (key,), True
         held: list[Node] = []
         for n in nodes:
             for x in n.items:
                 if isinstance(x, Node):
                     if held and held[-1].label != x.label:
-                        self.kids.append(Run(held))
+                        self.kids.append(Run(held, key))
                         held = []
                     held.append(x)
         if held:
-            self.kids.append(Run(held))
+            self.kids.append(Run(held, key))
 
 
 def align(a: list, b: list, label=lambda r: r.label, kids=lambda r: r.kids) -> tuple[int, list[tuple[int, int]]]:
@@ -172,9 +175,9 @@ def align(a: list, b: list, label=lambda r: r.label, kids=lambda r: r.kids) -> t
 
 
 def _merge(a: Run, b: Run) -> None:
-    """Take another page's node into a wrapper's node."""
-    a.same = a.same and a.texts == b.texts
-    a.pages += 1
+    """Take another page's or part's node into a wrapper's node."""
+    a.same = a.same and b.same and a.texts == b.texts
+    a.keys = tuple(sorted({*a.keys, *b.keys})[:LEAST])
     a.size, a.link = a.size + b.size, a.link + b.link
     _, pairs = align(a.kids, b.kids)
     mate = {j: i for i, j in pairs}
@@ -195,13 +198,13 @@ def _merge(a: Run, b: Run) -> None:
     a.kids = kids + a.kids[done:]
 
 
-def _mass(r: Run, pages: int, away: bool) -> dict[int, float]:
+def _mass(r: Run, away: bool) -> dict[int, float]:
     """Characters of running text in the varying slots at and below each node."""
     out: dict[int, float] = {}
 
     def walk(r, away):
         away = away or r.away
-        fixed = r.same and r.pages > 1
+        fixed = r.same and len(r.keys) > 1
         own = 0 if away or fixed else max(0, r.size - 2 * r.link)
         out[id(r)] = own + sum(walk(k, away) for k in r.kids)
         return out[id(r)]
@@ -213,7 +216,7 @@ def _mass(r: Run, pages: int, away: bool) -> dict[int, float]:
 def _main(root: Run) -> Run:
     """The node that holds the article: article or main if one has half of all running text,
     else the deepest node that holds four fifths of it in more than one child."""
-    mass = _mass(root, root.pages, False)
+    mass = _mass(root, False)
     total = mass[id(root)]
     best = None
 
@@ -243,33 +246,69 @@ def _cap(r: Run) -> None:
         _cap(k)
 
 
-def induce(pages: list[str | None]) -> str:
-    """The wrapper of a host's pages as JSON: [label, fixed, content, children] of each node."""
-    runs, seen = [], set()
-    for p in pages:
-        r = Run([parse(p)])
-        key = repr(_texts(r))
-        if key not in seen:  # copies of a page say nothing about the template
-            seen.add(key)
-            _cap(r)
-            runs.append(r)
-    if not runs:
+def _digest(x) -> int:
+    return int.from_bytes(blake2b(repr(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def _light(r: Run) -> None:
+    """Leave a digest of a node's texts, and nothing of its page."""
+    r.nodes = None
+    r.texts = _digest(r.texts) if r.texts else 0
+    for k in r.kids:
+        _light(k)
+
+
+def _join(runs) -> Run | None:
+    root = None
+    for r in runs:
+        if root is None:
+            root = r
+        else:
+            _merge(root, r)
+    return root
+
+
+def _grown(page: str | None, key: int) -> Run:
+    r = Run([parse(page)], key)
+    _cap(r)
+    _light(r)
+    return r
+
+
+def _pack(r: Run) -> list:
+    return [r.label, r.tag, int(r.away), r.texts, int(r.same), r.size, r.link, r.keys, [_pack(k) for k in r.kids]]
+
+
+def _unpack(x: list) -> Run:
+    r = Run.__new__(Run)
+    r.nodes = None
+    r.label, r.tag, r.away, r.texts, r.same, r.size, r.link = x[0], x[1], bool(x[2]), x[3], bool(x[4]), x[5], x[6]
+    r.keys, r.kids = tuple(x[7]), [_unpack(k) for k in x[8]]
+    return r
+
+
+def _wrapper(root: Run | None) -> str:
+    """A wrapper as JSON: [label, fixed, content, children] of each node.
+
+    A node of one page only is as its parent says, so it is left out unless the content is in it."""
+    if root is None:
         return "null"
-    root = runs[0]
-    for r in runs[1:]:
-        _merge(root, r)
     main = _main(root)
 
     def out(r, content):
         content = content or r is main
-        least = 3 if content else 2  # copied passages of a few near copies aren't a template
-        return [r.label, int(bool(r.texts) and r.same and r.pages >= least), int(content), [out(k, content) for k in r.kids[:KIDS]]]
+        least = LEAST if content else 2  # copied passages of a few near copies aren't a template
+        kids = [x for k in r.kids if (x := out(k, content))]
+        if len(r.keys) < 2 and not kids and r is not main and r is not root:
+            return None
+        return [r.label, int(bool(r.texts) and r.same and len(r.keys) >= least), int(content), kids]
 
     return json.dumps(out(root, False))
 
 
-def _texts(r: Run):
-    return (r.label, r.texts, [_texts(k) for k in r.kids])
+def induce(pages: list[str | None]) -> str:
+    """The wrapper of a host's pages; copies of a page say nothing about the template."""
+    return _wrapper(_join(_grown(p, _digest(p)) for p in dict.fromkeys(pages)))
 
 
 def extract(page: str | None, wrapper: list | None) -> str:
@@ -326,40 +365,77 @@ def extract(page: str | None, wrapper: list | None) -> str:
     return "\n\n".join(blocks)
 
 
+def _partial(it):
+    """host, salt, part: the wrapper of each part of a host; rows are sorted by host, salt and key.
+
+    A mark row stands before the page that it chose of the copies of one page."""
+
+    def out(at, root):
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int32()), pa.array([json.dumps(_pack(root))], pa.string())], names=["host", "salt", "part"])
+
+    at, root, due = None, None, None
+    for batch in it:
+        c = {n: batch.column(n) for n in ("host", "salt", "key", "h", "mark")}
+        pages = batch.column("html")
+        rows = zip(*(c[n].to_pylist() for n in ("host", "salt", "key", "h", "mark")), strict=True)
+        for i, (host, salt, key, h, mark) in enumerate(rows):
+            if mark:
+                due = host, key, h
+            elif due == (host, key, h):
+                due = None
+                if (host, salt) != at:
+                    if root is not None:
+                        yield out(at, root)
+                    at, root = (host, salt), None
+                r = _grown(pages[i].as_py(), key)
+                if root is None:
+                    root = r
+                else:
+                    _merge(root, r)
+    if root is not None:
+        yield out(at, root)
+
+
 def _induced(it):
     for batch in it:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([induce(p) for p in batch.column(1).to_pylist()], pa.string())], names=["host", "wrapper"])
+        made = [_wrapper(_join(_unpack(json.loads(x)) for x in parts)) for parts in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
 
 
 def _extracted(it):
     held: dict[str, list | None] = {}
     for batch in it:
+        batch = batch.filter(pa.compute.equal(batch.column("mark"), 0))
         out = []
-        for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
             if wrapper not in held:
                 if len(held) > 500:
                     held.clear()
                 held[wrapper] = json.loads(wrapper) if wrapper else None
             out.append(extract(page, held[wrapper]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
-def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Null or empty html gives an empty text; a null url is a host of its own; repeated rows
     are extracted each; other columns are ignored; an empty table gives no rows.
-    Pages of a host are dealt to ``SALT`` parts, and its wrapper, made of ``sample`` pages,
-    goes to each.
+    Pages of a host are dealt to ``SALT`` parts.  Each part makes a wrapper of its distinct pages; those
+    are merged to the host's, which goes to each part.  Of the copies of a page over all parts a mark
+    chooses one: marks are made of hashes alone and dealt together with the pages, so these are shuffled once.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))).withColumn("h", F.xxhash64("page_id", "url"))
-    # one page from each of ``sample`` parts of a host: a hot host is reduced before it is shuffled
-    chosen = rows.where("html IS NOT NULL").groupBy("host", F.pmod("h", F.lit(sample)).alias("part")).agg(F.min(F.struct("h", "html")).alias("p"))
-    sampled = chosen.groupBy("host").agg(F.sort_array(F.collect_list("p")).alias("ps")).select("host", F.col("ps.html").alias("pages"))
-    wrappers = sampled.mapInArrow(_induced, "host string, wrapper string")
-    parts = wrappers.select("host", "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    dealt = rows.withColumn("salt", F.pmod(F.shiftright("h", 20), F.lit(SALT)).cast("int"))
-    joined = dealt.join(parts, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper")
-    out = joined.mapInArrow(_extracted, "page_id long, url string, text string")
+    rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit("")))
+    rows = rows.withColumns({"key": F.xxhash64("html"), "h": F.xxhash64("page_id", "url")})
+    marks = rows.where("html IS NOT NULL").groupBy("host", "key").agg(F.min("h").alias("h"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("page_id", "long"), ("url", "string"), ("html", "string"))]
+    both = rows.select("page_id", "url", "html", "host", "key", "h", F.lit(0).alias("mark")).unionByName(marks.select(*none, "host", "key", "h", F.lit(1).alias("mark")))
+    # the two uses below take all columns, so that the exchange is one and the same
+    dealt = both.withColumn("salt", F.pmod(F.shiftright("h", 20), F.lit(SALT)).cast("int")).repartition("host", "salt")
+    partial = dealt.sortWithinPartitions("host", "salt", "key", "h", F.desc("mark"), "page_id", "url").mapInArrow(_partial, "host string, salt int, part string")
+    parts = partial.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("salt", "part"))).alias("ps")).select("host", F.col("ps.part").alias("parts"))
+    wrappers = parts.mapInArrow(_induced, "host string, wrapper string")
+    salted = wrappers.select("host", "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    out = dealt.join(salted, ["host", "salt"], "left").mapInArrow(_extracted, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -64,3 +64,15 @@ def test_pages(spark):
     assert by[50]["text"] == "" and by[51]["n_chars"] == 0 and by[52]["text"] == "alone"
     assert by[60]["text"].count("part of it") == 20_000
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_a_rare_section_is_template(spark):
+    """A notice within the content of a few pages, more of them copies than not, is seen."""
+    notice = '<div class="box">Written by our own desk, all claims were verified</div>'
+
+    def story(k):
+        return page(k).replace("<ul><li>item", f"{notice}<ul><li>item") if k % 20 == 0 else page(k)
+
+    rows = [(k, f"http://h.example/{k}", story(k)) for k in range(100)] + [(1000 + k, f"http://h.example/copy/{k}", story(1)) for k in range(300)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[k] == want(k) for k in range(100)) and all(got[1000 + k] == want(1) for k in range(300))
