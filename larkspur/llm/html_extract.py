@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KIDS = 64  # child runs of a wrapper's node
+DENSE = 64 * 64  # pairs of children up to which they are weighed by what matches below them
 LEAST = 3  # distinct pages that a node is known to stand on; more need not be told apart
 SALT = 16  # parts that the pages of a host are dealt to
 
@@ -144,23 +144,59 @@ class Run:
             self.kids.append(Run(held, key))
 
 
-def align(a: list, b: list, label=lambda r: r.label, kids=lambda r: r.kids) -> tuple[int, list[tuple[int, int]]]:
+def _chain(a: list, b: list) -> list[tuple[int, int]]:
+    """A longest common subsequence of two lists of labels, as pairs; a row is a number with a bit for each of b."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    v, rows = every, []
+    for x in a:
+        u = v & at.get(x, 0)
+        v = ((v + u) | (v - u)) & every
+        rows.append(v)
+    pairs, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
+def align(a: list, b: list, label=lambda r: r.label, kids=lambda r: r.kids, known: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two lists of children: the order-preserving pairs of one
-    label with the most matched nodes below them, and how many nodes that are."""
+    label with the most matched nodes below them, and how many nodes that are.  Of lists with
+    over ``DENSE`` pairs the most children are paired, whatever is below them."""
     if not a or not b:
         return 0, []
+    known = {} if known is None else known
+    la, lb = [label(x) for x in a], [y.label if isinstance(y, Run) else label(y) for y in b]
+
+    def here(i: int, j: int) -> int:
+        """Matched nodes of two children of one label."""
+        x, y = a[i], b[j]
+        at = id(x), id(y)
+        if at not in known:
+            known[at] = 1 + align(kids(x), y.kids if isinstance(y, Run) else kids(y), label, kids, known)[0]
+        return known[at]
+
+    if la == lb and len(set(la)) == len(la):  # there is only one way
+        pairs = [(i, i) for i in range(len(la))]
+        return sum(here(i, j) for i, j in pairs), pairs
+    if len(a) * len(b) > DENSE:
+        pairs = _chain(la, lb)
+        return sum(here(i, j) for i, j in pairs), pairs
     w = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    took = {}
-    for i, x in enumerate(a, 1):
+    for i, lx in enumerate(la, 1):
         up, row = w[i - 1], w[i]
-        lx = label(x)
-        for j, y in enumerate(b, 1):
+        for j, ly in enumerate(lb, 1):
             best = up[j] if up[j] >= row[j - 1] else row[j - 1]
-            if lx == (y.label if isinstance(y, Run) else label(y)):
-                here = up[j - 1] + 1 + align(kids(x), y.kids if isinstance(y, Run) else kids(y), label, kids)[0]
-                if here > best:
-                    best = here
-                    took[i, j] = True
+            if lx == ly:
+                best = max(best, up[j - 1] + here(i - 1, j - 1))
             row[j] = best
     pairs, i, j = [], len(a), len(b)
     while i and j:
@@ -188,13 +224,8 @@ def _merge(a: Run, b: Run) -> None:
             kids += a.kids[done : i + 1]
             done = i + 1
             _merge(a.kids[i], y)
-        elif len(a.kids) + len(kids) - done < KIDS:
-            kids.append(y)
         else:
-            for x in a.kids:
-                if x.label == y.label:
-                    _merge(x, y)
-                    break
+            kids.append(y)
     a.kids = kids + a.kids[done:]
 
 
@@ -239,13 +270,6 @@ def _main(root: Run) -> Run:
         at = down[0]
 
 
-def _cap(r: Run) -> None:
-    """A wrapper's node has ``KIDS`` child runs at most; nodes that it lacks are as their parent says."""
-    del r.kids[KIDS:]
-    for k in r.kids:
-        _cap(k)
-
-
 def _digest(x) -> int:
     return int.from_bytes(blake2b(repr(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
 
@@ -270,7 +294,6 @@ def _join(runs) -> Run | None:
 
 def _grown(page: str | None, key: int) -> Run:
     r = Run([parse(page)], key)
-    _cap(r)
     _light(r)
     return r
 

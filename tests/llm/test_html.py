@@ -1,8 +1,9 @@
 """Extraction: known pages, induced templates, broken markup."""
 
 import json
+import random
 
-from larkspur.llm.html_extract import extract, extract_pages, induce, parse, Run, align
+from larkspur.llm.html_extract import _chain, extract, extract_pages, induce, parse, Run, align
 
 
 def page(k, extra=""):
@@ -76,3 +77,26 @@ def test_a_rare_section_is_template(spark):
     rows = [(k, f"http://h.example/{k}", story(k)) for k in range(100)] + [(1000 + k, f"http://h.example/copy/{k}", story(1)) for k in range(300)]
     got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert all(got[k] == want(k) for k in range(100)) and all(got[1000 + k] == want(1) for k in range(300))
+
+
+def test_long_articles_are_aligned_to_their_end():
+    def long(k):
+        body = "".join(f"<h2>Head {k} {i}</h2><p>Text {i} of page {k}</p>" for i in range(100 + k))
+        return f'<div class="story">{body}<div class="box">Read more in our archive</div></div>'
+
+    wrapper = json.loads(induce([long(k) for k in range(6)]))
+    for k in range(4, 8):
+        assert extract(long(k), wrapper) == "\n\n".join(f"Head {k} {i}\n\nText {i} of page {k}" for i in range(100 + k))
+
+
+def test_chains_are_longest():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randrange(12))] for _ in range(2))
+        w = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                w[i + 1][j + 1] = w[i][j] + 1 if x == y else max(w[i][j + 1], w[i + 1][j])
+        pairs = _chain(a, b)
+        assert len(pairs) == w[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
