@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -38,6 +39,31 @@ def test_nearest_neighbours(spark):
     assert {r[0]: r[1] for r in classify.nearest(train, test).collect()} == {9: 1.0, 10: 0.0}
 
 
+def brute_nearest(train, test, k):
+    counts = Counter(y for _, _, y in train)
+    most = min(counts, key=lambda y: (-counts[y], y))
+    out = {}
+    for i, tokens in test:
+        near = sorted((-s, t, y) for t, other, y in train if (s := len(set(tokens) & set(other))))[:k]
+        votes = Counter(y for _, _, y in near)
+        out[i] = max(votes, key=lambda y: (votes[y], y)) if votes else most
+    return out
+
+
+def test_nearest_neighbours_count_frequent_tokens(spark):
+    rng = random.Random(5)
+
+    def tokens():
+        return [f"f{j}" for j in range(6) if rng.random() < 0.4] + [f"r{rng.randrange(40)}" for _ in range(rng.randrange(3))]
+
+    train = [(i, tokens(), float(rng.random() < 0.4)) for i in range(150)]
+    test = [(1000 + i, tokens()) for i in range(60)] + [(2000, []), (2001, ["f0"]), (2002, ["zz"])]
+    a = spark.createDataFrame(train, "identifier long, tokens array<string>, y double")
+    b = spark.createDataFrame(test, "identifier long, tokens array<string>")
+    for k, side in ((1, 1 << 14), (3, 40)):
+        assert {r[0]: r[1] for r in classify.nearest(a, b, k, side=side).collect()} == brute_nearest(train, test, k)
+
+
 def test_unknown_classifiers_are_refused():
     with pytest.raises(ValueError):
         classify.estimator("__import__('os')")
