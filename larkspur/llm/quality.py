@@ -1,8 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio of trusted target against raw corpus.
 
 Words and pairs of adjacent words are hashed to 2**16 buckets.  Two multinomials over
-the buckets are counted: one over all documents (the raw corpus), one over a bounded
-sample of documents labelled as good (the trusted target).  A bucket's weight is
+the buckets are counted: one over all documents (the raw corpus), one over all
+documents labelled as good (the trusted target).  A bucket's weight is
 ``round(1000 * ln((t + PRIOR) / (e + PRIOR)))``, where t is its count in the target and e
 the count to expect there if the target were like the raw corpus, so a bucket that the target
 is too small to tell about weighs little.  A document's ratio is the sum of its
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import save
 
 BUCKETS = 1 << 16
-SAMPLE = 16_384  # documents labelled as good that make the trusted target, at most
 PRIOR = 10.0
 THRESHOLD = -100  # thousandths of a nat per n-gram
 FEW_WORDS = 10
@@ -47,11 +46,12 @@ def _starts(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
 
 
-def ngram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[int]:
+def ngram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """The weight of each bucket; trusted has the ids of good documents."""
-    ids = trusted.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct()
-    chosen = save(ids.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample), "trusted")  # ``sample`` numbers: small enough to broadcast
-    marked = docs.select(F.col(id_col).cast("long").alias("id"), _words(F.col(text_col)).alias("w")).join(F.broadcast(chosen.withColumn("good", F.lit(1))), "id", "left")
+    # the numbers grow with the input: both sides are shuffled by them, whatever their size
+    ids = save(trusted.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct(), "trusted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marked = texts.join(ids.withColumn("good", F.lit(1)).hint("merge"), "id", "left").select("good", _words(F.col("text")).alias("w"))
     grams = F.concat(F.transform("w", lambda w: _bucket(w)), F.transform(_starts(F.col("w"), 2), lambda i: _bucket(F.get("w", i), F.get("w", i + 1))))
     counts = marked.select("good", F.explode(grams).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     counts = save(counts, "buckets")
@@ -94,7 +94,7 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_l", "_h", "_s", "_p")
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio and kept.
 
     kept: not base_failed, and the sum of weights is at least threshold times the number of
@@ -102,7 +102,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     or empty text has no words and fails; repeated rows get the same verdict; of columns
     with the names of results the input's are replaced; an empty table gives no rows.
     """
-    weights = F.from_json(F.lit(json.dumps(ngram_weights(docs, trusted, id_col, text_col, sample))), "array<int>")
+    weights = F.from_json(F.lit(json.dumps(ngram_weights(docs, trusted, id_col, text_col))), "array<int>")
     out = base_rules(docs, text_col)
     one = F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.get(weights, _bucket(w)))
     two = F.aggregate(_starts(F.col("_w"), 2), F.lit(0).cast("long"), lambda a, i: a + F.get(weights, _bucket(F.get("_w", i), F.get("_w", i + 1))))

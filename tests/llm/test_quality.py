@@ -6,7 +6,7 @@ from collections import Counter
 
 import xxhash
 
-from larkspur.llm.quality import PRIOR, quality_rules
+from larkspur.llm.quality import PRIOR, ngram_weights, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [
@@ -87,3 +87,18 @@ def test_empty_table_and_clashing_columns(spark):
     got = quality_rules(docs, docs.select("doc_id")).collect()
     assert [r["n_words"] for r in sorted(got, key=lambda r: r["n_words"])] == [0, 2, 2]
     assert not any(r["kept"] for r in got)
+
+
+def test_all_trusted_documents_count(spark):
+    rows = [(i, f"w{i % 97} v{i % 1009} end") for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        w = text.split()
+        grams = [bucket(x) for x in w] + [bucket(a, b) for a, b in zip(w, w[1:])]
+        raw.update(grams)
+        if i % 5:
+            target.update(grams)
+    share = sum(target.values()) / sum(raw.values())
+    got = ngram_weights(docs, docs.where("doc_id % 5 > 0").select("doc_id"))
+    assert all(got[b] == round(1000 * math.log((target[b] + PRIOR) / (n * share + PRIOR))) for b, n in raw.items())
