@@ -213,8 +213,6 @@ for _n, _f in LONG_EXPORTERS.items():
 EXPORTERS = {
     "SemEvalUnigramDataExporter": Options(1),
     "SemEvalBigramDataExporter": Options(2, 0),
-    "CrossDomainUnigramDataExporter": Options(1),
-    "CrossDomainUnigramPivotDataExporter": Options(1, absent=-1),
     "BigramBinaryPresenceTotalNumberSubjectiveARFFExporter": Options(2, 1, statistics="total"),
     "BigramBinaryPresenceNumberSubjectiveARFFExporter": Options(2, 1, statistics="number"),
     "BigramBinaryPresencePercentageSubjectiveARFFExporter": Options(2, 0, statistics="percent"),
@@ -223,16 +221,23 @@ EXPORTERS = {
     "UnigramBinaryPresenceWithNumberOfSubjectivePhrasesARFFExporter": Options(1, statistics="number"),
     "UnigramBinaryPresenceWithPercentageSubjectiveARFFExporter": Options(1, statistics="percent"),
     "UnigramBinaryPresenceARFFExporter": Options(1),
-    "BigramBinaryPresencePercentageSubjectiveGimpelTaggedARFFExporter": Options(2, 0, statistics="percent"),
 }
+#: known by name, but not built: they need columns for pivots, and tagged tokens in place of words
+NOT_BUILT = ("CrossDomainUnigramPivotDataExporter", "BigramBinaryPresencePercentageSubjectiveGimpelTaggedARFFExporter")
 _STATISTICS = {"none": [], "total": ["num_subjective"], "number": ["num_positive", "num_negative", "num_neutral"], "percent": ["percent_positive", "percent_negative", "percent_neutral"]}
 
 
-def export(c: Corpus, s: Spec, options: Options) -> None:
-    """Write header and rows to the attribute path: ARFF text in two parts of a folder."""
+def export(c: Corpus, s: Spec, options: Options, domain: str | None = None) -> None:
+    """Write header and rows to the attribute path: ARFF text in two parts of a folder.
+
+    With a domain only its documents are rows; the vocabulary is that of all documents.
+    """
     from ..sources.sinks import write_text
 
     rows = c.input.join(c.dependent("subphrases").select(F.col("document_identifier").alias("identifier"), "annotation", "sentiment"), "identifier")
+    if domain is not None:
+        named = c.table("label_names_domains").where(F.col("label") == domain).select(F.col("label_identifier").alias("label"))
+        rows = rows.join(c.table("label_domains").join(named, "label").select(F.col("document_identifier").alias("identifier")), "identifier", "left_semi")
     names = vocabulary(c.input, options).orderBy("feature").select("gram")
     size = names.count()
     table = vocabulary(c.input, options)
@@ -244,14 +249,26 @@ def export(c: Corpus, s: Spec, options: Options) -> None:
     write_text(c.spark, s.get("path"), header, csv_rows(made, size, options.absent, extra, "sentiment"))
 
 
-def _exporter(name: str, options: Options):
-    @operator(name, ("path",), ("relation", "threshold", "stem", "stopWords"))
+def _exporter(name: str, options: Options, *required: str):
+    @operator(name, ("path", *required), ("relation", "threshold", "stem", "stopWords"))
     def run(c: Corpus, s: Spec) -> Corpus:
-        export(c, s, Options(options.ngram, options.start, s.get("threshold", options.threshold, int), options.absent, s.get("stem", False, bool), s.get("stopWords", False, bool), options.statistics))
+        made = Options(options.ngram, options.start, s.get("threshold", options.threshold, int), options.absent, s.get("stem", False, bool), s.get("stopWords", False, bool), options.statistics)
+        export(c, s, made, s.get("domain") if "domain" in required else None)
         return c
 
     return run
 
 
+def _not_built(name: str):
+    @operator(name, ("path",))
+    def run(c: Corpus, s: Spec) -> Corpus:
+        raise NotImplementedError(f"{name} is not built")
+
+    return run
+
+
 for _n, _o in EXPORTERS.items():
     _exporter(_n, _o)
+_exporter("CrossDomainUnigramDataExporter", Options(1), "domain")
+for _n in NOT_BUILT:
+    _not_built(_n)

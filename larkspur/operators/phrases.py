@@ -286,10 +286,12 @@ TAGGERS["CRFSubjectiveAnnotator"] = TAGGERS["NLTKSubjectivePhraseMarkovAnnotator
 
 @operator("SubjectiveCrossValidationEnvironment", (), ("folds", "seed", "bucket"))
 def _cross(c: Corpus, s: Spec) -> Corpus:
+    unknown = sorted({child.name for child in s.children} - TAGGERS.keys())
+    if unknown:
+        raise ValueError(f"no cross validation of {', '.join(unknown)}; there is one of {', '.join(sorted(TAGGERS))}")
     marks = c.dependent("subphrases").select(F.col("document_identifier").alias("identifier"), "annotation")
     out = None
     for child in s.children:
-        if child.name in TAGGERS:
-            made = cross_validate(c.input, marks, TAGGERS[child.name], s.get("folds", 10, int), s.get("seed", 0, int)).withColumn("prediction", F.lit(child.name))
-            out = made if out is None else out.unionByName(made)
+        made = cross_validate(c.input, marks, TAGGERS[child.name], s.get("folds", 10, int), s.get("seed", 0, int)).withColumn("prediction", F.lit(child.name))
+        out = made if out is None else out.unionByName(made)
     return c if out is None else c.with_table(f"bucket_{s.get('bucket', 'folds')}", out)

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from larkspur.checkpoint import ResultStore
 from larkspur.corpus import Corpus
 from larkspur.plans import workflow
-from larkspur.registry import OPERATORS, as_bool
+from larkspur.registry import OPERATORS, Spec, as_bool
 from larkspur.sources import corpora, sinks
 from larkspur.streaming import ingest
 
@@ -124,6 +124,29 @@ def test_feature_export(spark, tmp_path):
     assert len(lines) == 2 and all(len(x.split(",")) == len(header) - 2 for x in lines)
 
 
+def test_cross_domain_export_has_rows_of_one_domain(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "apple good"), (2, "pear bad"), (3, "apple fine")], "identifier long, document string")
+    sub = spark.createDataFrame([(k, k, "qp", "positive") for k in (1, 2, 3)], "identifier long, document_identifier long, annotation string, sentiment string")
+    c = Corpus(spark, {"input": docs, "subphrases": sub})
+    c = c.with_table("label_domains", spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, 1)], "document_identifier long, label long"))
+    c = c.with_table("label_names_domains", spark.createDataFrame([(0, "fruit"), (1, "tree")], "label_identifier long, label string"))
+    step = ("CrossDomainUnigramDataExporter", {"path": str(tmp_path / "f"), "domain": "fruit", "threshold": 1})
+    workflow.run(spark, workflow.Workflow(tasks=workflow.steps(step)), c)
+    lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "f/rows")).collect())
+    # apple bad fine good pear: the vocabulary is that of all domains
+    assert [x.split(",")[:5] for x in lines] == [["1", "0", "0", "1", "0"], ["1", "0", "1", "0", "0"]]
+
+
+def test_what_is_not_built_is_refused(spark, tmp_path):
+    c = start(spark)
+    for name in ("CrossDomainUnigramPivotDataExporter", "BigramBinaryPresencePercentageSubjectiveGimpelTaggedARFFExporter"):
+        with pytest.raises(NotImplementedError):
+            OPERATORS[name].run(c, Spec(name, {"path": str(tmp_path / name)}))
+    with pytest.raises(ValueError):
+        name = "SubjectiveCrossValidationEnvironment"
+        OPERATORS[name].run(c, Spec(name, {}, [Spec("SubjectiveEvolution")]))
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
