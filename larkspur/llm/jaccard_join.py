@@ -5,9 +5,11 @@ shingles is at least a threshold.  The join never ships the whole incidence
 matrix.  It multiplies only the part that the size-derived bounds leave:
 
 1. *Classes.*  Every text becomes a vertex, the hash of its shingle set; exact
-   copies share one.  The same pass counts shingles in a sketch of fixed size.
-2. *Product over prefixes.*  Columns are ordered from rare to frequent by the
-   sketch (any total order is right).  If x and y link and x is no larger, they
+   copies share one.  The same pass sends every column (shingle) of a task's vertices, as sorted
+   32-bit numbers in slices of the hash range, to be counted exactly.
+2. *Product over prefixes.*  Columns are ordered from rare to frequent: those that
+   ``FREQUENT`` rows have go last, by their count (any total order is right; of too many to
+   broadcast, only the more frequent count as such).  If x and y link and x is no larger, they
    overlap in ceil(t/(1+t)*(nx+ny)) columns at least, so they share a column
    among the first nx-ceil(2t/(1+t)*nx)+1 of x and the first ny-ceil(t*ny)+1 of
    y.  Blocks of columns (hash ranges) go to tasks of a bounded size; each
@@ -15,11 +17,13 @@ matrix.  It multiplies only the part that the size-derived bounds leave:
 3. *Bounds.*  Overlaps are summed over blocks by pair; pairs that can't reach
    the needed overlap with all that is left of them are discarded.
 4. *Clusters.*  What is left falls into candidate clusters (connected
-   components).  A column in the prefixes of over ``HOT`` rows adds a star, not
-   all its pairs.
+   components).  A column in the prefixes of over ``HOT`` rows adds stars, not
+   all its pairs: one for each run of row sizes without a gap of 1/t.  A column of over ``WIDE``
+   rows in all isn't gathered at all: the rows that have it in a prefix are joined to a node that stands for
+   it and their size band.
 5. *Exact product.*  The whole rows of a cluster are multiplied exactly in blocks
-   of about ``ROWS`` by ``ROWS``; a block keeps a spanning forest of its links, never
-   all pairs.
+   of about ``ROWS`` by ``ROWS``; a block keeps a spanning forest of its links and each row's number of
+   links, never all pairs.
 
 A cluster of m rows costs m*m/2 multiplications of rows in numpy blocks spread over
 tasks; rows of no cluster are never multiplied or shipped.
@@ -28,21 +32,25 @@ tasks; rows of no cluster are never multiplied or shipped.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import components, save
+from .common import components, discard, lookup, save
 from .shingles import batches, shingle_sets
 
-SKETCH_BITS = 20  # counters of the sketch: fixed, 1 MB when broadcast
-SLICES = 16
-HOT = 64  # rows of a column from which it adds a star
+SLICE = 16 << 20  # bytes of text to a slice of columns
+HELD = 2_000_000  # columns that a task holds before it hands them on
+FREQUENT = 8  # rows from which a column is known as frequent
+COLUMNS = 1 << 20  # frequent columns that are broadcast at most, 13 MB
+HOT = 64  # rows of a column from which it adds stars
+WIDE = 4096  # rows of a column from which it is a node
 ROWS = 512  # rows of a block of the exact product
+CELLS = 1 << 20  # columns of all rows of a block side, about
 ENTRIES = 500_000  # entries of a block of columns
 FLUSH = 400_000  # entries that a task holds before it hands them on
 
@@ -60,40 +68,83 @@ def _sets(batch: pa.RecordBatch, n: int):
         yield from zip(ids[lo:hi].to_pylist(), shingle_sets(texts[lo:hi], n), strict=True)
 
 
-def _classes(n: int):
+def _code(h: np.ndarray, slices: int) -> np.ndarray:
+    """Slice and 32 further bits of a column, as one number; columns that share it count as one."""
+    return ((h >> np.uint64(32)) * np.uint64(slices)) & np.uint64(0xFFFFFFFF00000000) | h & np.uint64(0xFFFFFFFF)
+
+
+_COUNTED = [("slice", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary())]
+
+
+def _classes(n: int, slices: int):
+    """A row (id, n, v) of each text, and the columns of the task's vertices slice by slice."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), _COUNTED, strict=True)], names=[name for name, _ in _COUNTED])
+
+    def flush(held: list[np.ndarray]):
+        code = np.sort(_code(np.concatenate(held), slices))
+        at = (code >> np.uint64(32)).astype(np.int64)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
+        # differences of neighbours, byte by byte: the high bytes are mostly zeros and compress
+        step = np.diff(code, prepend=np.uint64(0))
+        step[cut[:-1]] = code[cut[:-1]]
+        step = step.astype("<u4")
+        rows = [(int(at[a]), None, None, None, step[a:z].view(np.uint8).reshape(-1, 4).T.tobytes()) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        for lo in range(0, len(rows), 1000):
+            yield batch_of(rows[lo : lo + 1000])
+
     def run(it):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        mask = np.uint64((1 << SKETCH_BITS) - 1)
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
         for batch in it:
             rows = []
             for doc, s in _sets(batch, n):
                 v = _vertex(s) if len(s) else None
-                rows.append((0, doc, len(s), v, None))
+                rows.append((doc % slices, doc, len(s), v, None))
                 if len(s) and v not in seen:
                     seen.add(v)
-                    np.add.at(counts, (s & mask).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "id", "n", "v", "data"]) if rows else _empty_classes()
-        if counts.any():
-            parts = counts.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), pa.array([0] * SLICES, pa.int64()), pa.array([None] * SLICES, pa.int64()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["kind", "id", "n", "v", "data"])
+                    held.append(s)
+                    size += len(s)
+                    if size > HELD:
+                        yield from flush(held)
+                        held, size = [], 0
+            if rows:
+                yield batch_of(rows)
+        if size:
+            yield from flush(held)
 
     return run
 
 
-def _empty_classes():
-    return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())], names=["kind", "id", "n", "v", "data"])
+def _count(least: int):
+    """The rows of texts as they are, and (v: code, n: count) of each column of least rows; rows come sorted by slice."""
 
+    def counted(at: int, parts: list[bytes]):
+        code = np.concatenate([np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint64) for x in parts])
+        code, n = np.unique(code, return_counts=True)
+        often = n >= least
+        code = (code[often] | np.uint64(at << 32)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.int64()), pa.array(n[often].astype(np.int64)), pa.array(code), pa.array(np.ones(len(code), bool))], names=["id", "n", "v", "column"])
 
-def _add_slices(it):
-    """Sum of the sketches of many tasks, slice by slice, one row at a time."""
-    total: dict[int, np.ndarray] = {}
-    for batch in it:
-        for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(zlib.decompress(data.as_py()), np.uint32)
-            total[k] = total[k] + part if k in total else part.astype(np.uint64)
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([np.ceil(4 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], names=["id", "data"])
+    def run(it):
+        at, parts = None, []
+        for batch in it:
+            texts = batch.filter(pa.compute.is_null(batch.column("data")))
+            if texts.num_rows:
+                yield pa.RecordBatch.from_arrays([texts.column("id"), texts.column("n"), texts.column("v"), pa.array(np.zeros(texts.num_rows, bool))], names=["id", "n", "v", "column"])
+            batch = batch.filter(pa.compute.is_valid(batch.column("data")))
+            for k, data in zip(batch.column("slice").to_pylist(), batch.column("data"), strict=True):
+                if k != at and parts:
+                    yield counted(at, parts)
+                    parts = []
+                at = k
+                parts.append(data.as_py())
+        if parts:
+            yield counted(at, parts)
+
+    return run
 
 
 def _bound(num: int, den: int, n: np.ndarray) -> np.ndarray:
@@ -101,14 +152,18 @@ def _bound(num: int, den: int, n: np.ndarray) -> np.ndarray:
     return -(-(n * num) // den)
 
 
-def _prefixes(n: int, t: tuple[int, int], sketch, blocks: int):
-    """Prefix columns of each vertex, as arrays of one block of columns to a row."""
+def _prefixes(n: int, t: tuple[int, int], frequent, slices: int, blocks: int):
+    """Prefix columns of each vertex, as arrays of one block of columns to a row, and the
+    joints (v, node) of vertices to wide columns under block -1."""
 
     def run(it):
-        level = np.frombuffer(sketch.value, np.uint8)
-        mask, (p, q) = np.uint64((1 << SKETCH_BITS) - 1), t
+        codes, counts = frequent.value
+        bits = np.zeros(1 << 24, bool)  # tells most rare columns without a search
+        bits[(codes & np.uint64(0xFFFFFF)).astype(np.int64)] = True
+        p, q = t
         seen: set[int] = set()
         held: list[tuple] = []
+        joints: list[tuple[int, int]] = []
         size = 0
 
         def flush():
@@ -123,7 +178,11 @@ def _prefixes(n: int, t: tuple[int, int], sketch, blocks: int):
             # column by column, so that equal neighbours compress; 32 bits of the hash tell
             # columns of a block apart well enough, as candidates are compared exactly later
             cols = [h[o].astype("<u4"), v[o], m[o], np.minimum(pos[o], 65535).astype("<u2")]
-            return pa.RecordBatch.from_arrays([pa.array(b[o][lo], pa.int32()), pa.array([b"".join(c[a:z].tobytes() for c in cols) for a, z in zip(lo, hi, strict=True)], pa.binary())], names=["block", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(b[o][lo], pa.int32()), pa.array(b[o][lo].astype(np.int64)), pa.array([b"".join(c[a:z].tobytes() for c in cols) for a, z in zip(lo, hi, strict=True)], pa.binary())], names=["block", "spread", "data"])
+
+        def joined():
+            ends = np.array(joints, "<i8")
+            return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([joints[0][0]], pa.int64()), pa.array([ends.tobytes()], pa.binary())], names=["block", "spread", "data"])
 
         for batch in it:
             for _, s in _sets(batch, n):
@@ -131,19 +190,41 @@ def _prefixes(n: int, t: tuple[int, int], sketch, blocks: int):
                     continue
                 seen.add(v)
                 k = len(s) - int(_bound(p, q, np.int64(len(s)))) + 1
-                key = level[(s & mask).astype(np.int64)]
-                order = np.argsort(key, kind="stable")[:k]  # s is sorted: ties go by hash
+                code = _code(s, slices)
+                may = np.flatnonzero(bits[(code & np.uint64(0xFFFFFF)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(codes, code[may]), len(codes) - 1) if len(codes) else may
+                known = codes[at] == code[may] if len(codes) else np.zeros(0, bool)
+                key = np.zeros(len(s), np.uint32)
+                key[may[known]] = counts[at[known]]
+                order = np.argsort(key, kind="stable")[:k] if known.any() else np.arange(k)  # s is sorted: ties go by hash
+                if key[order[-1]] > WIDE:
+                    wide = key[order] > WIDE
+                    band = int(np.log(len(s)) / np.log(q / p) / 1.001)  # sizes of linked rows are in one band or in neighbours
+                    for c in s[order[wide]].tolist():
+                        joints += [(v, _node(c, band)), (v, _node(c, band + 1))]
+                    if len(joints) > 10_000:
+                        yield joined()
+                        joints = []
+                # positions are those among all columns, so bounds stay right without the wide ones, which are last
+                order = order[key[order] <= WIDE]
                 held.append((s[order], v, len(s)))
-                size += k
+                size += len(order)
                 if size > FLUSH:
                     yield flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield flush()
+        if joints:
+            yield joined()
 
     return run
 
 
+def _node(column: int, band: int) -> int:
+    """The node that stands for a wide column and a band of sizes."""
+    return int.from_bytes(hashlib.blake2b(b"%d %d" % (column, band), digest_size=8).digest(), "little", signed=True)
+
+
 _ENTRY = [("h", "<u4"), ("v", "<i8"), ("n", "<i4"), ("p", "<u2")]
 
 
@@ -177,7 +258,13 @@ def _product(t: tuple[int, int]):
         if hot.any():
             w = e[hot]
             r = run[hot]
-            # the hub of a column is the row that most hot columns of this block hold
+            # rows of a column whose sizes have no gap of q/p between them; none beyond it can link
+            o = np.lexsort((w["n"], r))
+            far = q * w["n"][o][:-1].astype(np.int64) < p * w["n"][o][1:]
+            part = np.empty(len(o), np.int64)
+            part[o] = np.concatenate([[0], np.cumsum((np.diff(r[o]) != 0) | far)])
+            r = part
+            # the hub is the row that most hot columns of this block hold
             _, inv, deg = np.unique(w["v"], return_inverse=True, return_counts=True)
             o = np.lexsort((w["v"], -deg[inv], r))
             head = np.flatnonzero(np.concatenate([[True], np.diff(r[o]) != 0]))
@@ -215,7 +302,12 @@ def _product(t: tuple[int, int]):
     def run(it):
         held, at = [], None
         for batch in it:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                if b < 0:
+                    ends = np.frombuffer(data.as_py(), "<i8").reshape(-1, 2)
+                    z = pa.array(np.zeros(len(ends), np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), z, z, z, z, z, pa.array(np.ones(len(ends), bool))], names=PAIRS)
+                    continue
                 if b != at and held:
                     yield from one(held)
                     held = []
@@ -228,30 +320,23 @@ def _product(t: tuple[int, int]):
 
 
 def _rows_of(n: int, bitmap):
-    """(v, data) for the vertices that the bitmap may hold: whole sorted sets."""
+    """(v, data) for the texts whose id the bitmap may hold: whole sorted sets."""
 
     def run(it):
         bits = np.frombuffer(bitmap.value, np.uint8)
         size = np.uint64(len(bits) * 8 - 1)
-        seen: set[int] = set()
         for batch in it:
-            vs, data = [], []
-            for _, s in _sets(batch, n):
-                if not len(s) or (v := _vertex(s)) in seen:
-                    continue
-                at = int(np.uint64(v & (2**64 - 1)) & size)
-                if bits[at >> 3] >> (at & 7) & 1:
-                    seen.add(v)
-                    vs.append(v)
-                    data.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(data, pa.binary())], names=["v", "data"])
+            at = batch.column(0).to_numpy().view(np.uint64) & size
+            batch = batch.filter(pa.array((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+            found = [(_vertex(s), s.tobytes()) for _, s in _sets(batch, n) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["v", "data"])
 
     return run
 
 
 def _bitmap(df: DataFrame, bits: int) -> bytes:
-    """Bit v mod 2**bits is set for each v of df; the words are or-ed by Spark."""
-    at = df.select(F.col("v").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    """Bit id mod 2**bits is set for each id of df; the words are or-ed by Spark."""
+    at = df.select(F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
     words = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(at & 31)))").alias("x"))
     out = np.zeros(1 << (bits - 5), np.uint32)
     got = words.toPandas()
@@ -260,13 +345,14 @@ def _bitmap(df: DataFrame, bits: int) -> bytes:
 
 
 def _exact(t: tuple[int, int]):
-    """Links of one block of rows by another, as a spanning forest (a, b)."""
+    """Links of one block of rows by another: a spanning forest (a, b), and (a, links) of each
+    row, the number of texts that it links to in this block."""
     p, q = t
 
     def run(key, table):
         b1, b2 = key[1].as_py(), key[2].as_py()
-        v = np.array(table.column("v").to_pylist(), np.int64)
-        side = np.array(table.column("b").to_pylist(), np.int64)
+        v = table.column("v").to_numpy()
+        side, copies = table.column("b").to_numpy(), table.column("copies").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("data")]
         n = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
@@ -289,9 +375,11 @@ def _exact(t: tuple[int, int]):
             strip[row[a:z], number[a:z] - lo] = 1
             over += np.rint(strip @ strip.T).astype(np.int32)
         union = n[:, None] + n[None, :] - over
-        link = (q * over.astype(np.int64) >= p * union) & (np.arange(m)[:, None] < np.arange(m)[None, :])
+        link = q * over.astype(np.int64) >= p * union
+        np.fill_diagonal(link, False)
         if b1 != b2:
             link &= side[:, None] != side[None, :]
+        links = link @ copies
         parent = list(range(m))
 
         def find(i):
@@ -301,61 +389,86 @@ def _exact(t: tuple[int, int]):
             return i
 
         out = []
-        for i, j in zip(*np.nonzero(link), strict=True):
-            a, b = find(i), find(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((int(v[i]), int(v[j])))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        for i in range(m):
+            for j in np.flatnonzero(link[i, i + 1 :]).tolist():
+                a, b = find(i), find(i + 1 + j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((i, i + 1 + j))
+        x, y = np.array(out, np.int64).reshape(-1, 2).T
+        some = np.flatnonzero(links)
+        return pa.table({"a": pa.array(np.concatenate([v[x], v[some]])), "b": pa.array(np.concatenate([v[y], v[some]])), "links": pa.array(np.concatenate([np.zeros(len(x), np.int64), links[some]]))})
 
     return run
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
-    """One row per document: its id, n_shingles and component_id.
+    """One row per document: its id, n_shingles, component_id and n_links.
 
     component_id is the smallest id reachable over links of Jaccard similarity
-    >= threshold (a fraction of two integers), the document itself included.
+    >= threshold (a fraction of two integers), the document itself included; n_links counts the
+    other rows that the document links to, copies among them.
     Null and wordless texts have an empty set and link with nothing; repeated
-    texts share a class; rows with a null id are dropped, as nothing can name them;
-    an empty table gives no rows.  Other columns are ignored.
+    texts share a class, also those of one id, whose rows stay rows each; rows with a null id are
+    dropped, as nothing can name them; an empty table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     p, q = threshold
-    both = save(docs.mapInArrow(_classes(n), "kind int, id long, n long, v long, data binary"), "classes")
-    rows = both.where("kind = 0").select("id", "n", "v")
-    # 64 rows of fixed size at most come to the driver
-    level = both.where("kind = 1").select("id", "data").repartition(SLICES, "id").mapInArrow(_add_slices, "id long, data binary").collect()
+    slices = max(16, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE))
+    dealt = docs.mapInArrow(_classes(n, slices), "slice int, id long, n long, v long, data binary").repartition(int(slices), "slice").sortWithinPartitions("slice")
+    both = save(dealt.mapInArrow(_count(FREQUENT), "id long, n long, v long, column boolean"), "classes")
+    rows, columns = both.where("NOT column").select("id", "n", "v"), both.where("column").select("n", "v")
     total = rows.agg(F.sum("n")).first()[0] or 0
+    ids = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
     comp = None
-    if level:
-        sketch = spark.sparkContext.broadcast(b"".join(bytes(r["data"]) for r in sorted(level, key=lambda r: r["id"])))
+    if total:
+        frequent = spark.sparkContext.broadcast(_frequent(columns))
         blocks = max(16, -(-total // (4 * ENTRIES)))
-        parts = docs.mapInArrow(_prefixes(n, threshold, sketch, blocks), "block int, data binary")
-        pairs = parts.repartition(int(blocks), "block").sortWithinPartitions("block").mapInArrow(_product(threshold), "x long, y long, nx int, ny int, c int, px int, py int, star boolean")
+        parts = docs.mapInArrow(_prefixes(n, threshold, frequent, slices, blocks), "block int, spread long, data binary")
+        pairs = parts.repartition(int(blocks), "spread").sortWithinPartitions("block").mapInArrow(_product(threshold), "x long, y long, nx int, ny int, c int, px int, py int, star boolean")
         pairs = pairs.groupBy("x", "y").agg(F.max("nx").cast("long").alias("nx"), F.max("ny").cast("long").alias("ny"), F.sum("c").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), F.max("star").alias("star"))
         may = F.col("c") + F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1)
         edges = pairs.where(F.col("star") | ((p + q) * may >= p * (F.col("nx") + F.col("ny")))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        clusters = save(components(edges, "candidates"), "clusters").select(F.col("node").alias("v"), F.col("root").alias("cluster"))
+        found = components(edges, "candidates")
+        # nodes of wide columns have no row
+        clusters = save(found.select(F.col("node").alias("v"), F.col("root").alias("cluster")).join(ids, "v"), "clusters")
+        discard(found)
         many = clusters.count()
         if many:
             bits = min(27, max(16, int(many * 32).bit_length()))
-            bitmap = spark.sparkContext.broadcast(_bitmap(clusters, bits))
+            bitmap = spark.sparkContext.broadcast(_bitmap(clusters.select(F.col("least").alias("id")), bits))
             sets = docs.mapInArrow(_rows_of(n, bitmap), "v long, data binary").dropDuplicates(["v"])
-            sized = clusters.join(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / ROWS).alias("k")), "cluster")
+            sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / CELLS)).alias("k"), F.count("*").alias("of"))
+            sized = lookup(clusters.select("v", "cluster", "copies"), sizes.where("of > 1"), "cluster", "of").where("k IS NOT NULL")
             sized = sized.withColumn("b", F.pmod(F.xxhash64("v"), F.col("k")))
-            paired = sized.join(sets, "v").select("cluster", "v", "b", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
+            paired = sized.join(sets, "v").select("cluster", "v", "copies", "b", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
             paired = paired.withColumn("b1", F.least("b", "o")).withColumn("b2", F.greatest("b", "o"))
-            links = paired.groupBy("cluster", "b1", "b2").applyInArrow(_exact(threshold), "a long, b long")
-            comp = save(components(links, "links"), "linked")
-    # the smallest id of each vertex, then of each component
-    ids = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    if comp is not None:
-        ids = ids.join(comp, ids["v"] == comp["node"], "left").select("v", "least", "copies", F.coalesce("root", "v").alias("root"), F.col("root").isNotNull().alias("linked"))
-    else:
-        ids = ids.select("v", "least", "copies", F.col("v").alias("root"), F.lit(False).alias("linked"))
-    ids = save(ids.where("copies > 1 OR linked"), "members")  # others are their own component
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    to = ids.join(least, "root").select("v", "component_id")
-    return rows.join(to, "v", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+            links = save(paired.groupBy("cluster", "b1", "b2").applyInArrow(_exact(threshold), "a long, b long, links long"), "links")
+            linked = components(links.where("a <> b"), "linked")
+            degree = links.where("a = b").groupBy(F.col("a").alias("v")).agg(F.sum("links").alias("links"))
+            comp = save(degree.join(linked, F.col("v") == F.col("node"), "left").select("v", "links", "root"), "members")
+            discard(linked, links)
+        discard(clusters)
+    # the smallest id of each vertex, then of each component; others are their own component
+    ids = ids.join(comp, "v", "left") if comp is not None else ids.withColumns({"links": F.lit(0).cast("long"), "root": F.lit(None).cast("long")})
+    ids = save(ids.where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "v")), "members")
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
+    to = save(lookup(ids, least, "root", "of").select("v", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "components")
+    found = lookup(rows, to, "v", "copies")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _frequent(columns: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, sorted, and counts of the frequent columns: of all, or of those from the least power of two that leaves ``COLUMNS``."""
+    steps = columns.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().orderBy(F.desc("e")).collect()
+    least, held = 0, 0
+    for r in steps:
+        held += r["count"]
+        if held > COLUMNS:
+            least = 2 ** (r["e"] + 1)
+            break
+    got = columns.where(F.col("n") >= least).toPandas().sort_values("v")
+    codes = got["v"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(codes, kind="stable")
+    return codes[order], np.minimum(got["n"].to_numpy()[order], 2**32 - 1).astype(np.uint32)

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import jaccard_join
+from larkspur.llm import common, jaccard_join
 from larkspur.llm.jaccard_join import jaccard_classes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -30,7 +30,13 @@ def brute(rows):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    return {i: (len(s), find(i)) for i, s in sets}
+    links = dict.fromkeys(parent, 0)
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                links[i] += 1
+                links[j] += 1
+    return {i: (len(s), find(i), links[i]) for i, s in sets}
 
 
 def near_copies(rng, n, size, change):
@@ -46,7 +52,7 @@ def near_copies(rng, n, size, change):
 
 def check(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_classes(docs).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_classes(docs).collect()}
     assert got == brute(rows)
 
 
@@ -70,6 +76,55 @@ def test_hot_columns_and_several_blocks(spark, monkeypatch):
     check(spark, list(enumerate(texts)))
 
 
+def test_wide_columns_and_large_tables(spark, monkeypatch):
+    """Few rows make a column frequent, hot or wide, few columns are known, and no table is small."""
+    rng = random.Random(11)
+    texts = near_copies(rng, 40, 60, 2) + near_copies(rng, 30, 9, 1) + near_copies(rng, 30, 45, 1) + ["same text for all of these rows here"] * 50
+    texts += [t + " and some more words at the end" for t in texts[:60]]
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 3)
+    monkeypatch.setattr(jaccard_join, "WIDE", 8)
+    monkeypatch.setattr(jaccard_join, "HOT", 5)
+    monkeypatch.setattr(jaccard_join, "CELLS", 600)
+    monkeypatch.setattr(common, "SMALL", 0)
+    monkeypatch.setattr(common, "HEAVY", 10)
+    check(spark, list(enumerate(texts)))
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 40)
+    monkeypatch.setattr(jaccard_join, "SLICE", 500)
+    monkeypatch.setattr(jaccard_join, "HELD", 900)
+    check(spark, list(enumerate(texts)))
+
+
+def test_repeated_ids(spark):
+    """Rows of one id are rows each; copies of a text link whatever their ids are."""
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (7, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_classes(docs).collect())
+    assert got == [(3, 3, 1), (5, 3, 1), (5, 5, 1), (5, 5, 1), (7, 7, 0)]
+
+
+def test_components(spark, monkeypatch):
+    """Paths, hubs and cycles, whole and cut into chunks of few edges."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(80)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)]
+    edges += [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        parent[find(x)] = find(y)
+    alone = {x for x in parent if all(a == b for a, b in edges if x in (a, b))}
+    for chunk, small in ((1_000_000, 1000), (5, 0)):
+        monkeypatch.setattr(common, "CHUNK", chunk)
+        monkeypatch.setattr(common, "SMALL", small)
+        got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+        assert set(got) == set(parent) - alone
+        assert len({(find(x), got[x]) for x in got}) == len({find(x) for x in got}) == len(set(got.values()))
+
+
 def test_threshold_is_met_exactly(spark):
     # 6 of 8 shingles in common is 0.75; 5 of 7 is less
     a = [f"w{i}" for i in range(11)]
