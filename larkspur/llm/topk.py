@@ -1,14 +1,17 @@
 """Exact top-k search over an impact-ordered, score-at-a-time index.
 
 Components are integers.  A block of vectors is indexed by dimension: postings are
-sorted by component and cut into segments of one quantised impact.  For a query,
-a segment's impact is the most it can add to a score over what every vector has in
-that dimension anyway; segments are taken by falling impact, and each adds its impact
-to the accumulators of its postings.  After a round at impact level T, a vector
-that was met in c of d dimensions scores at most accumulator + (d - c) * T.
-The best so far are scored exactly; once the vectors whose bound reaches the k-th
-exact score are few, they alone can be members: they are scored exactly, and
-the search stops.  It never stops on anything less.
+sorted by component and cut into segments, each quantised to its least and greatest
+component.  For a query, a segment's impact is the most that it can add to a score over what
+every vector has in that dimension anyway.  All segments of all dimensions are taken by
+falling impact, and each adds its impact to the accumulators of its postings.  When the next
+segment's impact is T, a vector that was met in c of d dimensions scores at most
+accumulator + (d - c) * T.  The best so far are scored exactly; once the vectors whose bound
+reaches the k-th exact score are few, they alone can be members: they are scored
+exactly, and the search stops.  It never stops on anything less.
+
+Sums are exact: in 64-bit integers while no sum of products can leave them, else in
+Python's integers, with bounds widened by what doubles can lose.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 8192  # vectors of an index block
+ASKED = 4096  # queries that a task gets for a block
 SEGMENTS = 24  # of a dimension, at most
-LEVELS = (0.3, 0.12, 0.05, 0.0)
+ROUNDS = (0.06, 0.15, 0.35, 1.0)  # shares of all postings after which the bound is tried
+LARGEST = 2.0**53  # integers up to it are exact as doubles
 
 
 class ImpactIndex:
@@ -30,14 +35,27 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids.astype(np.int64), rows.astype(np.int64)
         n, d = rows.shape
-        self.bits = int(d).bit_length()
-        self.order = np.argsort(rows, axis=0, kind="stable").T.copy() if n else np.zeros((d, 0), np.int64)
-        self.value = np.take_along_axis(self.rows.T, self.order, 1)
-        # what a posting's segment is worth at most, and at least, in component units
-        first = self.value[:, :1]
-        width = np.maximum(1, -(-(self.value[:, -1:] - first + 1) // SEGMENTS)) if n else first
-        self.low = first + (self.value - first) // np.maximum(width, 1) * width
-        self.high = np.minimum(self.low + width - 1, self.value[:, -1:])
+        self.order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32) if n else np.zeros((d, 0), np.int32)
+        dims, begins, ends, lows, highs = [], [], [], [], []
+        for j in range(d if n else 0):
+            value = self.rows[self.order[j], j]
+            width = max(1, (int(value[-1]) - int(value[0])) // SEGMENTS + 1)
+            cut = np.unique(np.searchsorted(value, np.minimum(int(value[0]) + width * np.arange(SEGMENTS + 1, dtype=object), 2**62).astype(np.int64)))
+            cut = np.unique(np.concatenate([[0], cut, [n]]))
+            dims += [j] * (len(cut) - 1)
+            begins += cut[:-1].tolist()
+            ends += cut[1:].tolist()
+            lows += value[cut[:-1]].tolist()
+            highs += value[cut[1:] - 1].tolist()
+        self.dim, self.begin, self.end = np.array(dims, np.int64), np.array(begins, np.int64), np.array(ends, np.int64)
+        self.low, self.high = np.array(lows, np.int64), np.array(highs, np.int64)
+        self.most = np.abs(self.rows.astype(float)).max(initial=0)
+
+    def exact(self, some: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Scores of some rows."""
+        if float(np.abs(q.astype(float)).max(initial=0)) * self.most * max(1, len(q)) < 2.0**62:
+            return self.rows[some] @ q
+        return self.rows[some].astype(object) @ q.astype(object)
 
     def search(self, q: np.ndarray, k: int, skip: int | None = None) -> list[tuple[int, int]]:
         """The k best (id, score), ties to the smaller id; rows with the id skip take no part."""
@@ -47,41 +65,41 @@ class ImpactIndex:
         k = min(k, n - len(out))
         if k <= 0:
             return []
-        least_bound = np.iinfo(np.int64).min
-        used = np.flatnonzero(q)
-        worst = np.where(q[used] > 0, q[used] * self.high[used, 0], q[used] * self.low[used, -1])
-        best = np.where(q[used] > 0, q[used] * self.high[used, -1], q[used] * self.low[used, 0])
-        base, top = int(worst.sum()), int((best - worst).max(initial=0))
-        acc = np.zeros(n, np.int64)  # sum of impacts, and in the low bits in how many dimensions
-        done = [0] * len(used)
-        mask = (1 << self.bits) - 1
-        for level in LEVELS:
-            least = int(top * level)
-            for m, j in enumerate(used.tolist()):
-                x, w, at = int(q[j]), int(worst[m]), done[m]
-                # the postings whose impact x * bound - w is at least least stand at one end
-                if x > 0:
-                    a, z = (int(np.searchsorted(self.high[j], -(-(least + w) // x))), n - at) if least else (0, n - at)
-                    level_of = self.high[j]
-                    done[m] = n - a
-                else:
-                    a, z = (at, int(np.searchsorted(self.low[j], (least + w) // x, side="right"))) if least else (at, n)
-                    level_of = self.low[j]
-                    done[m] = max(z, at)
-                if a < z:
-                    acc[self.order[j, a:z]] += (level_of[a:z] * (x << self.bits)) + ((-w << self.bits) + 1)
-            bound = (acc >> self.bits) + (len(used) - (acc & mask)) * least + base
-            bound[out] = least_bound
-            some = np.argpartition(bound, n - min(n, 4 * k))[-min(n, 4 * k) :]
-            some = some[bound[some] > least_bound]
-            exact = np.sort(self.rows[some] @ q)[::-1]
-            floor = exact[k - 1] if len(exact) >= k else least_bound + 1
-            may = np.flatnonzero(bound >= floor)
-            if not least or len(may) <= max(8 * k, n // 16):
-                score = self.rows[may] @ q
-                best = np.lexsort((self.ids[may], -score))[:k]
+        x = q[self.dim].astype(float)
+        worth = np.where(x > 0, x * self.high, x * self.low)  # of a posting, at most
+        least = np.full(d, np.inf)
+        np.minimum.at(least, self.dim, worth)
+        impact = worth - least[self.dim]
+        segments = np.flatnonzero(x != 0)
+        segments = segments[np.argsort(-impact[segments], kind="stable")]
+        used = len(np.unique(self.dim[segments]))
+        base = float(least[q != 0].sum())
+        lost = 0.0 if np.abs(worth).max(initial=0) * (d + 1) < LARGEST else 1e-12 * (d + 2) * float(np.abs(worth).max()) * (d + 1)
+        size = self.end[segments] - self.begin[segments]
+        after = np.cumsum(size)
+        acc, met = np.zeros(n), np.zeros(n)
+        done = 0
+        for share in ROUNDS:
+            upto = len(segments) if share == ROUNDS[-1] else int(np.searchsorted(after, share * n * used))
+            now = segments[done:upto]
+            if len(now):
+                at = np.concatenate([self.order[j, a:z] for j, a, z in zip(self.dim[now].tolist(), self.begin[now].tolist(), self.end[now].tolist(), strict=True)])
+                acc += np.bincount(at, np.repeat(impact[now], size[done:upto]), n)
+                met += np.bincount(at, minlength=n)
+            done = upto
+            rest = impact[segments[done]] if done < len(segments) else 0.0
+            bound = acc + (used - met) * rest + (base + lost)
+            bound[out] = -np.inf
+            few = min(n, 4 * k + len(out))
+            some = np.argpartition(bound, n - few)[n - few :]
+            some = some[bound[some] > -np.inf]
+            floor = np.sort(self.exact(some, q))[::-1][k - 1] if len(some) >= k else None
+            may = np.flatnonzero(bound >= float(floor) - lost) if floor is not None else np.flatnonzero(bound > -np.inf)
+            if done == len(segments) or len(may) <= max(8 * k, n // 16):
+                score = self.exact(may, q)
+                best = np.lexsort((self.ids[may], -score))[:k] if score.dtype != object else sorted(range(len(may)), key=lambda i: (-score[i], self.ids[may[i]]))[:k]
                 return [(int(self.ids[may[b]]), int(score[b])) for b in best]
-        raise AssertionError("the last level ends the search")
+        raise AssertionError("the last round ends the search")
 
 
 def _matrix(col, width: int) -> np.ndarray:
@@ -95,15 +113,22 @@ def _matrix(col, width: int) -> np.ndarray:
 
 def _search(k: int):
     def run(data, asked):
-        rows = []
+        found = []
         if data.num_rows and asked.num_rows:
             v, q = data.column("v").combine_chunks(), asked.column("v").combine_chunks()
             width = max(1, *(int(np.diff(c.offsets.to_numpy()).max()) for c in (v, q)))
-            order = np.argsort(data.column("vec_id").to_numpy())
-            index = ImpactIndex(data.column("vec_id").to_numpy()[order], _matrix(v, width)[order])
-            for i, x in zip(asked.column("vec_id").to_pylist(), _matrix(q, width), strict=True):
-                rows += [(i, v, s) for v, s in index.search(x, k, i)]
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            ids, copies = data.column("vec_id").to_numpy(), data.column("copies").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            index = ImpactIndex(ids[order], _matrix(v, width)[order])
+            of = dict(zip(ids[order].tolist(), copies[order].tolist(), strict=True)) if copies.max() > 1 else {}
+            for i, c, x in zip(asked.column("vec_id").to_pylist(), asked.column("copies").to_pylist(), _matrix(q, width), strict=True):
+                rows: list[tuple] = []
+                for got, score in index.search(x, k, i):
+                    if not -(2**63) <= score < 2**63:
+                        raise OverflowError(f"the score of {i} and {got} is beyond 64 bits")
+                    rows += [(i, got, score)] * min(k, c * of.get(got, 1))
+                found += rows[: k * c]
+        cols = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table([pa.array(list(c), pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     return run
@@ -112,13 +137,15 @@ def _search(k: int):
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component x, as double.
 
-    Rows with a null id, and vectors that are null, empty or hold a null or non-finite
-    component, are left out.
+    Rows with a null id, and vectors that are null or hold a null or non-finite component, are
+    left out; an empty vector stays, with a score of 0.  A finite component whose floor is beyond
+    2**53, from where doubles are no longer whole numbers apart, is an error, not left out.
     """
     v = F.col(vector_col).cast(T.ArrayType(T.DoubleType()))
-    fine = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float(2**40))), F.lit(False)))
-    rows = vectors.where(F.col(id_col).isNotNull() & (F.size(v) > 0) & fine)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    fine = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine)
+    whole = lambda x: F.when(F.abs(x * scale) <= F.lit(LARGEST), F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is beyond 2**53 when scaled")).cast("long"))
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: whole(x).cast("long")).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -126,12 +153,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both inputs have (vec_id, v: array of long).  Candidates are all vectors but the
     rows with the query's own id; ties go to the smaller id; fewer than k candidates
-    give fewer rows; vectors of other lengths are taken as followed by zeros.
-    Vectors are dealt to index blocks of about ``BLOCK``; a query visits every
-    block, and its best of each block are merged.  Repeated ids count as rows each.
+    give fewer rows; vectors of other lengths are taken as followed by zeros; empty tables give no rows.
+    Repeated rows count as rows each, on both sides; equal ones are counted before they are dealt, so
+    that they are no hot group.  A score beyond 64 bits is an error.
+    Vectors are dealt to index blocks of about ``BLOCK``, queries to groups of about ``ASKED``; each pair of a
+    block and a group is one task's work, and a query's best of each block are merged.
     """
-    blocks = max(1, -(-vectors.count() // BLOCK))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    known = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+    asked = queries.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+    blocks, groups = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // ASKED))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    at = F.xxhash64("vec_id", "v")
+    dealt = known.withColumn("block", F.pmod(at, F.lit(blocks))).withColumn("group", each(groups))
+    given = asked.withColumn("group", F.pmod(at, F.lit(groups))).withColumn("block", each(blocks))
+    found = dealt.groupBy("block", "group").cogroup(given.groupBy("block", "group")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     return found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
