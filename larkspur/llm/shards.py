@@ -1,26 +1,32 @@
 """Sharding by size-tiered compaction.
 
 A store holds immutable shards, each a folder of Parquet files, and one manifest
-for each version: the list of its shards with their rows and bytes.  Arrivals are
-appended as small shards.  Compaction looks at tiers: shards whose sizes are
+for each version: the list of its shards with their rows and bytes.  Every arrival is
+appended as a small shard, by a version of its own.  Compaction looks at tiers: shards whose sizes are
 within a factor of ``FAN_IN``.  ``FAN_IN`` shards of a tier are merged into one, of files
 of about the target size; shards of target size are left alone, so a row is
 rewritten about log(target / arrival) times at most.
 
 A version comes into being by renaming its manifest to a name that must not exist yet, which
-the file system does whole or not at all; a reader sees either version, a second
-writer of the same version fails.  Files of a lost or failed write belong to no
-manifest; ``vacuum`` deletes them with superseded shards.
-
-Rows are written and merged by Spark's own readers and writers.
+HDFS and local file systems do whole or not at all; a reader sees either version.  A
+writer that finds its version made by another one takes up that version and tries again; merges
+whose shards another writer has replaced meanwhile are given up.  Nothing is deleted by appends
+or merges: readers of older versions keep their files, and so do writers between their write
+and their commit.  ``vacuum`` deletes what no recent manifest names once it has a given age.
+
+Rows are written and merged by Spark's own readers and writers.  Nulls, empty and very long
+texts, ties and repeated rows are kept as they are; no rows make no shard, but a version that
+knows the schema; columns may have any names, as the store's own avoid them.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +34,11 @@ from pyspark.sql import types as T
 FAN_IN = 4
 TARGET = 128 << 20
 LEAST_TIER = 1 << 20  # smaller shards share the lowest tier
+AGE = 24 * 3600  # seconds for which readers and writers may use files that no recent version names
+
+
+class LostRace(Exception):
+    """Another writer made the version."""
 
 
 class ShardStore:
@@ -63,7 +74,7 @@ class ShardStore:
             stream.close()
 
     def commit(self, base: dict, shards: list[dict], schema: str) -> dict:
-        """Make the version after base; fails if another writer made it first."""
+        """Make the version after base; ``LostRace`` if another writer made it first."""
         made = {"version": base["version"] + 1, "schema": schema, "shards": shards}
         temporary = self._path(f"{self.root}/temporary/{uuid.uuid4().hex}")
         stream = self.fs.create(temporary, True)
@@ -74,28 +85,57 @@ class ShardStore:
         self.fs.mkdirs(self._path(f"{self.root}/manifests"))
         files = self.jvm.org.apache.hadoop.fs
         options = self.spark.sparkContext._gateway.new_array(getattr(files, "Options$Rename"), 0)
-        files.FileContext.getFileContext(temporary.toUri(), self.conf).rename(temporary, self._path(f"{self.root}/manifests/v{made['version']:09d}.json"), options)
+        try:
+            files.FileContext.getFileContext(temporary.toUri(), self.conf).rename(temporary, self._path(f"{self.root}/manifests/v{made['version']:09d}.json"), options)
+        except Py4JJavaError as e:
+            self.fs.delete(temporary, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise LostRace(f"version {made['version']} exists") from e
+            raise
         return made
 
+    def _add(self, shards: list[dict], schema: str) -> dict:
+        """A version with further shards, after whatever version is the newest."""
+        while True:
+            base = self.manifest()
+            if base["schema"] is not None and base["schema"] != schema:
+                raise ValueError("arrivals have another schema than the store")
+            try:
+                return self.commit(base, [*base["shards"], *shards], schema)
+            except LostRace:
+                continue
+
     def append(self, arrivals: DataFrame, batch: str | None = None) -> dict:
-        """Add one shard, or one for each value of the column batch, which isn't kept itself.
+        """Append arrivals as a shard; with the column batch, which isn't kept itself, each of its values is an arrival.
 
-        All arrivals are written in one job, files of a batch split where they are large;
-        no rows make no shard.
+        Arrivals that are at hand together are written by one job, files of a batch split where they are
+        large; each is then committed as a version of its own.  The newest manifest is returned.
         """
-        base = self.manifest()
         key = "_batch"
         while key in arrivals.columns:
             key += "_"
         rows = arrivals.withColumn(key, F.col(batch).cast("string") if batch else F.lit("0"))
         if batch:
             rows = rows.drop(batch)
-        schema = T.StructType([f for f in rows.schema.fields if f.name != key])
+        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields if f.name != key])
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.hint("rebalance", key).write.partitionBy(key).parquet(path)
-        found = [s.getPath() for s in self.fs.listStatus(self._path(path)) if s.isDirectory()]
-        shards = [{"path": p.toString(), "bytes": self._bytes(p.toString())} for p in sorted(found, key=lambda p: p.getName())]
-        return self.commit(base, [*base["shards"], *shards], schema.json())
+        shards = self._written(path, key)
+        for shard in shards:
+            last = self._add([shard], schema.json())
+        return last if shards else self._add([], schema.json())
+
+    def _written(self, path: str, key: str) -> list[dict]:
+        """The shards below a folder, one for each value of the column key: path, rows (from the files' footers) and bytes."""
+        found = sorted(str(s.getPath().toString()) for s in self.fs.listStatus(self._path(path)) if s.isDirectory())
+        if not found:
+            return []
+        counts = self.spark.read.schema(T.StructType([])).option("basePath", path).parquet(*found).groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("at")).count()
+        rows = {r["at"]: r["count"] for r in counts.collect()}
+        name = lambda p: p.rpartition("/")[2]
+        quoted = {name(self.jvm.org.apache.hadoop.fs.Path(p).toUri().getRawPath()): name(p) for p in found}
+        rows = {quoted.get(k, k): n for k, n in rows.items()}
+        return [{"path": p, "rows": rows.get(name(p), 0), "bytes": self._bytes(p)} for p in found]
 
     def tier(self, size: int) -> int:
         return int(math.log(max(size, LEAST_TIER) / LEAST_TIER, self.fan_in))
@@ -109,32 +149,51 @@ class ShardStore:
         return [group[i : i + self.fan_in] for _, group in sorted(tiers.items()) for i in range(0, len(group) - self.fan_in + 1, self.fan_in)]
 
     def compact(self) -> dict:
-        """Merge until no tier has ``fan_in`` shards; each round of merges is one version."""
+        """Merge until no tier has ``fan_in`` shards; each round of merges is one job and one version."""
         while True:
             base = self.manifest()
             groups = self.plan(base["shards"])
             if not groups:
                 return base
             schema = T.StructType.fromJson(json.loads(base["schema"]))
-            made = []
-            for group in groups:
-                path = f"{self.root}/data/{uuid.uuid4().hex}"
+            key = "_merge"
+            while key in schema.names:
+                key += "_"
+            path = f"{self.root}/data/{uuid.uuid4().hex}"
+            merged = None
+            for k, group in enumerate(groups):
                 files = max(1, -(-sum(s["bytes"] for s in group) // self.target))
-                self.spark.read.schema(schema).parquet(*(s["path"] for s in group)).coalesce(int(files)).write.parquet(path)
-                made.append({"path": path, "bytes": self._bytes(path)})
-            gone = {s["path"] for g in groups for s in g}
-            self.commit(base, [s for s in base["shards"] if s["path"] not in gone] + made, base["schema"])
-            self.vacuum()
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete data of no manifest among the newest keep; readers of older versions must have ended."""
+                one = self.spark.read.schema(schema).parquet(*(s["path"] for s in group)).coalesce(int(files)).withColumn(key, F.lit(k))
+                merged = one if merged is None else merged.unionByName(one)
+            merged.write.partitionBy(key).parquet(path)
+            self._replace(groups, self._written(path, key))
+
+    def _replace(self, groups: list[list[dict]], made: list[dict]) -> None:
+        """A version with merged shards in place of theirs, unless another writer has replaced one of those."""
+        gone = {s["path"] for g in groups for s in g}
+        while True:
+            base = self.manifest()
+            if not gone <= {s["path"] for s in base["shards"]}:
+                return
+            try:
+                self.commit(base, [s for s in base["shards"] if s["path"] not in gone] + made, base["schema"])
+                return
+            except LostRace:
+                continue
+
+    def vacuum(self, keep: int = 1, age: float = AGE) -> None:
+        """Delete data that no manifest of the newest keep names and that was written over age seconds ago.
+
+        Readers of older versions, and writers between write and commit, must not take longer than that.
+        """
         last = self.version()
         used = {s["path"] for v in range(max(1, last - keep + 1), last + 1) for s in self.manifest(v)["shards"]}
         names = {self.fs.makeQualified(self._path(u)).toString() for u in used}
+        before = (time.time() - age) * 1000
         folder = self._path(f"{self.root}/data")
         for run in self.fs.listStatus(folder) if self.fs.exists(folder) else []:
             at = run.getPath()
-            if at.toString() in names:
+            if run.getModificationTime() > before:
                 continue
             inner = [s.getPath() for s in self.fs.listStatus(at) if s.isDirectory()]
             if not any(p.toString() in names for p in inner):
