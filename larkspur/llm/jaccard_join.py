@@ -9,13 +9,14 @@ matrix.  It multiplies only the part that the size-derived bounds leave:
    32-bit numbers in slices of the hash range, to be counted exactly.
 2. *Product over prefixes.*  Columns are ordered from rare to frequent: those that
    ``FREQUENT`` rows have go last, by their count (any total order is right; of too many to
-   broadcast, only the more frequent count as such).  If x and y link and x is no larger, they
-   overlap in ceil(t/(1+t)*(nx+ny)) columns at least, so they share a column
-   among the first nx-ceil(2t/(1+t)*nx)+1 of x and the first ny-ceil(t*ny)+1 of
-   y.  Blocks of columns (hash ranges) go to tasks of a bounded size; each
+   broadcast, only the more frequent count as such).  If x and y link, no size is less than t times
+   the other, and they share a column among the first k(n) = n-ceil(t*n)+1 of each.
+   Blocks of columns (hash ranges) go to tasks of a bounded size; each
    sorts its entries and adds up overlaps of pairs of rows.
-3. *Bounds.*  Overlaps are summed over blocks by pair; pairs that can't reach
-   the needed overlap with all that is left of them are discarded.
+3. *Bounds.*  Overlaps are summed over blocks by pair.  Linked rows overlap in
+   ceil(t/(1+t)*(nx+ny)) columns at least.  Of the two prefixes one ends first; what is common up to
+   its end has been counted, and beyond it that row has n-k(n) columns left.  So pairs are discarded whose
+   count and the larger n-k(n) together don't reach the needed overlap.
 4. *Clusters.*  What is left falls into candidate clusters (connected
    components).  A column in the prefixes of over ``HOT`` rows adds stars, not
    all its pairs: one for each run of row sizes without a gap of 1/t.  A column of over ``WIDE``
@@ -39,12 +40,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, common
 from .common import components, discard, lookup, save
 from .shingles import batches, shingle_sets
 
-SLICE = 16 << 20  # bytes of text to a slice of columns
-HELD = 2_000_000  # columns that a task holds before it hands them on
+SLICE = 4 << 20  # bytes of text to a slice of columns
+SLICES = 4  # slices to a task
+HELD = 1_000_000  # columns that a task holds before it hands them on
 FREQUENT = 8  # rows from which a column is known as frequent
 COLUMNS = 1 << 20  # frequent columns that are broadcast at most, 13 MB
 HOT = 64  # rows of a column from which it adds stars
@@ -73,6 +75,19 @@ def _code(h: np.ndarray, slices: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(slices)) & np.uint64(0xFFFFFFFF00000000) | h & np.uint64(0xFFFFFFFF)
 
 
+def _packed(step: np.ndarray) -> bytes:
+    """Numbers byte by byte, low bytes first, so that high ones compress; bytes that all lack are left out."""
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return bytes([width]) + step.view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u4").ravel()
+
+
 _COUNTED = [("slice", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary())]
 
 
@@ -86,13 +101,11 @@ def _classes(n: int, slices: int):
         code = np.sort(_code(np.concatenate(held), slices))
         at = (code >> np.uint64(32)).astype(np.int64)
         cut = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
-        # differences of neighbours, byte by byte: the high bytes are mostly zeros and compress
         step = np.diff(code, prepend=np.uint64(0))
         step[cut[:-1]] = code[cut[:-1]]
         step = step.astype("<u4")
-        rows = [(int(at[a]), None, None, None, step[a:z].view(np.uint8).reshape(-1, 4).T.tobytes()) for a, z in zip(cut[:-1], cut[1:], strict=True)]
-        for lo in range(0, len(rows), 1000):
-            yield batch_of(rows[lo : lo + 1000])
+        for lo in range(0, len(cut) - 1, 100):
+            yield batch_of([(int(at[a]), None, None, None, _packed(step[a:z])) for a, z in zip(cut[lo : lo + 100], cut[lo + 1 : lo + 101], strict=False)])
 
     def run(it):
         seen: set[int] = set()
@@ -122,7 +135,7 @@ def _count(least: int):
     """The rows of texts as they are, and (v: code, n: count) of each column of least rows; rows come sorted by slice."""
 
     def counted(at: int, parts: list[bytes]):
-        code = np.concatenate([np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint64) for x in parts])
+        code = np.concatenate([np.cumsum(_unpacked(x), dtype=np.uint64) for x in parts])
         code, n = np.unique(code, return_counts=True)
         often = n >= least
         code = (code[often] | np.uint64(at << 32)).view(np.int64)
@@ -170,14 +183,13 @@ def _prefixes(n: int, t: tuple[int, int], frequent, slices: int, blocks: int):
             h = np.concatenate([x[0] for x in held])
             v = np.repeat(np.array([x[1] for x in held], np.int64), [len(x[0]) for x in held])
             m = np.repeat(np.array([x[2] for x in held], np.int32), [len(x[0]) for x in held])
-            pos = np.concatenate([np.arange(len(x[0]), dtype=np.int32) for x in held])
             b = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
             o = np.argsort(b, kind="stable")
             cut = np.flatnonzero(np.diff(b[o])) + 1
             lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(o)]])
             # column by column, so that equal neighbours compress; 32 bits of the hash tell
             # columns of a block apart well enough, as candidates are compared exactly later
-            cols = [h[o].astype("<u4"), v[o], m[o], np.minimum(pos[o], 65535).astype("<u2")]
+            cols = [h[o].astype("<u4"), v[o], m[o]]
             return pa.RecordBatch.from_arrays([pa.array(b[o][lo], pa.int32()), pa.array(b[o][lo].astype(np.int64)), pa.array([b"".join(c[a:z].tobytes() for c in cols) for a, z in zip(lo, hi, strict=True)], pa.binary())], names=["block", "spread", "data"])
 
         def joined():
@@ -205,10 +217,13 @@ def _prefixes(n: int, t: tuple[int, int], frequent, slices: int, blocks: int):
                     if len(joints) > 10_000:
                         yield joined()
                         joints = []
-                # positions are those among all columns, so bounds stay right without the wide ones, which are last
-                order = order[key[order] <= WIDE]
-                held.append((s[order], v, len(s)))
-                size += len(order)
+                mine = s[order[key[order] <= WIDE]]
+                # two columns of one row that 32 bits don't tell apart would count once: rows that share both are joined
+                same = np.sort(_code(mine, blocks))
+                for c in same[1:][same[1:] == same[:-1]].tolist():
+                    joints.append((v, _node(c, -1)))
+                held.append((mine, v, len(s)))
+                size += len(mine)
                 if size > FLUSH:
                     yield flush()
                     held, size = [], 0
@@ -225,20 +240,20 @@ def _node(column: int, band: int) -> int:
     return int.from_bytes(hashlib.blake2b(b"%d %d" % (column, band), digest_size=8).digest(), "little", signed=True)
 
 
-_ENTRY = [("h", "<u4"), ("v", "<i8"), ("n", "<i4"), ("p", "<u2")]
+_ENTRY = [("h", "<u4"), ("v", "<i8"), ("n", "<i4")]
 
 
 def _entries(data: bytes) -> np.ndarray:
     n = len(data) // sum(np.dtype(k).itemsize for _, k in _ENTRY)
-    out, at = np.empty(n, np.dtype([(name, "<i4" if name == "p" else kind) for name, kind in _ENTRY])), 0
+    out, at = np.empty(n, np.dtype(_ENTRY)), 0
     for name, kind in _ENTRY:
         out[name] = np.frombuffer(data, kind, n, at)
         at += n * np.dtype(kind).itemsize
     return out
 
 
-PAIRS = ["x", "y", "nx", "ny", "c", "px", "py", "star"]
-_PAIR_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+PAIRS = ["x", "y", "nx", "ny", "c"]  # c is 0 in a star
+_PAIR_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
 
 def _product(t: tuple[int, int]):
@@ -247,9 +262,9 @@ def _product(t: tuple[int, int]):
 
     def one(parts: list[bytes]):
         e = np.concatenate([_entries(x) for x in parts])
-        e = e[np.lexsort((e["p"], e["v"], e["h"]))]
+        e = e[np.lexsort((e["v"], e["h"]))]
         if len(e) > 1:  # the same entry of a vertex from several tasks
-            e = e[np.concatenate([[True], (e["h"][1:] != e["h"][:-1]) | (e["v"][1:] != e["v"][:-1]) | (e["p"][1:] != e["p"][:-1])])]
+            e = e[np.concatenate([[True], (e["h"][1:] != e["h"][:-1]) | (e["v"][1:] != e["v"][:-1])])]
         first = np.concatenate([[True], e["h"][1:] != e["h"][:-1]])
         run = np.cumsum(first) - 1
         m = np.bincount(run)
@@ -271,7 +286,7 @@ def _product(t: tuple[int, int]):
             hub = np.repeat(w["v"][o][head], np.diff(np.concatenate([head, [len(o)]])))
             star = np.unique(np.stack([w["v"][o], hub], 1)[w["v"][o] != hub], axis=0)
             z = np.zeros(len(star), np.int32)
-            found.append((star[:, 0], star[:, 1], z, z, z, z, z, np.ones(len(star), bool)))
+            found.append((star[:, 0], star[:, 1], z, z, z))
         cold = e[(m[run] > 1) & ~hot]
         out = []
         for lag in range(1, HOT):
@@ -285,7 +300,7 @@ def _product(t: tuple[int, int]):
             swap = (a["n"] > b["n"]) | ((a["n"] == b["n"]) & (a["v"] > b["v"]))
             x, y = np.where(swap, b, a), np.where(swap, a, b)
             nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
-            keep = (x["v"] != y["v"]) & (q * nx >= p * ny) & (x["p"] < nx - _bound(2 * p, p + q, nx) + 1)
+            keep = (x["v"] != y["v"]) & (q * nx >= p * ny)
             out.append((x[keep], y[keep]))
         if out:
             x, y = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -294,7 +309,7 @@ def _product(t: tuple[int, int]):
             if len(x):
                 head = np.flatnonzero(np.concatenate([[True], (x["v"][1:] != x["v"][:-1]) | (y["v"][1:] != y["v"][:-1])]))
                 c = np.diff(np.concatenate([head, [len(x)]])).astype(np.int32)
-                found.append((x["v"][head], y["v"][head], x["n"][head], y["n"][head], c, np.maximum.reduceat(x["p"], head), np.maximum.reduceat(y["p"], head), np.zeros(len(head), bool)))
+                found.append((x["v"][head], y["v"][head], x["n"][head], y["n"][head], c))
         for f in found:
             for lo in range(0, len(f[0]), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000], k) for c, k in zip(f, _PAIR_TYPES, strict=True)], names=PAIRS)
@@ -306,7 +321,7 @@ def _product(t: tuple[int, int]):
                 if b < 0:
                     ends = np.frombuffer(data.as_py(), "<i8").reshape(-1, 2)
                     z = pa.array(np.zeros(len(ends), np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), z, z, z, z, z, pa.array(np.ones(len(ends), bool))], names=PAIRS)
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), z, z, z], names=PAIRS)
                     continue
                 if b != at and held:
                     yield from one(held)
@@ -320,7 +335,7 @@ def _product(t: tuple[int, int]):
 
 
 def _rows_of(n: int, bitmap):
-    """(v, data) for the texts whose id the bitmap may hold: whole sorted sets."""
+    """(v, id, data) for the texts whose id the bitmap may hold: whole sorted sets."""
 
     def run(it):
         bits = np.frombuffer(bitmap.value, np.uint8)
@@ -328,8 +343,8 @@ def _rows_of(n: int, bitmap):
         for batch in it:
             at = batch.column(0).to_numpy().view(np.uint64) & size
             batch = batch.filter(pa.array((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
-            found = [(_vertex(s), s.tobytes()) for _, s in _sets(batch, n) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["v", "data"])
+            found = [(_vertex(s), doc, s.tobytes()) for doc, s in _sets(batch, n) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["v", "least", "data"])
 
     return run
 
@@ -351,7 +366,8 @@ def _exact(t: tuple[int, int]):
 
     def run(key, table):
         b1, b2 = key[1].as_py(), key[2].as_py()
-        v = table.column("v").to_numpy()
+        v, first = np.unique(table.column("v").to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
         side, copies = table.column("b").to_numpy(), table.column("copies").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("data")]
         n = np.array([len(s) for s in sets], np.int64)
@@ -416,7 +432,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     p, q = threshold
     slices = max(16, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE))
-    dealt = docs.mapInArrow(_classes(n, slices), "slice int, id long, n long, v long, data binary").repartition(int(slices), "slice").sortWithinPartitions("slice")
+    dealt = docs.mapInArrow(_classes(n, slices), "slice int, id long, n long, v long, data binary").repartition(max(1, int(slices) // SLICES), "slice").sortWithinPartitions("slice")
     both = save(dealt.mapInArrow(_count(FREQUENT), "id long, n long, v long, column boolean"), "classes")
     rows, columns = both.where("NOT column").select("id", "n", "v"), both.where("column").select("n", "v")
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -426,10 +442,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         frequent = spark.sparkContext.broadcast(_frequent(columns))
         blocks = max(16, -(-total // (4 * ENTRIES)))
         parts = docs.mapInArrow(_prefixes(n, threshold, frequent, slices, blocks), "block int, spread long, data binary")
-        pairs = parts.repartition(int(blocks), "spread").sortWithinPartitions("block").mapInArrow(_product(threshold), "x long, y long, nx int, ny int, c int, px int, py int, star boolean")
-        pairs = pairs.groupBy("x", "y").agg(F.max("nx").cast("long").alias("nx"), F.max("ny").cast("long").alias("ny"), F.sum("c").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), F.max("star").alias("star"))
-        may = F.col("c") + F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1)
-        edges = pairs.where(F.col("star") | ((p + q) * may >= p * (F.col("nx") + F.col("ny")))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        pairs = parts.repartition(int(blocks), "spread").sortWithinPartitions("block").mapInArrow(_product(threshold), "x long, y long, nx int, ny int, c int")
+        pairs = pairs.groupBy("x", "y").agg(F.max("nx").cast("long").alias("nx"), F.max("ny").cast("long").alias("ny"), F.sum("c").alias("c"), F.min("c").alias("least"))
+        may = F.expr(f"c + (ny * {p} + {q - 1}) div {q} - 1")  # y is no smaller, so it has more left
+        edges = pairs.where((F.col("least") == 0) | ((p + q) * may >= p * (F.col("nx") + F.col("ny")))).select(F.col("x").alias("a"), F.col("y").alias("b"))
         found = components(edges, "candidates")
         # nodes of wide columns have no row
         clusters = save(found.select(F.col("node").alias("v"), F.col("root").alias("cluster")).join(ids, "v"), "clusters")
@@ -438,11 +454,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if many:
             bits = min(27, max(16, int(many * 32).bit_length()))
             bitmap = spark.sparkContext.broadcast(_bitmap(clusters.select(F.col("least").alias("id")), bits))
-            sets = docs.mapInArrow(_rows_of(n, bitmap), "v long, data binary").dropDuplicates(["v"])
+            sets = docs.mapInArrow(_rows_of(n, bitmap), "v long, least long, data binary")
             sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / CELLS)).alias("k"), F.count("*").alias("of"))
-            sized = lookup(clusters.select("v", "cluster", "copies"), sizes.where("of > 1"), "cluster", "of").where("k IS NOT NULL")
+            sized = lookup(clusters.select("v", "least", "cluster", "copies"), sizes.where("of > 1"), "cluster", "of").where("k IS NOT NULL")
             sized = sized.withColumn("b", F.pmod(F.xxhash64("v"), F.col("k")))
-            paired = sized.join(sets, "v").select("cluster", "v", "copies", "b", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
+            # the row of the least id stands for a vertex; rows that repeat it are left out by the product
+            paired = sets.join(F.broadcast(sized) if many <= common.SMALL else sized, ["v", "least"]).select("cluster", "v", "copies", "b", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
             paired = paired.withColumn("b1", F.least("b", "o")).withColumn("b2", F.greatest("b", "o"))
             links = save(paired.groupBy("cluster", "b1", "b2").applyInArrow(_exact(threshold), "a long, b long, links long"), "links")
             linked = components(links.where("a <> b"), "linked")
