@@ -9,34 +9,45 @@ is then aligned with the induced wrapper and gives the text of its content slots
 
 What marks and words say about a part (menus, forms, adverts, comments, ...) holds on every
 page; a host with a single page has nothing else, and then its own slots stand for the
-wrapper's.
+wrapper's.  Class names that may also be an article's (side, related, tags, ...) say nothing of a
+block that holds most of its page's running text.
 """
 
 from __future__ import annotations
 
 import html
 import json
-from hashlib import blake2b
 import re
+import sys
+from hashlib import blake2b
 
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, save
+
 DENSE = 64 * 64  # pairs of children up to which they are weighed by what matches below them
 LEAST = 3  # distinct pages that a node is known to stand on; more need not be told apart
-SALT = 16  # parts that the pages of a host are dealt to
+DEPTH = 2000  # elements within each other; deeper ones are part of their parents
+HELD = 200_000  # nodes of wrappers that a task holds before it hands them on
+FAN = 32  # partial wrappers that are merged at a time, about
+SMALL = 32 << 20  # characters of wrappers that are sent to every task, at most
+PAGES = 10_000  # pages of a host for one task where the wrappers are more than that
+KEYS = 200_000  # copied pages that are told to every task, at most
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-_RAW = frozenset("script style noscript template textarea title svg iframe math object canvas select".split())
+_RAW = frozenset("script style noscript template textarea title svg iframe canvas select".split())
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img object math mi mn mo mrow ms mspace mtext mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd semantics".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = frozenset("ul ol dl table tbody thead tr article section main div body nav aside footer header form blockquote".split())
 _AWAY = frozenset("nav header footer aside form button menu dialog".split())
 _AWAY_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)?|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|overlay|pagination|pager|popup|promos?|related|recommended|share|sharing|sidebar|side|skip|social|sponsor(?:ed)?|subscribe|tags|toolbar|widget)(?:$|[\s_-])", re.I)
+#: of those, names that an article's own block may have
+_WEAK_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|header|modal|notices?|overlay|popup|promos?|related|recommended|share|sharing|side|social|sponsor(?:ed)?|tags|widget)(?:$|[\s_-])", re.I)
 _AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
@@ -45,10 +56,10 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """A block element; items holds its inline texts and child blocks in page order."""
 
-    __slots__ = ("tag", "label", "away", "items", "link", "keep")
+    __slots__ = ("tag", "label", "away", "weak", "items", "link", "keep")
 
-    def __init__(self, tag: str, label: str, away: bool):
-        self.tag, self.label, self.away = tag, label, away
+    def __init__(self, tag: str, label: str, away: bool, weak: bool = False):
+        self.tag, self.label, self.away, self.weak = tag, label, away, weak
         self.items: list = []
         self.link = 0
         self.keep = False
@@ -58,6 +69,7 @@ def parse(page: str | None) -> Node:
     """The block tree of a page; unclosed and stray tags are borne."""
     root = Node("", "", False)
     stack = [root]
+    deep: dict[str, int] = {}  # open elements that are too deep to be nodes
     links = 0
     at = 0
     page = page or ""
@@ -70,6 +82,7 @@ def parse(page: str | None) -> Node:
             if links:
                 stack[-1].link += len(text.strip())
         if not m:
+            _weigh(root)
             return root
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -78,6 +91,8 @@ def parse(page: str | None) -> Node:
         if m[1] or m[4]:
             if tag == "a":
                 links = max(0, links - 1)
+            elif deep.get(tag):
+                deep[tag] -= 1
             elif tag not in _INLINE and tag not in _VOID:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
@@ -110,14 +125,35 @@ def parse(page: str | None) -> Node:
             continue
         found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
         name = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        away = tag in _AWAY or bool(name and _AWAY_NAMES.search(name)) or found.get("role", "").lower() in _AWAY_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        hard = tag in _AWAY or found.get("role", "").lower() in _AWAY_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if tag == "header" and any(n.tag in ("article", "main") for n in stack):
-            away = bool(name and _AWAY_NAMES.search(name))
-        node = Node(tag, f"{tag}.{name}" if name else tag, away)
+            hard = False
+        named = bool(name and _AWAY_NAMES.search(name))
+        weak = named and not hard and not _AWAY_NAMES.search(_WEAK_NAMES.sub(" ", name))
+        if tag not in _VOID and len(stack) >= DEPTH:
+            deep[tag] = deep.get(tag, 0) + 1
+            stack[-1].items.append(" ")
+            continue
+        node = Node(tag, f"{tag}.{name}" if name else tag, hard or named, weak)
         stack[-1].items.append(node)
         if tag not in _VOID:
-            if len(stack) < 200:
-                stack.append(node)
+            stack.append(node)
+
+
+def _weigh(root: Node) -> None:
+    """Blocks that only a weak name sends away stay if they hold most of the page's running text."""
+    found: list[tuple[Node, int]] = []
+
+    def mass(n: Node) -> int:
+        own = sum(len(x.strip()) for x in n.items if isinstance(x, str)) - 2 * n.link
+        total = max(0, own) + sum(mass(x) for x in n.items if isinstance(x, Node))
+        if n.weak:
+            found.append((n, total))
+        return 0 if n.away and not n.weak else total
+
+    total = mass(root)
+    for n, held in found:
+        n.away = not (total and 2 * held > total)
 
 
 class Run:
@@ -213,6 +249,7 @@ def align(a: list, b: list, label=lambda r: r.label, kids=lambda r: r.kids, know
 def _merge(a: Run, b: Run) -> None:
     """Take another page's or part's node into a wrapper's node."""
     a.same = a.same and b.same and a.texts == b.texts
+    a.away = a.away and b.away
     a.keys = tuple(sorted({*a.keys, *b.keys})[:LEAST])
     a.size, a.link = a.size + b.size, a.link + b.link
     _, pairs = align(a.kids, b.kids)
@@ -388,55 +425,96 @@ def extract(page: str | None, wrapper: list | None) -> str:
     return "\n\n".join(blocks)
 
 
-def _partial(it):
-    """host, salt, part: the wrapper of each part of a host; rows are sorted by host, salt and key.
-
-    A mark row stands before the page that it chose of the copies of one page."""
-
-    def out(at, root):
-        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int32()), pa.array([json.dumps(_pack(root))], pa.string())], names=["host", "salt", "part"])
-
-    at, root, due = None, None, None
-    for batch in it:
-        c = {n: batch.column(n) for n in ("host", "salt", "key", "h", "mark")}
-        pages = batch.column("html")
-        rows = zip(*(c[n].to_pylist() for n in ("host", "salt", "key", "h", "mark")), strict=True)
-        for i, (host, salt, key, h, mark) in enumerate(rows):
-            if mark:
-                due = host, key, h
-            elif due == (host, key, h):
-                due = None
-                if (host, salt) != at:
-                    if root is not None:
-                        yield out(at, root)
-                    at, root = (host, salt), None
-                r = _grown(pages[i].as_py(), key)
-                if root is None:
-                    root = r
-                else:
-                    _merge(root, r)
-    if root is not None:
-        yield out(at, root)
+_PART = [pa.string(), pa.int64(), pa.string()]
+
+
+def _part(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PART)], names=["host", "key", "part"])
+
 
+def _nodes(r: Run) -> int:
+    return 1 + sum(map(_nodes, r.kids))
 
-def _induced(it):
-    for batch in it:
-        made = [_wrapper(_join(_unpack(json.loads(x)) for x in parts)) for parts in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
 
+def _partial(copied):
+    """host, key, part: wrappers of the distinct pages of each host in a task; key is their least page's.
 
-def _extracted(it):
-    held: dict[str, list | None] = {}
-    for batch in it:
-        batch = batch.filter(pa.compute.equal(batch.column("mark"), 0))
-        out = []
-        for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-            if wrapper not in held:
-                if len(held) > 500:
-                    held.clear()
-                held[wrapper] = json.loads(wrapper) if wrapper else None
-            out.append(extract(page, held[wrapper]))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+    copied: page -> the row that stands for its copies; without it rows say so themselves."""
+
+    def run(it):
+        roots: dict[str, Run] = {}
+        seen: set[int] = set()
+        held = 0
+        for batch in it:
+            pages = batch.column("html")
+            for i, (host, key, h, first) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("host", "key", "h", "first")), strict=True)):
+                first = first if copied is None else copied.value.get(key, h)
+                if first != h or key in seen or not pages[i].is_valid:
+                    continue
+                seen.add(key)
+                r = _grown(pages[i].as_py(), key)
+                if host not in roots:
+                    roots[host] = r
+                    held += _nodes(r)
+                else:
+                    _merge(roots[host], r)
+                    held += 1 + len(r.kids)
+                if held > HELD:
+                    for at, root in roots.items():
+                        yield _part([(at, root.keys[0], json.dumps(_pack(root)))])
+                    roots, held = {}, 0
+        for at, root in roots.items():
+            yield _part([(at, root.keys[0], json.dumps(_pack(root)))])
+
+    return run
+
+
+def _merged(last: bool):
+    """The wrapper of the parts of a host, or of a bucket of them; rows are sorted by host, bucket and key."""
+
+    def out(at, parts):
+        root = _join(_unpack(json.loads(x)) for x in parts)
+        return _part([(at[0], root.keys[0], _wrapper(root) if last else json.dumps(_pack(root)))])
+
+    def run(it):
+        at, parts = None, []
+        for batch in it:
+            for host, bucket, part in zip(*(batch.column(n).to_pylist() for n in ("host", "bucket", "part")), strict=True):
+                if (host, bucket) != at:
+                    if parts:
+                        yield out(at, parts)
+                    at, parts = (host, bucket), []
+                parts.append(part)
+        if parts:
+            yield out(at, parts)
+
+    return run
+
+
+def _extracted(wrappers):
+    """The text of each page.  wrappers: host -> wrapper; without it a host's wrapper comes as a row before its pages."""
+
+    def run(it):
+        held: dict[str, list | None] = {}
+        for batch in it:
+            ids, urls, out = [], [], []
+            columns = [batch.column(n).to_pylist() for n in ("page_id", "url", "host", "part")]
+            pages = batch.column("html")
+            for i, (page_id, url, host, part) in enumerate(zip(*columns, strict=True)):
+                if part is not None:
+                    held = {host: json.loads(part)}
+                    continue
+                if host not in held:
+                    if len(held) > 500:
+                        held.clear()
+                    found = wrappers.value.get(host) if wrappers is not None else None
+                    held[host] = json.loads(found) if found else None
+                ids.append(page_id)
+                urls.append(url)
+                out.append(extract(pages[i].as_py(), held[host]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    return run
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -444,21 +522,44 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text; a null url is a host of its own; repeated rows
     are extracted each; other columns are ignored; an empty table gives no rows.
-    Pages of a host are dealt to ``SALT`` parts.  Each part makes a wrapper of its distinct pages; those
-    are merged to the host's, which goes to each part.  Of the copies of a page over all parts a mark
-    chooses one: marks are made of hashes alone and dealt together with the pages, so these are shuffled once.
+    Each task makes a wrapper of the distinct pages of a host that it reads; these are merged in a tree of
+    about ``FAN`` at a time, so no task gets all of a host.  Copies over all tasks count once: the rows that stand for
+    copied pages go to every task, or, if those are over ``KEYS``, are joined to the pages by their hash.  The hosts'
+    wrappers go to every task too while they have ``SMALL`` characters; beyond that pages are dealt to
+    the wrappers, a host in parts of about ``PAGES``.  Otherwise pages are not shuffled.
     """
+    spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit("")))
-    rows = rows.withColumns({"key": F.xxhash64("html"), "h": F.xxhash64("page_id", "url")})
-    marks = rows.where("html IS NOT NULL").groupBy("host", "key").agg(F.min("h").alias("h"))
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("page_id", "long"), ("url", "string"), ("html", "string"))]
-    both = rows.select("page_id", "url", "html", "host", "key", "h", F.lit(0).alias("mark")).unionByName(marks.select(*none, "host", "key", "h", F.lit(1).alias("mark")))
-    # the two uses below take all columns, so that the exchange is one and the same
-    dealt = both.withColumn("salt", F.pmod(F.shiftright("h", 20), F.lit(SALT)).cast("int")).repartition("host", "salt")
-    partial = dealt.sortWithinPartitions("host", "salt", "key", "h", F.desc("mark"), "page_id", "url").mapInArrow(_partial, "host string, salt int, part string")
-    parts = partial.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("salt", "part"))).alias("ps")).select("host", F.col("ps.part").alias("parts"))
-    wrappers = parts.mapInArrow(_induced, "host string, wrapper string")
-    salted = wrappers.select("host", "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    out = dealt.join(salted, ["host", "salt"], "left").mapInArrow(_extracted, "page_id long, url string, text string")
+    rows = rows.withColumns({"key": F.xxhash64("host", "html"), "h": F.xxhash64("page_id", "url")})
+    copied = save(rows.where("html IS NOT NULL").groupBy("key").agg(F.min("h").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
+    if copied.count() <= KEYS:
+        told = spark.sparkContext.broadcast({r["key"]: r["first"] for r in copied.toLocalIterator()})
+        marked = rows.withColumn("first", F.col("h"))
+    else:
+        told, marked = None, rows.join(copied, "key", "left").withColumn("first", F.coalesce("first", "h"))
+    parts = save(marked.select("host", "key", "h", "first", "html").mapInArrow(_partial(told), "host string, key long, part string"), "parts")
+    while True:
+        most = parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        last = most <= FAN
+        buckets = 1 if last else -(-most // FAN)
+        dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets))).repartition("host", "bucket").sortWithinPartitions("host", "bucket", "key", "part")
+        merged = save(dealt.mapInArrow(_merged(last), "host string, key long, part string"), "parts")
+        discard(parts)
+        parts = merged
+        if last:
+            break
+    discard(copied)
+    if (parts.agg(F.sum(F.length("part") + 100)).first()[0] or 0) <= SMALL:
+        wrappers = spark.sparkContext.broadcast({r["host"]: r["part"] for r in parts.toLocalIterator()})
+        out = rows.select("page_id", "url", "html", "host", F.lit(None).cast("string").alias("part")).mapInArrow(_extracted(wrappers), "page_id long, url string, text string")
+        discard(parts)
+    else:
+        large = rows.groupBy("host").count().where(F.col("count") > PAGES).select("host", F.ceil(F.col("count") / PAGES).alias("k"))  # fewer than pages / PAGES
+        salted = parts.join(F.broadcast(large), "host", "left").select("host", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)) - 1)).alias("salt"))
+        own = rows.join(F.broadcast(large), "host", "left").withColumn("salt", F.pmod("h", F.coalesce("k", F.lit(1))))
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("page_id", "long"), ("url", "string"), ("html", "string"))]
+        both = own.select("page_id", "url", "html", "host", "salt", F.lit(None).cast("string").alias("part")).unionByName(salted.select(*none, "host", "salt", "part"))
+        both = both.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("part").isNull())
+        out = both.mapInArrow(_extracted(None), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

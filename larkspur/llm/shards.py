@@ -4,7 +4,7 @@ A store holds immutable shards, each a folder of Parquet files, and one manifest
 for each version: the list of its shards with their rows and bytes.  Every arrival is
 appended as a small shard, by a version of its own.  Compaction looks at tiers: shards whose sizes are
 within a factor of ``FAN_IN``.  ``FAN_IN`` shards of a tier are merged into one, of files
-of about the target size; shards of target size are left alone, so a row is
+of about the target size; shards of half the target size are left alone, so a row is
 rewritten about log(target / arrival) times at most.
 
 A version comes into being by renaming its manifest to a name that must not exist yet, which
@@ -25,8 +25,10 @@ import json
 import math
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 FAN_IN = 4
 TARGET = 128 << 20
 LEAST_TIER = 1 << 20  # smaller shards share the lowest tier
+JOBS = 8  # merges that run side by side
 AGE = 24 * 3600  # seconds for which readers and writers may use files that no recent version names
 
 
@@ -120,13 +123,13 @@ class ShardStore:
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields if f.name != key])
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.hint("rebalance", key).write.partitionBy(key).parquet(path)
-        shards = self._written(path, key)
+        shards = self._written(path)
         for shard in shards:
             last = self._add([shard], schema.json())
         return last if shards else self._add([], schema.json())
 
-    def _written(self, path: str, key: str) -> list[dict]:
-        """The shards below a folder, one for each value of the column key: path, rows (from the files' footers) and bytes."""
+    def _written(self, path: str) -> list[dict]:
+        """The shards below a folder, a folder each: path, rows (from the files' footers) and bytes."""
         found = sorted(str(s.getPath().toString()) for s in self.fs.listStatus(self._path(path)) if s.isDirectory())
         if not found:
             return []
@@ -141,32 +144,30 @@ class ShardStore:
         return int(math.log(max(size, LEAST_TIER) / LEAST_TIER, self.fan_in))
 
     def plan(self, shards: list[dict]) -> list[list[dict]]:
-        """Groups of ``fan_in`` shards of one tier, smallest tiers first; none of target size."""
+        """Groups of ``fan_in`` shards of one tier, smallest tiers first; none of half the target size."""
         tiers: dict[int, list[dict]] = {}
         for s in sorted(shards, key=lambda s: s["bytes"]):
-            if s["bytes"] < self.target:
+            if 2 * s["bytes"] < self.target:
                 tiers.setdefault(self.tier(s["bytes"]), []).append(s)
         return [group[i : i + self.fan_in] for _, group in sorted(tiers.items()) for i in range(0, len(group) - self.fan_in + 1, self.fan_in)]
 
     def compact(self) -> dict:
-        """Merge until no tier has ``fan_in`` shards; each round of merges is one job and one version."""
+        """Merge until no tier has ``fan_in`` shards; the merges of a round run side by side and make one version."""
         while True:
             base = self.manifest()
             groups = self.plan(base["shards"])
             if not groups:
                 return base
             schema = T.StructType.fromJson(json.loads(base["schema"]))
-            key = "_merge"
-            while key in schema.names:
-                key += "_"
             path = f"{self.root}/data/{uuid.uuid4().hex}"
-            merged = None
-            for k, group in enumerate(groups):
-                files = max(1, -(-sum(s["bytes"] for s in group) // self.target))
-                one = self.spark.read.schema(schema).parquet(*(s["path"] for s in group)).coalesce(int(files)).withColumn(key, F.lit(k))
-                merged = one if merged is None else merged.unionByName(one)
-            merged.write.partitionBy(key).parquet(path)
-            self._replace(groups, self._written(path, key))
+
+            def merge(k: int) -> None:
+                files = max(1, -(-sum(s["bytes"] for s in groups[k]) // self.target))
+                self.spark.read.schema(schema).parquet(*(s["path"] for s in groups[k])).coalesce(int(files)).write.parquet(f"{path}/merge={k}")
+
+            with ThreadPoolExecutor(JOBS) as pool:
+                list(pool.map(inheritable_thread_target(self.spark)(merge), range(len(groups))))
+            self._replace(groups, self._written(path))
 
     def _replace(self, groups: list[list[dict]], made: list[dict]) -> None:
         """A version with merged shards in place of theirs, unless another writer has replaced one of those."""

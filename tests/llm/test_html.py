@@ -3,6 +3,7 @@
 import json
 import random
 
+from larkspur.llm import html_extract
 from larkspur.llm.html_extract import _chain, extract, extract_pages, induce, parse, Run, align
 
 
@@ -100,3 +101,50 @@ def test_chains_are_longest():
         pairs = _chain(a, b)
         assert len(pairs) == w[-1][-1] and all(a[i] == b[j] for i, j in pairs)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_alignment_against_plain_tree_matching():
+    """Simple tree matching by its definition: the best order-preserving pairs over all choices."""
+    rng = random.Random(9)
+
+    def tree(depth):
+        return "".join(f"<{t}>{'x' if rng.random() < 0.3 else ''}{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choices(["div", "ul", "h2", "section"], k=rng.randrange(4)))
+
+    def plain(a, b):
+        if not a or not b:
+            return 0
+        best = max(plain(a[1:], b), plain(a, b[1:]))
+        return max(best, 1 + plain(a[0].kids, b[0].kids) + plain(a[1:], b[1:])) if a[0].label == b[0].label else best
+
+    for _ in range(60):
+        a, b = Run([parse(tree(2))]), Run([parse(tree(2))])
+        n, pairs = align(a.kids, b.kids)
+        assert n == plain(a.kids, b.kids)
+        assert n == sum(1 + align(a.kids[i].kids, b.kids[j].kids)[0] for i, j in pairs)
+
+
+def test_weak_names_and_formulas():
+    """A block of most of the text is the article even if its class says side; others of that class are not."""
+    story = "The council met on Monday and agreed on the plan. " * 5
+    one = f'<body><nav>Menu</nav><div class="side story"><p>{story}</p><p>Second part of it</p></div><div class="side"><p>Elsewhere</p></div></body>'
+    assert extract(one, None) == f"{story.strip()}\n\nSecond part of it"
+    assert extract(f'<article><p>{story}</p><div class="comments"><p>{story * 9}</p></div></article>', None) == story.strip()
+    assert extract("<p>Sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is c</p>", None) == "Sum a+b is c"
+
+
+def test_deep_elements_end_where_they_end():
+    deep = "<div>" * 2500 + "<p>inner</p>" + "</div>" * 2500
+    assert extract(f"<section>{deep}<p>after</p></section><p>last</p>", None).endswith("after\n\nlast")
+
+
+def test_large_inputs_take_the_other_ways(spark, monkeypatch):
+    """Parts handed on early and merged in a tree, copies and wrappers joined: the same texts."""
+    notice = '<div class="box">Written by our own desk, all claims were verified</div>'
+    rows = [(k, f"http://h{k % 3}.example/{k}", page(k).replace("<ul><li>item", f"{notice}<ul><li>item") if k % 20 < 3 else page(k)) for k in range(160)]
+    rows += [(1000 + k, f"http://h1.example/copy/{k}", page(1)) for k in range(30)] + [(2000, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    want_rows = sorted(tuple(r) for r in extract_pages(df).collect())
+    for name, value in (("HELD", 40), ("FAN", 3), ("SMALL", 0), ("PAGES", 20), ("KEYS", 0)):
+        monkeypatch.setattr(html_extract, name, value)
+    assert sorted(tuple(r) for r in extract_pages(df).collect()) == want_rows
+    assert {r[0]: r[2] for r in want_rows if r[0] < 160} == {k: want(k) for k in range(160)}

@@ -95,11 +95,11 @@ def test_a_merge_whose_shards_are_gone_is_given_up(spark, tmp_path):
         one.append(spark.createDataFrame([(k,)], "id long"))
     written, raced = one._written, []
 
-    def late(path, key):
+    def late(path):
         if not raced:
             raced.append(1)
             two.compact()
-        return written(path, key)
+        return written(path)
 
     one._written = late
     one.compact()
