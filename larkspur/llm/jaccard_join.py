@@ -62,12 +62,11 @@ def _vertex(s: np.ndarray) -> int:
 
 
 def _sets(batch: pa.RecordBatch, n: int):
-    """(id, set) of each row of a batch, a bounded share of the texts at a time."""
+    """((id, key), set) of each row of a batch, a bounded share of the texts at a time."""
     bpe.release()
-    ids, col = batch.column(0), batch.column(1)
-    texts = col.to_pylist()
+    ids, keys, texts = batch.column("id"), batch.column("key"), batch.column("text").to_pylist()
     for lo, hi in batches(texts):
-        yield from zip(ids[lo:hi].to_pylist(), shingle_sets(texts[lo:hi], n), strict=True)
+        yield from zip(zip(ids[lo:hi].to_pylist(), keys[lo:hi].to_pylist(), strict=True), shingle_sets(texts[lo:hi], n), strict=True)
 
 
 def _code(h: np.ndarray, slices: int) -> np.ndarray:
@@ -88,11 +87,11 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-_COUNTED = [("slice", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary())]
+_COUNTED = [("slice", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary())]
 
 
 def _classes(n: int, slices: int):
-    """A row (id, n, v) of each text, and the columns of the task's vertices slice by slice."""
+    """A row (id, key, n, v) of each text, and the columns of the task's vertices slice by slice."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), _COUNTED, strict=True)], names=[name for name, _ in _COUNTED])
@@ -105,7 +104,7 @@ def _classes(n: int, slices: int):
         step[cut[:-1]] = code[cut[:-1]]
         step = step.astype("<u4")
         for lo in range(0, len(cut) - 1, 100):
-            yield batch_of([(int(at[a]), None, None, None, _packed(step[a:z])) for a, z in zip(cut[lo : lo + 100], cut[lo + 1 : lo + 101], strict=False)])
+            yield batch_of([(int(at[a]), None, None, None, None, _packed(step[a:z])) for a, z in zip(cut[lo : lo + 100], cut[lo + 1 : lo + 101], strict=False)])
 
     def run(it):
         seen: set[int] = set()
@@ -113,9 +112,9 @@ def _classes(n: int, slices: int):
         size = 0
         for batch in it:
             rows = []
-            for doc, s in _sets(batch, n):
+            for (doc, key), s in _sets(batch, n):
                 v = _vertex(s) if len(s) else None
-                rows.append((doc % slices, doc, len(s), v, None))
+                rows.append((doc % slices, doc, key, len(s), v, None))
                 if len(s) and v not in seen:
                     seen.add(v)
                     held.append(s)
@@ -139,14 +138,14 @@ def _count(least: int):
         code, n = np.unique(code, return_counts=True)
         often = n >= least
         code = (code[often] | np.uint64(at << 32)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.int64()), pa.array(n[often].astype(np.int64)), pa.array(code), pa.array(np.ones(len(code), bool))], names=["id", "n", "v", "column"])
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(code), pa.int64())] * 2, pa.array(n[often].astype(np.int64)), pa.array(code), pa.array(np.ones(len(code), bool))], names=["id", "key", "n", "v", "column"])
 
     def run(it):
         at, parts = None, []
         for batch in it:
             texts = batch.filter(pa.compute.is_null(batch.column("data")))
             if texts.num_rows:
-                yield pa.RecordBatch.from_arrays([texts.column("id"), texts.column("n"), texts.column("v"), pa.array(np.zeros(texts.num_rows, bool))], names=["id", "n", "v", "column"])
+                yield pa.RecordBatch.from_arrays([*(texts.column(c) for c in ("id", "key", "n", "v")), pa.array(np.zeros(texts.num_rows, bool))], names=["id", "key", "n", "v", "column"])
             batch = batch.filter(pa.compute.is_valid(batch.column("data")))
             for k, data in zip(batch.column("slice").to_pylist(), batch.column("data"), strict=True):
                 if k != at and parts:
@@ -341,9 +340,9 @@ def _rows_of(n: int, bitmap):
         bits = np.frombuffer(bitmap.value, np.uint8)
         size = np.uint64(len(bits) * 8 - 1)
         for batch in it:
-            at = batch.column(0).to_numpy().view(np.uint64) & size
+            at = batch.column("id").to_numpy().view(np.uint64) & size
             batch = batch.filter(pa.array((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
-            found = [(_vertex(s), doc, s.tobytes()) for doc, s in _sets(batch, n) if len(s)]
+            found = [(_vertex(s), doc, s.tobytes()) for (doc, _), s in _sets(batch, n) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["v", "least", "data"])
 
     return run
@@ -418,9 +417,12 @@ def _exact(t: tuple[int, int]):
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (3, 4), key_col: str | None = None) -> DataFrame:
     """One row per document: its id, n_shingles, component_id and n_links.
 
+    With key_col, a column of whole numbers that tells rows of one id apart, that column comes back too, and
+    ``first``: whether a row has the least id, then key, of its component.
+
     component_id is the smallest id reachable over links of Jaccard similarity
     >= threshold (a fraction of two integers), the document itself included; n_links counts the
     other rows that the document links to, copies among them.
@@ -429,14 +431,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dropped, as nothing can name them; an empty table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    key = F.col(key_col).cast("long") if key_col else F.lit(0).cast("long")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     p, q = threshold
     slices = max(16, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE))
-    dealt = docs.mapInArrow(_classes(n, slices), "slice int, id long, n long, v long, data binary").repartition(max(1, int(slices) // SLICES), "slice").sortWithinPartitions("slice")
-    both = save(dealt.mapInArrow(_count(FREQUENT), "id long, n long, v long, column boolean"), "classes")
-    rows, columns = both.where("NOT column").select("id", "n", "v"), both.where("column").select("n", "v")
+    dealt = docs.mapInArrow(_classes(n, slices), "slice int, id long, key long, n long, v long, data binary").repartition(max(1, int(slices) // SLICES), "slice").sortWithinPartitions("slice")
+    both = save(dealt.mapInArrow(_count(FREQUENT), "id long, key long, n long, v long, column boolean"), "classes")
+    rows, columns = both.where("NOT column").select("id", "key", "n", "v"), both.where("column").select("n", "v")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    ids = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    ids = rows.where("v IS NOT NULL").groupBy("v").agg(F.min(F.struct("id", "key")).alias("m"), F.count("*").alias("copies"), F.first("n").alias("n")).select("v", "copies", "n", F.col("m.id").alias("least"), F.col("m.key").alias("key"))
     comp = None
     if total:
         frequent = spark.sparkContext.broadcast(_frequent(columns))
@@ -470,10 +473,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the smallest id of each vertex, then of each component; others are their own component
     ids = ids.join(comp, "v", "left") if comp is not None else ids.withColumns({"links": F.lit(0).cast("long"), "root": F.lit(None).cast("long")})
     ids = save(ids.where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "v")), "members")
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
-    to = save(lookup(ids, least, "root", "of").select("v", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "components")
+    least = ids.groupBy("root").agg(F.min(F.struct("least", "key")).alias("m"), F.count("*").alias("of")).select("root", "of", F.col("m.least").alias("component_id"), F.col("m.key").alias("first_key"))
+    to = save(lookup(ids.drop("key"), least, "root", "of").select("v", "copies", "component_id", "first_key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "components")
     found = lookup(rows, to, "v", "copies")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    out = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")]
+    if key_col:
+        first = F.col("component_id").isNull() | ((F.col("component_id") == F.col("id")) & F.col("first_key").eqNullSafe(F.col("key")))
+        out += [F.col("key").alias(key_col), first.alias("first")]
+    return found.select(*out)
 
 
 def _frequent(columns: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -85,7 +85,7 @@ def _pieces(path: str, most: int, end_id: int):
 def _pack(most: int):
     def run(key, table):
         n = table.column("length").to_numpy()
-        order = np.lexsort((table.column("piece").to_numpy(), table.column("id").to_numpy(), -n))
+        order = np.lexsort((table.column("piece").to_numpy(), table.column("id").fill_null(2**63 - 1).to_numpy(), -n))
         seq, off, _ = sum_of_squares(n[order], most)
         table = table.take(pa.array(order)).drop_columns(["shard"])
         return table.append_column("sequence_id", pa.array(seq + (key[0].as_py() << 40))).append_column("offset", pa.array(off))
@@ -96,13 +96,13 @@ def _pack(most: int):
 def pack_documents(docs: DataFrame, vocabulary: str, most: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end id alone; rows with a null id are dropped;
-    repeated rows are packed as often as they occur; an empty table gives no rows.
+    A null or empty text is the end id alone; a null id is packed like any other and stays null;
+    repeated rows are packed as often as they occur; an empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = save(docs.mapInArrow(_pieces(vocabulary, most, end_id), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-total // SHARD_TOKENS))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(shards)))  # repeated rows are no hot group
     packed = dealt.groupBy("shard").applyInArrow(_pack(most), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

@@ -9,6 +9,8 @@ broadcast, ``2**BITS`` of them at most.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,14 +78,19 @@ def ftrl(rows: list[tuple[float, np.ndarray]], epochs: int = EPOCHS) -> tuple[np
     return w[:-1], float(w[-1])
 
 
-def _train(it):
-    rows = [(k, float(y), np.frombuffer(d, "<u4")) for batch in it for k, y, d in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-    if not rows:
-        return
-    rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-    w, b = ftrl([r[1:] for r in rows])
-    at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << BITS)), pa.array(np.append(w[at], b))], names=["at", "w"])
+def _train(sample: int):
+    """The model of the ``sample`` rows of least key; ids that several rows have don't lengthen the sample."""
+
+    def run(it):
+        read = ((k, float(y), np.frombuffer(d, "<u4")) for batch in it for k, y, d in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rows = heapq.nsmallest(sample, read, key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
+        if not rows:
+            return
+        w, b = ftrl([r[1:] for r in rows])
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << BITS)), pa.array(np.append(w[at], b))], names=["at", "w"])
+
+    return run
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +104,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     chosen = one.withColumn("key", F.xxhash64("id", F.lit(7))).orderBy("key").limit(sample)
     chosen = save(chosen, "sample")  # ``sample`` rows of three numbers: small enough to broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("key", "y", "text")
-    found = rows.mapInArrow(_present, "key long, y int, data binary").repartition(1).mapInArrow(_train, "at long, w double").toPandas()
+    found = rows.mapInArrow(_present, "key long, y int, data binary").repartition(1).mapInArrow(_train(sample), "at long, w double").toPandas()
     if not len(found):
         return np.array([1 << BITS]), np.zeros(1)
     return found["at"].to_numpy(), found["w"].to_numpy()
@@ -144,7 +151,9 @@ def _scalar_iter(f):
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """docs with held_out, score and predicted; labels of held-out documents never train.
 
-    held_out: crc32 of the id as text is 2 mod 4.  predicted: 1 where score >= threshold.
+    held_out: crc32 of the id as text is 2 mod 4, false for a null id.  predicted: 1 where score >= threshold.
+    Null, empty and wordless texts are scored by the bias alone; repeated rows get the same score each; an
+    empty table gives no rows; columns with the names of results are replaced, all others stay.
     """
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = fit_toxicity(docs, labels.where(~held), sample=sample)

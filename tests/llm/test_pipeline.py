@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from larkspur.llm.queries import queries
 
@@ -43,5 +45,21 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == packed.count()
 
 
+def test_rows_of_one_id_null_ids_and_repeats(spark):
+    """Of texts A, B and C each stays once, whatever ids their rows have."""
+    a, b, c, d = ("a b c d e f g h", "q r s t u v w x", "k l m n o p q r", "one two three four five six")
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, c), (None, a), (9, d), (None, d), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("_key", F.lit("x")).withColumn("first", F.lit("y"))
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (None, c), (9, d), (7, None), (8, "")], key=str)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").columns == corpus_pipeline.COLUMNS
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
