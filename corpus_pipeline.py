@@ -2,16 +2,20 @@
 
 Each stage works on all that the one before kept.  A stage's result is written as Parquet
 to the shared folder and read again as the next one's documents; all but the last
-return the columns of documents.  Null and empty texts count as texts without
-words: they pass the toxicity stage if the bias does, and fail the quality rules.
-Rows with a null doc_id end at the near-duplicate stage.
+return the columns of documents, and a result is deleted once the next one is written.
+Null and empty texts count as texts without words: they pass the toxicity stage if the bias
+does, and fail the quality rules.  Rows of one doc_id with different texts are documents each;
+equal rows are copies, of which one stays; a null doc_id is taken as the greatest.  Further columns
+are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm.common import save
+from larkspur.llm import common
+from larkspur.llm.common import discard, save
 from larkspur.llm.jaccard_join import jaccard_classes
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.quality import quality_rules
@@ -34,10 +38,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links join the document with the smallest id, once."""
-    docs = docs.select(COLUMNS)
-    first = jaccard_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """Of each group that links join the document with the smallest id, once.
+
+    Rows are told apart by id and text.  Those to drop are few next to the texts, so they are looked up in
+    a broadcast where their number is small; one of several equal rows is chosen among such rows alone.
+    """
+    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), F.xxhash64("text").alias("_key"))
+    classes = jaccard_classes(rows, "_id", key_col="_key").groupBy("_id", "_key").agg(F.bool_or("first").alias("first"), F.count("*").alias("n"))
+    odd = save(classes.where("NOT first OR n > 1").select("_id", "_key", "first"), "odd")
+    found = rows.join(F.broadcast(odd) if odd.count() <= common.SMALL else odd, ["_id", "_key"], "left")
+    once = found.where("first").dropDuplicates(["_id", "_key"])
+    return found.where("first IS NULL").unionByName(once).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +70,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        done, docs = docs, save(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(done)
     return docs
