@@ -1,7 +1,8 @@
 """Short texts and annotations derived from ``documents``, in Spark and in DuckDB's SQL.
 
 The documents have no links, tags, mentions or emoticons, so operators on short texts
-get lines of documents with such marks added by a rule on the row's numbers.
+get the lines of documents, all of them and whole, with such marks added by a rule on the
+row's numbers.  An identifier is doc_id * 2**32 + the line's number.
 """
 
 from __future__ import annotations
@@ -13,16 +14,16 @@ _MARK = """CASE k WHEN 0 THEN {cat0} WHEN 1 THEN {cat1} WHEN 2 THEN {cat2} WHEN
  WHEN 7 THEN concat('good Apple ', line) ELSE line END"""
 
 _SPARK_TWEETS = (
-    """SELECT CAST(doc_id * 1000 + p AS BIGINT) AS identifier, """
+    """SELECT CAST(doc_id * 4294967296 + p AS BIGINT) AS identifier, """
     + _MARK.format(
         cat0="concat(line, ' http://t.co/', CAST(doc_id AS STRING))",
         cat1="concat(line, ' #tag', CAST(doc_id % 13 AS STRING))",
         cat2="concat(line, ' @user', CAST(doc_id % 7 AS STRING))",
     )
     + """ AS document, lang, source FROM (
- SELECT doc_id, lang, source, p, substr(line, 1, 120) AS line, (doc_id + p) % 10 AS k
+ SELECT doc_id, lang, source, p, line, (doc_id + p) % 10 AS k
  FROM (SELECT doc_id, lang, source, posexplode(split(text, '\\\\n')) AS (p, line) FROM {docs})
- WHERE p < 4 AND length(line) > 0)"""
+ WHERE length(line) > 0)"""
 )
 
 #: DuckDB: tweets(identifier, document, lang, source)
@@ -30,14 +31,14 @@ TWEETS = (
     """lines AS (
  SELECT doc_id, lang, source, unnest(generate_series(1, len(parts))) - 1 AS p, unnest(parts) AS line
  FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents)),
-cut AS (SELECT doc_id, lang, source, p, substr(line, 1, 120) AS line, (doc_id + p) % 10 AS k FROM lines WHERE p < 4 AND length(line) > 0),
-tweets AS (SELECT CAST(doc_id * 1000 + p AS BIGINT) AS identifier, """
+marked AS (SELECT doc_id, lang, source, p, line, (doc_id + p) % 10 AS k FROM lines WHERE length(line) > 0),
+tweets AS (SELECT CAST(doc_id * 4294967296 + p AS BIGINT) AS identifier, """
     + _MARK.format(
         cat0="concat(line, ' http://t.co/', CAST(doc_id AS VARCHAR))",
         cat1="concat(line, ' #tag', CAST(doc_id % 13 AS VARCHAR))",
         cat2="concat(line, ' @user', CAST(doc_id % 7 AS VARCHAR))",
     )
-    + """ AS document, lang, source FROM cut)"""
+    + """ AS document, lang, source FROM marked)"""
 )
 
 #: DuckDB, after TWEETS: ann(identifier, annotator, annotation), four annotators to a tweet

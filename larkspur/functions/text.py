@@ -25,9 +25,9 @@ def letters_only(text: Column) -> Column:
 
 
 def tweet_token(word: Column) -> Column:
-    """Lower case, cut at the first character outside [a-z#@] unless that is the first; else empty."""
+    """Lower case, cut at the first character outside [a-z#@]; whole if that is the first, as in an emoticon."""
     low = F.lower(word)
-    return F.regexp_extract(low, "^.?[a-z#@]*", 0)
+    return F.when(low.rlike("^[a-z#@]"), F.regexp_extract(low, "^[a-z#@]+", 0)).otherwise(low)
 
 
 def tweet_tokens(text: Column) -> Column:
@@ -41,8 +41,8 @@ def letter_runs(text: Column) -> Column:
 
 def pairs(tokens: Column, start: int = 0, joiner: str = " ") -> Column:
     """Adjacent tokens joined, from position start on."""
-    n = F.size(tokens)
-    return F.when(n - 1 > start, F.transform(F.sequence(F.lit(start), n - 2), lambda i: F.concat_ws(joiner, F.get(tokens, i), F.get(tokens, i + 1)))).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(tokens) - 1 - start, F.lit(0))
+    return F.zip_with(F.slice(tokens, start + 1, n), F.slice(tokens, start + 2, n), lambda a, b: F.concat_ws(joiner, a, b))
 
 
 def without_urls(text: Column) -> Column:

@@ -14,8 +14,8 @@ SENTIMENTS = ("positive", "neutral", "negative")
 
 
 def clean(annotation: Column) -> Column:
-    """Bars and blanks go, then all but the letters p, e, q, n, bars and carets."""
-    return F.regexp_replace(F.regexp_replace(annotation, r"[| ]", ""), r"[^p|^e|^q|^n]", "")
+    """Bars and blanks go; then all but p, e, q, n and carets become q, so positions stay."""
+    return F.regexp_replace(F.regexp_replace(annotation, r"[| ]", ""), r"[^peqn^]", "q")
 
 
 def positions(rows: DataFrame, annotation: str = "annotation") -> DataFrame:
@@ -71,11 +71,10 @@ def majority_label(rows: DataFrame, value: str = "label") -> DataFrame:
 
 
 def offsets(df: DataFrame) -> DataFrame:
-    """identifier, at, word, start: where each space-split word begins."""
-    split = words(F.col("document"))
-    start = F.transform(split, lambda w, i: F.length(F.array_join(F.slice(split, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0))
-    rows = df.select("identifier", F.posexplode(F.arrays_zip(split.alias("word"), start.alias("start"))).alias("at", "w"))
-    return rows.select("identifier", "at", F.col("w.word").alias("word"), F.col("w.start").cast("long").alias("start"))
+    """identifier, at, word, start: where each space-split word begins, by a running sum."""
+    rows = df.select("identifier", F.posexplode(words(F.col("document"))).alias("at", "word"))
+    before = F.expr("sum(length(word) + 1) OVER (PARTITION BY identifier ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    return rows.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 
 
 def match_votes(df: DataFrame, annotations: DataFrame, normal: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -104,7 +103,15 @@ def _normalise(c: Corpus, s: Spec) -> Corpus:
     return c.with_table("subphrases", made.select("identifier", F.col("identifier").alias("document_identifier"), "annotation", "sentiment"))
 
 
-@operator("MatchSubjectiveAnnotations", ("table",))
+def _named(c: Corpus, name: str, prefix: str) -> str:
+    """A table by its whole name, or by the part after its prefix."""
+    return name if c.has(name) else prefix + name
+
+
+@operator("MatchSubjectiveAnnotations", ("table",), ("subphrases_table", "src_table"))
 def _match(c: Corpus, s: Spec) -> Corpus:
-    t = s.get("table")
-    return c.with_table(f"pos_off_{t}", match_votes(c.input, c.dependent("subphrases"), c.dependent(f"pos_norm_{t}"), c.dependent(f"pos_off_{t}")))
+    """Votes of subphrases_table go to the tokens of table where the text is as in src_table."""
+    off = _named(c, s.get("table"), "pos_off_")
+    norm = _named(c, s.get("src_table", s.get("table").removeprefix("pos_off_")), "pos_norm_")
+    sub = s.get("subphrases_table", "subphrases")
+    return c.with_table(off, match_votes(c.input, c.dependent(_named(c, sub, "subphrases_")), c.dependent(norm), c.dependent(off)))

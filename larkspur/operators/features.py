@@ -6,24 +6,25 @@ it becomes dense only on export, row by row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import durable
 from ..corpus import Corpus
-from ..functions.text import letters_only, mark_share, pairs, phrase_runs, regexp_stem, words
+from ..functions.text import letters_only, mark_share, pairs, phrase_runs, words
 from ..registry import Spec, operator
 from .annotations import majority_label
 from .labels import number
 
 #: fixed values: words that carry no topic
 STOP_WORDS = tuple(
-    """a about above after again all am an and any are as at be because been before being below between both but by
-can did do does doing down during each few for from further had has have having he her here hers him his how i if in
-into is it its just me more most my no nor not now of off on once only or other our out over own same she so some such
-than that the their them then there these they this those through to too under until up very was we were what when where
-which while who whom why will with you your""".split()
+    """a able about across after all almost also am among an and any are as at be because been but by can cannot could dear
+did do does either else ever every for from get got had has have he her hers him his how however i if in into is it its
+just least let like likely may me might most must my neither no nor not of off often on only or other our own rather
+said say says she should since so some than that the their them then there these they this tis to too twas us wants was
+we were what when where which while who whom why will with would yet you your""".split()
 )
 
 
@@ -31,7 +32,7 @@ which while who whom why will with you your""".split()
 class Options:
     """ngram 1 or 2; start: first position of a pair; threshold: least count of a word, before stemming
     for single words and after it for pairs; absent: the value of a feature a document lacks;
-    statistics: none, number, total or percent."""
+    stem: by Porter's stemmer; statistics: none, number, total or percent."""
 
     ngram: int = 1
     start: int = 0
@@ -47,27 +48,54 @@ def plain_words(text: Column, options: Options) -> Column:
     return F.filter(out, lambda w: ~w.isin(list(STOP_WORDS))) if options.stop_words else out
 
 
+def stemmed(words_: Column) -> Column:
+    """Every word of an array by Porter's stemmer."""
+    from pyspark.sql.pandas.functions import PandasUDFType
+
+    from .normalise import porter
+
+    return F.pandas_udf(lambda s: s.map(lambda ws: [porter(w) for w in ws]), "array<string>", PandasUDFType.SCALAR)(words_)
+
+
+def raw_grams(df: DataFrame, options: Options) -> DataFrame:
+    """identifier, raw of each occurrence: words, or pairs of words that are stemmed already.
+
+    A column tokens (array of strings) stands for the words of the text where df has one.
+    """
+    w = F.col("tokens") if "tokens" in df.columns else plain_words(F.col("document"), options)
+    if options.ngram == 1:
+        return df.select("identifier", F.explode(w).alias("raw"))
+    rows = df.select("identifier", w.alias("w"))
+    if options.stem:
+        rows = rows.withColumn("w", stemmed(F.col("w")))
+    return rows.select("identifier", F.explode(pairs(F.col("w"), options.start)).alias("raw"))
+
+
 def grams(df: DataFrame, options: Options) -> DataFrame:
     """identifier, raw, gram of each occurrence."""
-    w = plain_words(F.col("document"), options)
-    if options.ngram == 1:
-        rows = df.select("identifier", F.explode(w).alias("raw"))
-        return rows.withColumn("gram", regexp_stem(F.col("raw")) if options.stem else F.col("raw"))
-    stemmed = F.transform(w, regexp_stem) if options.stem else w
-    rows = df.select("identifier", F.explode(pairs(stemmed, options.start)).alias("gram"))
-    return rows.withColumn("raw", F.col("gram"))
+    rows = raw_grams(df, options)
+    return rows.withColumn("gram", stemmed(F.array("raw"))[0] if options.stem and options.ngram == 1 else F.col("raw"))
+
+
+def gram_table(df: DataFrame, options: Options, lemmas: DataFrame | None = None) -> DataFrame:
+    """raw, gram, n: grams whose raw count n reaches the threshold; words are stemmed, then looked up in lemmas (word, lemma), once each."""
+    counts = raw_grams(df, options).groupBy("raw").agg(F.count("*").alias("n")).where(F.col("n") >= options.threshold)
+    made = counts.withColumn("gram", stemmed(F.array("raw"))[0] if options.stem and options.ngram == 1 else F.col("raw"))
+    if lemmas is None:
+        return made
+    table = lemmas.groupBy(F.col("word").alias("_word")).agg(F.min("lemma").alias("_lemma"))
+    return made.join(table, F.col("gram") == F.col("_word"), "left").select("raw", F.lower(F.coalesce("_lemma", "gram")).alias("gram"), "n")
 
 
 def gram_counts(df: DataFrame, options: Options) -> DataFrame:
     """gram, n over all documents, for grams that reach the threshold."""
-    rows = grams(df, options)
-    n = rows.groupBy("raw").agg(F.count("*").alias("n"), F.first("gram").alias("gram")).where(F.col("n") >= options.threshold)
-    return n.groupBy("gram").agg(F.sum("n").alias("n"))
+    made = gram_table(df, options)
+    return made.groupBy("gram").agg(F.sum("n").alias("n")) if options.stem and options.ngram == 1 else made.select("gram", "n")
 
 
 def vocabulary(df: DataFrame, options: Options) -> DataFrame:
     """gram, feature: the sorted vocabulary numbered from 0."""
-    return number(gram_counts(df, options).select("gram"), "gram", 0, "feature")
+    return number(gram_table(df, options).select("gram").distinct(), "gram", 0, "feature")
 
 
 def presence(df: DataFrame, vocabulary_: DataFrame, options: Options) -> DataFrame:
@@ -88,23 +116,37 @@ def statistics(df: DataFrame, annotation: str, kind: str) -> DataFrame:
     return df
 
 
-def matrix(df: DataFrame, vocabulary_: DataFrame, options: Options) -> DataFrame:
-    """identifier, features: array of the sorted feature numbers, empty for none."""
-    held = presence(df, vocabulary_, options).groupBy("identifier").agg(F.sort_array(F.collect_list("feature")).alias("features"))
-    return df.join(held, "identifier", "left").withColumn("features", F.coalesce("features", F.array().cast("array<bigint>")))
+def csv_rows(rows: DataFrame, size: int, absent: int, extra: list[str], sparse: bool = False) -> DataFrame:
+    """One line of text for each row: features, then extra columns.
+
+    Features (sorted numbers) are written densely, the gaps between them as runs of the absent value, or
+    sparsely as {number value, ...} for the values that aren't zero.
+    """
+    f = F.col("features")
+    if sparse:
+        tail = [F.concat(F.lit(f"{size + k} "), F.col(e).cast("string")) for k, e in enumerate(extra)]
+        return rows.select(F.concat(F.lit("{"), F.array_join(F.concat(F.transform(f, lambda x: F.concat(x.cast("string"), F.lit(" 1"))), F.array(*tail)), ", "), F.lit("}")).alias("value"))
+    gap = f"{absent},"
+    before = F.concat(F.array(F.lit(-1).cast("bigint")), f)
+    runs = F.zip_with(f, F.slice(before, F.lit(1), F.size(f)), lambda x, y: F.concat(F.repeat(F.lit(gap), (x - y - 1).cast("int")), F.lit("1,")))
+    rest = F.repeat(F.lit(gap), F.lit(size) - 1 - F.coalesce(F.array_max(f), F.lit(-1)).cast("int"))
+    line = F.concat(F.array_join(runs, ""), rest, F.array_join(F.array(*[F.coalesce(F.col(e).cast("string"), F.lit("?")) for e in extra]), ",") if extra else F.lit(""))
+    return rows.select(F.regexp_replace(line, ",$", "").alias("value"))
+
 
+def attribute_line(name: Column) -> Column:
+    """The line that declares a numeric attribute; names of other than letters, digits and _ are quoted."""
+    quoted = F.concat(F.lit("'w_"), F.regexp_replace(F.regexp_replace(name, r"\\", r"\\\\"), "'", r"\\'"), F.lit("'"))
+    return F.concat(F.lit("@attribute "), F.when(name.rlike("^[A-Za-z0-9_]+$"), F.concat(F.lit("w_"), name)).otherwise(quoted), F.lit(" numeric"))
 
-def csv_rows(rows: DataFrame, size: int, absent: int, extra: list[str], label: str) -> DataFrame:
-    """One line of text for each row: dense features, then extra columns, then the label."""
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(F.array_contains("features", k.cast("bigint")), F.lit("1")).otherwise(F.lit(str(absent)))) if size else F.array().cast("array<string>")
-    parts = [dense, F.array(*[F.col(e).cast("string") for e in [*extra, label]])]
-    return rows.select(F.array_join(F.concat(*parts), ",").alias("value"))
 
+def header_lines(names: DataFrame, relation: str, extra: list[str]) -> DataFrame:
+    """(place, value) of an ARFF header: the vocabulary (gram, feature) stays distributed; extra are whole attribute lines.
 
-def arff_header(relation: str, names: list[str], extra: list[str], label: str, classes: list[str]) -> list[str]:
-    """Special attributes are prefixed, so no word can take their name."""
-    quoted = [n if n.replace("_", "").isalnum() else "'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names]
-    return [f"@relation {relation}", *(f"@attribute w_{q} numeric" if not q.startswith("'") else f"@attribute 'w_{q[1:]} numeric" for q in quoted), *(f"@attribute x_{e} numeric" for e in extra), f"@attribute x_{label} {{{','.join(classes)}}}", "@data"]
+    Attributes of words begin with w_, others with x_, so none can take the name of another.
+    """
+    few = names.sparkSession.createDataFrame([(-1, f"@relation {relation}"), *((2**40 + k, x) for k, x in enumerate([*extra, "@data"]))], "place long, value string")
+    return few.union(names.select(F.col("feature").cast("long").alias("place"), attribute_line(F.col("gram")).alias("value")))
 
 
 def word_shares(df: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -194,13 +236,29 @@ LONG_EXPORTERS = {
 }
 
 
+_COMMON = ("outputTable", "useStopWords", "stopWords", "threshold", "stem", "lemmise", "relation", "sparse")
+
+
 def _long_exporter(name: str, make):
-    @operator(name, ("path",))
+    @operator(name, ("path",), (*_COMMON, "exportLevel", "exportPresence", "exportSubjectivity", "normaliseCase", "stemmer", "normalisingRExp", "lemmatise", "stopPos"))
     def run(c: Corpus, s: Spec) -> Corpus:
-        from ..sources.sinks import write_csv
+        """A row for each value, with the class of its document; words are normalised first where attributes ask for it."""
+        from ..sources.sinks import write_text
+        from .normalise import Normaliser, normalised_words
 
         sub = c.dependent("subphrases").select(F.col("document_identifier").alias("identifier"), "annotation", "sentiment")
-        write_csv(make(c.input, sub.select("identifier", "annotation")).join(consensus(sub), "identifier"), s.get("path"))
+        made = make(c.input, sub.select("identifier", "annotation"))
+        if "word" in made.columns and any(s.get(k) for k in ("stemmer", "normalisingRExp", "stopWords", "normaliseCase")):
+            options = Normaliser(s.get("stopWords", False, bool), s.get("stemmer", "none"), s.get("normaliseCase", True, bool), s.get("normalisingRExp"))
+            distinct = made.select(F.col("word").alias("document")).distinct().withColumn("identifier", F.monotonically_increasing_id())
+            table = normalised_words(durable(distinct), options, c.table("lemmas") if s.get("lemmatise", False, bool) else None)
+            names = durable(distinct).join(table, "identifier").groupBy("document").agg(F.min("word").alias("_word"))
+            made = made.join(names, F.col("word") == F.col("document")).withColumn("word", F.col("_word")).drop("document", "_word").where("word NOT IN ('STOPPED', 'FILTERED')")
+        rows = made.join(consensus(sub), "identifier")
+        kinds = {"string": "string", "class": "{positive,neutral,negative,noconsensus}"}
+        head = [f"@relation {s.get('relation', 'corpus')}", *(f"@attribute {n} {kinds['class'] if n == 'class' else kinds.get(t, 'numeric')}" for n, t in rows.dtypes), "@data"]
+        quoted = [F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(n, r"\\", r"\\\\"), "'", r"\\'"), F.lit("'")) if t == "string" and n != "class" else F.coalesce(F.col(n).cast("string"), F.lit("?")) for n, t in rows.dtypes]
+        write_text(s.get("path"), c.spark.createDataFrame(list(enumerate(head)), "place long, value string"), rows.select(F.concat_ws(",", *quoted).alias("value")))
         return c
 
     return run
@@ -211,8 +269,6 @@ for _n, _f in LONG_EXPORTERS.items():
 
 
 EXPORTERS = {
-    "SemEvalUnigramDataExporter": Options(1),
-    "SemEvalBigramDataExporter": Options(2, 0),
     "BigramBinaryPresenceTotalNumberSubjectiveARFFExporter": Options(2, 1, statistics="total"),
     "BigramBinaryPresenceNumberSubjectiveARFFExporter": Options(2, 1, statistics="number"),
     "BigramBinaryPresencePercentageSubjectiveARFFExporter": Options(2, 0, statistics="percent"),
@@ -222,53 +278,112 @@ EXPORTERS = {
     "UnigramBinaryPresenceWithPercentageSubjectiveARFFExporter": Options(1, statistics="percent"),
     "UnigramBinaryPresenceARFFExporter": Options(1),
 }
-#: known by name, but not built: they need columns for pivots, and tagged tokens in place of words
-NOT_BUILT = ("CrossDomainUnigramPivotDataExporter", "BigramBinaryPresencePercentageSubjectiveGimpelTaggedARFFExporter")
 _STATISTICS = {"none": [], "total": ["num_subjective"], "number": ["num_positive", "num_negative", "num_neutral"], "percent": ["percent_positive", "percent_negative", "percent_neutral"]}
+_SIGN = "CASE sentiment WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END"
+
+
+def chosen(options: Options, s: Spec) -> Options:
+    """Options with what a step's attributes say; a threshold of 1 keeps every gram."""
+    stop = s.get("useStopWords", s.get("stopWords", False, bool), bool)
+    return replace(options, threshold=s.get("threshold", 1, int), stem=s.get("stem", False, bool), stop_words=stop)
 
 
-def export(c: Corpus, s: Spec, options: Options, domain: str | None = None) -> None:
-    """Write header and rows to the attribute path: ARFF text in two parts of a folder.
+def feature_rows(c: Corpus, rows: DataFrame, options: Options, lemmas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary of all documents, rows with features): gram, feature; and the sorted feature numbers of each row's document.
 
-    With a domain only its documents are rows; the vocabulary is that of all documents.
+    rows has one row for each line to come, several for a document if need be.
     """
+    table = durable(gram_table(c.input, options, lemmas))
+    names = durable(number(table.select("gram").distinct(), "gram", 0, "feature"))
+    numbers = table.select("raw", "gram").join(names, "gram").select("raw", "feature")
+    wanted = c.input.join(rows.select("identifier").distinct(), "identifier", "left_semi")
+    held = raw_grams(wanted, options).distinct().join(numbers, "raw").groupBy("identifier").agg(F.sort_array(F.collect_set("feature")).alias("features"))
+    return names, rows.join(held, "identifier", "left").withColumn("features", F.coalesce("features", F.array().cast("array<bigint>")))
+
+
+def export(c: Corpus, s: Spec, rows: DataFrame, options: Options, extra: dict[str, str], header: bool = True) -> None:
+    """Write ARFF text in two parts of a folder: the header, and a line for each of rows with its features and extra columns (name -> type)."""
     from ..sources.sinks import write_text
 
-    rows = c.input.join(c.dependent("subphrases").select(F.col("document_identifier").alias("identifier"), "annotation", "sentiment"), "identifier")
-    if domain is not None:
-        named = c.table("label_names_domains").where(F.col("label") == domain).select(F.col("label_identifier").alias("label"))
-        rows = rows.join(c.table("label_domains").join(named, "label").select(F.col("document_identifier").alias("identifier")), "identifier", "left_semi")
-    names = vocabulary(c.input, options).orderBy("feature").select("gram")
-    size = names.count()
-    table = vocabulary(c.input, options)
-    made = statistics(matrix(rows, table, options), "annotation", options.statistics)
-    extra = _STATISTICS[options.statistics]
-    classes = ["positive", "negative", "neutral"]
-    # an ARFF header lists its vocabulary, so its names pass through the driver, as the format demands
-    header = arff_header(s.get("relation", "corpus"), [r["gram"] for r in names.toLocalIterator()], extra, "sentiment", classes)
-    write_text(c.spark, s.get("path"), header, csv_rows(made, size, options.absent, extra, "sentiment"))
-
-
-def _exporter(name: str, options: Options, *required: str):
-    @operator(name, ("path", *required), ("relation", "threshold", "stem", "stopWords"))
+    lemmas = c.table("lemmas") if s.get("lemmise", False, bool) else None
+    names, made = feature_rows(c, rows, options, lemmas)
+    lines = header_lines(names, s.get("relation", "corpus"), [f"@attribute x_{n} {t}" for n, t in extra.items()]) if header else None
+    write_text(s.get("path"), lines, csv_rows(made, names.count(), options.absent, list(extra), s.get("sparse", False, bool)))
+
+
+def annotated(c: Corpus) -> DataFrame:
+    """identifier, document, annotation, sentiment: a row for each annotation of a document."""
+    return c.input.join(c.dependent("subphrases").select(F.col("document_identifier").alias("identifier"), "annotation", "sentiment"), "identifier")
+
+
+def labelled(c: Corpus, table: str, source: str) -> DataFrame:
+    """identifier, document, sentiment: documents of a source by their labels in a table."""
+    names = c.table(f"label_names_{table}").select(F.col("label_identifier").alias("label"), F.col("label").alias("sentiment"))
+    labels = c.table(f"label_{table}").join(names, "label").select(F.col("document_identifier").alias("identifier"), "sentiment")
+    return c.input.where(F.col("source") == source).join(labels, "identifier").select("identifier", "document", "sentiment")
+
+
+def training_rows(c: Corpus) -> DataFrame:
+    """Distinct documents and labels of both training sources.  Deviation: both are joined by document."""
+    return labelled(c, "sentiment", "train").union(labelled(c, "semval", "train_semval")).distinct()
+
+
+def _exporter(name: str, options: Options, tagged: bool = False):
+    @operator(name, ("path",), _COMMON)
     def run(c: Corpus, s: Spec) -> Corpus:
-        made = Options(options.ngram, options.start, s.get("threshold", options.threshold, int), options.absent, s.get("stem", False, bool), s.get("stopWords", False, bool), options.statistics)
-        export(c, s, made, s.get("domain") if "domain" in required else None)
+        own = c
+        if tagged:  # ids of tagged tokens stand for words
+            ids = c.dependent("pos_gimpel").select(F.col("document_identifier").alias("identifier"), F.col("tokens").cast("array<string>").alias("tokens"))
+            own = c.with_input(c.input.join(ids, "identifier"))
+        extra = {e: "numeric" for e in _STATISTICS[options.statistics]} | {"sentiment": "{positive,negative,neutral}"}
+        export(own, s, statistics(annotated(own), "annotation", options.statistics), chosen(options, s), extra)
         return c
 
     return run
 
 
-def _not_built(name: str):
-    @operator(name, ("path",))
+for _n, _o in EXPORTERS.items():
+    _exporter(_n, _o)
+_exporter("BigramBinaryPresencePercentageSubjectiveGimpelTaggedARFFExporter", Options(2, 0, statistics="percent"), True)
+
+
+def _sem_eval(name: str, options: Options):
+    @operator(name, ("path",), (*_COMMON, "source"))
     def run(c: Corpus, s: Spec) -> Corpus:
-        raise NotImplementedError(f"{name} is not built")
+        """Rows of the training sources, or of the test source; the class is 1, 0 or -1."""
+        rows = training_rows(c) if s.get("source") == "train" else labelled(c, "semval", "test").distinct()
+        export(c, s, rows.withColumn("sentiment_label", F.expr(_SIGN)), chosen(options, s), {"sentiment_label": "{1,0,-1}"})
+        return c
 
     return run
 
 
-for _n, _o in EXPORTERS.items():
-    _exporter(_n, _o)
-_exporter("CrossDomainUnigramDataExporter", Options(1), "domain")
-for _n in NOT_BUILT:
-    _not_built(_n)
+_sem_eval("SemEvalUnigramDataExporter", Options(1))
+_sem_eval("SemEvalBigramDataExporter", Options(2, 0))
+
+
+@operator("CrossDomainUnigramDataExporter", ("path", "domain"), _COMMON)
+def _cross_domain(c: Corpus, s: Spec) -> Corpus:
+    """Rows of one domain, without a header; the vocabulary is that of all documents, the class a number."""
+    named = c.table("label_names_domains").where(F.col("label") == s.get("domain")).select(F.col("label_identifier").alias("label"))
+    inside = c.table("label_domains").join(F.broadcast(named), "label").select(F.col("document_identifier").alias("identifier"))
+    rows = annotated(c).join(inside, "identifier", "left_semi").withColumn("sentiment", F.expr(_SIGN))
+    export(c, s, rows, chosen(Options(1), s), {"sentiment": "numeric"}, header=False)
+    return c
+
+
+@operator("CrossDomainUnigramPivotDataExporter", ("path", "pivots"), (*_COMMON, "test_domain"))
+def _pivots(c: Corpus, s: Spec) -> Corpus:
+    """Rows of the training sources with a column for each pivot word after the words; absent is -1, and there is no class.
+
+    Deviation: pivots have columns of their own after the last word, and one that isn't in the vocabulary is absent.
+    """
+    from ..sources.corpora import pivots
+
+    words_ = sorted({r["pivot"] for r in pivots(c.spark, s.get("pivots")).collect()})  # columns of the file to write
+    options = replace(chosen(Options(1), s), absent=-1)
+    rows = training_rows(c).select("identifier", "document").distinct()
+    held = F.array_distinct(plain_words(F.col("document"), options))
+    made = rows.withColumns({p: F.when(F.array_contains(held, p.removesuffix("_pivot")), 1).otherwise(-1) for p in words_})
+    export(c, s, made, options, dict.fromkeys(words_, "numeric"))
+    return c

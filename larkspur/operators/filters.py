@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
@@ -31,11 +31,17 @@ def drop_line_breaks(df: DataFrame) -> DataFrame:
 def unique_documents(df: DataFrame) -> DataFrame:
     """Every copy of a repeated text goes.
 
-    Counted by an aggregate of text hashes with partial sums, so a text that a third of all rows
-    share is no hot group; rows are then dropped by a semi join on the hash and the text.
+    Texts are counted and looked up by 128-bit hashes.  The count has partial sums, and a join without the
+    right side's rows is one whose skewed partitions Spark splits, so a text that a third of all rows share
+    is no hot group.
     """
-    once = df.groupBy("document").agg(F.count("*").alias("n")).where("n = 1").select("document")
-    return df.join(once, "document", "left_semi")
+    rows = df.withColumn("_key", _hash("document"))
+    repeated = rows.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    return rows.join(repeated, "_key", "left_anti").drop("_key")
+
+
+def _hash(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
 def unique_text(df: DataFrame) -> DataFrame:
@@ -46,15 +52,15 @@ def unique_text(df: DataFrame) -> DataFrame:
     dropped if its text has several rows, except where the last pair ends the order.
     That pair is found from the greatest text alone, so there is no single-partition sort.
     """
-    rows = df.withColumn("_text", without_urls(F.col("document")))
-    counts = rows.groupBy("_text").agg(F.count("*").alias("_n"), F.max("identifier").alias("_last"))
-    last = counts.orderBy(F.desc("_text")).limit(1).select(F.col("_text").alias("_end"))
+    rows = df.withColumn("_text", without_urls(F.col("document"))).withColumn("_key", _hash("_text"))
+    counts = rows.groupBy("_key").agg(F.count("*").alias("_n"), F.max("identifier").alias("_last"))
+    last = rows.agg(F.max("_text").alias("_end")).select(_hash("_end").alias("_end"))  # one row
     # of the greatest text's n rows the pair (n-1, n) isn't compared: with n = 2 both stay, with more the last
-    kept = counts.join(F.broadcast(last), F.col("_text") == F.col("_end"), "left")
+    kept = counts.join(F.broadcast(last), F.col("_key") == F.col("_end"), "left")
     at_end = F.col("_end").isNotNull()
     all_stay = (F.col("_n") == 1) | (at_end & (F.col("_n") == 2))
-    kept = kept.where(all_stay | at_end).select(F.col("_text"), F.when(all_stay, F.lit(None).cast("long")).otherwise(F.col("_last")).alias("_only"))
-    return rows.join(kept, "_text").where(F.col("_only").isNull() | (F.col("identifier") == F.col("_only"))).select(*df.columns)
+    kept = kept.where(all_stay | at_end).select(F.col("_key"), F.when(all_stay, F.lit(None).cast("long")).otherwise(F.col("_last")).alias("_only"))
+    return rows.join(kept, "_key").where(F.col("_only").isNull() | (F.col("identifier") == F.col("_only"))).select(*df.columns)
 
 
 def popular(labels: DataFrame, count: int) -> DataFrame:
@@ -113,25 +119,25 @@ def _after(c: Corpus, s: Spec, name: str) -> Corpus:
     return c
 
 
-@operator("LabelFilter", ("table",), ("temporary", "delete"))
+@operator("LabelFilter", ("src",), ("temporary", "delete"))
 def _label_filter(c: Corpus, s: Spec) -> Corpus:
-    name = s.get("table")
+    name = s.get("src")
     most = [int(x.get("count")) for x in s.all("RetainMostPopularLabels")]
     keep = [int(x.get("id", x.get("label"))) for x in s.all("RetainLabel")]
     return _after(c.with_input(label_filter(c.input, c.labels(name), keep, most[0] if most else None)), s, name)
 
 
-@operator("HasLabelFilter", ("table",), ("temporary", "delete"))
+@operator("HasLabelFilter", ("src",), ("temporary", "delete"))
 def _has_label(c: Corpus, s: Spec) -> Corpus:
-    return _after(c.with_input(without_label(c.input, c.labels(s.get("table")))), s, s.get("table"))
+    return _after(c.with_input(without_label(c.input, c.labels(s.get("src")))), s, s.get("src"))
 
 
-@operator("HasNoLabelFilter", ("table",), ("temporary", "delete"))
+@operator("HasNoLabelFilter", ("src",), ("temporary", "delete"))
 def _has_no_label(c: Corpus, s: Spec) -> Corpus:
-    return _after(c.with_input(with_label(c.input, c.labels(s.get("table")))), s, s.get("table"))
+    return _after(c.with_input(with_label(c.input, c.labels(s.get("src")))), s, s.get("src"))
 
 
-@operator("Stemmer")
+@operator("Stemmer", (), ("dest", "verbose"))
 def _stemmer(c: Corpus, s: Spec) -> Corpus:
     """Lower case: a stemmer of single letters changes nothing else."""
     return c.with_input(c.input.withColumn("document", F.lower("document")))

@@ -11,8 +11,8 @@ from ..functions.text import pairs, words
 from ..registry import Spec, operator
 
 #: fixed values
-GOOD = (":)", ":-)", ": )", ":D", "=)", ";)")
-BAD = (":(", ":-(", ": (")
+GOOD = (":)", ";)", ":-)", ";-)", ":D", ":-D")
+BAD = (":(", ":-(", "D:")
 
 
 def literal_labels(df: DataFrame, value: Column) -> DataFrame:
@@ -91,13 +91,13 @@ def emoticon(text: Column) -> Column:
 
 def split_label(identifier: Column, share: float, seed: int = 0) -> Column:
     """1 (test) for about share of all ids, by a hash that any SQL can compute."""
-    return F.when(((identifier + seed) * F.lit(2654435761)) % 1000 < int(round(share * 1000)), 1).otherwise(0)
+    return F.when((F.pmod(identifier + seed, F.lit(1_000_003)) * F.lit(2654435761)) % 1000 < int(round(share * 1000)), 1).otherwise(0)
 
 
 def _literal(name: str, value, required: tuple[str, ...] = (), optional: tuple[str, ...] = ()):
-    @operator(name, ("table", *required), optional)
+    @operator(name, ("dest", *required), optional)
     def run(c: Corpus, s: Spec) -> Corpus:
-        table = f"temporary_label_{s.get('table')}"
+        table = f"temporary_label_{s.get('dest')}"
         made = literal_labels(c.input, value(s))
         return c.with_table(table, c.table(table).select("document_identifier", "label").unionByName(made) if c.has(table) else made)
 
@@ -105,23 +105,23 @@ def _literal(name: str, value, required: tuple[str, ...] = (), optional: tuple[s
 
 
 def _enumerating(name: str, tokens):
-    @operator(name, ("table",))
+    @operator(name, ("dest",))
     def run(c: Corpus, s: Spec) -> Corpus:
-        table = f"temporary_label_{s.get('table')}"
+        table = f"temporary_label_{s.get('dest')}"
         first = 0
         if c.has(table):
-            first = (c.table(table).agg(F.max("label")).first()[0] or -1) + 1
+            first = c.table(table).agg(F.coalesce(F.max("label"), F.lit(-1))).first()[0] + 1
         made = token_labels(c.input, tokens(F.col("document")), first).select("document_identifier", "label")
         return c.with_table(table, c.table(table).select("document_identifier", "label").unionByName(made) if c.has(table) else made)
 
     return run
 
 
-_literal("LengthLabeller", lambda s: length_bin(F.length("document"), s.get("binSize", 1, int)), (), ("binSize",))
-_literal("SpecialCharacterLengthLabeller", lambda s: length_bin(special_characters(F.col("document")), s.get("binSize", 1, int)), (), ("binSize",))
+_literal("LengthLabeller", lambda s: length_bin(F.length("document"), s.get("binSize", kind=int)), ("binSize",))
+_literal("SpecialCharacterLengthLabeller", lambda s: length_bin(special_characters(F.col("document")), s.get("binSize", kind=int)), ("binSize",))
 _literal("ProbablySpamUnicodeLabeller", lambda s: probably_spam(F.col("document")))
 _literal("EmoticonLabeller", lambda s: emoticon(F.col("document")))
-_literal("TrainingTestSplitLabeller", lambda s: split_label(F.col("identifier"), s.get("testProportion", 0.5, float), s.get("seed", 0, int)), (), ("testProportion", "seed"))
+_literal("TrainingTestSplitLabeller", lambda s: split_label(F.col("identifier"), s.get("testProportion", kind=float), s.get("seed", 0, int)), ("testProportion",), ("seed",))
 _enumerating("HashTagLabeller", hash_tags)
 _enumerating("AtMentionLabeller", mentions)
 _enumerating("BasicWordLabeller", basic_words)

@@ -5,7 +5,7 @@ A lexicon is a table (word, pos, id, positive, negative), a row per word and syn
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
@@ -71,13 +71,26 @@ def synset_distance(df: DataFrame, tokens: DataFrame, similarity: DataFrame, dol
     tokens: (document_identifier, synset); similarity: (synset, target, similarity).  1.0 where
     the document holds $ and dollar is set; null without any.
     """
-    best = tokens.join(similarity, "synset").groupBy("document_identifier", "target").agg(F.max("similarity").alias("s"))
+    return mean_best(df, tokens.join(similarity, "synset"), dollar, name)
+
+
+def mean_best(df: DataFrame, found: DataFrame, dollar: bool, name: str) -> DataFrame:
+    """df with the mean over targets of the best similarity of found (document_identifier, target, similarity)."""
+    best = found.groupBy("document_identifier", "target").agg(F.max("similarity").alias("s"))
     mean = best.groupBy("document_identifier").agg(F.avg("s").alias("_mean"))
     out = df.join(mean, df["identifier"] == mean["document_identifier"], "left").drop("document_identifier")
     value = F.when(F.col("document").contains("$") & F.lit(dollar), F.lit(1.0)).otherwise(F.col("_mean"))
     return out.withColumn(name, value).drop("_mean")
 
 
+@operator("DomainSpecificAnnotator", ("column", "domain"))
+def _in_domain(c: Corpus, s: Spec) -> Corpus:
+    """A column of input is kept for the documents of one domain only, and null elsewhere."""
+    named = c.table("label_names_domains").where(F.col("label") == s.get("domain")).select(F.col("label_identifier").alias("label"))
+    labels = c.table("label_domains").join(F.broadcast(named), "label").select("document_identifier", F.lit(1).alias("label"))
+    return c.with_input(in_domain(c.input, labels, 1, s.get("column")))
+
+
 def in_domain(df: DataFrame, labels: DataFrame, domain: int, column: str) -> DataFrame:
     """df with column set to null outside one domain label."""
     inside = labels.where(F.col("label") == domain).select(F.col("document_identifier").alias("identifier")).distinct().withColumn("_in", F.lit(True))
@@ -85,10 +98,11 @@ def in_domain(df: DataFrame, labels: DataFrame, domain: int, column: str) -> Dat
 
 
 def _strength(name: str, either: bool):
-    @operator(name, ("table",), ("threshold", "lexicon"))
+    @operator(name, ("dest", "threshold"), ("lexicon",))
     def run(c: Corpus, s: Spec) -> Corpus:
-        made = strength_labels(c.input, c.table(s.get("lexicon", "lexicon")), s.get("threshold", 0.5, float), either)
-        return c.with_table(f"temporary_label_{s.get('table')}", made)
+        made = strength_labels(c.input, c.table(s.get("lexicon", "lexicon")), s.get("threshold", kind=float), either)
+        table = f"temporary_label_{s.get('dest')}"
+        return c.with_table(table, c.table(table).select("document_identifier", "label").unionByName(made) if c.has(table) else made)
 
     return run
 
@@ -110,9 +124,24 @@ def _wsd(c: Corpus, s: Spec) -> Corpus:
     return c.with_table(f"pos_off_{name}", off.drop("synset").join(found.withColumnRenamed("at", "start"), ["document_identifier", "start"], "left"))
 
 
-@operator("FinancialDistanceAnnotator", ("table",), ("similarity", "detectDollar", "outputColumn"))
+def compatible(tokens: DataFrame, target: str = "target") -> Column:
+    """Whether a tag may have a synset's part of speech: the target's second part, as in word.n.01, against
+    the tag after the token's last slash; tokens without a tag fit any."""
+    kind = F.element_at(F.split(F.col(target), r"\."), -2)
+    tag = F.upper(F.when(F.col("token").contains("/"), F.element_at(F.split("token", "/"), -1)))
+    starts = F.create_map(*[F.lit(x) for kv in (("n", "N"), ("v", "V"), ("a", "J"), ("s", "J"), ("r", "R")) for x in kv])
+    return tag.isNull() | F.startswith(tag, F.try_element_at(starts, kind)) | ((kind == "a") & (tag == "A"))
+
+
+@operator("FinancialDistanceAnnotator", ("pos",), ("annotateStockTweets", "similarity", "outputColumn"))
 def _financial(c: Corpus, s: Spec) -> Corpus:
-    tokens = c.dependent(f"pos_off_{s.get('table')}").select("document_identifier", "synset").where("synset IS NOT NULL")
-    wanted = [x.get("name") for x in s.all("Synset")]
+    """Nested Synset elements name the targets.  The table similarity has (word, target, similarity): the best path
+    similarity of any sense of a word."""
+    from .tokens import tokens_of
+
+    wanted = [x.get("text") for x in s.all("Synset")]
     table = c.table(s.get("similarity", "similarity"))
-    return c.with_input(synset_distance(c.input, tokens, table.where(F.col("target").isin(wanted)) if wanted else table, s.get("detectDollar", True, bool), s.get("outputColumn", "distance")))
+    table = table.where(F.col("target").isin(wanted)) if wanted else table
+    rows = tokens_of(c, s.get("pos")).withColumn("word", F.lower(F.regexp_replace("token", "/[^/]*$", "")))
+    fit = rows.join(table, "word").where(compatible(rows)).select("document_identifier", "target", "similarity")
+    return c.with_input(mean_best(c.input, fit, s.get("annotateStockTweets", False, bool), s.get("outputColumn", "distance")))

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import durable
 from ..corpus import Corpus
-from ..functions.text import decile, words
+from ..functions.text import decile, letters_only, words
 from ..registry import Spec, operator
 from .annotations import positions, subjectivity_vector, vectors
 
@@ -21,29 +22,52 @@ def empirical(annotations: DataFrame) -> DataFrame:
     return vectors(subjectivity_vector(annotations))
 
 
-def fixed(df: DataFrame, entry: dict[str, float], forward: dict[tuple[str, str], float] | None = None, default: float = 0.0, legacy: bool = False) -> DataFrame:
-    """Entry score of each word, plus the forward score of its step from the word before.
+def human(annotations: DataFrame) -> DataFrame:
+    """The observed shares, each as its decile class stands for."""
+    return empirical(annotations).select("identifier", F.transform("annotation", lambda p: class_value(decile(p))).alias("annotation"))
 
-    Deviation: one entry for each word; legacy appends the scores of the words once more.
-    """
-    table = F.create_map(*[F.lit(x) for kv in sorted(entry.items()) for x in kv]) if entry else F.create_map().cast("map<string,double>")
-    steps = {f"{a}\t{b}": v for (a, b), v in (forward or {}).items()}
-    moves = F.create_map(*[F.lit(x) for kv in sorted(steps.items()) for x in kv]) if steps else F.create_map().cast("map<string,double>")
-    split = words(F.lower("document"))
-    one = F.transform(split, lambda w, i: F.coalesce(F.try_element_at(table, w), F.lit(default)) + F.when(i > 0, F.coalesce(F.try_element_at(moves, F.concat_ws("\t", F.get(split, i - 1), w)), F.lit(0.0))).otherwise(0.0))
-    return df.select("identifier", (F.concat(one, one) if legacy else one).alias("annotation"))
+
+LITERAL = 1000  # scores that are looked up in a literal of the plan; more are joined
 
 
-def clean_words(text: Column) -> Column:
-    """(at, word) of words that count: capitalised ones after the first don't; lower case, letters only."""
-    split = words(text)
-    kept = F.transform(split, lambda w, i: F.when((i > 0) & w.rlike("^[A-Z]"), F.lit(None)).otherwise(F.regexp_replace(F.lower(w), "[^a-z]", "")))
-    return F.filter(kept, lambda w: w.isNotNull())
+def fixed(df: DataFrame, entry: dict[str, float] | DataFrame, forward: dict[str, float] | DataFrame | None = None, legacy: bool = False) -> DataFrame:
+    """Entry score of each word, plus the forward score of the word before.
+
+    Words are those of the text's letters and blanks, empty ones left out, and are looked up as they are written.
+    Scores are a dict, or a table (word, score) of any size.  Deviation: one entry for each
+    word; legacy appends the words' entry scores once more.
+    """
+    letters = F.filter(words(letters_only(F.col("document"))), lambda w: w != "")
+    if all(x is None or (isinstance(x, dict) and len(x) <= LITERAL) for x in (entry, forward)):
+        rows = df.select("identifier", letters.alias("w"))
+        of = lambda scores, w: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(scores.items()) for x in kv]), w), F.lit(0.0)) if scores else F.lit(0.0)
+        rows = rows.select("identifier", F.transform("w", lambda w: of(entry, w)).alias("e"), F.transform("w", lambda w: of(forward, w)).alias("f"))
+        moved = F.concat(F.array(F.lit(0.0)), "f")
+        one = F.zip_with("e", F.slice(moved, F.lit(1), F.size("e")), lambda a, b: a + b)
+        return rows.select("identifier", (F.concat(one, F.col("e")) if legacy else one).alias("annotation"))
+    table = lambda x, name: (x if isinstance(x, DataFrame) else df.sparkSession.createDataFrame(sorted((x or {}).items()), "word string, score double")).select("word", F.col("score").alias(name))
+    rows = df.select("identifier", F.posexplode(letters).alias("at", "word")).join(table(entry, "e"), "word", "left").join(table(forward, "f"), "word", "left").fillna(0.0, ["e", "f"])
+    lists = rows.groupBy("identifier").agg(F.sort_array(F.collect_list(F.struct("at", "e", "f"))).alias("s"))
+    moved = F.concat(F.array(F.lit(0.0)), "s.f")
+    one = F.zip_with("s.e", F.slice(moved, F.lit(1), F.size("s")), lambda a, b: a + b)
+    out = lists.select("identifier", (F.concat(one, F.col("s.e")) if legacy else one).alias("annotation"))
+    return df.select("identifier").join(out, "identifier", "left").select("identifier", F.coalesce("annotation", F.array().cast("array<double>")).alias("annotation"))
+
+
+def counted_words(text: Column) -> Column:
+    """(at, word) of the space-split words that count, at being the place in the text.
+
+    Empty words don't count, nor capitalised ones but for the first; words are in lower case, letters only, and
+    those left empty don't count either.
+    """
+    kept = F.filter(F.transform(words(text), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"] != "")
+    kept = F.filter(kept, lambda x, j: (j == 0) | (F.lower(F.left(x["word"], F.lit(1))) == F.left(x["word"], F.lit(1))))
+    return F.filter(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), F.regexp_replace(F.lower(x["word"]), "[^a-z]", "").alias("word"))), lambda x: x["word"] != "")
 
 
 def labelled_words(df: DataFrame, shares: DataFrame) -> DataFrame:
-    """identifier, at, word, class: words with the decile class of the share at their new place."""
-    rows = df.select("identifier", F.posexplode(clean_words(F.col("document"))).alias("at", "word"))
+    """identifier, at, word, class: counted words with the decile class of the share at their place in the text."""
+    rows = df.select("identifier", F.inline(counted_words(F.col("document"))))
     return rows.join(shares, ["identifier", "at"]).select("identifier", "at", "word", decile(F.col("share")).alias("class"))
 
 
@@ -61,15 +85,15 @@ def bayes_table(words_: DataFrame) -> DataFrame:
 
 
 def class_value(c: Column) -> Column:
-    """The share that a decile class stands for: zero for the lowest."""
-    return F.when(c > 0, (c.cast("double") + 1) / 10).otherwise(0.0)
+    """The share that a decile class stands for, a tenth of it."""
+    return c.cast("double") / 10
 
 
 def bayesian(df: DataFrame, table: DataFrame) -> DataFrame:
-    """The class value of each counted word; words not in the table are 0."""
-    rows = df.select("identifier", F.posexplode(clean_words(F.col("document"))).alias("at", "word"))
+    """The class value of each counted word; words not in the table are 0, and a text without such words is one 0."""
+    rows = df.select("identifier", F.posexplode(counted_words(F.col("document"))).alias("at", "x")).select("identifier", "at", "x.word")
     scored = rows.join(table.select("word", "class"), "word", "left").select("identifier", "at", F.coalesce(class_value(F.col("class")), F.lit(0.0)).alias("share"))
-    return vectors(scored)
+    return df.select("identifier").join(vectors(scored), "identifier", "left").select("identifier", F.coalesce("annotation", F.array(F.lit(0.0))).alias("annotation"))
 
 
 CLASSES = 10
@@ -130,30 +154,35 @@ def markov(df: DataFrame, model: tuple[np.ndarray, DataFrame], unseen: float = -
             out = []
             for s in batch.column(1).to_pylist():
                 e = np.array([x["e"] for x in s], float).reshape(len(s), CLASSES)
-                out.append([(c + 1) / 10 if c else 0.0 for c in viterbi(trans, e)])
+                out.append([c / 10 for c in viterbi(trans, e)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["identifier", "annotation"])
 
     return seq.mapInArrow(decode, "identifier long, annotation array<double>")
 
 
+def _error(predicted: DataFrame, observed: DataFrame, of) -> DataFrame:
+    """identifier, error: the sum over positions of ``of`` the difference, where a missing value is 0.
+
+    A row for each pair of a predicted and an observed vector of one document; documents without either have none.
+    """
+    both = predicted.select("identifier", F.col("annotation").alias("p")).join(observed.select("identifier", F.col("annotation").alias("o")), "identifier")
+    none = F.array().cast("array<double>")
+    steps = F.zip_with(F.coalesce("p", none), F.coalesce("o", none), lambda p, o: of(F.coalesce(p, F.lit(0.0)) - F.coalesce(o, F.lit(0.0))))
+    return both.select("identifier", F.aggregate(steps, F.lit(0.0), lambda a, x: a + x).alias("error"))
+
+
 def squared_error(predicted: DataFrame, observed: DataFrame) -> DataFrame:
     """identifier, error: the sum of squared differences over positions; a missing one is 0."""
-    p = predicted.select("identifier", F.posexplode("annotation").alias("at", "p"))
-    o = observed.select("identifier", F.posexplode("annotation").alias("at", "o"))
-    both = p.join(o, ["identifier", "at"], "full_outer")
-    return both.groupBy("identifier").agg(F.sum(F.pow(F.coalesce("p", F.lit(0.0)) - F.coalesce("o", F.lit(0.0)), F.lit(2.0))).alias("error"))
+    return _error(predicted, observed, lambda d: d * d)
 
 
 def absolute_error(predicted: DataFrame, observed: DataFrame) -> DataFrame:
-    p = predicted.select("identifier", F.posexplode("annotation").alias("at", "p"))
-    o = observed.select("identifier", F.posexplode("annotation").alias("at", "o"))
-    both = p.join(o, ["identifier", "at"], "full_outer")
-    return both.groupBy("identifier").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("o", F.lit(0.0)))).alias("error"))
+    return _error(predicted, observed, F.abs)
 
 
 def fold(identifier: Column, folds: int, seed: int = 0) -> Column:
     """0 .. folds-1 by a hash that any SQL can compute."""
-    return (F.shiftright((identifier + seed) * F.lit(2654435761), 16) % folds).cast("int")
+    return (F.shiftright(F.pmod(identifier + seed, F.lit(1_000_003)) * F.lit(2654435761), 16) % folds).cast("int")
 
 
 def cross_validate(df: DataFrame, annotations: DataFrame, train_and_tag, folds: int = 10, seed: int = 0) -> DataFrame:
@@ -169,30 +198,44 @@ def cross_validate(df: DataFrame, annotations: DataFrame, train_and_tag, folds:
     return out
 
 
-def context_features(df: DataFrame) -> DataFrame:
-    """identifier, at, features: words at offsets -2..2, pairs of neighbours, and marks of both ends."""
+def _runs(field: str, longest: int, first: int = -2, last: int = 2) -> list[tuple[tuple[str, int], ...]]:
+    """All runs of up to ``longest`` neighbouring offsets."""
+    return [tuple((field, k + j) for j in range(n)) for n in range(1, longest + 1) for k in range(first, last - n + 2)]
+
+
+#: attribute templates: words at offsets -2 to 2 and pairs with the word itself; tags alone, in pairs and in threes
+WORD_TEMPLATES = [*_runs("w", 1), *(t for t in _runs("w", 2) if len(t) == 2 and ("w", 0) in t)]
+TAG_TEMPLATES = _runs("pos", 3)
+
+
+def context_features(df: DataFrame, tags: str | None = None) -> DataFrame:
+    """identifier, at, features: the attributes of each word by the templates, and marks of both ends.
+
+    tags: an array column of a tag for each space-split word; without it only words are looked at.
+    """
     from pyspark.sql import Window
 
-    rows = df.select("identifier", F.posexplode(words(F.col("document"))).alias("at", "w"))
-    w = Window.partitionBy("identifier").orderBy("at")
-    at = {k: (F.col("w") if k == 0 else F.lag("w", -k).over(w) if k < 0 else F.lead("w", k).over(w)) for k in range(-2, 3)}
-    at = {k: (F.lag("w", -k).over(w) if k < 0 else v) for k, v in at.items()}
-    single = [F.concat(F.lit(f"w[{k}]="), v) for k, v in at.items()]
-    double = [F.concat(F.lit(f"w[{a}]|w[{b}]="), at[a], F.lit("|"), at[b]) for a, b in ((-1, 0), (0, 1))]
-    ends = [F.when(at[-1].isNull(), F.lit("__BOS__")), F.when(at[1].isNull(), F.lit("__EOS__"))]
-    return rows.select("identifier", "at", F.filter(F.array(*single, *double, *ends), lambda x: x.isNotNull()).alias("features"))
+    split = words(F.col("document"))
+    rows = df.select("identifier", F.posexplode(F.arrays_zip(split.alias("w"), F.col(tags).alias("pos"))).alias("at", "x")).select("identifier", "at", "x.w", "x.pos") if tags else df.select("identifier", F.posexplode(split).alias("at", "w"))
+    near = Window.partitionBy("identifier").orderBy("at")
+    templates = [*WORD_TEMPLATES, *(TAG_TEMPLATES if tags else [])]
+    spot = {x: F.col(x[0]) if not x[1] else F.lag(x[0], -x[1]).over(near) if x[1] < 0 else F.lead(x[0], x[1]).over(near) for t in templates for x in t}
+    name = lambda t: "|".join(f"{f}[{k}]" for f, k in t) + "="
+    made = [F.concat(F.lit(name(t)), *[y for k, x in enumerate(t) for y in ([F.lit("|")] if k else []) + [spot[x]]]) for t in templates]
+    ends = [F.when(F.lag("at").over(near).isNull(), F.lit("__BOS__")), F.when(F.lead("at").over(near).isNull(), F.lit("__EOS__"))]
+    return rows.select("identifier", "at", F.array_compact(F.array(*made, *ends)).alias("features"))
 
 
 def _parts(c: Corpus, s: Spec) -> tuple[DataFrame, DataFrame, str]:
-    """(documents to tag, annotations to learn from, table to write)."""
+    """(documents to tag, annotations to learn from, table to write); DataFlow names the files that either comes from."""
     marks = c.dependent("subphrases").select(F.col("document_identifier").alias("identifier"), "annotation")
     flow = s.all("DataFlow")
     docs = c.input
     if flow and c.has("label_amt"):
-        names = c.table("label_names_amt")
-        bridge = c.table("label_amt").join(names, c.table("label_amt")["label"] == names["label_identifier"]).select(F.col("document_identifier").alias("identifier"), names["label"].alias("_l"))
-        source = [x.get("name") for f in flow for x in f.all("Source")]
-        target = [x.get("name") for f in flow for x in f.all("Target")]
+        names = c.table("label_names_amt").select(F.col("label_identifier").alias("label"), F.col("label").alias("_l"))
+        bridge = c.table("label_amt").join(names, "label").select(F.col("document_identifier").alias("identifier"), "_l")
+        source = [x.get("text") for f in flow for x in f.all("Source")]
+        target = [x.get("text") for f in flow for x in f.all("Target")]
         if source:
             marks = marks.join(bridge.where(F.col("_l").isin(source)), "identifier", "left_semi")
         if target:
@@ -200,8 +243,12 @@ def _parts(c: Corpus, s: Spec) -> tuple[DataFrame, DataFrame, str]:
     return docs, marks, f"subphrases_{s.get('outputTable')}"
 
 
+#: further attributes that workflows give: normalisation and files of a sequence trainer that is not at hand
+NORMALISING = ("useSentiWordNet", "useMQPA", "normalisingRExp", "normaliseCase", "stemmer", "lemmatise", "stopWords", "stopPos", "lesk", "min", "max", "trainPath", "testPath", "train_path", "test_path", "results_path")
+
+
 def _annotator(name: str, make, *optional: str):
-    @operator(name, ("outputTable",), optional)
+    @operator(name, ("outputTable",), (*optional, *NORMALISING))
     def run(c: Corpus, s: Spec) -> Corpus:
         docs, marks, table = _parts(c, s)
         made = make(c, s, docs, marks)
@@ -215,27 +262,89 @@ def _learned(c: Corpus, marks: DataFrame) -> DataFrame:
 
 
 _annotator("EmpiricalSubjectivePhraseAnnotator", lambda c, s, d, m: empirical(m).join(d.select("identifier"), "identifier", "left_semi"))
-_annotator("HumanBasedSubjectivePhraseAnnotator", lambda c, s, d, m: empirical(m).join(d.select("identifier"), "identifier", "left_semi"))
+_annotator("HumanBasedSubjectivePhraseAnnotator", lambda c, s, d, m: human(m).join(d.select("identifier"), "identifier", "left_semi"))
 _annotator(
     "FixedSubjectivePhraseAnnotator",
     lambda c, s, d, m: fixed(
         d,
-        {w.get("word"): w.get("score", 0.0, float) for e in s.all("EntryNodes") for w in e.all("Word")},
-        {(w.get("from"), w.get("word")): w.get("score", 0.0, float) for e in s.all("ForwardTransitionNodes") for w in e.all("Word")},
-        s.get("default", 0.0, float),
+        {w.get("string"): w.get("prob", 0.0, float) for e in s.all("EntryNodes") for w in e.all("Word")},
+        {w.get("string"): w.get("prob", 0.0, float) for e in s.all("ForwardTransitionNodes") for w in e.all("Word")},
         s.get("legacy", False, bool),
     ),
-    "default",
     "legacy",
 )
 _annotator("NLTKSubjectivePhraseBayesianAnnotator", lambda c, s, d, m: bayesian(d, bayes_table(_learned(c, m))))
 _annotator("NLTKSubjectivePhraseMarkovAnnotator", lambda c, s, d, m: markov(d, markov_model(_learned(c, m))))
 # No CRF trainer is at hand: sequence labels come from the Markov model; features can be exported for one.
-for _name in ("ProduceCRFSTagList", "CRFSubjectivityTagger"):
-    _annotator(_name, lambda c, s, d, m: markov(d, markov_model(_learned(c, m))))
 _annotator("CRFSubjectiveAnnotator", lambda c, s, d, m: markov(d, markov_model(_learned(c, m))))
 
 
+@operator("ProduceCRFSTagList", ("train_path", "test_path"), ("results_path",))
+def _tag_list(c: Corpus, s: Spec) -> Corpus:
+    """Learn from a file of tagged sequences (word, tag, class to a line), tag those of another, and write or keep the classes."""
+    from ..sources.corpora import sequences
+    from ..sources.sinks import write_csv
+
+    def rows(path: str) -> DataFrame:
+        seq = sequences(c.spark, path).withColumn("identifier", F.monotonically_increasing_id())
+        return durable(seq.select("identifier", F.posexplode("items").alias("at", "x")).select("identifier", "at", F.col("x.w").alias("word"), F.col("x.y").alias("y")))
+
+    known = rows(s.get("train_path")).select("identifier", "at", "word", F.least(F.coalesce(F.col("y").try_cast("int"), F.lit(0)), F.lit(CLASSES - 1)).alias("class"))
+    asked = rows(s.get("test_path")).groupBy("identifier").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "word"))).getField("word"), " ").alias("document"))
+    made = markov(asked, markov_model(known))
+    if s.get("results_path"):
+        write_csv(made.select("identifier", F.array_join(F.col("annotation").cast("array<string>"), " ").alias("annotation")), s.get("results_path"))
+    return c.with_table("tag_list", made)
+
+
+def save_model(model: tuple[np.ndarray, DataFrame], path: str) -> None:
+    """A Markov model as two Parquet tables."""
+    trans, emission = model
+    spark = emission.sparkSession
+    cells = [(i, j, float(x)) for (i, j), x in np.ndenumerate(trans)]
+    spark.createDataFrame(cells, "a int, b int, p double").coalesce(1).write.mode("overwrite").parquet(f"{path}/transitions")
+    emission.select("word", "class", "e").write.mode("overwrite").parquet(f"{path}/emissions")
+
+
+def load_model(spark, path: str) -> tuple[np.ndarray, DataFrame]:
+    trans = np.zeros((CLASSES + 2, CLASSES + 2))
+    for r in spark.read.parquet(f"{path}/transitions").collect():  # a cell for each pair of classes
+        trans[r["a"], r["b"]] = r["p"]
+    return trans, spark.read.parquet(f"{path}/emissions")
+
+
+def agreement(predicted: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row: counts of words that are (not) subjective by both or either, precision, recall and F; half and more is subjective."""
+    from .results import confusion
+
+    rows = predicted.select("identifier", F.posexplode("annotation").alias("at", "p")).join(observed.select("identifier", F.posexplode("annotation").alias("at", "o")), ["identifier", "at"])
+    return confusion(rows.select((F.col("o") >= 0.5).cast("int").alias("y"), (F.col("p") >= 0.5).cast("int").alias("z")), "y", "z")
+
+
+@operator("CRFSubjectivityTagger", ("mode",), ("resultsPath", "modelPath", "subphrase_src", "subphraseDest"))
+def _tagger(c: Corpus, s: Spec) -> Corpus:
+    """train: learn from subphrase_src and keep the model at modelPath.  tag: by that model, into subphraseDest.  evaluate:
+    learn from even folds, tag odd ones, and write their agreement to resultsPath."""
+    from ..sources.sinks import write_csv
+
+    marks = c.dependent(s.get("subphrase_src", "subphrases")).select(F.col("document_identifier").alias("identifier"), "annotation")
+    mode = s.get("mode")
+    if mode == "train":
+        save_model(markov_model(_learned(c, marks)), s.get("modelPath"))
+        return c
+    if mode == "tag":
+        made = markov(c.input, load_model(c.spark, s.get("modelPath")))
+        return c.with_table(f"subphrases_{s.get('subphraseDest')}", made.select("identifier", F.col("identifier").alias("document_identifier"), "annotation"))
+    if mode != "evaluate":
+        raise ValueError(f"no mode {mode}; there are train, tag, evaluate")
+    test = fold(F.col("identifier"), 10) % 2 == 1
+    model = markov_model(labelled_words(c.input.where(~test), subjectivity_vector(marks.where(~test))))
+    made = agreement(markov(c.input.where(test), model), empirical(marks.where(test)))
+    if s.get("resultsPath"):
+        write_csv(made, s.get("resultsPath"))
+    return c.with_table("agreement", made)
+
+
 def evolve_scores(df: DataFrame, annotations: DataFrame, size: int = 256, generations: int = 8, population: int = 10, spread: float = 0.005, seed: int = 0) -> dict[str, float]:
     """Scores of the most frequent words that lessen the mean squared error of fixed scores, by genetic search.
 
@@ -277,21 +386,35 @@ def _evaluate(c: Corpus, s: Spec) -> Corpus:
     return c.with_table(name, c.table(name).unionByName(made) if c.has(name) else made)
 
 
+def _fixed_of(s: Spec):
+    scores = lambda kind: {w.get("string"): w.get("prob", 0.0, float) for e in s.all(kind) for w in e.all("Word")}
+    return lambda train, marks, test: fixed(test, scores("EntryNodes"), scores("ForwardTransitionNodes"))
+
+
+def _of_markov(train: DataFrame, marks: DataFrame, test: DataFrame) -> DataFrame:
+    return markov(test, markov_model(labelled_words(train, subjectivity_vector(marks))))
+
+
+#: annotators for cross validation: step -> f(training documents, their annotations, test documents)
 TAGGERS = {
-    "NLTKSubjectivePhraseBayesianAnnotator": lambda train, marks, test: bayesian(test, bayes_table(labelled_words(train, subjectivity_vector(marks)))),
-    "NLTKSubjectivePhraseMarkovAnnotator": lambda train, marks, test: markov(test, markov_model(labelled_words(train, subjectivity_vector(marks)))),
+    "NLTKSubjectivePhraseBayesianAnnotator": lambda s: lambda train, marks, test: bayesian(test, bayes_table(labelled_words(train, subjectivity_vector(marks)))),
+    "NLTKSubjectivePhraseMarkovAnnotator": lambda s: _of_markov,
+    "CRFSubjectiveAnnotator": lambda s: _of_markov,
+    "FixedSubjectivePhraseAnnotator": _fixed_of,
+    "SubjectiveEvolution": lambda s: lambda train, marks, test: fixed(test, evolve_scores(train, marks, seed=s.get("seed", 0, int))),
 }
-TAGGERS["CRFSubjectiveAnnotator"] = TAGGERS["NLTKSubjectivePhraseMarkovAnnotator"]
 
 
 @operator("SubjectiveCrossValidationEnvironment", (), ("folds", "seed", "bucket"))
 def _cross(c: Corpus, s: Spec) -> Corpus:
+    """Summed squared error of each nested annotator in each fold, into a bucket; they are told apart by name and place."""
     unknown = sorted({child.name for child in s.children} - TAGGERS.keys())
     if unknown:
         raise ValueError(f"no cross validation of {', '.join(unknown)}; there is one of {', '.join(sorted(TAGGERS))}")
     marks = c.dependent("subphrases").select(F.col("document_identifier").alias("identifier"), "annotation")
     out = None
-    for child in s.children:
-        made = cross_validate(c.input, marks, TAGGERS[child.name], s.get("folds", 10, int), s.get("seed", 0, int)).withColumn("prediction", F.lit(child.name))
+    for k, child in enumerate(s.children):
+        made = cross_validate(c.input, marks, TAGGERS[child.name](child), s.get("folds", 10, int), s.get("seed", 0, int))
+        made = made.withColumns({"prediction": F.lit(child.name), "place": F.lit(k)})
         out = made if out is None else out.unionByName(made)
-    return c if out is None else c.with_table(f"bucket_{s.get('bucket', 'folds')}", out)
+    return c if out is None else c.with_table(f"bucket_{s.get('bucket', 'folds')}", durable(out))

@@ -20,6 +20,9 @@ from .labels import number
 TAGGERS: dict[str, Callable[[Column], Column]] = {}
 
 
+FEW = 10_000  # ids that a plan may hold
+
+
 def tokenised(df: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
     """(dictionary, sequences) of the tokens of df's documents, in order."""
     rows = df.select(F.col("identifier").alias("document_identifier"), F.posexplode(tokens).alias("at", "token"))
@@ -38,18 +41,29 @@ def token_counts(sequences: DataFrame) -> DataFrame:
     return token_rows(sequences).groupBy("identifier").agg(F.count("*").alias("n"))
 
 
-def matching(names: DataFrame, part: str) -> DataFrame:
-    """Ids of tokens LIKE %part%."""
-    return names.where(like_ascii(F.col("token"), f"%{part}%")).select("identifier")
+def matching(names: DataFrame, part: str, before: bool = True, after: bool = True) -> DataFrame:
+    """Ids of tokens LIKE %part%; before and after: whether any text may stand there."""
+    return names.where(like_ascii(F.col("token"), ("%" if before else "") + part + ("%" if after else ""))).select("identifier")
+
+
+def between(counts: DataFrame, least: int, most: int) -> DataFrame:
+    """Rows with least < n <= most."""
+    return counts.where((F.col("n") > least) & (F.col("n") <= most))
 
 
 def unpopular(sequences: DataFrame, least: int, most: int) -> DataFrame:
     """Ids of tokens with least < frequency <= most."""
-    return token_counts(sequences).where((F.col("n") > least) & (F.col("n") <= most)).select("identifier")
+    return between(token_counts(sequences), least, most).select("identifier")
 
 
 def without_tokens(sequences: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sequences without the given ids; repeats of other tokens and empty sequences stay."""
+    """The sequences without the given ids; repeats of other tokens and empty sequences stay.
+
+    Up to ``FEW`` ids are looked up in a set that the plan holds; more are joined to the tokens.
+    """
+    few = [r[0] for r in ids.limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        return sequences.withColumn("tokens", F.filter("tokens", lambda t: ~t.isin(few)) if few else F.col("tokens"))
     kept = token_rows(sequences).join(ids, "identifier", "left_anti")
     again = kept.groupBy("document_identifier").agg(F.sort_array(F.collect_list(F.struct("at", "identifier"))).alias("s"))
     return sequences.select("identifier", "document_identifier").join(again, "document_identifier", "left").select("identifier", "document_identifier", F.coalesce(F.col("s.identifier"), F.array().cast("array<bigint>")).alias("tokens"))
@@ -78,10 +92,10 @@ def tokens_of(c: Corpus, name: str) -> DataFrame:
 
 
 def _tagger(name: str, tokens: Callable[[Column], Column]):
-    @operator(name, ("table",))
+    @operator(name, ("dest",), ("verbose",))
     def run(c: Corpus, s: Spec) -> Corpus:
         names, sequences = tokenised(c.input, tokens(F.col("document")))
-        return c.with_table(f"pos_tokens_{s.get('table')}", names).with_table(f"pos_{s.get('table')}", sequences)
+        return c.with_table(f"pos_tokens_{s.get('dest')}", names).with_table(f"pos_{s.get('dest')}", sequences)
 
     return run
 
@@ -100,28 +114,36 @@ for _name in ("NLTKPOSTagger", "StanfordTagger", "GimpelPOSTagger"):
     _tagger(_name, _plugged(_name))
 
 
+_MATCH = ("matchBefore", "matchAfter")
+
+
 def _tables(s: Spec) -> tuple[str, str]:
-    return f"pos_{s.get('table')}", f"pos_tokens_{s.get('table')}"
+    return f"pos_{s.get('src')}", f"pos_tokens_{s.get('src')}"
+
 
+def _matched(c: Corpus, s: Spec) -> DataFrame:
+    return matching(c.table(_tables(s)[1]), s.get("tag"), s.get("matchBefore", True, bool), s.get("matchAfter", True, bool))
 
-@operator("RewritePOSFilter", ("table", "tag"))
+
+@operator("RewritePOSFilter", ("src", "tag"), _MATCH)
 def _rewrite(c: Corpus, s: Spec) -> Corpus:
-    pos, names = _tables(s)
-    return c.with_table(pos, without_tokens(c.table(pos), matching(c.table(names), s.get("tag"))))
+    pos, _ = _tables(s)
+    return c.with_table(pos, without_tokens(c.table(pos), _matched(c, s)))
 
 
-@operator("POSWhiteListFilter", ("table", "dest", "tag"))
+@operator("POSWhiteListFilter", ("src", "dest", "tag"), _MATCH)
 def _white_list(c: Corpus, s: Spec) -> Corpus:
-    return c.with_table(f"pos_list_{s.get('dest')}", matching(c.table(_tables(s)[1]), s.get("tag")).withColumnRenamed("identifier", "pos_identifier"))
+    return c.with_table(f"pos_list_{s.get('dest')}", _matched(c, s).withColumnRenamed("identifier", "pos_identifier"))
 
 
-@operator("POSRewriteFromWhiteList", ("table", "ref"))
+@operator("POSRewriteFromWhiteList", ("src", "ref"))
 def _rewrite_listed(c: Corpus, s: Spec) -> Corpus:
     pos, _ = _tables(s)
     return c.with_table(pos, without_tokens(c.table(pos), c.table(f"pos_list_{s.get('ref')}").select(F.col("pos_identifier").alias("identifier"))))
 
 
-@operator("POSWhiteListUnpopularTags", ("table", "dest", "max"), ("min",))
+@operator("POSWhiteListUnpopularTags", ("src", "dest", "maxPopularity"), ("minPopularity",))
 def _unpopular(c: Corpus, s: Spec) -> Corpus:
     pos, _ = _tables(s)
-    return c.with_table(f"pos_list_{s.get('dest')}", unpopular(c.dependent(pos), s.get("min", 0, int), s.get("max", kind=int)).withColumnRenamed("identifier", "pos_identifier"))
+    ids = unpopular(c.dependent(pos), s.get("minPopularity", 0, int), s.get("maxPopularity", kind=int))
+    return c.with_table(f"pos_list_{s.get('dest')}", ids.withColumnRenamed("identifier", "pos_identifier"))

@@ -5,45 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+RULES = ("missing", "blacklisted", "too_positive", "too_negative", "too_neutral", "whole_tweet", "copied", "long_negative", "long_positive", "long_neutral")
+FEW = 5  # words up to which shares aren't looked at, and characters up to which runs aren't
 
-RULES = ("missing", "blacklisted", "too_positive", "too_negative", "too_neutral", "whole_tweet", "copied", "long_positive", "long_negative", "long_neutral")
 
-
-def _percent(annotation: Column, mark: str) -> Column:
-    return 100.0 * F.length(F.regexp_replace(annotation, f"[^{mark}]", "")) / F.greatest(F.length(annotation), F.lit(1))
+def _count(annotation: Column, mark: str) -> Column:
+    return F.length(annotation) - F.length(F.replace(annotation, F.lit(mark), F.lit("")))
 
 
 def _first_run(annotation: Column, mark: str) -> Column:
-    return F.length(F.regexp_extract(annotation, f"({mark}+)", 1))
+    """Length of the first run of two or more."""
+    return F.length(F.regexp_extract(annotation, f"({mark}{mark}+)", 1))
 
 
-def first_failure(text: Column, phrase: Column, annotation: Column, worker: Column, blacklist: list[str] = ()) -> Column:
+def first_failure(text: Column, annotation: Column, worker: Column, blacklist: list[str] = ()) -> Column:
     """The name of the first failing rule, null if the work is fine.
 
-    Shares only count with over five words; run lengths are held against the number of
-    characters of the text, and only the first run of a mark is looked at.
+    Shares are of the text's words, and count with over ``FEW`` words.  A whole tweet is one mark as often as there
+    are words.  Copied is an annotation with a token of two or more characters among the text's
+    space-split words.  Of runs only the first counts; it is held against the number of characters of texts
+    of over ``FEW``.
     """
-    n = F.size(words(text))
-    long_ = n > 5
+    n = F.size(F.filter(F.split(text, r"[ \t\n\x0b\f\r]+"), lambda w: w != ""))
+    share = lambda mark: F.when(n > FEW, 100.0 * _count(annotation, mark) / n)
+    tokens = F.filter(F.split(annotation, " "), lambda t: F.length(t) >= 2)
+    run = lambda mark, part: (F.length(text) > FEW) & (_first_run(annotation, mark) > 0) & (_first_run(annotation, mark) >= part * F.length(text))
     rules = [
         annotation.isNull() | (annotation == ""),
         worker.isin(list(blacklist)) if blacklist else F.lit(False),
-        long_ & (_percent(annotation, "p") > 35),
-        long_ & (_percent(annotation, "n") > 72),
-        long_ & (_percent(annotation, "e") > 31),
-        ~annotation.contains("q") & long_,
-        phrase == text,
-        _first_run(annotation, "p") > 0.55 * F.length(text),
-        _first_run(annotation, "n") > 0.4 * F.length(text),
-        _first_run(annotation, "e") > 0.3 * F.length(text),
+        share("p") > 35,
+        share("n") > 72,
+        share("e") > 31,
+        F.greatest(*(_count(annotation, m) for m in "pne")) >= n,
+        F.arrays_overlap(tokens, F.split(text, " ")),
+        run("n", 0.55),
+        run("p", 0.4),
+        run("e", 0.3),
     ]
     return F.coalesce(*(F.when(r, F.lit(name)) for name, r in zip(RULES, rules, strict=True)))
 
 
 def verify(df: DataFrame, blacklist: list[str] = ()) -> DataFrame:
-    """df (text, phrase, annotation, worker) with reason and accepted."""
-    out = df.withColumn("reason", first_failure(F.col("text"), F.col("phrase"), F.col("annotation"), F.col("worker"), blacklist))
+    """df (text, annotation, worker) with reason and accepted."""
+    out = df.withColumn("reason", first_failure(F.col("text"), F.col("annotation"), F.col("worker"), blacklist))
     return out.withColumn("accepted", F.col("reason").isNull())
 
 

@@ -118,8 +118,8 @@ def popular_label_filter(spark, d):
     return filters.label_filter(t, made, most_popular=3).join(made.withColumnRenamed("document_identifier", "identifier"), "identifier").select("identifier", "label")
 
 
-_GOOD = " OR ".join(f"contains(document, '{x}')" for x in labels.GOOD)
-_BAD = " OR ".join(f"contains(document, '{x}')" for x in labels.BAD)
+_GOOD = " OR ".join(f"contains(document, '{x}')" for x in (":)", ";)", ":-)", ";-)", ":D", ":-D"))
+_BAD = " OR ".join(f"contains(document, '{x}')" for x in (":(", ":-(", "D:"))
 _EMO = f"CASE WHEN ({_GOOD}) AND NOT ({_BAD}) THEN 1 WHEN ({_BAD}) AND NOT ({_GOOD}) THEN -1 END"
 
 
@@ -163,7 +163,7 @@ def emoticon_label(spark, d):
     return labels.literal_labels(tweets(spark, d), labels.emoticon(F.col("document")))
 
 
-@register("train_test_split", _T + "SELECT identifier AS document_identifier, CAST(CASE WHEN (identifier * 2654435761) % 1000 < 600 THEN 1 ELSE 0 END AS BIGINT) AS label FROM tweets")
+@register("train_test_split", _T + "SELECT identifier AS document_identifier, CAST(CASE WHEN ((identifier % 1000003) * 2654435761) % 1000 < 600 THEN 1 ELSE 0 END AS BIGINT) AS label FROM tweets")
 def train_test_split(spark, d):
     return labels.literal_labels(tweets(spark, d), labels.split_label(F.col("identifier"), 0.6))
 
@@ -205,7 +205,7 @@ def label_dictionary(spark, d):
 
 # Tokens
 
-_TOKENS = "list_filter(list_transform(string_split(document, ' '), lambda w: regexp_extract(lower(w), '^.?[a-z#@]*')), lambda w: w <> '')"
+_TOKENS = "list_filter(list_transform(string_split(lower(document), ' '), lambda w: CASE WHEN regexp_matches(w, '^[a-z#@]') THEN regexp_extract(w, '^[a-z#@]+') ELSE w END), lambda w: w <> '')"
 
 
 @register("whitespace_tokens", _T + f", x AS (SELECT identifier AS document_identifier, {_TOKENS} AS t FROM tweets) SELECT document_identifier, unnest(t) AS token, CAST(unnest(range(len(t))) AS INTEGER) AS at FROM x")
@@ -220,17 +220,17 @@ def token_dictionary(spark, d):
 
 @register("popular_tokens", _T + f", x AS (SELECT unnest({_TOKENS}) AS token FROM tweets) SELECT token, count(*) AS n FROM x GROUP BY token HAVING count(*) > 2 AND count(*) <= 10")
 def popular_tokens(spark, d):
-    names, seq = tokens.tokenised(tweets(spark, d), X.tweet_tokens(F.col("document")))
-    return tokens.token_counts(seq).join(tokens.unpopular(seq, 2, 10), "identifier", "left_semi").join(names, "identifier").select("token", "n")
+    rows = tweets(spark, d).select(F.explode(X.tweet_tokens(F.col("document"))).alias("token"))
+    return tokens.between(rows.groupBy("token").agg(F.count("*").alias("n")), 2, 10)
 
 
 @register("rewrite_tokens", _T + f", x AS (SELECT identifier AS document_identifier, list_filter({_TOKENS}, lambda w: NOT w LIKE '%er%') AS t FROM tweets) SELECT document_identifier, len(t) AS n_tokens, array_to_string(t, ' ') AS joined FROM x")
 def rewrite_tokens(spark, d):
     names, seq = tokens.tokenised(tweets(spark, d), X.tweet_tokens(F.col("document")))
-    c = Corpus(spark, {"input": tweets(spark, d), "pos_x": tokens.without_tokens(seq, tokens.matching(names, "er")), "pos_tokens_x": names})
-    made = tokens.tokens_of(c, "x").groupBy("document_identifier").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("s"))
-    out = c.table("pos_x").select("document_identifier").join(made, "document_identifier", "left")
-    return out.select("document_identifier", F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.array_join("s.token", " "), F.lit("")).alias("joined"))
+    kept = tokens.without_tokens(seq, tokens.matching(names, "er"))
+    texts = kept.select("document_identifier", F.posexplode_outer("tokens").alias("at", "identifier")).join(names, "identifier", "left")
+    made = texts.groupBy("document_identifier").agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", "token")))).alias("s"))
+    return made.select("document_identifier", F.size("s").cast("long").alias("n_tokens"), F.array_join("s.token", " ").alias("joined"))
 
 
 @register("letter_runs", _T + "SELECT identifier, unnest(regexp_extract_all(document, '[A-Za-z@#]+')) AS run FROM tweets")
@@ -307,10 +307,10 @@ def disambiguate(spark, d):
 
 def _label_items(spark, d):
     t = tweets(spark, d)
-    return t.select(F.col("identifier").alias("document_identifier"), F.explode(F.array_distinct(labels.basic_words(F.col("document")))).alias("label"))
+    return t.select(F.col("identifier").alias("document_identifier"), F.explode(F.array_distinct(labels.bigrams(F.col("document")))).alias("label"))
 
 
-_ITEMS = "items AS (SELECT DISTINCT identifier AS d, unnest(list_filter(string_split(document, ' '), lambda w: regexp_matches(w, '^[A-Za-z]{5,}$'))) AS i FROM tweets)"
+_ITEMS = f"bw AS (SELECT identifier, {_LONG} AS w FROM tweets), items AS (SELECT DISTINCT identifier AS d, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) AS i FROM bw)"
 _PAIRS = f"""{_ITEMS}, sizes AS (SELECT d, count(*) AS n FROM items GROUP BY d),
  c AS (SELECT x.d AS a, y.d AS b, count(*) AS k FROM items x JOIN items y ON x.i = y.i AND x.d < y.d GROUP BY x.d, y.d),
  pairs AS (SELECT a, b, 1.0::DOUBLE - k::DOUBLE / (p.n + q.n - k) AS distance FROM c JOIN sizes p ON p.d = a JOIN sizes q ON q.d = b)"""
@@ -380,9 +380,10 @@ def token_offsets(spark, d):
 
 
 _SHARES = f"{_POS}, sh AS (SELECT identifier, at, avg(CASE WHEN mark <> 'q' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM pos GROUP BY identifier, at)"
-_CLEAN = """cw AS (SELECT identifier, list_transform(list_filter(list_zip(string_split(document, ' '), range(len(string_split(document, ' ')))), lambda x: x[2] = 0 OR NOT regexp_matches(x[1], '^[A-Z]')), lambda x: regexp_replace(lower(x[1]), '[^a-z]', '', 'g')) AS ws FROM tweets),
- wd AS (SELECT identifier, unnest(ws) AS word, unnest(range(len(ws))) AS at FROM cw),
- lw AS (SELECT identifier, word, greatest(CAST(floor((share - 0.001::DOUBLE) * 10) AS INTEGER), 0) AS class FROM wd JOIN sh USING (identifier, at))"""
+_CLEAN = """cw AS (SELECT identifier, unnest(string_split(document, ' ')) AS w, unnest(range(len(string_split(document, ' ')))) AS at FROM tweets),
+ nw AS (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY at) AS k FROM cw WHERE w <> ''),
+ wd AS (SELECT identifier, at, regexp_replace(lower(w), '[^a-z]', '', 'g') AS word FROM nw WHERE k = 1 OR lower(substr(w, 1, 1)) = substr(w, 1, 1)),
+ lw AS (SELECT identifier, word, greatest(CAST(floor((share - 0.001::DOUBLE) * 10) AS INTEGER), 0) AS class FROM wd JOIN sh USING (identifier, at) WHERE word <> '')"""
 
 
 @register(
@@ -397,9 +398,9 @@ def bayes_word_class(spark, d):
     return phrases.bayes_table(phrases.labelled_words(tweets(spark, d), A.subjectivity_vector(a))).select("word", "class", F.round("score", 9).alias("score"))
 
 
-@register("evaluator_sse", _TA + f", {_SHARES}, fx AS (SELECT identifier, unnest(string_split(lower(document), ' ')) AS word, unnest(range(len(string_split(document, ' ')))) AS at FROM tweets), pr AS (SELECT identifier, at, CASE word WHEN 'good' THEN 0.75::DOUBLE WHEN 'the' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS p FROM fx) SELECT identifier, round(sum(power(coalesce(p, 0) - coalesce(share, 0), 2)), 9) AS error FROM pr FULL JOIN sh USING (identifier, at) GROUP BY identifier")
+@register("evaluator_sse", _TA + f", {_SHARES}, lt AS (SELECT identifier, list_filter(string_split(regexp_replace(document, '[^a-zA-Z ]', '', 'g'), ' '), lambda w: w <> '') AS ws FROM tweets), fx AS (SELECT identifier, unnest(ws) AS word, unnest(range(len(ws))) AS at FROM lt), pr AS (SELECT identifier, at, CASE word WHEN 'good' THEN 0.75::DOUBLE WHEN 'the' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE lag(word) OVER (PARTITION BY identifier ORDER BY at) WHEN 'good' THEN 0.5::DOUBLE WHEN 'Apple' THEN 0.125::DOUBLE ELSE 0.0::DOUBLE END AS p FROM fx) SELECT identifier, round(sum(power(coalesce(p, 0) - coalesce(share, 0), 2)), 9) AS error FROM pr FULL JOIN sh USING (identifier, at) GROUP BY identifier")
 def evaluator_sse(spark, d):
-    predicted = phrases.fixed(tweets(spark, d), {"good": 0.75, "the": 0.25})
+    predicted = phrases.fixed(tweets(spark, d), {"good": 0.75, "the": 0.25}, {"good": 0.5, "Apple": 0.125})
     return phrases.squared_error(predicted, phrases.empirical(annotations(spark, d))).select("identifier", F.round("error", 9).alias("error"))
 
 
@@ -408,7 +409,7 @@ def result_pivot(spark, d):
     return results.pivot(A.positions(annotations(spark, d).select("annotator", "annotation")).withColumn("one", F.lit(1).cast("long")), "annotator", "mark", "one", "sum", ["p", "n", "e", "q"])
 
 
-@register("cross_folds", _T + "SELECT CAST(((identifier * 2654435761) >> 16) % 10 AS INTEGER) AS fold, count(*) AS n FROM tweets GROUP BY 1")
+@register("cross_folds", _T + "SELECT CAST((((identifier % 1000003) * 2654435761) >> 16) % 10 AS INTEGER) AS fold, count(*) AS n FROM tweets GROUP BY 1")
 def cross_folds(spark, d):
     return tweets(spark, d).groupBy(phrases.fold(F.col("identifier"), 10).alias("fold")).agg(F.count("*").alias("n"))
 
@@ -514,14 +515,18 @@ def majority_sentiment(spark, d):
 @register(
     "verify_work",
     _TA
-    + """, x AS (SELECT a.identifier, a.annotator, annotation AS a, document AS t, len(string_split(document, ' ')) AS n, length(annotation) AS la FROM ann a JOIN tweets t ON a.identifier = t.identifier),
- y AS (SELECT *, 100.0::DOUBLE * length(regexp_replace(a, '[^p]', '', 'g')) / greatest(la, 1) AS pp, 100.0::DOUBLE * length(regexp_replace(a, '[^n]', '', 'g')) / greatest(la, 1) AS pn, 100.0::DOUBLE * length(regexp_replace(a, '[^e]', '', 'g')) / greatest(la, 1) AS pe FROM x)
- SELECT identifier, annotator::INTEGER AS annotator, CASE WHEN a = '' THEN 'missing' WHEN n > 5 AND pp > 35 THEN 'too_positive' WHEN n > 5 AND pn > 72 THEN 'too_negative' WHEN n > 5 AND pe > 31 THEN 'too_neutral'
-  WHEN n > 5 AND NOT contains(a, 'q') THEN 'whole_tweet' WHEN length(regexp_extract(a, 'p+')) > 0.55 * length(t) THEN 'long_positive' WHEN length(regexp_extract(a, 'n+')) > 0.4 * length(t) THEN 'long_negative' WHEN length(regexp_extract(a, 'e+')) > 0.3 * length(t) THEN 'long_neutral' END AS reason FROM y""",
+    + """, x AS (SELECT a.identifier, a.annotator, document AS t, CASE WHEN a.annotator = 3 THEN concat(annotation, ' ', string_split(document, ' ')[1]) WHEN a.identifier % 5 = a.annotator THEN '' ELSE annotation END AS a FROM ann a JOIN tweets t ON a.identifier = t.identifier),
+ y AS (SELECT *, len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '')) AS n, length(a) - length(replace(a, 'p', '')) AS np, length(a) - length(replace(a, 'n', '')) AS nn, length(a) - length(replace(a, 'e', '')) AS ne,
+  length(regexp_extract(a, 'n+n')) AS rn, length(regexp_extract(a, 'p+p')) AS rp, length(regexp_extract(a, 'e+e')) AS re, length(t) AS lt FROM x)
+ SELECT identifier, annotator::INTEGER AS annotator, CASE WHEN length(a) = 0 THEN 'missing' WHEN annotator = 2 AND identifier % 3 = 0 THEN 'blacklisted'
+  WHEN n > 5 AND np::DOUBLE / n * 100 > 35 THEN 'too_positive' WHEN n > 5 AND nn::DOUBLE / n * 100 > 72 THEN 'too_negative' WHEN n > 5 AND ne::DOUBLE / n * 100 > 31 THEN 'too_neutral'
+  WHEN np >= n OR nn >= n OR ne >= n THEN 'whole_tweet' WHEN len(list_intersect(list_filter(string_split(a, ' '), lambda w: length(w) > 1), string_split(t, ' '))) > 0 THEN 'copied'
+  WHEN lt > 5 AND rn > 0 AND rn >= 0.55::DOUBLE * lt THEN 'long_negative' WHEN lt > 5 AND rp > 0 AND rp >= 0.4::DOUBLE * lt THEN 'long_positive' WHEN lt > 5 AND re > 0 AND re >= 0.3::DOUBLE * lt THEN 'long_neutral' END AS reason FROM y""",
 )
 def verify_work(spark, d):
-    rows = annotations(spark, d).select("identifier", "annotator", F.col("document").alias("text"), F.lit("").alias("phrase"), "annotation", F.lit("w").alias("worker"))
-    return verify.verify(rows.withColumn("phrase", F.lit(None).cast("string")).fillna("\x00", ["phrase"])).select("identifier", "annotator", "reason")
+    a = F.expr("CASE WHEN annotator = 3 THEN concat(annotation, ' ', split(document, ' ')[0]) WHEN identifier % 5 = annotator THEN '' ELSE annotation END")
+    rows = annotations(spark, d).select("identifier", "annotator", F.col("document").alias("text"), a.alias("annotation"), F.expr("concat('w', annotator, '-', identifier % 3)").alias("worker"))
+    return verify.verify(rows, ["w2-0"]).select("identifier", "annotator", "reason")
 
 
 @register("four_row_times", "WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS row, event_type, CAST(event_id % 50 AS BIGINT) AS s FROM events) SELECT row // 4 AS \"group\", CAST(floor(sum(s) / 4) AS BIGINT) AS mean_time FROM r GROUP BY 1 HAVING count(*) = 4")
@@ -541,7 +546,7 @@ def votes(spark, d):
 # Streams (as tables)
 
 
-@register("keyword_capture", _T + "SELECT identifier FROM tweets WHERE lang = 'en' AND (contains(lower(document), 'apple') OR contains(lower(document), 'tag1')) AND NOT starts_with(document, 'RT ')")
+@register("keyword_capture", _T + "SELECT identifier FROM tweets WHERE lang = 'en' AND (contains(document, 'Apple') OR contains(document, 'tag1')) AND NOT starts_with(document, 'RT ')")
 def keyword_capture(spark, d):
     return ingest.capture(tweets(spark, d), ["Apple", "tag1"]).select("identifier")
 
@@ -604,8 +609,8 @@ def spam_fight(spark, d):
             "LineBreakFilter",
             ("BasicFilter", {"filterText": "RT", "matchBefore": "false"}),
             "UniqueFilter",
-            ("ProbablySpamUnicodeLabeller", {"table": "spam"}),
-            ("LabelFilter", {"table": "spam", "delete": "true"}, [("RetainLabel", {"id": "0"})]),
+            ("ProbablySpamUnicodeLabeller", {"dest": "spam"}),
+            ("LabelFilter", {"src": "spam", "temporary": "true", "delete": "true"}, [("RetainLabel", {"id": "0"})]),
         ),
     )
     done = workflow.run(spark, w, Corpus(spark, {"input": tweets(spark, d)}))

@@ -1,12 +1,13 @@
-"""Workflows: an XML file or a list of steps becomes one lazy graph over a corpus."""
+"""Workflows: an XML file or a list of steps, applied to a corpus of DataFrames."""
 
 from __future__ import annotations
 
+import os
+import subprocess
 import xml.etree.ElementTree as ET
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .. import operators as _operators  # noqa: F401
 from ..checkpoint import ResultStore, fingerprint
@@ -53,38 +54,72 @@ def parse(text: str) -> Workflow:
 
 
 def validate(w: Workflow) -> None:
-    """Every tag must be known and have its required attributes, before anything runs."""
+    """Every tag must be known, and have its required attributes and no unknown ones, before anything runs."""
     for s in [*w.sources, *w.tasks]:
         if s.name == "PreviousWorkflow":
+            if s.get("path") is None and s.get("db") is None:
+                raise ValueError("PreviousWorkflow lacks path or db")
             continue
         if s.name not in OPERATORS:
             raise ValueError(f"no operator {s.name}")
         OPERATORS[s.name].check(s)
 
 
-def run(spark: SparkSession, w: Workflow, start: Corpus | None = None, store: ResultStore | None = None, load=None, rerun: bool = False) -> Corpus:
-    """Apply sources, then tasks, lazily; an error ends the run and nothing is retained.
+def version() -> str:
+    """The commit of this package's source; unknown outside a repository."""
+    found = subprocess.run(["git", "rev-parse", "HEAD"], cwd=os.path.dirname(__file__), capture_output=True, text=True, check=False)
+    return found.stdout.strip() or "unknown"
 
-    PreviousWorkflow (attribute filename) takes another workflow's result from the
-    store, or makes it with load(filename) -> XML text; rerun makes all anew.
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A file's text, by Spark's readers, so from any store."""
+    return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def previous(spark: SparkSession, s: Spec, store: ResultStore | None, load, rerun: bool, own: dict) -> Corpus:
+    """Another workflow's output: what its RetainOutputFile, or the attribute db, holds.
+
+    It is made again if it is missing, if the workflow's text is another one than it was made by, with rerun, and
+    with strictHashCheck if this package's commit is another one.  A workflow (path) that retains
+    nothing is kept in the store, by its text.
+    """
+    path, at = s.get("path"), s.get("db")
+    if path is None:
+        found = sinks.retained(spark, at)
+        if found is None:
+            raise ValueError(f"nothing is retained at {at}")
+        return found
+    text = load(path)
+    w = parse(text)
+    at = at or w.retain
+    if at is None and store is None:
+        raise ValueError(f"{path} retains no output")
+    found = None if rerun else sinks.retained(spark, at) if at else store.find(fingerprint(text))
+    if found is not None and found.metadata.get("WORKFLOW") == text and not (s.get("strictHashCheck", False, bool) and found.metadata.get("GIT_HASH") != version()):
+        return found
+    made = run(spark, replace(w, retain=at), Corpus(spark, own), store, load, rerun, path, own)
+    return sinks.retained(spark, at) if at else store.keep(fingerprint(text), made)
+
+
+def run(spark: SparkSession, w: Workflow, start: Corpus | None = None, store: ResultStore | None = None, load=None, rerun: bool = False, path: str = "", own: dict | None = None) -> Corpus:
+    """Apply sources, then tasks; an error ends the run and nothing is retained.
+
+    load(path) gives the text of another workflow's file, by default read by Spark; rerun makes such workflows
+    anew.  own: tables (a lexicon, say) that those start with as well.
     """
     validate(w)
-    corpus = start or Corpus(spark)
+    load = load or (lambda p: read_text(spark, p))
+    corpus = start or Corpus(spark, dict(own or {}))
     counts: list[tuple[int, str]] = []
-    for s in [*w.sources, *w.tasks]:
-        if w.debug_counts and s in w.tasks:
+    for k, s in enumerate([*w.sources, *w.tasks]):
+        if w.debug_counts and k >= len(w.sources):
             counts.append((corpus.input.count(), s.name))
         if s.name == "PreviousWorkflow":
-            text = load(s.get("filename"))
-            key = fingerprint(text)
-            found = None if rerun or store is None else store.find(key)
-            if found is None:
-                found = run(spark, parse(text), None, store, load, rerun)
-                found = store.keep(key, found) if store else found
-            corpus = found
+            found = previous(spark, s, store, load, rerun, dict(own or {}))
+            corpus = replace(found, tables={**corpus.tables, **found.tables})
         else:
             corpus = OPERATORS[s.name].run(corpus, s)
-    corpus = corpus.with_metadata(WORKFLOW=w.text, WORKFLOW_NAME=w.name)
+    corpus = corpus.with_metadata(WORKFLOW=w.text, WORKFLOW_NAME=w.name, WORKFLOW_PATH=path, GIT_HASH=version())
     if w.debug_counts:
         counts.append((corpus.input.count(), "FINISH"))
         sinks.write_csv(spark.createDataFrame(counts, "count long, activity string").coalesce(1), w.debug_counts)
@@ -100,7 +135,3 @@ def steps(*parts: tuple | str) -> list[Spec]:
         name, attributes, children = (p, {}, []) if isinstance(p, str) else (*p, [])[:3] if len(p) > 1 else (p[0], {}, [])
         out.append(Spec(name, {k: str(v) for k, v in attributes.items()}, steps(*children)))
     return out
-
-
-def document_count(corpus: Corpus):
-    return corpus.input.agg(F.count("*").alias("n"))

@@ -52,6 +52,9 @@ class Operator:
         lacks = [r for r in self.required if r not in spec.attributes]
         if lacks:
             raise ValueError(f"{spec.name} lacks {', '.join(lacks)}")
+        unknown = sorted(spec.attributes.keys() - {*self.required, *self.optional, "text"})
+        if unknown:
+            raise ValueError(f"{spec.name} knows no {', '.join(unknown)}")
 
 
 def operator(name: str, required: tuple[str, ...] = (), optional: tuple[str, ...] = ()):

@@ -6,10 +6,11 @@ they don't depend on the order of files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..checkpoint import durable
 from ..corpus import Corpus
 from ..functions.text import words
 from ..operators.annotations import clean
@@ -72,14 +73,20 @@ def voted(rows: DataFrame) -> DataFrame:
     return rows.where(best["n"] >= 3).select("document", best["v"].cast("string").alias("label"))
 
 
+def in_file() -> Column:
+    """Where a line stands: its file, the block of the file, and its place in that."""
+    return F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"))
+
+
 def paint(spans: DataFrame) -> DataFrame:
     """(uid, sid, text, annotation) from (uid, sid, start, end, polarity, text): word ranges, ends included.
 
-    "Not Available" texts go; of several texts the greatest counts; where spans overlap
-    the one that starts last shows.
+    "Not Available" texts go; of several texts the last in the file counts (by the column place; without it the
+    greatest); objective spans leave no mark; where spans overlap the one that starts last shows.
     """
-    code = F.expr("CASE polarity WHEN 'positive' THEN 'p' WHEN 'negative' THEN 'n' WHEN 'neutral' THEN 'e' ELSE 'q' END")
-    rows = spans.where("text <> 'Not Available'").groupBy("uid", "sid").agg(F.max("text").alias("text"), F.sort_array(F.collect_list(F.struct("start", "end", code.alias("m")))).alias("s"))
+    code = F.expr("CASE polarity WHEN 'positive' THEN 'p' WHEN 'negative' THEN 'n' WHEN 'neutral' THEN 'e' END")
+    place = F.col("place") if "place" in spans.columns else F.col("text")
+    rows = spans.where("text <> 'Not Available'").groupBy("uid", "sid").agg(F.max_by("text", place).alias("text"), F.sort_array(F.collect_list(F.when(code.isNotNull(), F.struct("start", "end", code.alias("m"))))).alias("s"))
     last = lambda i: F.coalesce(F.element_at(F.filter("s", lambda x: (x["start"] <= i) & (x["end"] >= i)), -1)["m"], F.lit("q"))
     n = F.size(words(F.col("text")))
     # element_at of an empty array is an error in ANSI mode, so an all-covering mark stands first
@@ -89,26 +96,65 @@ def paint(spans: DataFrame) -> DataFrame:
 
 def semeval_spans(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t", 6)
-    rows = spark.read.text(path).select(*(parts[i].alias(n) for i, n in enumerate(("uid", "sid", "start", "end", "polarity", "text"))))
-    return rows.select("uid", "sid", F.col("start").try_cast("int").alias("start"), F.col("end").try_cast("int").alias("end"), "polarity", "text").where("start IS NOT NULL AND end IS NOT NULL AND text IS NOT NULL")
+    rows = spark.read.text(path).select(in_file().alias("place"), *(parts[i].alias(n) for i, n in enumerate(("uid", "sid", "start", "end", "polarity", "text"))))
+    return rows.select("uid", "sid", F.col("start").try_cast("int").alias("start"), F.col("end").try_cast("int").alias("end"), "polarity", "text", "place").where("start IS NOT NULL AND end IS NOT NULL AND text IS NOT NULL")
 
 
 def crowd_work(spark: SparkSession, path: str) -> DataFrame:
-    """(document, annotation, sentiment, file) of approved assignments; columns are found by name."""
+    """(document, annotation, sentiment, file) of approved assignments; columns are found by name, file is the path as it was given."""
     rows = spark.read.option("header", "true").option("quote", '"').option("escape", '"').option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path)
-    return rows.where("AssignmentStatus = 'Approved'").select(F.col("`Input.tweet`").alias("document"), clean(F.col("`Answer.subphrases`")).alias("annotation"), F.col("`Answer.sentiment`").alias("sentiment"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
-
-
-def crowd_corpus(spark: SparkSession, rows: DataFrame) -> Corpus:
-    """input of distinct texts, one subphrases row for each assignment, labels of sentiment and file."""
-    docs = number(rows.select("document").distinct(), "document", 1, "identifier").select("identifier", "document", F.current_timestamp().alias("date"), F.lit("amt").alias("source"))
-    with_id = rows.join(docs.select("identifier", "document"), "document")
-    keyed = with_id.withColumn("_key", F.concat_ws("\x01", "document", "annotation", "sentiment", "file"))
-    sub = keyed.select(F.xxhash64("_key").alias("identifier"), F.col("identifier").alias("document_identifier"), "annotation", "sentiment")
-    c = Corpus(spark, {"input": docs, "subphrases": sub})
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath()
+    below = F.substring_index(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), root, -1)
+    return rows.where("AssignmentStatus = 'Approved'").select(F.col("`Input.tweet`").alias("document"), clean(F.col("`Answer.subphrases`")).alias("annotation"), F.col("`Answer.sentiment`").alias("sentiment"), F.concat(F.lit(path.rstrip("/")), below).alias("file"))
+
+
+def numbered(rows: DataFrame, columns: list[str], first: int = 1) -> DataFrame:
+    """rows with an identifier in the order of columns; equal rows are counted, and numbered each."""
+    key = F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in columns))
+    one = rows.groupBy(*columns).agg(F.count("*").alias("_n")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    one = one.withColumn("_key", F.concat_ws("\x01", key, F.lpad(F.col("_copy").cast("string"), 19, "0")))
+    return number(one, "_key", first, "identifier").select("identifier", *columns)
+
+
+def associate(c: Corpus, name: str, rows: DataFrame) -> Corpus:
+    """c with further (identifier, label) rows in the label table of that name; known labels keep their numbers."""
+    names, bridge = f"label_names_{name}", f"label_{name}"
+    rows = rows.where("label IS NOT NULL").select(F.col("identifier").alias("document_identifier"), F.col("label").cast("string").alias("label"))
+    if not c.has(names):
+        made, added = dictionary_labels(rows.withColumnRenamed("document_identifier", "identifier"), F.col("label"))
+        return c.with_table(names, made).with_table(bridge, added)
+    known = c.table(names).select("label_identifier", "label")
+    most = known.agg(F.coalesce(F.max("label_identifier"), F.lit(0))).first()[0]
+    fresh = number(rows.select("label").distinct().join(known, "label", "left_anti"), "label", most + 1, "label_identifier")
+    both = durable(known.unionByName(fresh.select("label_identifier", "label")))
+    added = rows.join(both, "label").select("document_identifier", F.col("label_identifier").alias("label"))
+    return c.with_table(names, both).with_table(bridge, c.table(bridge).select("document_identifier", "label").unionByName(added))
+
+
+def appended(c: Corpus, rows: DataFrame) -> Corpus:
+    return c.with_input(c.input.unionByName(rows, allowMissingColumns=True) if c.has("input") else rows)
+
+
+def greatest(c: Corpus, table: str = "input") -> int:
+    return c.table(table).agg(F.coalesce(F.max("identifier"), F.lit(0))).first()[0] if c.has(table) else 0
+
+
+def crowd_corpus(spark: SparkSession, rows: DataFrame, c: Corpus | None = None) -> Corpus:
+    """c, or an empty corpus, with one subphrases row and labels of sentiment and file for each assignment, and input rows for
+    texts that it doesn't have yet."""
+    c = c or Corpus(spark)
+    texts = rows.where("document IS NOT NULL").select("document").distinct()
+    if c.has("input"):
+        texts = texts.join(c.input.select("document"), "document", "left_anti")
+    docs = number(texts, "document", greatest(c) + 1, "identifier").select("identifier", "document", F.current_timestamp().alias("date"), F.lit("train").alias("source"))
+    c = appended(c, durable(docs))
+    first = c.input.groupBy("document").agg(F.min("identifier").alias("document_identifier"))
+    with_id = durable(rows.join(first, "document"))
+    sub = numbered(with_id, ["document_identifier", "annotation", "sentiment", "file"], greatest(c, "subphrases") + 1).drop("file")
+    c = c.with_table("subphrases", c.table("subphrases").unionByName(sub) if c.has("subphrases") else sub)
     for name, column in (("sentiment", "sentiment"), ("amt", "file")):
-        names, bridge = dictionary_labels(with_id, F.col(column))
-        c = c.with_table(f"label_names_{name}", names).with_table(f"label_{name}", bridge)
+        c = associate(c, name, with_id.select(F.col("document_identifier").alias("identifier"), F.col(column).alias("label")))
     return c
 
 
@@ -147,9 +193,13 @@ def senti_word_net(spark: SparkSession, path: str) -> DataFrame:
 
 
 def subjectivity_clues(spark: SparkSession, path: str) -> DataFrame:
-    """(word, type) of lines of key=value; a word's last line counts."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.str_to_map(F.col("value"), F.lit(" "), F.lit("=")).alias("m"))
-    return rows.where("m['word1'] IS NOT NULL").groupBy(F.col("m")["word1"].alias("word")).agg(F.max(F.struct("at", F.col("m")["type"].alias("t"))).alias("b")).select("word", F.col("b.t").alias("type"))
+    """(word, type, polarity, strong, weak) of lines of key=value; a word's last line counts.
+
+    strong and weak: 1 or -1 by the polarity of a clue of that type, else 0.
+    """
+    sign = F.expr("CASE polarity WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END")
+    rows = spark.read.text(path).select(in_file().alias("at"), F.str_to_map(F.col("value"), F.lit(" "), F.lit("=")).alias("m"))
+    return rows.where("m['word1'] IS NOT NULL").groupBy(F.col("m")["word1"].alias("word")).agg(F.max_by(F.struct(F.col("m")["type"].alias("type"), F.col("m")["priorpolarity"].alias("polarity")), "at").alias("b")).select("word", "b.type", "b.polarity").withColumns({k: F.when(F.col("type") == f"{k}subj", sign).otherwise(0) for k in ("strong", "weak")})
 
 
 def pivots(spark: SparkSession, path: str) -> DataFrame:
@@ -170,26 +220,33 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     return both.select("source", F.col("i.headline").alias("headline"), F.split(F.col("i.summary"), r"\.")[0].alias("summary"))
 
 
+def timeline(statuses: DataFrame, limit: int = 200) -> DataFrame:
+    """(user, document) of each user's newest statuses (user, date, document), ``limit`` at most, without quotes and links."""
+    newest = statuses.withColumn("_r", F.expr("row_number() OVER (PARTITION BY user ORDER BY date DESC, document)")).where(F.col("_r") <= limit)
+    return newest.select("user", strip_links(F.col("document")).alias("document"))
+
+
 def strip_links(text):
     """Quotes and links go."""
     return F.regexp_replace(F.regexp_replace(text, r"https?://\S+", ""), "[\"']", "")
 
 
-def _labelled(name: str, read, table: str):
+def _labelled(name: str, read, table: str, signs: bool = False):
     @operator(name, ("dir",), ("source", "create"))
     def run(c: Corpus, s: Spec) -> Corpus:
-        rows = read(c.spark, s)
-        if c.has("input"):
-            base = c.input.agg(F.coalesce(F.max("identifier"), F.lit(0))).first()[0]
-            rows = rows.withColumn("identifier", F.col("identifier") + base)
-        names, bridge = dictionary_labels(rows, F.col("label"))
-        rows = rows.select("identifier", "document", "date", "source")
-        return c.with_input(c.input.unionByName(rows) if c.has("input") else rows).with_table(f"label_names_{table}", names).with_table(f"label_{table}", bridge)
+        base = greatest(c)
+        rows = durable(read(c.spark, s).withColumn("identifier", F.col("identifier") + base))
+        c = associate(appended(c, rows.select("identifier", "document", "date", "source")), table, rows.select("identifier", "label"))
+        if not signs:
+            return c
+        made = rows.select(F.col("identifier").alias("document_identifier"), F.expr("CASE label WHEN 'positive' THEN 1L WHEN 'negative' THEN -1L END").alias("label")).where("label IS NOT NULL")
+        t = f"temporary_label_{table}"
+        return c.with_table(t, c.table(t).select("document_identifier", "label").unionByName(made) if c.has(t) else made)
 
     return run
 
 
-_labelled("SandersInputSource", lambda p, s: sanders(p, s.get("dir")), "sanders")
+_labelled("SandersInputSource", lambda p, s: sanders(p, s.get("dir")), "sanders", True)
 _labelled("SaschaInputSource", lambda p, s: sascha(p, s.get("dir")), "sascha")
 _labelled("SemvalInputSource", lambda p, s: semval(p, s.get("dir"), s.get("source", "semval")), "semval")
 _labelled("OurInputSource", lambda p, s: as_input(own_corpus(p, s.get("dir")), "own"), "own")
@@ -197,29 +254,27 @@ _labelled("OurInputSource", lambda p, s: as_input(own_corpus(p, s.get("dir")), "
 
 @operator("TwitterInputSource", ("dir",))
 def _twitter(c: Corpus, s: Spec) -> Corpus:
-    rows = tweet_archives(c.spark, s.get("dir")).withColumn("_key", F.concat_ws("\x01", "document", F.coalesce(F.col("date").cast("string"), F.lit("")))).dropDuplicates(["_key"])
-    rows = number(rows, "_key", 1, "identifier").select("identifier", "document", "date", F.lit("twitter").alias("source"))
-    return c.with_input(c.input.unionByName(rows) if c.has("input") else rows)
+    """All rows of all archives, repeated ones too."""
+    rows = numbered(tweet_archives(c.spark, s.get("dir")), ["document", "date"], greatest(c) + 1)
+    return appended(c, rows.select("identifier", "document", "date", F.lit("twitter").alias("source")))
 
 
 @operator("AMTInputSource", (), ("file", "dir"))
 def _crowd(c: Corpus, s: Spec) -> Corpus:
     if (s.get("file") is None) == (s.get("dir") is None):
         raise ValueError("AMTInputSource takes either file or dir")
-    made = crowd_corpus(c.spark, crowd_work(c.spark, s.get("file") or s.get("dir")))
-    for name, df in made.tables.items():
-        c = c.with_table(name, df)
-    return c
+    return crowd_corpus(c.spark, crowd_work(c.spark, s.get("file") or s.get("dir")), c)
 
 
-@operator("SemEvalTaskAImport", ("path",))
+@operator("SemEvalTaskAImport", ("path", "key"))
 def _semeval(c: Corpus, s: Spec) -> Corpus:
+    """Every text is labelled by the attribute key (sem), and by its uid and sid."""
     rows = paint(semeval_spans(c.spark, s.get("path"))).withColumn("_key", F.concat_ws("\x01", "uid", "sid"))
-    rows = number(rows, "_key", 1, "identifier")
-    docs = rows.select("identifier", F.col("text").alias("document"), F.current_timestamp().alias("date"), F.lit("semeval").alias("source"))
-    sub = rows.select("identifier", F.col("identifier").alias("document_identifier"), "annotation", F.lit(None).cast("string").alias("sentiment"))
-    c = c.with_input(docs).with_table("subphrases", sub)
-    for name in ("sid", "uid"):
-        names, bridge = dictionary_labels(rows, F.col(name))
-        c = c.with_table(f"label_names_{name}", names).with_table(f"label_{name}", bridge)
+    base, sub_base = greatest(c), greatest(c, "subphrases")
+    rows = durable(number(rows, "_key", base + 1, "identifier"))
+    c = appended(c, rows.select("identifier", F.col("text").alias("document"), F.current_timestamp().alias("date"), F.lit(None).cast("string").alias("source")))
+    sub = rows.select((F.col("identifier") - base + sub_base).alias("identifier"), F.col("identifier").alias("document_identifier"), "annotation", F.lit("Unknown").alias("sentiment"))
+    c = c.with_table("subphrases", c.table("subphrases").unionByName(sub) if c.has("subphrases") else sub)
+    for name, label in (("sem", F.lit(s.get("key"))), ("sid", F.col("sid")), ("uid", F.col("uid"))):
+        c = associate(c, name, rows.select("identifier", label.alias("label")))
     return c

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,21 +12,46 @@ from ..corpus import Corpus
 from ..registry import Spec, operator
 
 
-def write_text(spark: SparkSession, path: str, header: list[str], rows: DataFrame) -> None:
-    """A folder with the header as a small file of its own and the rows beside it."""
+def write_text(path: str, header: DataFrame | None, rows: DataFrame) -> None:
+    """A folder with the header (place, value) in order of its part files, and the rows beside it."""
     rows.write.mode("overwrite").text(f"{path}/rows")
-    spark.createDataFrame([(i, x) for i, x in enumerate(header)], "i int, value string").coalesce(1).orderBy("i").select("value").write.mode("overwrite").text(f"{path}/header")
+    if header is not None:
+        header.orderBy("place").select("value").write.mode("overwrite").text(f"{path}/header")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def retain(corpus: Corpus, path: str) -> None:
-    """Every table as Parquet, and the metadata as a file of lines."""
+    """Every table as Parquet in a folder of this run, then a manifest with the metadata, which makes the run the one to read."""
+    spark, run = corpus.spark, uuid.uuid4().hex
     for name, df in corpus.tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    corpus.spark.createDataFrame([(json.dumps({"tables": sorted(corpus.tables), "metadata": corpus.metadata}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        df.write.parquet(f"{path}/{run}/{name}")
+    fs, at = _files(spark, f"{path}/manifest.json")
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(json.dumps({"run": run, "tables": sorted(corpus.tables), "metadata": corpus.metadata}).encode()))
+    finally:
+        stream.close()
+
+
+def retained(spark: SparkSession, path: str) -> Corpus | None:
+    """What ``retain`` has written to path last; None if nothing."""
+    fs, at = _files(spark, f"{path}/manifest.json")
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        m = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    return Corpus(spark, {t: spark.read.parquet(f"{path}/{m['run']}/{t}") for t in m["tables"]}, m["metadata"])
 
 
 def attribute_lines(features: DataFrame) -> DataFrame:
@@ -37,15 +63,16 @@ def attribute_lines(features: DataFrame) -> DataFrame:
     return features.select("identifier", "at", F.concat_ws("\t", "label", F.array_join(escaped, "\t")).alias("value"))
 
 
-@operator("WekaBenchmarkExport", ("path",))
+@operator("WekaBenchmarkExport", ("name",))
 def _benchmark(c: Corpus, s: Spec) -> Corpus:
-    write_csv(c.table("results"), s.get("path"))
+    write_csv(c.table("results"), s.get("name"))
     return c
 
 
-@operator("WekaResultsExport", ("path", "table"))
+@operator("WekaResultsExport", ("file", "table"))
 def _results(c: Corpus, s: Spec) -> Corpus:
-    write_csv(c.table(f"classification_{s.get('table')}"), s.get("path"))
+    rows = c.table(f"classification_{s.get('table')}").select("identifier", "positive", "negative")
+    write_csv(rows.toDF("Document ID", "Positive Confidence", "Negative Confidence"), s.get("file"))
     return c
 
 

@@ -25,7 +25,7 @@ def test_identical_annotations_count_once(spark):
 
 def test_clean(spark):
     d = spark.createDataFrame([("p|q| n^x e",)], "a string")
-    assert d.select(A.clean(F.col("a"))).first()[0] == "pqn^e"
+    assert d.select(A.clean(F.col("a"))).first()[0] == "pqn^qe"
 
 
 def test_joined_is_cut_or_padded(spark):
@@ -70,10 +70,33 @@ def test_markov_gives_a_value_for_each_word(spark):
     assert {r["identifier"]: len(r["annotation"]) for r in phrases.markov(d, model).collect()} == {1: 3, 2: 2}
 
 
-def test_fixed_scores(spark):
-    d = spark.createDataFrame([(1, "Good day")], "identifier long, document string")
-    assert phrases.fixed(d, {"good": 0.5}, {("good", "day"): 0.25}).first()["annotation"] == [0.5, 0.25]
-    assert len(phrases.fixed(d, {"good": 0.5}, legacy=True).first()["annotation"]) == 4
+def test_fixed_scores(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "good, 1 day Good"), (2, "9 !")], "identifier long, document string")
+    for limit in (1000, 0):
+        monkeypatch.setattr(phrases, "LITERAL", limit)
+        got = {r["identifier"]: r["annotation"] for r in phrases.fixed(d, {"good": 0.5, "day": 0.125}, {"good": 0.25, "Good": 9.0}).collect()}
+        assert got == {1: [0.5, 0.375, 0.0], 2: []}
+        got = {r["identifier"]: r["annotation"] for r in phrases.fixed(d, {"good": 0.5}, legacy=True).collect()}
+        assert got == {1: [0.5, 0.0, 0.0, 0.5, 0.0, 0.0], 2: []}
+
+
+def test_counted_words_and_class_values(spark):
+    d = spark.createDataFrame([(1, " The Cat sat, 9 on It")], "identifier long, document string")
+    assert [tuple(x) for x in d.select(phrases.counted_words(F.col("document"))).first()[0]] == [(1, "the"), (3, "sat"), (5, "on")]
+    shares = spark.createDataFrame([(1, k, p) for k, p in enumerate([1.0, 0.25, 1.0, 0.75, 1.0, 0.5, 1.0])], "identifier long, at int, share double")
+    assert sorted((r["at"], r["word"], r["class"]) for r in phrases.labelled_words(d, shares).collect()) == [(1, "the", 2), (3, "sat", 7), (5, "on", 4)]
+    assert phrases.human(ann(spark, (1, "pq"), (1, "qq"))).first()["annotation"] == [0.4, 0.0]
+    table = spark.createDataFrame([("sat", 7, 1.0)], "word string, class int, score double")
+    more = d.union(spark.createDataFrame([(2, "9")], d.schema))
+    assert {r["identifier"]: r["annotation"] for r in phrases.bayesian(more, table).collect()} == {1: [0.0, 0.7, 0.0], 2: [0.0]}
+
+
+def test_all_templates(spark):
+    assert len(phrases.WORD_TEMPLATES) == 7 and len(phrases.TAG_TEMPLATES) == 12
+    d = spark.createDataFrame([(1, "a b c", ["X", "Y", "Z"])], "identifier long, document string, t array<string>")
+    rows = {r["at"]: r["features"] for r in phrases.context_features(d, "t").collect()}
+    assert rows[1] == ["w[-1]=a", "w[0]=b", "w[1]=c", "w[-1]|w[0]=a|b", "w[0]|w[1]=b|c", "pos[-1]=X", "pos[0]=Y", "pos[1]=Z", "pos[-1]|pos[0]=X|Y", "pos[0]|pos[1]=Y|Z", "pos[-1]|pos[0]|pos[1]=X|Y|Z"]
+    assert rows[0][-1] == "__BOS__" and rows[2][-1] == "__EOS__"
 
 
 def test_errors_pad_with_zero(spark):
@@ -90,18 +113,30 @@ def test_folds_partition(spark):
 
 
 def test_verify_rules(spark):
+    six = "one two three four five six"
     rows = [
-        ("a b", "x", None, "missing"),
-        ("one two three four five six", "x", "pppqqq", "too_positive"),
-        ("one two three four five six", "x", "nnnnnq", "too_negative"),
-        ("one two three four five six", "x", "eeqqqq", "too_neutral"),
-        ("a b", "a b", "qq", "copied"),
-        ("ab", "x", "pp", "long_positive"),
-        ("one two three four five six", "two", "qpqqqq", None),
+        ("a b", None, "missing"),
+        ("a b", "", "missing"),
+        (six, "pppqqq", "too_positive"),
+        (six, "nnnnnq", "too_negative"),
+        (six, "eeqqqq", "too_neutral"),
+        (six, "ppqqqq", None),
+        ("a b c d e", "pppqq", None),  # shares count with over five words
+        ("a b", "qpp", "whole_tweet"),
+        (six, "qq two qq", "copied"),
+        ("a b", "a b q", None),  # single characters are no copy
+        ("one 2", "q", None),
+        ("abcdef g", "nn", "whole_tweet"),
+        ("a b c d", "nnnqq", None),  # 3 of 7 characters
+        ("a b c d", "qppp", "long_positive"),
+        ("a b c d", "ppq ppp", "whole_tweet"),
+        ("a b c d e f", "q nnnn", None),
+        ("a b c de", "eee", "long_neutral"),
+        ("a  b  c  d", "nqnn", None),  # the first run is looked at, of two or more
     ]
-    df = spark.createDataFrame([r[:3] + ("w",) for r in rows], "text string, phrase string, annotation string, worker string")
-    assert [r["reason"] for r in verify.verify(df).collect()] == [r[3] for r in rows]
-    assert verify.verify(df, ["w"]).where("reason = 'blacklisted'").count() == 6
+    df = spark.createDataFrame([r[:2] + ("w",) for r in rows], "text string, annotation string, worker string")
+    assert [r["reason"] for r in verify.verify(df).collect()] == [r[2] for r in rows]
+    assert verify.verify(df, ["w"]).where("reason = 'blacklisted'").count() == len(rows) - 2
 
 
 def test_four_rows(spark):
@@ -122,9 +157,16 @@ def test_bigram_start_and_stems(spark):
     o = features.Options(2, 1, threshold=1)
     assert {r["gram"] for r in features.gram_counts(d, o).collect()} == {"two threes", "threes four"}
     s = features.Options(1, threshold=1, stem=True)
-    assert {r["gram"] for r in features.gram_counts(d, s).collect()} == {"one", "two", "three", "four"}
+    assert {r["gram"] for r in features.gram_counts(d, s).collect()} == {"on", "two", "three", "four"}
+
+
+def test_special_columns_have_names_of_their_own(spark):
+    names = spark.createDataFrame([("overall", 0), ("it's", 2), ("sentiment", 1)], "gram string, feature long")
+    head = [r["value"] for r in features.header_lines(names, "r", ["@attribute x_sentiment {a,b}"]).orderBy("place").collect()]
+    assert head == ["@relation r", "@attribute w_overall numeric", "@attribute w_sentiment numeric", "@attribute 'w_it\\'s' numeric", "@attribute x_sentiment {a,b}", "@data"]
 
 
-def test_special_columns_have_names_of_their_own():
-    head = features.arff_header("r", ["overall", "sentiment", "it's"], ["num_positive"], "sentiment", ["a", "b"])
-    assert head == ["@relation r", "@attribute w_overall numeric", "@attribute w_sentiment numeric", "@attribute 'w_it\\'s' numeric", "@attribute x_num_positive numeric", "@attribute x_sentiment {a,b}", "@data"]
+def test_lines_are_dense_or_sparse(spark):
+    rows = spark.createDataFrame([([1, 4], "a"), ([], "b"), ([0, 5], "c")], "features array<long>, k string")
+    assert [r[0] for r in features.csv_rows(rows, 6, -1, ["k"]).collect()] == ["-1,1,-1,-1,1,-1,a", "-1,-1,-1,-1,-1,-1,b", "1,-1,-1,-1,-1,1,c"]
+    assert [r[0] for r in features.csv_rows(rows, 6, 0, ["k"], True).collect()] == ["{1 1, 4 1, 6 a}", "{6 b}", "{0 1, 5 1, 6 c}"]

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
+from larkspur.corpus import Corpus
 from larkspur.operators import filters, labels
+from larkspur.registry import OPERATORS, Spec
 
 
 def docs(spark, *texts):
@@ -51,6 +53,8 @@ def values(df, column):
 
 
 def test_literal_labels(spark):
+    d = docs(spark, ":)", ";)", ":-)", ";-)", ":D", ":-D", ":(", ":-(", "D:", ":) D:", "=)", ": )", ": (", "")
+    assert values(d, labels.emoticon(F.col("document"))) == [1] * 6 + [-1] * 3 + [None] * 5
     d = docs(spark, "abc :)", "abc :(", ":) :(", "", "!" * 20)
     assert values(d, labels.emoticon(F.col("document"))) == [1, -1, None, None, None]
     assert values(d, labels.special_characters(F.col("document"))) == [2, 2, 4, 0, 20]
@@ -64,6 +68,14 @@ def test_token_labels_are_numbered_in_order(spark):
     assert got == {(1, "#a", 5), (1, "#b", 6), (2, "#c", 7)}
 
 
+def test_two_labellers_of_one_table(spark):
+    """The second goes on after the greatest label, also if that is 0."""
+    c = Corpus(spark, {"input": docs(spark, "#a @b", "@c")})
+    for name in ("HashTagLabeller", "AtMentionLabeller"):
+        c = OPERATORS[name].run(c, Spec(name, {"dest": "x"}))
+    assert sorted(tuple(r) for r in c.labels("x").collect()) == [(1, 0), (1, 1), (2, 2)]
+
+
 def test_numbers_have_no_gaps_over_many_partitions(spark):
     df = spark.range(1000).select(F.format_string("%05d", F.col("id")).alias("k")).repartition(7)
     got = sorted((r["k"], r["label"]) for r in labels.number(df, "k").collect())
@@ -85,6 +97,8 @@ def test_split_share(spark):
 def test_tweet_tokens(spark):
     d = docs(spark, "Hello, #Tag! @me 9lives it's  !", "")
     assert values(d, X.tweet_tokens(F.col("document"))) == [["hello", "#tag", "@me", "9lives", "it", "!"], []]
+    d = docs(spark, ":) ;-D 123abc 'quoted' é abc:)def #a@b!", "x  :")
+    assert values(d, X.tweet_tokens(F.col("document"))) == [[":)", ";-d", "123abc", "'quoted'", "é", "abc", "#a@b"], ["x", ":"]]
     assert values(d, X.regexp_stem(F.lit("running")))[0] == "runn"
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import classify, evolve, features
+from larkspur.operators import classify, evolve, features, results
 
 
 def rows(spark, n=240):
@@ -23,12 +23,13 @@ def rows(spark, n=240):
 @pytest.mark.parametrize("name", ["NaiveBayes", "Logistic"])
 def test_benchmarks(spark, name):
     r = classify.benchmark(rows(spark), name, 2).first()
-    assert r["tp"] + r["tn"] + r["fp"] + r["fn"] == 240 and r["accuracy"] > 0.85
+    assert r["total_number_of_instances"] == 240 and r["percent_correctly_classified"] > 85 and 0.85 < r["area_under_curve"] <= 1
+    assert list(r.asDict()) == results.RESULT_COLUMNS and r["positive_instances"] == 120
 
 
 def test_cross_domain_and_confidences(spark):
     r = classify.cross_domain(rows(spark), "NaiveBayes", "en", "fr").first()
-    assert r["tp"] + r["tn"] + r["fp"] + r["fn"] == 80 and r["accuracy"] > 0.8
+    assert r["total_number_of_instances"] == 80 and r["percent_correctly_classified"] > 80 and (r["train_domain"], r["test_domain"]) == ("en", "fr")
     c = classify.classify(rows(spark).withColumn("s", (F.col("identifier") % 4 == 0).cast("int")), "s")
     assert c.count() == 60 and c.where("abs(positive + negative - 1) > 1e-6").count() == 0
 
@@ -69,6 +70,25 @@ def test_unknown_classifiers_are_refused():
         classify.estimator("__import__('os')")
 
 
+def test_measures_by_hand(spark):
+    rows = [(1.0, 1.0, 0.9), (1.0, 0.0, 0.4), (0.0, 0.0, 0.4), (0.0, 0.0, 0.1), (0.0, 1.0, 0.6)]
+    r = results.measures(spark.createDataFrame(rows, "y double, prediction double, p double").repartition(3), "x", 4, 7).first()
+    assert (r["correctly_classified_instances"], r["incorrectly_classified_instances"], r["neutral_instances"]) == (3, 2, 0)
+    err = [abs(y - p) for y, _, p in rows]
+    assert r["mean_absolute_error"] == pytest.approx(sum(err) / 5) and r["root_mean_squared_error"] == pytest.approx((sum(e * e for e in err) / 5) ** 0.5)
+    assert r["relative_absolute_error"] == pytest.approx(100 * sum(err) / (2 * 0.6 + 3 * 0.4)) and r["root_relative_squared_error"] == pytest.approx(100 * (sum(e * e for e in err) / (2 * 0.36 + 3 * 0.16)) ** 0.5)
+    pairs = [(p, n) for y, _, p in rows if y for z, _, n in rows if not z]
+    assert r["area_under_curve"] == pytest.approx(sum(1.0 if p > n else 0.5 if p == n else 0 for p, n in pairs) / 6)
+    assert (r["precision"], r["recall"], r["true_negative_rate"]) == (0.5, 0.5, pytest.approx(2 / 3))
+
+
+def test_names_of_classifiers(spark):
+    assert [classify.known(x) for x in ("weka.classifiers.trees.J48 -C 0.25", "GaussianNB()", "neighbors.KNeighborsClassifier()")] == ["J48", "GaussianNB", "KNeighbors"]
+    assert classify.mean_accuracy(rows(spark, 60), "GaussianNB()", 2).first()["accuracy"] > 0.6
+    signs = spark.createDataFrame([(1, -1, -1, 1), (-1, 1, -1, -1), (-1, -1, 1, 0), (-1, -1, -1, 0), (1, 1, -1, 1)], "p int, n int, e int, want int")
+    assert signs.where(classify.one_vs_rest(F.col("p"), F.col("n"), F.col("e")) != F.col("want")).count() == 0
+
+
 def test_perceptron():
     x = np.array([[0, 0], [0, 1], [1, 0], [1, 1]], float)
     y = np.array([-1, -1, -1, 1])
