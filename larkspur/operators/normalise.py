@@ -150,11 +150,19 @@ def normalised_words(df: DataFrame, options: Normaliser = Normaliser(), lemmas:
 
 
 def evolution_words(text: Column) -> Column:
-    """Words without stop words; mentions are AT, tags stay, the rest is [a-z0-9#] only."""
-    kept = F.filter(words(F.lower(text)), lambda w: ~w.isin(list(STOP_WORDS)))
-    return F.filter(F.transform(kept, lambda w: F.when(w.startswith("@"), "AT").otherwise(F.regexp_replace(w, "[^a-z0-9#]", ""))), lambda w: w != "")
+    """Space-split words: stop words, mentions and words stripped bare are one word each; others are stemmed unless they
+    hold #, and keep [a-z0-9#]."""
+    plain = F.transform(words(text), lambda w: F.when(F.lower(w).isin(list(STOP_WORDS)), "STOPPED_WORD").when(w.contains("@"), "AT").otherwise(F.lower(w)))
+    stems = _arrays(lambda w: w if "#" in w or w in ("STOPPED_WORD", "AT") else porter(w))(plain)
+    kept = F.transform(stems, lambda w: F.when(w.isin("STOPPED_WORD", "AT"), w).otherwise(F.regexp_replace(F.lower(w), "[^a-z0-9#]", "")))
+    return F.transform(kept, lambda w: F.when(w == "", "FILTERED_WORD").otherwise(w))
 
 
+def _arrays(f):
+    from pyspark.sql.pandas.functions import PandasUDFType
+
+    return F.pandas_udf(lambda s: s.map(lambda ws: None if ws is None else [f(w) for w in ws]), "array<string>", PandasUDFType.SCALAR)
+
 
 @operator("SubjectiveWordNormaliser", ("table",), ("stopWords", "stemmer", "lower", "strip"))
 def _normalise(c: Corpus, s: Spec) -> Corpus:

@@ -345,35 +345,95 @@ def _tagger(c: Corpus, s: Spec) -> Corpus:
     return c.with_table("agreement", made)
 
 
-def evolve_scores(df: DataFrame, annotations: DataFrame, size: int = 256, generations: int = 8, population: int = 10, spread: float = 0.005, seed: int = 0) -> dict[str, float]:
-    """Scores of the most frequent words that lessen the mean squared error of fixed scores, by genetic search.
+POOL = 10  # genomes that compete
+GENERATIONS = 20  # rounds of the search, a documented bound
+FEW_KEYS = 1_000_000  # words and pairs whose scores are broadcast
 
-    The errors of a generation come from one aggregate: a genome's error is a sum over words of
-    n*g*g - 2*g*s + q, where n, s and q are a word's positions, sum and sum of squares of
-    observed shares, so the search itself needs no further pass over the data.
+
+def evolution_pairs(df: DataFrame) -> DataFrame:
+    """identifier, at, i, j, ij: neighbouring words of each text, normalised, and their pair as one key."""
+    from .normalise import evolution_words
+
+    rows = df.select("identifier", evolution_words(F.col("document")).alias("w"))
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    both = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
+    rows = rows.select("identifier", F.posexplode(both).alias("at", "x")).select("identifier", "at", "x.i", "x.j")
+    return rows.withColumn("ij", F.concat_ws(" ", "i", "j"))
+
+
+def evolution_targets(pairs_: DataFrame, shares: DataFrame) -> DataFrame:
+    """pairs_ with a1 and a2, a tenth of the decile class that either word was given."""
+    one = shares.select("identifier", "at", class_value(decile(F.col("share"))).alias("a"))
+    left = pairs_.join(one.withColumnRenamed("a", "a1"), ["identifier", "at"])
+    return left.join(one.select("identifier", (F.col("at") - 1).alias("at"), F.col("a").alias("a2")), ["identifier", "at"])
+
+
+def _scores(rows: DataFrame, genome: DataFrame, few: bool, size: int) -> DataFrame:
+    """rows with s: for each of size genomes the mean of a pair's and its words' scores, weighted by how often each was seen.
+
+    genome: (key, n, g: array of scores).  Keys that were never seen have no weight.
+    """
+    for name in ("ij", "i", "j"):
+        table = genome.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("g").alias(f"g_{name}"))
+        rows = rows.join(F.broadcast(table) if few else table, name, "left")
+    weight = sum((F.coalesce(f"n_{x}", F.lit(0)) for x in ("i", "j")), F.coalesce("n_ij", F.lit(0)))
+    part = lambda x, k: F.coalesce(F.col(f"n_{x}") * F.get(F.col(f"g_{x}"), k), F.lit(0.0))
+    score = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(weight > 0, (part("ij", k) + part("i", k) + part("j", k)) / weight).otherwise(0.0))
+    return rows.withColumn("s", score)
+
+
+def evolve(df: DataFrame, annotations: DataFrame, generations: int = GENERATIONS, spread: float = 0.005, seed: int = 0) -> DataFrame:
+    """key, n, score: a score for every word and every pair of neighbours, by a genetic search that lessens the summed squared
+    error of the pairs of all annotated texts.
+
+    The first genome has the mean annotation of each key; others start as mutations of it.  A child takes each score
+    from either of two parents, and one in twenty is changed by up to 0.2; it takes the place of the worst genome if its error
+    is at most the mean one.  The search ends once the errors of the pool are within spread, or after the given
+    generations of ``POOL`` children.  Genomes are columns of a table of keys; what is random in a key comes from hashes, so a
+    generation is one join and one aggregate over the texts, and only errors come to the driver.
     """
-    shares = subjectivity_vector(annotations)
-    rows = df.select("identifier", F.posexplode(words(F.lower("document"))).alias("at", "word")).join(shares, ["identifier", "at"])
-    stats = rows.groupBy("word").agg(F.count("*").alias("n"), F.sum("share").alias("s"), F.sum(F.col("share") * F.col("share")).alias("q"))
-    top = stats.orderBy(F.desc("n"), "word").limit(size).collect()  # ``size`` words
-    n, s, q = (np.array([r[k] for r in top], float) for k in ("n", "s", "q"))
+    rows = durable(evolution_targets(evolution_pairs(df), subjectivity_vector(annotations)))
+    parts = [rows.select(F.col("ij").alias("key"), (0.5 * (F.col("a1") + F.col("a2"))).alias("a")), rows.select(F.col("i").alias("key"), F.col("a1").alias("a")), rows.select(F.col("j").alias("key"), F.col("a2").alias("a"))]
+    seen = parts[0].union(parts[1]).union(parts[2]).groupBy("key").agg(F.count("*").alias("n"), F.avg("a").alias("m"))
+    uniform = lambda tag: F.pmod(F.xxhash64("key", F.lit(f"{seed} {tag}")), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    mutated = lambda score, tag: score + F.when(uniform(f"{tag} which") < 0.05, 0.4 * uniform(f"{tag} by") - 0.2).otherwise(0.0)
+    genome = durable(seen.select("key", "n", F.array(F.col("m"), *(mutated(F.col("m"), f"start {k}") for k in range(1, POOL))).alias("g")))
+    few = genome.count() <= FEW_KEYS
+    target = 0.5 * (F.col("a1") + F.col("a2"))
+
+    def errors(table: DataFrame, size: int) -> list[float]:
+        scored = _scores(rows, table, few, size)
+        each = [F.coalesce(F.sum(F.pow(F.col("s")[k] - target, F.lit(2.0))), F.lit(0.0)).alias(f"e{k}") for k in range(size)]
+        return list(scored.agg(*each).first())
+
+    value = errors(genome, POOL)
     rng = np.random.default_rng(seed)
-    pool = rng.random((population, len(top)))
-    error = lambda g: (g * g * n - 2 * g * s + q).sum(1) / max(n.sum(), 1)
-    for _ in range(generations * population):
-        e = error(pool)
-        if len(top) == 0 or e.max() - e.min() < spread:
+    for generation in range(generations):
+        if max(value) - min(value) < spread:
             break
-        a, b = pool[np.argsort(e)[rng.integers(0, max(2, population // 2), 2)]]
-        child = np.clip(np.where(rng.random(len(top)) < 0.5, a, b) + rng.normal(0, 0.05, len(top)), 0, 1)
-        worst = int(e.argmax())
-        if error(child[None])[0] < e[worst]:
-            pool[worst] = child
-    best = pool[int(error(pool).argmin())] if len(top) else []
-    return {r["word"]: float(x) for r, x in zip(top, best, strict=True)}
+        parents = rng.integers(0, POOL, (POOL, 2))
+        child = lambda c: mutated(F.when(uniform(f"{generation} {c}") < 0.5, F.get("g", int(parents[c][0]))).otherwise(F.get("g", int(parents[c][1]))), f"{generation} {c}")  # noqa: E731, B023
+        both = durable(genome.select("key", "n", F.concat("g", F.array(*(child(c) for c in range(POOL)))).alias("g")))
+        young = errors(both.select("key", "n", F.slice("g", POOL + 1, POOL).alias("g")), POOL)
+        place = list(range(POOL))
+        for c, e in enumerate(young):
+            if e <= sum(value) / POOL:
+                worst = int(np.argmax(value))
+                place[worst], value[worst] = POOL + c, e
+        genome = both.select("key", "n", F.array(*(F.get("g", p) for p in place)).alias("g"))
+    return durable(genome.select("key", "n", F.get("g", int(np.argmin(value))).alias("score")))
+
+
+def evolved(df: DataFrame, scores: DataFrame) -> DataFrame:
+    """identifier, annotation: each word has the score of the pair that it begins, the last word that of the one it ends;
+    a text of one word has a zero."""
+    few = scores.count() <= FEW_KEYS
+    made = _scores(evolution_pairs(df), scores.select("key", "n", F.array("score").alias("g")), few, 1).select("identifier", "at", F.col("s")[0].alias("share"))
+    lists = vectors(made).select("identifier", F.concat("annotation", F.array(F.element_at("annotation", -1))).alias("annotation"))
+    return df.select("identifier").join(lists, "identifier", "left").select("identifier", F.coalesce("annotation", F.array(F.lit(0.0))).alias("annotation"))
 
 
-_annotator("SubjectiveEvolution", lambda c, s, d, m: fixed(d, evolve_scores(c.input, m, seed=s.get("seed", 0, int))), "seed")
+_annotator("SubjectiveEvolution", lambda c, s, d, m: evolved(d, evolve(c.input, m, s.get("generations", GENERATIONS, int), seed=s.get("seed", 0, int))), "seed", "generations")
 
 
 @operator("SubjectiveAnnotationEvaluator", ("sourceTable", "predictedTable", "bucket"), ("metric",))
@@ -401,7 +461,7 @@ TAGGERS = {
     "NLTKSubjectivePhraseMarkovAnnotator": lambda s: _of_markov,
     "CRFSubjectiveAnnotator": lambda s: _of_markov,
     "FixedSubjectivePhraseAnnotator": _fixed_of,
-    "SubjectiveEvolution": lambda s: lambda train, marks, test: fixed(test, evolve_scores(train, marks, seed=s.get("seed", 0, int))),
+    "SubjectiveEvolution": lambda s: lambda train, marks, test: evolved(test, evolve(train, marks, s.get("generations", GENERATIONS, int), seed=s.get("seed", 0, int))),
 }
 
 
