@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +39,14 @@ def unescape(text: str) -> str:
 
 def marked_template(turns: list[Turn]) -> str:
     """Every turn as ``<s>role [INST] text [/INST]</s>`` and a line end, role and text escaped."""
-    return "".join(f"<s>{escape(role)} [INST] {escape(text)} [/INST]</s>\n" for role, text in turns)
+    return "".join(_short(role, text) if len(text) < 2048 else _one(role, text) for role, text in turns)
+
+
+def _one(role: str, text: str) -> str:
+    return f"<s>{escape(role)} [INST] {escape(text)} [/INST]</s>\n"
+
+
+_short = lru_cache(maxsize=8192)(_one)  # a turn is rendered with every prefix that holds it
 
 
 def parse_marked(span: str) -> Turn:
@@ -101,8 +109,9 @@ def format_conversations(conversations: DataFrame, render=marked_template, train
 
     Rows go by turn (a null turn first, ties by role, then text; repeated rows stay); a
     null role or text is empty; rows with a null conv_id make a conversation of id
-    null; other columns are ignored; an empty table gives no rows.  A conversation
-    is formatted as a whole by one task, with a rendering for each prefix.
+    null; rows of one id are one conversation, wherever they come from; other columns are ignored; an
+    empty table gives no rows.  A conversation is formatted as a whole by one task, with a rendering for
+    each prefix, so its cost grows with the square of its turns.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))

@@ -159,6 +159,7 @@ def build_lexicon(docs: DataFrame, vocabulary: str, entries: int = ENTRIES, text
     All words are counted.  How many words have each count gives the least count of which
     all words fit; words of that count or more, and of two at least, are taken, so no tie
     is cut and no more than ``entries`` words reach the driver, however many tasks count.
+    Null and empty texts hold no words; a table without words gives an empty lexicon.
     """
     words = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_words(vocabulary), "word binary, n long")
     counts = save(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
@@ -190,8 +191,8 @@ _held: dict = {}  # of a worker: the encoder of one lexicon
 def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id and ids (binary, little-endian unsigned 32-bit).
 
-    Null texts are empty and have no ids; repeated rows are encoded each; other columns
-    are ignored.
+    Null texts are empty and have no ids; a null id stays null; repeated rows are encoded each; an
+    empty table gives no rows; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
     key = hashlib.blake2b(lexicon, digest_size=8).hexdigest()
@@ -212,8 +213,10 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, id_col: str = "doc_
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """encoded with a column text: the text of its ids, as the library's decode gives it.
 
-    Null ids give a null text, no ids an empty one.
+    Null ids give a null text, no ids an empty one; a column text is replaced, other columns stay; an empty
+    table gives no rows.
     """
+    encoded = encoded.drop("text")
     schema = T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())])
 
     def run(it):

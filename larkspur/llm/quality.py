@@ -99,8 +99,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
     kept: not base_failed, and the sum of weights is at least threshold times the number of
     n-grams.  ratio is that sum divided by the number (null without words).  A null
-    or empty text has no words and fails; repeated rows get the same verdict; of columns
-    with the names of results the input's are replaced; an empty table gives no rows.
+    or empty text has no words and fails; repeated rows get the same verdict; rows with a null id are judged
+    but never trusted; of columns with the names of results the input's are replaced; an empty table gives no rows.
     """
     weights = F.from_json(F.lit(json.dumps(ngram_weights(docs, trusted, id_col, text_col))), "array<int>")
     out = base_rules(docs, text_col)

@@ -30,8 +30,8 @@ def _counts(path: str):
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    Null texts count as empty (0, 0, false); repeated rows are counted each; other
-    columns are ignored.
+    Null texts count as empty (0, 0, false); a null id stays null; repeated rows are counted each; an
+    empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(_counts(vocabulary), "id long, n_bytes long, n_tokens long")

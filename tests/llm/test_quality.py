@@ -80,6 +80,15 @@ def test_a_filter_on_results_stays_above_them(spark):
     assert quality_rules(docs, docs.select("doc_id")).where("NOT kept AND n_words = 6000").select("doc_id").count() == 3
 
 
+def test_very_long_texts(spark):
+    """20,000 words and lines, most of them once and most of them again and again."""
+    long = [" ".join(f"w{i}" for i in range(20_000)), "\n".join(f"same line {i % 50}" for i in range(20_000)), "z" * 300_000]
+    rows = list(enumerate(long))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules(docs, docs.select("doc_id")).collect()}
+    assert got == {i: counts(t) for i, t in rows}
+
+
 def test_empty_table_and_clashing_columns(spark):
     none = spark.createDataFrame([], "doc_id long, text string, kept string")
     assert quality_rules(none, none.select("doc_id")).count() == 0

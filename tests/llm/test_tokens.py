@@ -142,3 +142,42 @@ def test_packing(spark):
         assert at <= 4096
     assert len(used) <= -(-sum(map(len, whole.values())) // 4096) + 2
     assert pack_documents(docs.limit(0), PATH).count() == 0
+
+
+def odd(spark, texts):
+    """Null ids, repeated rows, and columns with the names of results."""
+    rows = [(i, t, "x", 7, 9) for i, t in enumerate(texts)] + [(0, texts[0], "x", 7, 9)] * 3 + [(None, texts[0], "y", 7, 9), (None, None, "z", 7, 9)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int, length int").repartition(3)
+
+
+def test_counts_of_odd_rows(spark):
+    rows, docs = odd(spark, TEXTS)
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in count_tokens(docs, PATH).collect()), key=str)
+    assert got == sorted(((r[0], len(ids(r[1]))) for r in rows), key=str)
+
+
+def test_encoding_of_odd_rows(spark):
+    rows, docs = odd(spark, TEXTS)
+    block = build_lexicon(docs, PATH)
+    got = [(r["doc_id"], bytes(r["ids"]), r["text"]) for r in decode(encode(docs, PATH, block), PATH).collect()]
+    want = [(r[0], np.array(ids(r[1]), "<u4").tobytes(), LIBRARY.decode(ids(r[1]), skip_special_tokens=False)) for r in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    none = docs.limit(0)
+    empty = build_lexicon(none, PATH)
+    assert decode(encode(none, PATH, empty), PATH).count() == 0
+    assert Lexicon(empty).find([b"the"]) == [None]
+
+
+def test_packing_of_odd_rows(spark):
+    rows, docs = odd(spark, TEXTS)
+    got = pack_documents(docs, PATH).collect()
+    want = sorted(((i, len(ids(t)) + 1) for i, t, *_ in rows), key=str)
+    total = {}
+    for r in got:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+    assert total == {i: sum(n for j, n in want if j == i) for i, _ in want}
+    used = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in used.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
