@@ -11,9 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoint import durable
+from .labels import number
+from .phrases import fold
+
 
 @dataclass
 class Settings:
@@ -27,11 +31,26 @@ class Settings:
     seed: int = 0
 
 
+CELLS = 8_000_000  # scores that are broadcast at most, 32 MB
+
+
+def enumerated(df: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """(words: word, id from 0; sentences: identifier, ids, y) of df with a column y."""
+    rows = durable(df.select("identifier", "y", tokens.alias("w")))
+    words = durable(number(rows.select(F.explode("w").alias("word")).distinct(), "word", 0, "id").select("word", "id"))
+    placed = rows.select("identifier", F.posexplode("w").alias("at", "word")).join(words, "word").groupBy("identifier").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("s"))
+    out = rows.select("identifier", "y").join(placed, "identifier", "left")
+    return words, durable(out.select("identifier", F.coalesce(F.col("s.id"), F.array().cast("array<bigint>")).cast("array<int>").alias("ids"), "y"))
+
+
 def fitness(sentences: DataFrame, genomes: np.ndarray) -> np.ndarray:
     """Percent of sentences whose summed score has the sign of their label; an undecided one is wrong.
 
-    sentences: (ids: array<int>, y: 1 or -1).
+    sentences: (ids: array<int>, y: 1 or -1).  Genomes of up to ``CELLS`` scores go to every task; larger ones
+    are a table of word ids that is joined to the words of the sentences.
     """
+    if genomes.size > CELLS:
+        return _joined_fitness(sentences, genomes)
     sent = sentences.sparkSession.sparkContext.broadcast(genomes.astype(np.float32))
 
     def run(it):
@@ -47,6 +66,121 @@ def fitness(sentences: DataFrame, genomes: np.ndarray) -> np.ndarray:
     return (100 * found["r"] / found["n"].clip(lower=1)).to_numpy()
 
 
+def _joined_fitness(sentences: DataFrame, genomes: np.ndarray) -> np.ndarray:
+    spark, k = sentences.sparkSession, len(genomes)
+    import pandas as pd
+
+    scores = None
+    for a in range(0, genomes.shape[1], 100_000):
+        part = spark.createDataFrame(pd.DataFrame({"id": np.arange(a, min(a + 100_000, genomes.shape[1])), "g": genomes[:, a : a + 100_000].T.tolist()}), "id int, g array<double>")
+        scores = part if scores is None else scores.union(part)
+    rows = sentences.select(F.xxhash64("ids", "y", F.monotonically_increasing_id()).alias("s"), "ids", "y")
+    rows = durable(rows)
+    sums = rows.select("s", F.explode("ids").alias("id")).join(durable(scores), "id").groupBy("s").agg(*(F.sum(F.col("g")[j]).alias(f"g{j}") for j in range(k)))
+    both = rows.select("s", "y").join(sums, "s", "left")
+    return np.array(both.agg(*(F.coalesce(100 * F.avg((F.signum(F.coalesce(f"g{j}", F.lit(0.0))) == F.col("y")).cast("double")), F.lit(0.0)) for j in range(k))).first(), float)
+
+
+def verdict(score: Column) -> Column:
+    """1, -1, or null where a score decides nothing."""
+    return F.when(score > 0, 1).when(score < 0, -1)
+
+
+def percent_correct(rows: DataFrame, label: str = "y", predicted: str = "prediction") -> DataFrame:
+    """One row: total, correct, correct by label, decided, percent; a null prediction is undecided and wrong."""
+    hit = F.coalesce(F.col(label) == F.col(predicted), F.lit(False))
+    of = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    n = rows.agg(F.count("*").alias("total"), of(hit).alias("correct"), of(hit & (F.col(label) == 1)).alias("positive_correct"), of(hit & (F.col(label) == -1)).alias("negative_correct"), of(F.col(predicted).isNotNull()).alias("decided"))
+    return n.withColumn("percent", F.when(F.col("total") > 0, 100.0 * F.col("correct") / F.col("total")).otherwise(0.0))
+
+
+def signals(sentences: DataFrame, scores: DataFrame) -> DataFrame:
+    """identifier, y, signal: the score of each word in order; scores: (id, score), words without one are 0."""
+    rows = sentences.select("identifier", F.posexplode("ids").alias("at", "id")).join(scores, "id", "left")
+    lists = rows.groupBy("identifier").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("score", F.lit(0.0)).alias("score")))).alias("s"))
+    return sentences.select("identifier", "y").join(lists, "identifier", "left").select("identifier", "y", F.coalesce(F.col("s.score"), F.array().cast("array<double>")).alias("signal"))
+
+
+def sign_change_column(signal: Column) -> Column:
+    """How often a signal's sign changes, zeros left out.  Deviation: both signs count."""
+    s = F.filter(F.transform(signal, lambda x: F.signum(x)), lambda x: x != 0)
+    n = F.greatest(F.size(s) - 1, F.lit(0))
+    return F.size(F.filter(F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n), lambda a, b: a != b), lambda x: x))
+
+
+SIDE = 4096  # signals of a block that neighbours are looked for in
+
+
+def _matrix(col) -> tuple[np.ndarray, np.ndarray]:
+    rows = [np.asarray(x, float) for x in col]
+    n = np.array([len(x) for x in rows], np.int64)
+    out = np.zeros((len(rows), max(1, n.max(initial=0))))
+    for k, x in enumerate(rows):
+        out[k, : len(x)] = x
+    return out, n
+
+
+def _best(known, asked):
+    import pandas as pd
+
+    if not len(known) or not len(asked):
+        return pd.DataFrame({"identifier": [], "t": [], "y": [], "c": []})
+    known = known.sort_values("t")
+    (a, na), (b, nb) = _matrix(asked["signal"]), _matrix(known["signal"])
+    width = max(a.shape[1], b.shape[1])
+    a, b = np.pad(a, ((0, 0), (0, width - a.shape[1]))), np.pad(b, ((0, 0), (0, width - b.shape[1])))
+    n = np.maximum(np.maximum.outer(na, nb), 1)
+    sa, sb = a.sum(1), b.sum(1)
+    cov = a @ b.T - np.outer(sa, sb) / n
+    var = np.sqrt(np.maximum((a * a).sum(1)[:, None] - sa[:, None] ** 2 / n, 0) * np.maximum((b * b).sum(1)[None, :] - sb[None, :] ** 2 / n, 0))
+    c = np.round(np.where(var > 1e-12, cov / np.where(var > 1e-12, var, 1), 0.0), 12)
+    k = c.argmax(1)
+    return pd.DataFrame({"identifier": asked["identifier"].to_numpy(), "t": known["t"].to_numpy()[k], "y": known["y"].to_numpy()[k], "c": c[np.arange(len(k)), k]})
+
+
+def nearest_signals(train: DataFrame, test: DataFrame, group: str | None = None) -> DataFrame:
+    """identifier, prediction: the label of the training signal that correlates best, of equals the least identifier's.
+
+    train and test: (identifier, y, signal).  With group (a column of both) only signals of one group are compared, as a meta
+    classifier does; a row whose group has no training signal is undecided (null).  Signals are compared in blocks
+    of about ``SIDE`` by ``SIDE``, of which only the best leaves.
+    """
+    g = F.col(group).cast("long") if group else F.lit(0).cast("long")
+    across, down = (max(1, -(-df.count() // SIDE)) for df in (train, test))
+    dealt = lambda df, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64("identifier"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    known = dealt(train.withColumn("_g", g), "_j", across, "_i", down).select("_g", "_i", "_j", F.col("identifier").alias("t"), F.col("y").cast("int").alias("y"), "signal")
+    asked = dealt(test.withColumn("_g", g), "_i", down, "_j", across).select("_g", "_i", "_j", "identifier", "signal")
+    found = known.groupBy("_g", "_i", "_j").cogroup(asked.groupBy("_g", "_i", "_j")).applyInPandas(_best, "identifier long, t long, y int, c double")
+    best = found.groupBy("identifier").agg(F.min_by("y", F.struct(-F.col("c"), F.col("t"))).alias("prediction"))
+    return test.select("identifier", "y").join(best, "identifier", "left")
+
+
+def k_cross(rows: DataFrame, classify, folds: int = 5, seed: int = 0) -> DataFrame:
+    """fold, percent: of each fold the percentage right of classify(training rows, test rows) -> (identifier, y, prediction)."""
+    dealt = durable(rows.withColumn("_fold", fold(F.col("identifier"), folds, seed)))
+    out = None
+    for k in range(folds):
+        made = percent_correct(classify(dealt.where(F.col("_fold") != k), dealt.where(F.col("_fold") == k))).select(F.lit(k).alias("fold"), "total", "correct", "percent")
+        out = made if out is None else out.union(made)
+    return out
+
+
+def self_evaluation(rows: DataFrame, classify) -> DataFrame:
+    """percent_correct of a classifier on the rows that it was trained on."""
+    return percent_correct(classify(rows, rows))
+
+
+def exported_genome(words: DataFrame, scores: DataFrame) -> DataFrame:
+    """value: lines of word, number and score, tab-separated; words: (word, id), scores: (id, score)."""
+    return words.join(scores, "id").select("id", F.concat_ws("\t", "word", F.col("id").cast("string"), F.col("score").cast("string")).alias("value"))
+
+
+def read_genome(spark: SparkSession, path: str) -> DataFrame:
+    """word, id, score of an exported genome."""
+    p = F.split("value", "\t")
+    return spark.read.text(path).select(p[0].alias("word"), p[1].cast("long").alias("id"), p[2].cast("double").alias("score"))
+
+
 def evolve(sentences: DataFrame, words: int, settings: Settings = Settings(), score=fitness) -> tuple[np.ndarray, float]:
     """(best genome, its fitness): roulette on fitness**power, uniform crossover, small mutations;
     a child replaces the worst if it is better."""

@@ -113,6 +113,53 @@ def test_evolution_improves(spark):
     del genome
 
 
+def test_fitness_by_broadcast_and_by_join(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(rng.integers(0, 30, rng.integers(0, 9)).tolist(), int(rng.choice([-1, 1]))) for _ in range(200)]
+    sentences = spark.createDataFrame(data, "ids array<int>, y int").repartition(3)
+    g = np.round(rng.uniform(-1, 1, (4, 30)), 3)
+    want = [100 * sum(np.sign(x[ids].sum()) == y for ids, y in data) / 200 for x in g]
+    assert evolve.fitness(sentences, g) == pytest.approx(want)
+    monkeypatch.setattr(evolve, "CELLS", 0)
+    assert evolve.fitness(sentences, g) == pytest.approx(want)
+
+
+def test_meta_classifiers_and_folds(spark, monkeypatch, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([1, -1]), [round(rng.uniform(-1, 1), 2) for _ in range(rng.randrange(7))]) for i in range(90)]
+    df = spark.createDataFrame(rows, "identifier long, y int, signal array<double>").withColumn("k", evolve.sign_change_column(F.col("signal")))
+    assert {r["identifier"]: r["k"] for r in df.collect()} == {i: evolve.sign_changes(np.array(s)) for i, _, s in rows}
+    train, test = rows[:60], rows[60:]
+
+    def plain(group):
+        out = {}
+        for i, _, s in test:
+            near = [(round(evolve.correlation(np.array(t), np.array(s)), 12), -j, y) for j, y, t in train if group(t) == group(s)]
+            out[i] = max(near)[2] if near else None
+        return out
+
+    for side, group, key in ((4096, None, lambda s: 0), (16, "k", lambda s: evolve.sign_changes(np.array(s)))):
+        monkeypatch.setattr(evolve, "SIDE", side)
+        got = evolve.nearest_signals(df.where("identifier < 60"), df.where("identifier >= 60"), group)
+        assert {r["identifier"]: r["prediction"] for r in got.collect()} == plain(key)
+    folds = evolve.k_cross(df, evolve.nearest_signals, 3).collect()
+    assert sum(r["total"] for r in folds) == 90 and all(r["percent"] == pytest.approx(100 * r["correct"] / r["total"]) for r in folds)
+    assert evolve.self_evaluation(df.where("size(signal) > 3"), evolve.nearest_signals).first()["percent"] == 100
+    none = evolve.percent_correct(spark.createDataFrame([(1, 1), (1, None), (-1, 1)], "y int, prediction int")).first()
+    assert (none["correct"], none["decided"], none["percent"]) == (1, 2, pytest.approx(100 / 3))
+
+
+def test_genomes_go_out_and_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, "good day"), (2, -1, "bad"), (3, 1, "")], "identifier long, y int, document string")
+    words, sentences = evolve.enumerated(df, F.filter(F.split("document", " "), lambda w: w != ""))
+    assert {r["word"]: r["id"] for r in words.collect()} == {"bad": 0, "day": 1, "good": 2}
+    assert {r["identifier"]: r["ids"] for r in sentences.collect()} == {1: [2, 1], 2: [0], 3: []}
+    scores = spark.createDataFrame([(0, -0.5), (1, 0.25), (2, 0.75)], "id long, score double")
+    evolve.exported_genome(words, scores).select("value").write.text(str(tmp_path / "g"))
+    assert sorted(tuple(r) for r in evolve.read_genome(spark, str(tmp_path / "g")).collect()) == [("bad", 0, -0.5), ("day", 1, 0.25), ("good", 2, 0.75)]
+    assert {r["identifier"]: r["signal"] for r in evolve.signals(sentences, scores).collect()} == {1: [0.75, 0.25], 2: [-0.5], 3: []}
+
+
 def test_signals():
     assert evolve.correlation(np.array([1.0, 2, 3]), np.array([2.0, 4, 6])) == pytest.approx(1)
     assert evolve.nearest_signal([np.array([1.0, 2, 3]), np.array([3.0, 2, 1])], [1, -1], np.array([1.0, 3, 9])) == 1
