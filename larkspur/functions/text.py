@@ -45,6 +45,13 @@ def pairs(tokens: Column, start: int = 0, joiner: str = " ") -> Column:
     return F.zip_with(F.slice(tokens, start + 1, n), F.slice(tokens, start + 2, n), lambda a, b: F.concat_ws(joiner, a, b))
 
 
+def triples(tokens: Column, joiner: str = " ") -> Column:
+    """Three neighbouring tokens joined."""
+    n = F.greatest(F.size(tokens) - 2, F.lit(0))
+    both = F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda a, b: F.concat_ws(joiner, a, b))
+    return F.zip_with(both, F.slice(tokens, 3, n), lambda ab, c: F.concat_ws(joiner, ab, c))
+
+
 def without_urls(text: Column) -> Column:
     """Tokens that contain http go; the rest is joined again."""
     return F.array_join(F.filter(words(text), lambda w: ~w.contains("http")), " ")

@@ -103,6 +103,26 @@ def _normalise(c: Corpus, s: Spec) -> Corpus:
     return c.with_table("subphrases", made.select("identifier", F.col("identifier").alias("document_identifier"), "annotation", "sentiment"))
 
 
+def nearest(tokens: DataFrame, offsets_: DataFrame) -> DataFrame:
+    """tokens (identifier, start, ...) with the other columns of the row of offsets_ (identifier, start, ...) whose start is nearest,
+    of two equally near the earlier.
+
+    Both are put in one order of starts, where the nearest row is the last before or the first after, so no document's
+    pairs are formed.  Tokens of documents without offsets are left out.
+    """
+    own, other = [c for c in tokens.columns if c not in ("identifier", "start")], [c for c in offsets_.columns if c not in ("identifier", "start")]
+    none = lambda df, names: [F.lit(None).cast(df.schema[n].dataType).alias(f"_{k}{n}") for k, n in ((int(df is offsets_), n) for n in names)]
+    a = tokens.select("identifier", "start", *(F.col(n).alias(f"_0{n}") for n in own), *none(offsets_, other), F.lit(None).cast("long").alias("_s"), F.lit(1).alias("_asked"))
+    b = offsets_.select("identifier", "start", *none(tokens, own), *(F.col(n).alias(f"_1{n}") for n in other), F.col("start").cast("long").alias("_s"), F.lit(0).alias("_asked"))
+    found = F.when(F.col("_s").isNotNull(), F.struct("_s", *(f"_1{n}" for n in other)))
+    rows = a.unionByName(b).withColumn("_x", found)
+    order = "PARTITION BY identifier ORDER BY start, _asked"
+    rows = rows.withColumn("_before", F.expr(f"last(_x, true) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")).withColumn("_after", F.expr(f"first(_x, true) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"))
+    near = F.when(F.col("_after").isNull() | (F.col("start") - F.col("_before._s") <= F.col("_after._s") - F.col("start")), F.col("_before")).otherwise(F.col("_after"))
+    rows = rows.where("_asked = 1").withColumn("_near", near).where("_near IS NOT NULL")
+    return rows.select("identifier", "start", *(F.col(f"_0{n}").alias(n) for n in own), *(F.col(f"_near._1{n}").alias(n) for n in other))
+
+
 def _named(c: Corpus, name: str, prefix: str) -> str:
     """A table by its whole name, or by the part after its prefix."""
     return name if c.has(name) else prefix + name

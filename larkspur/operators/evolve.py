@@ -126,7 +126,7 @@ def _best(known, asked):
     if not len(known) or not len(asked):
         return pd.DataFrame({"identifier": [], "t": [], "y": [], "c": []})
     known = known.sort_values("t")
-    (a, na), (b, nb) = _matrix(asked["signal"]), _matrix(known["signal"])
+    (a, na), (b, nb) = _matrix(asked["asked"]), _matrix(known["known"])
     width = max(a.shape[1], b.shape[1])
     a, b = np.pad(a, ((0, 0), (0, width - a.shape[1]))), np.pad(b, ((0, 0), (0, width - b.shape[1])))
     n = np.maximum(np.maximum.outer(na, nb), 1)
@@ -148,8 +148,8 @@ def nearest_signals(train: DataFrame, test: DataFrame, group: str | None = None)
     g = F.col(group).cast("long") if group else F.lit(0).cast("long")
     across, down = (max(1, -(-df.count() // SIDE)) for df in (train, test))
     dealt = lambda df, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64("identifier"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
-    known = dealt(train.withColumn("_g", g), "_j", across, "_i", down).select("_g", "_i", "_j", F.col("identifier").alias("t"), F.col("y").cast("int").alias("y"), "signal")
-    asked = dealt(test.withColumn("_g", g), "_i", down, "_j", across).select("_g", "_i", "_j", "identifier", "signal")
+    known = dealt(train.withColumn("_g", g), "_j", across, "_i", down).select("_g", "_i", "_j", F.col("identifier").alias("t"), F.col("y").cast("int").alias("y"), F.col("signal").alias("known"))
+    asked = dealt(test.withColumn("_g", g), "_i", down, "_j", across).select("_g", "_i", "_j", F.col("identifier").alias("identifier"), F.col("signal").alias("asked"))
     found = known.groupBy("_g", "_i", "_j").cogroup(asked.groupBy("_g", "_i", "_j")).applyInPandas(_best, "identifier long, t long, y int, c double")
     best = found.groupBy("identifier").agg(F.min_by("y", F.struct(-F.col("c"), F.col("t"))).alias("prediction"))
     return test.select("identifier", "y").join(best, "identifier", "left")

@@ -128,6 +128,12 @@ _enumerating("BasicWordLabeller", basic_words)
 _enumerating("BigramLabeller", bigrams)
 
 
+def signature_size(labels: DataFrame, bits: int = 64) -> DataFrame:
+    """One row: the average number of labels of a document that has any, and how many hash functions a signature of so many bits takes."""
+    per = labels.groupBy("document_identifier").agg(F.count("*").alias("c")).agg(F.avg("c").alias("average"))
+    return per.withColumn("functions", F.round(bits / F.col("average") * F.log(F.lit(2.0))).cast("long"))
+
+
 def dictionary_labels(df: DataFrame, label: Column) -> tuple[DataFrame, DataFrame]:
     """(names, associations) of a text label: a dictionary and a bridge."""
     rows = df.select(F.col("identifier").alias("document_identifier"), label.cast("string").alias("label")).where("label IS NOT NULL")

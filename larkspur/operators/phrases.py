@@ -22,6 +22,12 @@ def empirical(annotations: DataFrame) -> DataFrame:
     return vectors(subjectivity_vector(annotations))
 
 
+def word_rates(df: DataFrame, annotations: DataFrame) -> DataFrame:
+    """word, rate: the share of a word's marks that aren't q, over all places and annotators; words in lower case."""
+    rows = df.select("identifier", F.posexplode(words(F.lower("document"))).alias("at", "word"))
+    return rows.join(positions(annotations.select("identifier", "annotation")), ["identifier", "at"]).groupBy("word").agg(F.avg((F.col("mark") != "q").cast("double")).alias("rate"))
+
+
 def human(annotations: DataFrame) -> DataFrame:
     """The observed shares, each as its decile class stands for."""
     return empirical(annotations).select("identifier", F.transform("annotation", lambda p: class_value(decile(p))).alias("annotation"))

@@ -19,6 +19,12 @@ def write_text(path: str, header: DataFrame | None, rows: DataFrame) -> None:
         header.orderBy("place").select("value").write.mode("overwrite").text(f"{path}/header")
 
 
+def quoted_lines(rows: DataFrame, label: str, text: str) -> DataFrame:
+    """value: label and quoted text of each row; quotes in it go and line ends become blanks."""
+    plain = F.replace(F.replace(F.col(text), F.lit('"'), F.lit("")), F.lit("\n"), F.lit(" "))
+    return rows.select(F.concat(F.col(label), F.lit(', "'), plain, F.lit('" ')).alias("value"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
