@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 BLOCK = 8192  # vectors of an index block
 ASKED = 4096  # queries that a task gets for a block
 SEGMENTS = 24  # of a dimension, at most
-ROUNDS = (0.06, 0.15, 0.35, 1.0)  # shares of all postings after which the bound is tried
+ROUNDS = (0.6, 0.7, 0.8, 1.0)  # shares of all postings after which the bound is tried
+FEW = 4  # a search stops once a block's size / FEW vectors, or fewer, can be members
 LARGEST = 2.0**53  # integers up to it are exact as doubles
 
 
@@ -95,7 +96,7 @@ class ImpactIndex:
             some = some[bound[some] > -np.inf]
             floor = np.sort(self.exact(some, q))[::-1][k - 1] if len(some) >= k else None
             may = np.flatnonzero(bound >= float(floor) - lost) if floor is not None else np.flatnonzero(bound > -np.inf)
-            if done == len(segments) or len(may) <= max(8 * k, n // 16):
+            if done == len(segments) or len(may) <= max(8 * k, n // FEW):
                 score = self.exact(may, q)
                 best = np.lexsort((self.ids[may], -score))[:k] if score.dtype != object else sorted(range(len(may)), key=lambda i: (-score[i], self.ids[may[i]]))[:k]
                 return [(int(self.ids[may[b]]), int(score[b])) for b in best]
