@@ -20,7 +20,7 @@ def clean(annotation: Column) -> Column:
 
 def positions(rows: DataFrame, annotation: str = "annotation") -> DataFrame:
     """identifier, at, mark of each character of each annotation."""
-    return rows.select("*", F.posexplode(F.regexp_extract_all(annotation, F.lit("(.)"), 1)).alias("at", "mark"))
+    return rows.select("*", F.posexplode(F.split(annotation, "")).alias("at", "mark")).where("mark <> ''")
 
 
 def subjectivity_vector(rows: DataFrame) -> DataFrame:

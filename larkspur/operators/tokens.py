@@ -114,6 +114,41 @@ for _name in ("NLTKPOSTagger", "StanfordTagger", "GimpelPOSTagger"):
     _tagger(_name, _plugged(_name))
 
 
+def _aligned(text: str, tagged: list[str]) -> list[tuple[int, int, str, str]] | None:
+    """(place of the word, place of the token, tag, token) of the tokens (TAG/word) that make up each word; None if a word has none."""
+    parts = [t.partition("/") for t in tagged]
+    out, at = [], 0
+    for k, word in enumerate(w for w in text.split(" ") if w.strip()):
+        while at < len(parts) and parts[at][2] not in word:
+            at += 1
+        if at == len(parts):
+            return None
+        held = ""
+        while at < len(parts) and held + parts[at][2] in word:
+            held += parts[at][2]
+            out.append((k, at, parts[at][0], parts[at][2]))
+            at += 1
+    return out
+
+
+def match_tags(df: DataFrame, text: str = "document", tagged: str = "tokens") -> DataFrame:
+    """(identifier, at, token_at, tag, token): the tagger's tokens of each space-split word of a text.
+
+    A tagger may cut a word into several tokens; the tokens of a word are those, in order, that put together
+    stand in it.  Documents where a word has no token are left out.
+    """
+    import pyarrow as pa
+
+    def run(it):
+        for batch in it:
+            rows = [(i, *r) for i, t, ws in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t is not None and ws is not None for r in _aligned(t, ws) or ()]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["identifier", "at", "token_at", "tag", "token"])
+
+    rows = df.select(F.col("identifier").cast("long").alias("identifier"), F.col(text).cast("string"), F.col(tagged).cast("array<string>"))
+    return rows.mapInArrow(run, "identifier long, at int, token_at int, tag string, token string")
+
+
 _MATCH = ("matchBefore", "matchAfter")
 
 

@@ -319,7 +319,10 @@ _PAIRS = f"""{_ITEMS}, sizes AS (SELECT d, count(*) AS n FROM items GROUP BY d),
  pairs AS (SELECT a, b, 1.0::DOUBLE - k::DOUBLE / (p.n + q.n - k) AS distance FROM c JOIN sizes p ON p.d = a JOIN sizes q ON q.d = b)"""
 
 
-@register("jaccard_pairs", _T + f", {_PAIRS} SELECT a, b, round(distance, 9) AS distance FROM pairs WHERE distance < 0.6")
+_CLASSES = """ks AS (SELECT d, array_to_string(list_sort(list(i)), chr(1)) AS k FROM items GROUP BY d), reps AS (SELECT min(d) AS d FROM ks GROUP BY k)"""
+
+
+@register("jaccard_pairs", _T + f", {_PAIRS}, {_CLASSES} SELECT a, b, round(distance, 9) AS distance FROM pairs WHERE distance < 0.6 AND a IN (SELECT d FROM reps) AND b IN (SELECT d FROM reps)")
 def jaccard_pairs(spark, d):
     return cluster.jaccard_pairs(_label_items(spark, d)).select("a", "b", F.round("distance", 9).alias("distance"))
 
@@ -340,6 +343,11 @@ def dbscan(spark, d):
     return cluster.dbscan(_label_items(spark, d))
 
 
+@register("set_members", _T + f", {_ITEMS}, {_CLASSES} SELECT ks.d, min(ks.d) OVER (PARTITION BY k) AS rep FROM ks")
+def set_members(spark, d):
+    return cluster.members(_label_items(spark, d))
+
+
 # Annotations and phrases
 
 _POS = "pos AS (SELECT identifier, annotator, unnest(string_split(annotation, '')) AS mark, unnest(range(length(annotation))) AS at FROM ann)"

@@ -109,6 +109,30 @@ def crowd_work(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("AssignmentStatus = 'Approved'").select(F.col("`Input.tweet`").alias("document"), clean(F.col("`Answer.subphrases`")).alias("annotation"), F.col("`Answer.sentiment`").alias("sentiment"), F.concat(F.lit(path.rstrip("/")), below).alias("file"))
 
 
+def hit_phrases(spark: SparkSession, path: str) -> DataFrame:
+    """(document, phrase, text, sentiment) of work in the wide layout: two texts to a row, up to four phrases to a text.
+
+    The first phrase has columns of its own; the begins of the others stand in one column with bars between them, and
+    their ends and sentiments in three columns each.  A text without a first phrase has none, and phrases
+    end with the first end that is missing.
+    """
+    rows = spark.read.option("header", "true").option("quote", '"').option("escape", '"').option("multiLine", "true").csv(path)
+    made = None
+    for text, more in (("Input.tweet", ""), ("Input.tweet2", "second")):
+        col = lambda name: F.coalesce(F.col(f"`Answer.{name}{more}`") if f"Answer.{name}{more}" in rows.columns else F.lit(None).cast("string"), F.lit(""))  # noqa: E731, B023
+        begins = F.filter(F.split(col("phrase2begin"), "[|]"), lambda x: x != "")
+        ends = F.array(*(col(f"phrase{k}end") for k in (2, 3, 4)))
+        cut = F.array_position(ends, "")
+        n = F.least(F.size(begins), F.when(cut == 0, 3).otherwise(cut - 1).cast("int"))
+        later = F.arrays_zip(F.slice(begins, F.lit(1), n).alias("a"), F.slice(ends, F.lit(1), n).alias("z"), F.slice(F.array(*(col(f"sentimentphrase{k}") for k in (2, 3, 4))), F.lit(1), n).alias("s"))
+        first = F.array(F.struct(col("phrase1begin").alias("a"), col("phrase1end").alias("z"), col("sentimentphrase1").alias("s")))
+        found = F.when((col("phrase1begin") != "") & (col("phrase1end") != ""), F.concat(first, later))
+        one = rows.select(F.col(f"`{text}`").alias("document"), F.posexplode(found).alias("at", "x")).select("document", (F.col("at") + 1).alias("phrase"), F.col("x.a").cast("int").alias("a"), F.col("x.z").cast("int").alias("z"), F.col("x.s").alias("sentiment"))
+        made = one if made is None else made.union(one)
+    part = F.slice(F.split("document", " "), F.greatest(F.col("a"), F.lit(1)), F.greatest(F.col("z") - F.greatest(F.col("a"), F.lit(1)) + 1, F.lit(0)))
+    return made.select("document", "phrase", F.array_join(part, " ").alias("text"), "sentiment")
+
+
 def numbered(rows: DataFrame, columns: list[str], first: int = 1) -> DataFrame:
     """rows with an identifier in the order of columns; equal rows are counted, and numbered each."""
     key = F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in columns))

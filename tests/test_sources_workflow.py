@@ -139,6 +139,14 @@ def test_cross_domain_export_has_rows_of_one_domain(spark, tmp_path):
     assert [x.split(",")[:5] for x in lines] == [["1", "0", "0", "1", "0"], ["1", "0", "1", "0", "0"]]
 
 
+def test_wide_crowd_work(spark, tmp_path):
+    names = ["Input.tweet", "Input.tweet2"] + [f"Answer.{n}{p}" for p in ("", "second") for n in ("phrase1begin", "phrase1end", "sentimentphrase1", "phrase2begin", "phrase2end", "phrase3end", "phrase4end", "sentimentphrase2", "sentimentphrase3", "sentimentphrase4")]
+    rows = [["a b c d e f", "x y z", "1", "2", "pos", "3|5", "3", "6", "", "neg", "neu", "", "2", "2", "neu", "", "", "", "", "", "", ""], ["q", "r s", "", "", "", "1", "1", "", "", "pos", "", "", "1", "2", "neg", "1|2", "", "", "", "", "", ""]]
+    (tmp_path / "h.csv").write_text("\n".join(",".join(r) for r in [names, *rows]) + "\n")
+    got = sorted(tuple(r) for r in corpora.hit_phrases(spark, str(tmp_path / "h.csv")).collect())
+    assert got == [("a b c d e f", 1, "a b", "pos"), ("a b c d e f", 2, "c", "neg"), ("a b c d e f", 3, "e f", "neu"), ("r s", 1, "r s", "neg"), ("x y z", 1, "y", "neu")]
+
+
 def lines(spark, path):
     return sorted(r[0] for r in spark.read.text(str(path)).collect())
 

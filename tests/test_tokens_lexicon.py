@@ -63,7 +63,11 @@ def test_jaccard_pairs_equal_all_pairs(spark):
     sets = {i: {rng.randrange(25) for _ in range(rng.randrange(1, 9))} for i in range(120)}
     items = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "document_identifier long, label long")
     want = {(a, b) for a in sets for b in sets if a < b and 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.6}
-    assert {(r["a"], r["b"]) for r in cluster.jaccard_pairs(items).collect()} == want
+    rep = {r["d"]: r["rep"] for r in cluster.members(items).collect()}
+    assert rep == {a: min(b for b in sets if sets[b] == sets[a]) for a in sets} and len(set(rep.values())) < len(sets)
+    found = {(r["a"], r["b"]) for r in cluster.jaccard_pairs(items).collect()}
+    assert all(rep[a] == a and rep[b] == b for a, b in found)
+    assert {(a, b) for a in sets for b in sets if a < b and (rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in found)} == want
 
 
 def test_lexicon_file(spark, tmp_path):
@@ -76,3 +80,43 @@ def test_disambiguation_needs_overlap(spark):
     t = spark.createDataFrame([(1, 0, "bank"), (1, 1, "river"), (2, 0, "bank"), (2, 1, "sky"), (3, 0, "only")], "document_identifier long, at int, token string")
     g = spark.createDataFrame([("bank", "b1", "money house"), ("bank", "b2", "side of a river"), ("only", "o1", "nothing")], "word string, synset string, gloss string")
     assert sorted(tuple(r) for r in lexicon.disambiguate(t, g).collect()) == [(1, 0, "b2"), (3, 0, "o1")]
+
+
+def test_tags_are_matched_to_words(spark):
+    rows = [(1, "don't  stop it!", ["V/do", "R/n't", "V/stop", "O/it", ",/!"]), (2, "no match", ["N/other"]), (3, None, ["N/x"]), (4, "skip noise here", ["N/skip", "X/zzz", "N/noise", "R/here"])]
+    df = spark.createDataFrame(rows, "identifier long, document string, tokens array<string>")
+    got = sorted(tuple(r) for r in tokens.match_tags(df).collect())
+    assert got == [(1, 0, 0, "V", "do"), (1, 0, 1, "R", "n't"), (1, 1, 2, "V", "stop"), (1, 2, 3, "O", "it"), (1, 2, 4, ",", "!"), (4, 0, 0, "N", "skip"), (4, 1, 2, "N", "noise"), (4, 2, 3, "R", "here")]
+
+
+def test_nearest_offsets(spark):
+    from larkspur.operators import annotations
+
+    t = spark.createDataFrame([(1, 0, "a"), (1, 5, "b"), (1, 7, "c"), (1, 50, "d"), (2, 3, "e")], "identifier long, start long, token string")
+    o = spark.createDataFrame([(1, 2, "x"), (1, 8, "y")], "identifier long, start long, word string")
+    # 5 is as far from 2 as from 8: the earlier one
+    assert sorted((r["token"], r["word"]) for r in annotations.nearest(t, o).collect()) == [("a", "x"), ("b", "x"), ("c", "y"), ("d", "y")]
+
+
+def test_domain_values(spark):
+    from larkspur.corpus import Corpus
+    from larkspur.registry import OPERATORS, Spec
+
+    c = Corpus(spark, {"input": spark.createDataFrame([(1, 0.5), (2, 0.25)], "identifier long, v double")})
+    c = corpora.associate(c, "domains", spark.createDataFrame([(1, "tech"), (2, "sport")], "identifier long, label string"))
+    c = OPERATORS["DomainSpecificAnnotator"].run(c, Spec("DomainSpecificAnnotator", {"column": "v", "domain": "tech"}))
+    assert {r["identifier"]: r["v"] for r in c.input.collect()} == {1: 0.5, 2: None}
+
+
+def test_synset_distance_by_part_of_speech(spark):
+    from larkspur.corpus import Corpus
+    from larkspur.registry import OPERATORS, Spec
+
+    c = Corpus(spark, {"input": spark.createDataFrame([(1, "bank runs"), (2, "pay $ now"), (3, "none")], "identifier long, document string")})
+    c = c.with_table("pos_tokens_t", spark.createDataFrame([(1, "Bank/NN"), (2, "runs/VBZ"), (3, "pay/VB")], "identifier long, token string"))
+    c = c.with_table("pos_t", spark.createDataFrame([(1, 1, [1, 2]), (2, 2, [3]), (3, 3, [])], "identifier long, document_identifier long, tokens array<long>"))
+    c = c.with_table("similarity", spark.createDataFrame([("bank", "money.n.01", 0.5), ("runs", "money.n.01", 0.9), ("runs", "go.v.01", 0.25), ("bank", "other.n.01", 1.0)], "word string, target string, similarity double"))
+    step = Spec("FinancialDistanceAnnotator", {"pos": "t", "annotateStockTweets": "true"}, [Spec("Synset", {"text": "money.n.01"}), Spec("Synset", {"text": "go.v.01"})])
+    got = {r["identifier"]: r["distance"] for r in OPERATORS["FinancialDistanceAnnotator"].run(c, step).input.collect()}
+    # a verb doesn't count for a noun
+    assert got == {1: (0.5 + 0.25) / 2, 2: 1.0, 3: None}
