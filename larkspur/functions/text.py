@@ -39,17 +39,22 @@ def letter_runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("([A-Za-z@#]+)"), 1)
 
 
+def once(value: Column, f) -> Column:
+    """f(value), where value is evaluated once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def pairs(tokens: Column, start: int = 0, joiner: str = " ") -> Column:
     """Adjacent tokens joined, from position start on."""
-    n = F.greatest(F.size(tokens) - 1 - start, F.lit(0))
-    return F.zip_with(F.slice(tokens, start + 1, n), F.slice(tokens, start + 2, n), lambda a, b: F.concat_ws(joiner, a, b))
+    n = lambda t: F.greatest(F.size(t) - 1 - start, F.lit(0))
+    return once(tokens, lambda t: F.zip_with(F.slice(t, start + 1, n(t)), F.slice(t, start + 2, n(t)), lambda a, b: F.concat_ws(joiner, a, b)))
 
 
 def triples(tokens: Column, joiner: str = " ") -> Column:
     """Three neighbouring tokens joined."""
-    n = F.greatest(F.size(tokens) - 2, F.lit(0))
-    both = F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda a, b: F.concat_ws(joiner, a, b))
-    return F.zip_with(both, F.slice(tokens, 3, n), lambda ab, c: F.concat_ws(joiner, ab, c))
+    n = lambda t: F.greatest(F.size(t) - 2, F.lit(0))
+    both = lambda t: F.zip_with(F.slice(t, 1, n(t)), F.slice(t, 2, n(t)), lambda a, b: F.concat_ws(joiner, a, b))
+    return once(tokens, lambda t: F.zip_with(both(t), F.slice(t, 3, n(t)), lambda ab, c: F.concat_ws(joiner, ab, c)))
 
 
 def without_urls(text: Column) -> Column:

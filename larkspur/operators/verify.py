@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULES = ("missing", "blacklisted", "too_positive", "too_negative", "too_neutral", "whole_tweet", "copied", "long_negative", "long_positive", "long_neutral")
+LIMITS = {"p": 35, "n": 72, "e": 31}  # percent of the words
 FEW = 5  # words up to which shares aren't looked at, and characters up to which runs aren't
 
 
@@ -18,37 +19,39 @@ def _first_run(annotation: Column, mark: str) -> Column:
     return F.length(F.regexp_extract(annotation, f"({mark}{mark}+)", 1))
 
 
-def first_failure(text: Column, annotation: Column, worker: Column, blacklist: list[str] = ()) -> Column:
-    """The name of the first failing rule, null if the work is fine.
+def verify(df: DataFrame, blacklist: list[str] = ()) -> DataFrame:
+    """df (text, annotation, worker) with reason, the name of the first failing rule, null if the work is fine, and accepted.
 
     Shares are of the text's words, and count with over ``FEW`` words.  A whole tweet is one mark as often as there
     are words.  Copied is an annotation with a token of two or more characters among the text's
     space-split words.  Of runs only the first counts; it is held against the number of characters of texts
     of over ``FEW``.
     """
-    n = F.size(F.filter(F.split(text, r"[ \t\n\x0b\f\r]+"), lambda w: w != ""))
-    share = lambda mark: F.when(n > FEW, 100.0 * _count(annotation, mark) / n)
-    tokens = F.filter(F.split(annotation, " "), lambda t: F.length(t) >= 2)
-    run = lambda mark, part: (F.length(text) > FEW) & (_first_run(annotation, mark) > 0) & (_first_run(annotation, mark) >= part * F.length(text))
+    text, annotation = F.col("text"), F.col("annotation")
+    # what rules share is a column of its own, so that it is worked out once
+    facts = {
+        "_n": F.size(F.filter(F.split(text, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")),
+        "_length": F.length(text),
+        "_copied": F.when(annotation.contains(" "), F.arrays_overlap(F.filter(F.split(annotation, " "), lambda t: F.length(t) >= 2), F.split(text, " "))).otherwise((F.length(annotation) >= 2) & F.array_contains(F.split(text, " "), annotation)),
+        **{f"_count_{m}": _count(annotation, m) for m in "pne"},
+        **{f"_run_{m}": _first_run(annotation, m) for m in "pne"},
+    }
+    share = lambda mark: (F.col("_n") > FEW) & (100.0 * F.col(f"_count_{mark}") > F.col("_n") * LIMITS[mark])
+    run = lambda mark, part: (F.col("_length") > FEW) & (F.col(f"_run_{mark}") > 0) & (F.col(f"_run_{mark}") >= part * F.col("_length"))
     rules = [
         annotation.isNull() | (annotation == ""),
-        worker.isin(list(blacklist)) if blacklist else F.lit(False),
-        share("p") > 35,
-        share("n") > 72,
-        share("e") > 31,
-        F.greatest(*(_count(annotation, m) for m in "pne")) >= n,
-        F.arrays_overlap(tokens, F.split(text, " ")),
+        F.col("worker").isin(list(blacklist)) if blacklist else F.lit(False),
+        share("p"),
+        share("n"),
+        share("e"),
+        F.greatest(*(F.col(f"_count_{m}") for m in "pne")) >= F.col("_n"),
+        F.col("_copied"),
         run("n", 0.55),
         run("p", 0.4),
         run("e", 0.3),
     ]
-    return F.coalesce(*(F.when(r, F.lit(name)) for name, r in zip(RULES, rules, strict=True)))
-
-
-def verify(df: DataFrame, blacklist: list[str] = ()) -> DataFrame:
-    """df (text, annotation, worker) with reason and accepted."""
-    out = df.withColumn("reason", first_failure(F.col("text"), F.col("annotation"), F.col("worker"), blacklist))
-    return out.withColumn("accepted", F.col("reason").isNull())
+    out = df.withColumns(facts).withColumn("reason", F.coalesce(*(F.when(r, F.lit(name)) for name, r in zip(RULES, rules, strict=True))))
+    return out.withColumn("accepted", F.col("reason").isNull()).drop(*facts)
 
 
 def four_row_statistics(df: DataFrame, order: str = "row") -> DataFrame:
