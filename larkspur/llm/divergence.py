@@ -27,7 +27,7 @@ LEAST_DOCS = 3  # documents of a language that a kept term is in
 UNIT = 1_000_000_000  # shares are in parts of it
 TOP = 200  # terms of a source that are reported
 CHUNK = 6_000_000  # bytes that are tokenised at a time
-ENTRIES = 500_000  # counts of a block
+ENTRIES = 100_000  # counts of a block
 
 #: Lower-cased bytes of terms (ASCII letters, and all bytes over 127); 0 stands between terms.
 TABLE = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 0 for b in range(256)], np.uint8)
