@@ -6,6 +6,7 @@ import hashlib
 import json
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,32 @@ def durable(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/larkspur-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._durable_at = path
+    return out
+
+
+def delete(df: DataFrame) -> None:
+    """Delete a table that ``durable`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._durable_at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch():
+    """keep(durable table) gives the table back; all that were kept are deleted at the end, whether it fails or not."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for df in kept:
+            delete(df)
 
 
 def fingerprint(text: str, inputs: dict[str, str] | None = None) -> str:

@@ -23,9 +23,28 @@ def positions(rows: DataFrame, annotation: str = "annotation") -> DataFrame:
     return rows.select("*", F.posexplode(F.split(annotation, "")).alias("at", "mark")).where("mark <> ''")
 
 
+def mark_counts(rows: DataFrame) -> DataFrame:
+    """identifier, m: for each position the number of its marks p, e, n, q and others, over a document's annotations.
+
+    One row a document: its annotations, which are a few strings, meet in one group, and positions are never rows.
+    """
+    each = rows.groupBy("identifier").agg(F.collect_list("annotation").alias("a"))
+    none = F.array().cast("array<struct<p:int,e:int,n:int,q:int,o:int>>")
+    kinds = {"p": "p", "e": "e", "n": "n", "q": "q"}
+    more = lambda x, c, k: F.coalesce(x[k], F.lit(0)) + F.when(c.isNull(), 0).when(c.isin(*kinds) if k == "o" else c != k, 0).otherwise(1)
+    add = lambda m, a: F.zip_with(m, F.filter(F.split(a, ""), lambda c: c != ""), lambda x, c: F.struct(*(more(x, c, k).alias(k) for k in (*kinds, "o"))))
+    return each.select("identifier", F.aggregate("a", none, add).alias("m"))
+
+
+def share_vectors(rows: DataFrame) -> DataFrame:
+    """identifier, annotation: at each position the share of annotations whose mark isn't q."""
+    other = lambda x: x["p"] + x["e"] + x["n"] + x["o"]
+    return mark_counts(rows).where(F.size("m") > 0).select("identifier", F.transform("m", lambda x: other(x).cast("double") / (other(x) + x["q"])).alias("annotation"))
+
+
 def subjectivity_vector(rows: DataFrame) -> DataFrame:
     """identifier, at, share of annotations whose mark isn't q."""
-    return positions(rows.select("identifier", "annotation")).groupBy("identifier", "at").agg(F.avg((F.col("mark") != "q").cast("double")).alias("share"))
+    return share_vectors(rows).select("identifier", F.posexplode("annotation").alias("at", "share"))
 
 
 def vectors(shares: DataFrame) -> DataFrame:
@@ -36,13 +55,14 @@ def vectors(shares: DataFrame) -> DataFrame:
 def union_votes(rows: DataFrame) -> DataFrame:
     """identifier, at, mark: the most frequent mark of the distinct annotations of a document.
 
-    Ties go to p, then e, then n; q only wins with all votes if there are four, else where it
+    Ties go to p, then e, then n, then what is none of them; q only wins with all votes if there are four, else where it
     is alone.
     """
-    votes = positions(rows.select("identifier", "annotation").distinct()).groupBy("identifier", "at", "mark").agg(F.count("*").alias("n"))
-    order = F.expr("CASE mark WHEN 'p' THEN 3 WHEN 'e' THEN 2 WHEN 'n' THEN 1 ELSE 0 END")
-    weight = F.when((F.col("mark") == "q") & (F.col("n") < 4), F.lit(0)).otherwise(F.col("n"))
-    return votes.groupBy("identifier", "at").agg(F.max(F.struct(weight.alias("w"), order.alias("o"), F.col("mark"))).alias("best")).select("identifier", "at", F.col("best.mark").alias("mark"))
+    votes = mark_counts(rows.select("identifier", "annotation").distinct())
+    weight = lambda x, k: F.when((F.lit(k) == "q") & (x[k] < 4), F.lit(0)).otherwise(x[k])
+    order = {"p": 4, "e": 3, "n": 2, "o": 1, "q": 0}
+    found = lambda x: F.array_max(F.array_compact(F.array(*(F.when(x[k] > 0, F.struct(weight(x, k).alias("w"), F.lit(o).alias("o"), F.lit("^" if k == "o" else k).alias("mark"))) for k, o in order.items()))))
+    return votes.select("identifier", F.posexplode(F.transform("m", lambda x: found(x)["mark"])).alias("at", "mark"))
 
 
 def joined(marks: DataFrame, length: DataFrame) -> DataFrame:

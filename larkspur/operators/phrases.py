@@ -10,16 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoint import durable
+from ..checkpoint import durable, scratch
 from ..corpus import Corpus
 from ..functions.text import decile, letters_only, words
 from ..registry import Spec, operator
-from .annotations import positions, subjectivity_vector, vectors
+from . import crf
+from .annotations import positions, share_vectors, subjectivity_vector, vectors
 
 
 def empirical(annotations: DataFrame) -> DataFrame:
     """The observed share of marks other than q at each position."""
-    return vectors(subjectivity_vector(annotations))
+    return share_vectors(annotations)
 
 
 def word_rates(df: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -72,7 +73,14 @@ def counted_words(text: Column) -> Column:
 
 
 def labelled_words(df: DataFrame, shares: DataFrame) -> DataFrame:
-    """identifier, at, word, class: counted words with the decile class of the share at their place in the text."""
+    """identifier, at, word, class: counted words with the decile class of the share at their place in the text.
+
+    shares: a row a document (identifier, annotation), or one a position (identifier, at, share).
+    """
+    if "annotation" in shares.columns:
+        rows = df.select("identifier", "document").join(shares.select("identifier", "annotation"), "identifier")
+        rows = rows.select("identifier", "annotation", F.inline(counted_words(F.col("document")))).withColumn("share", F.get("annotation", F.col("at")))
+        return rows.where("share IS NOT NULL").select("identifier", "at", "word", decile(F.col("share")).alias("class"))
     rows = df.select("identifier", F.inline(counted_words(F.col("document"))))
     return rows.join(shares, ["identifier", "at"]).select("identifier", "at", "word", decile(F.col("share")).alias("class"))
 
@@ -249,7 +257,7 @@ def _parts(c: Corpus, s: Spec) -> tuple[DataFrame, DataFrame, str]:
     return docs, marks, f"subphrases_{s.get('outputTable')}"
 
 
-#: further attributes that workflows give: normalisation and files of a sequence trainer that is not at hand
+#: further attributes that workflows give: normalisation, and files of a sequence trainer of its own, which none is here
 NORMALISING = ("useSentiWordNet", "useMQPA", "normalisingRExp", "normaliseCase", "stemmer", "lemmatise", "stopWords", "stopPos", "lesk", "min", "max", "trainPath", "testPath", "train_path", "test_path", "results_path")
 
 
@@ -264,7 +272,7 @@ def _annotator(name: str, make, *optional: str):
 
 
 def _learned(c: Corpus, marks: DataFrame) -> DataFrame:
-    return labelled_words(c.input, subjectivity_vector(marks))
+    return labelled_words(c.input, share_vectors(marks))
 
 
 _annotator("EmpiricalSubjectivePhraseAnnotator", lambda c, s, d, m: empirical(m).join(d.select("identifier"), "identifier", "left_semi"))
@@ -281,42 +289,44 @@ _annotator(
 )
 _annotator("NLTKSubjectivePhraseBayesianAnnotator", lambda c, s, d, m: bayesian(d, bayes_table(_learned(c, m))))
 _annotator("NLTKSubjectivePhraseMarkovAnnotator", lambda c, s, d, m: markov(d, markov_model(_learned(c, m))))
-# No CRF trainer is at hand: sequence labels come from the Markov model; features can be exported for one.
-_annotator("CRFSubjectiveAnnotator", lambda c, s, d, m: markov(d, markov_model(_learned(c, m))))
+_annotator("CRFSubjectiveAnnotator", lambda c, s, d, m: crf_annotation(d, crf_model(c.input, m)))
 
 
 @operator("ProduceCRFSTagList", ("train_path", "test_path"), ("results_path",))
 def _tag_list(c: Corpus, s: Spec) -> Corpus:
-    """Learn from a file of tagged sequences (word, tag, class to a line), tag those of another, and write or keep the classes."""
+    """Learn from a file of tagged sequences (word, tag, class to a line) and tag those of another: tag_list has the names of the
+    classes (annotation) and their marginal probabilities; results_path gets a line for each word, and one after each sequence."""
     from ..sources.corpora import sequences
-    from ..sources.sinks import write_csv
 
-    def rows(path: str) -> DataFrame:
-        seq = sequences(c.spark, path).withColumn("identifier", F.monotonically_increasing_id())
-        return durable(seq.select("identifier", F.posexplode("items").alias("at", "x")).select("identifier", "at", F.col("x.w").alias("word"), F.col("x.y").alias("y")))
+    with scratch() as keep:
 
-    known = rows(s.get("train_path")).select("identifier", "at", "word", F.least(F.coalesce(F.col("y").try_cast("int"), F.lit(0)), F.lit(CLASSES - 1)).alias("class"))
-    asked = rows(s.get("test_path")).groupBy("identifier").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "word"))).getField("word"), " ").alias("document"))
-    made = markov(asked, markov_model(known))
+        def rows(path: str) -> DataFrame:
+            found = keep(durable(sequences(c.spark, path).withColumn("identifier", F.monotonically_increasing_id())))
+            w = F.transform("items", lambda x: F.coalesce(x["w"], F.lit("")))
+            return found.select("identifier", crf.text_features(w, F.transform("items", lambda x: x["pos"])).alias("features"), F.transform("items", lambda x: x["y"]).alias("y"))
+
+        known = crf.train(rows(s.get("train_path")))
+        made = durable(crf.tag(rows(s.get("test_path")).drop("y"), known).select("identifier", F.col("y").alias("annotation"), "p"))
     if s.get("results_path"):
-        write_csv(made.select("identifier", F.array_join(F.col("annotation").cast("array<string>"), " ").alias("annotation")), s.get("results_path"))
+        made.select(F.concat(F.array_join("annotation", "\n"), F.lit("\n")).alias("value")).write.mode("overwrite").text(s.get("results_path"))
     return c.with_table("tag_list", made)
 
 
-def save_model(model: tuple[np.ndarray, DataFrame], path: str) -> None:
-    """A Markov model as two Parquet tables."""
-    trans, emission = model
-    spark = emission.sparkSession
-    cells = [(i, j, float(x)) for (i, j), x in np.ndenumerate(trans)]
-    spark.createDataFrame(cells, "a int, b int, p double").coalesce(1).write.mode("overwrite").parquet(f"{path}/transitions")
-    emission.select("word", "class", "e").write.mode("overwrite").parquet(f"{path}/emissions")
+def crf_rows(df: DataFrame, marks: DataFrame) -> DataFrame:
+    """identifier, features, y: the space-split words of annotated texts, and the decile classes of their shares."""
+    split = words(F.col("document"))
+    both = df.select("identifier", crf.text_features(split).alias("features")).join(share_vectors(marks), "identifier")
+    return both.select("identifier", "features", F.transform("annotation", lambda p: decile(p).cast("string")).alias("y"))
+
+
+def crf_model(df: DataFrame, marks: DataFrame) -> crf.Model:
+    return crf.train(crf_rows(df, marks))
 
 
-def load_model(spark, path: str) -> tuple[np.ndarray, DataFrame]:
-    trans = np.zeros((CLASSES + 2, CLASSES + 2))
-    for r in spark.read.parquet(f"{path}/transitions").collect():  # a cell for each pair of classes
-        trans[r["a"], r["b"]] = r["p"]
-    return trans, spark.read.parquet(f"{path}/emissions")
+def crf_annotation(df: DataFrame, model: crf.Model) -> DataFrame:
+    """identifier, annotation: what the most likely class of each word stands for; 0 without a class."""
+    found = crf.tag(df.select("identifier", crf.text_features(words(F.col("document"))).alias("features")), model)
+    return found.select("identifier", F.transform("y", lambda c: F.coalesce(class_value(c.try_cast("int")), F.lit(0.0))).alias("annotation"))
 
 
 def agreement(predicted: DataFrame, observed: DataFrame) -> DataFrame:
@@ -327,30 +337,52 @@ def agreement(predicted: DataFrame, observed: DataFrame) -> DataFrame:
     return confusion(rows.select((F.col("o") >= 0.5).cast("int").alias("y"), (F.col("p") >= 0.5).cast("int").alias("z")), "y", "z")
 
 
+def _subjective(marks: DataFrame) -> DataFrame:
+    """identifier, annotation, p: s where over half of the marks are subjective, else q; and the share of such marks."""
+    shares = share_vectors(marks)
+    return shares.select("identifier", F.transform("annotation", lambda p: F.when(p > 0.5, "s").otherwise("q")).alias("annotation"), F.col("annotation").alias("p"))
+
+
+def _tag_rows(df: DataFrame) -> DataFrame:
+    return df.select("identifier", crf.text_features(words(F.col("document"))).alias("features"))
+
+
+def subjectivity_model(df: DataFrame, marks: DataFrame) -> crf.Model:
+    """A field of two classes, s and q, of the majority of a document's annotations at each word."""
+    return crf.train(_tag_rows(df).join(_subjective(marks).select("identifier", F.col("annotation").alias("y")), "identifier"))
+
+
 @operator("CRFSubjectivityTagger", ("mode",), ("resultsPath", "modelPath", "subphrase_src", "subphraseDest"))
 def _tagger(c: Corpus, s: Spec) -> Corpus:
-    """train: learn from subphrase_src and keep the model at modelPath.  tag: by that model, into subphraseDest.  evaluate:
-    learn from even folds, tag odd ones, and write their agreement to resultsPath."""
+    """train: learn s and q from subphrase_src and keep the model at modelPath.  tag: by that model, the probability of s into
+    subphraseDest.  evaluate: learn from even folds, tag odd ones, and write their agreement to resultsPath."""
     from ..sources.sinks import write_csv
 
+    chance = lambda found: found.select("identifier", F.zip_with("y", "p", lambda y, p: F.when(y == "s", p).otherwise(1 - p)).alias("annotation"))
     marks = c.dependent(s.get("subphrase_src", "subphrases")).select(F.col("document_identifier").alias("identifier"), "annotation")
     mode = s.get("mode")
     if mode == "train":
-        save_model(markov_model(_learned(c, marks)), s.get("modelPath"))
+        crf.save_model(c.spark, subjectivity_model(c.input, marks), s.get("modelPath"))
         return c
     if mode == "tag":
-        made = markov(c.input, load_model(c.spark, s.get("modelPath")))
+        made = chance(crf.tag(_tag_rows(c.input), crf.load_model(c.spark, s.get("modelPath"))))
         return c.with_table(f"subphrases_{s.get('subphraseDest')}", made.select("identifier", F.col("identifier").alias("document_identifier"), "annotation"))
     if mode != "evaluate":
         raise ValueError(f"no mode {mode}; there are train, tag, evaluate")
-    test = fold(F.col("identifier"), 10) % 2 == 1
-    model = markov_model(labelled_words(c.input.where(~test), subjectivity_vector(marks.where(~test))))
-    made = agreement(markov(c.input.where(test), model), empirical(marks.where(test)))
+    made = tagger_agreement(c.input, marks)
     if s.get("resultsPath"):
         write_csv(made, s.get("resultsPath"))
     return c.with_table("agreement", made)
 
 
+def tagger_agreement(df: DataFrame, marks: DataFrame) -> DataFrame:
+    """Agreement of the subjectivity tagger, learnt from even folds, with the majority of the annotations of odd ones."""
+    test = fold(F.col("identifier"), 10) % 2 == 1
+    model = subjectivity_model(df.where(~test), marks.where(~test))
+    number = lambda found, name: found.select("identifier", F.transform(name, lambda y: (y == "s").cast("double")).alias("annotation"))
+    return agreement(number(crf.tag(_tag_rows(df.where(test)), model), "y"), number(_subjective(marks.where(test)), "annotation"))
+
+
 POOL = 10  # genomes that compete
 GENERATIONS = 20  # rounds of the search, a documented bound
 FEW_KEYS = 1_000_000  # words and pairs whose scores are broadcast
@@ -457,15 +489,19 @@ def _fixed_of(s: Spec):
     return lambda train, marks, test: fixed(test, scores("EntryNodes"), scores("ForwardTransitionNodes"))
 
 
+def _of_crf(train: DataFrame, marks: DataFrame, test: DataFrame) -> DataFrame:
+    return crf_annotation(test, crf_model(train, marks))
+
+
 def _of_markov(train: DataFrame, marks: DataFrame, test: DataFrame) -> DataFrame:
-    return markov(test, markov_model(labelled_words(train, subjectivity_vector(marks))))
+    return markov(test, markov_model(labelled_words(train, share_vectors(marks))))
 
 
 #: annotators for cross validation: step -> f(training documents, their annotations, test documents)
 TAGGERS = {
-    "NLTKSubjectivePhraseBayesianAnnotator": lambda s: lambda train, marks, test: bayesian(test, bayes_table(labelled_words(train, subjectivity_vector(marks)))),
+    "NLTKSubjectivePhraseBayesianAnnotator": lambda s: lambda train, marks, test: bayesian(test, bayes_table(labelled_words(train, share_vectors(marks)))),
     "NLTKSubjectivePhraseMarkovAnnotator": lambda s: _of_markov,
-    "CRFSubjectiveAnnotator": lambda s: _of_markov,
+    "CRFSubjectiveAnnotator": lambda s: _of_crf,
     "FixedSubjectivePhraseAnnotator": _fixed_of,
     "SubjectiveEvolution": lambda s: lambda train, marks, test: evolved(test, evolve(train, marks, s.get("generations", GENERATIONS, int), seed=s.get("seed", 0, int))),
 }

@@ -84,10 +84,10 @@ def _results(c: Corpus, s: Spec) -> Corpus:
 
 @operator("CRFSubjectiveExporter", ("path",))
 def _crf(c: Corpus, s: Spec) -> Corpus:
-    from ..operators.phrases import context_features, labelled_words, subjectivity_vector
+    from ..operators.phrases import context_features, labelled_words, share_vectors
 
     marks = c.dependent("subphrases").select(F.col("document_identifier").alias("identifier"), "annotation")
-    rows = labelled_words(c.input, subjectivity_vector(marks)).select("identifier", "at", F.col("class").cast("string").alias("label"))
+    rows = labelled_words(c.input, share_vectors(marks)).select("identifier", "at", F.col("class").cast("string").alias("label"))
     lines = attribute_lines(context_features(c.input).join(rows, ["identifier", "at"]))
     lines.repartition("identifier").sortWithinPartitions("identifier", "at").select("value").write.mode("overwrite").text(s.get("path"))
     return c
