@@ -591,6 +591,21 @@ def benchmark_nearest(spark, d):
     return classify.benchmark(_classified(spark, d), "IBk", 2)
 
 
+@register("benchmark_rules")
+def benchmark_rules(spark, d):
+    return classify.benchmark(_classified(spark, d), "weka.classifiers.rules.JRip", 2)
+
+
+@register("benchmark_tree")
+def benchmark_tree(spark, d):
+    return classify.benchmark(_classified(spark, d), "weka.classifiers.trees.J48 -C 0.25", 2)
+
+
+@register("gaussian_accuracy")
+def gaussian_accuracy(spark, d):
+    return classify.mean_accuracy(_classified(spark, d), "GaussianNB()", 2)
+
+
 @register("cross_domain_benchmark")
 def cross_domain_benchmark(spark, d):
     return classify.cross_domain(_classified(spark, d), "NaiveBayes", "en", "fr")

@@ -47,6 +47,7 @@ class Operator:
     run: Callable
     required: tuple[str, ...] = ()
     optional: tuple[str, ...] = ()
+    also: Callable | None = None  # raises for values that can't be run
 
     def check(self, spec: Spec) -> None:
         lacks = [r for r in self.required if r not in spec.attributes]
@@ -55,15 +56,17 @@ class Operator:
         unknown = sorted(spec.attributes.keys() - {*self.required, *self.optional, "text"})
         if unknown:
             raise ValueError(f"{spec.name} knows no {', '.join(unknown)}")
+        if self.also is not None:
+            self.also(spec)
 
 
-def operator(name: str, required: tuple[str, ...] = (), optional: tuple[str, ...] = ()):
-    """Register a function under a name."""
+def operator(name: str, required: tuple[str, ...] = (), optional: tuple[str, ...] = (), also: Callable | None = None):
+    """Register a function under a name; also(spec) raises for values that can't be run."""
 
     def put(f):
         if name in OPERATORS:
             raise ValueError(f"two operators named {name}")
-        OPERATORS[name] = Operator(name, f, required, optional)
+        OPERATORS[name] = Operator(name, f, required, optional, also)
         return f
 
     return put
