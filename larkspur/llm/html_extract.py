@@ -9,8 +9,9 @@ is then aligned with the induced wrapper and gives the text of its content slots
 
 What marks and words say about a part (menus, forms, adverts, comments, ...) holds on every
 page; a host with a single page has nothing else, and then its own slots stand for the
-wrapper's.  Class names that may also be an article's (side, related, tags, ...) say nothing of a
-block that holds most of its page's running text.
+wrapper's.  Class names are hints, weighed against the page's running text: a block with half of it isn't sent away by a name that
+may be an article's (side, related, tags, ...) or that says how a page looks (has-sidebar, menu-open), nor by any
+other name if it also holds the page's heading, or nearly all of the text where neither a heading nor an article is around.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import discard, save
 
 DENSE = 64 * 64  # pairs of children up to which they are weighed by what matches below them
+NEARLY = 0.9  # share of a page's running text that outweighs a strong name
 LEAST = 3  # distinct pages that a node is known to stand on; more need not be told apart
 DEPTH = 2000  # elements within each other; deeper ones are part of their parents
 HELD = 200_000  # nodes of wrappers that a task holds before it hands them on
@@ -48,6 +50,8 @@ _AWAY = frozenset("nav header footer aside form button menu dialog".split())
 _AWAY_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)?|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|overlay|pagination|pager|popup|promos?|related|recommended|share|sharing|sidebar|side|skip|social|sponsor(?:ed)?|subscribe|tags|toolbar|widget)(?:$|[\s_-])", re.I)
 #: of those, names that an article's own block may have
 _WEAK_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|header|modal|notices?|overlay|popup|promos?|related|recommended|share|sharing|side|social|sponsor(?:ed)?|tags|widget)(?:$|[\s_-])", re.I)
+#: parts of names that say how a page or block looks at the time
+_STATES = frozenset("has no with without is sticky fixed show hide layout open closed active enabled visible left right on off".split())
 _AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
@@ -56,10 +60,10 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """A block element; items holds its inline texts and child blocks in page order."""
 
-    __slots__ = ("tag", "label", "away", "weak", "items", "link", "keep")
+    __slots__ = ("tag", "label", "away", "named", "items", "link", "keep")
 
-    def __init__(self, tag: str, label: str, away: bool, weak: bool = False):
-        self.tag, self.label, self.away, self.weak = tag, label, away, weak
+    def __init__(self, tag: str, label: str, away: bool, named: str = ""):
+        self.tag, self.label, self.away, self.named = tag, label, away, named
         self.items: list = []
         self.link = 0
         self.keep = False
@@ -128,32 +132,52 @@ def parse(page: str | None) -> Node:
         hard = tag in _AWAY or found.get("role", "").lower() in _AWAY_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if tag == "header" and any(n.tag in ("article", "main") for n in stack):
             hard = False
-        named = bool(name and _AWAY_NAMES.search(name))
-        weak = named and not hard and not _AWAY_NAMES.search(_WEAK_NAMES.sub(" ", name))
+        named = "" if hard else _hint(name)
         if tag not in _VOID and len(stack) >= DEPTH:
             deep[tag] = deep.get(tag, 0) + 1
             stack[-1].items.append(" ")
             continue
-        node = Node(tag, f"{tag}.{name}" if name else tag, hard or named, weak)
+        node = Node(tag, f"{tag}.{name}" if name else tag, hard or bool(named), named)
         stack[-1].items.append(node)
         if tag not in _VOID:
             stack.append(node)
 
 
+def _hint(name: str) -> str:
+    """What the class names and id of a block say of it: strong or weak, that it is no article's; nothing else."""
+    found = ""
+    for token in name.split():
+        if _AWAY_NAMES.search(token):
+            parts = re.split("[-_]", token.lower())
+            if parts[0] not in _STATES and parts[-1] not in _STATES and _AWAY_NAMES.search(_WEAK_NAMES.sub(" ", token)):
+                return "strong"
+            found = "weak"
+    return found
+
+
 def _weigh(root: Node) -> None:
-    """Blocks that only a weak name sends away stay if they hold most of the page's running text."""
-    found: list[tuple[Node, int]] = []
-
-    def mass(n: Node) -> int:
-        own = sum(len(x.strip()) for x in n.items if isinstance(x, str)) - 2 * n.link
-        total = max(0, own) + sum(mass(x) for x in n.items if isinstance(x, Node))
-        if n.weak:
-            found.append((n, total))
-        return 0 if n.away and not n.weak else total
-
-    total = mass(root)
-    for n, held in found:
-        n.away = not (total and 2 * held > total)
+    """Blocks that only a name sends away stay if the page's running text says otherwise; strong names are weighed first."""
+    for kind in ("strong", "weak"):
+        found: list[tuple[Node, int, int, bool]] = []
+
+        def mass(n: Node, within: bool) -> tuple[int, int]:
+            """Running text, and headings or main parts, at and below a node, which may be within an article."""
+            own = max(0, sum(len(x.strip()) for x in n.items if isinstance(x, str)) - 2 * n.link)
+            heads = int(n.tag in ("h1", "main"))
+            for x in n.items:
+                if isinstance(x, Node):
+                    a, b = mass(x, within or n.tag in ("article", "main"))
+                    own, heads = own + a, heads + b
+            if n.named == kind:  # noqa: B023
+                found.append((n, own, heads, within))  # noqa: B023
+            return (0, 0) if n.away and n.named in ("", "gone") else (own, heads)
+
+        total, heads = mass(root, False)
+        for n, held, own, within in found:
+            most = total and 2 * held > total
+            if most and (kind == "weak" or own or not heads and not within and held >= NEARLY * total):
+                n.away = False
+            n.named = "gone" if n.away else ""
 
 
 class Run:

@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from larkspur.llm import html_extract
 from larkspur.llm.html_extract import _chain, extract, extract_pages, induce, parse, Run, align
 
@@ -148,3 +150,40 @@ def test_large_inputs_take_the_other_ways(spark, monkeypatch):
         monkeypatch.setattr(html_extract, name, value)
     assert sorted(tuple(r) for r in extract_pages(df).collect()) == want_rows
     assert {r[0]: r[2] for r in want_rows if r[0] < 160} == {k: want(k) for k in range(160)}
+
+
+WORDS = ["river", "stone", "quiet", "garden", "letter", "window", "morning", "copper", "winter", "harbour", "paper", "engine"]
+
+
+def _like_pages(wrap, heading=True):
+    """Five like pages with an article inside of what wrap puts around it, and its paragraphs."""
+    import random
+
+    rng = random.Random(3)
+    pages, wanted = [], []
+    for k in range(5):
+        paragraphs = [" ".join(rng.choice(WORDS) for _ in range(40)) + f" {k}{j}." for j in range(4)]
+        head = f"<h1>Title {k}</h1>" if heading else ""
+        article = head + "".join(f"<p>{p}</p>" for p in paragraphs)
+        pages.append(wrap(article, k))
+        wanted.append("\n\n".join(([f"Title {k}"] if heading else []) + paragraphs))
+    return pages, wanted
+
+
+@pytest.mark.parametrize("heading", [True, False])
+@pytest.mark.parametrize("name", ["single has-sidebar", "content no-sidebar", "layout-sidebar-right", "sticky-footer", "menu-open", "cookie-bar", "article comments", "story"])
+def test_a_name_on_an_outer_block_doesn_t_empty_the_page(name, heading):
+    for outer in ("body", "div"):
+        open_, close = (f'<body class="{name}">', "</body>") if outer == "body" else (f'<body><div class="{name}">', "</div></body>")
+        pages, wanted = _like_pages(lambda a, k: f'<html>{open_}<nav><a href="/">Home</a></nav><div class="post">{a}</div><footer>Imprint</footer>{close}</html>', heading)  # noqa: B023
+        wrapper = json.loads(induce(pages))
+        assert [extract(p, wrapper) for p in pages] == wanted
+        assert extract(pages[0], None) == wanted[0]
+
+
+def test_longer_comments_stay_away():
+    """Readers wrote three times as much as the author."""
+    talk = lambda k: "".join(f"<p>{' '.join(reversed(WORDS * 4))} {k} {j}</p>" for j in range(12))
+    pages, wanted = _like_pages(lambda a, k: f'<body class="has-sidebar"><div class="post">{a}</div><div class="comments">{talk(k)}</div><div class="left-sidebar">News {k}</div></body>')
+    wrapper = json.loads(induce(pages))
+    assert [extract(p, wrapper) for p in pages] == wanted
