@@ -120,3 +120,45 @@ def test_synset_distance_by_part_of_speech(spark):
     got = {r["identifier"]: r["distance"] for r in OPERATORS["FinancialDistanceAnnotator"].run(c, step).input.collect()}
     # a verb doesn't count for a noun
     assert got == {1: (0.5 + 0.25) / 2, 2: 1.0, 3: None}
+
+
+def brute_pairs(sets, eps):
+    out = {}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            distance = 1 - len(x & y) / len(x | y)
+            if a < b and x != y and distance < eps:
+                out[a, b] = round(distance, 9)
+    return out
+
+
+def test_set_pairs_with_hot_and_wide_items(spark):
+    """Items that nearly all sets have, sets of one item to forty, and thresholds at which one shared item is enough."""
+    import random
+
+    rng = random.Random(8)
+    sets = {}
+    for d in range(160):
+        kind = rng.randrange(4)
+        items = {f"h{k}" for k in range(3) if rng.random() < 0.6} | {f"m{rng.randrange(12)}" for _ in range(rng.randrange(4))}
+        items |= {f"w{rng.randrange(60)}" for _ in range(rng.randrange(36))} if kind == 0 else {f"r{rng.randrange(500)}"} if kind == 1 else set()
+        sets[d] = frozenset(items or {f"h{rng.randrange(3)}"})
+    sets |= {1000 + k: sets[k] for k in range(20)}
+    df = spark.createDataFrame([(d, i) for d, s in sets.items() for i in s], "document_identifier long, label string")
+    least = {}
+    for d in sorted(sets):
+        least.setdefault(sets[d], d)
+    distinct = {d: s for s, d in least.items()}
+    for eps in (0.2, 0.6, 0.8, 0.95):
+        for heavy in (5, 1000):
+            got = {(r["a"], r["b"]): round(r["distance"], 9) for r in cluster.set_pairs(cluster.item_sets(df), eps, heavy).collect()}
+            assert got == brute_pairs(distinct, eps), (eps, heavy)
+
+
+def test_six_thousand_sets_that_share_an_item(spark):
+    import time
+
+    items = spark.range(6000).selectExpr("id AS document_identifier", "explode(array('all', concat('own', id))) AS label")
+    began = time.time()
+    assert cluster.jaccard_pairs(items).count() == 0
+    assert time.time() - began < 40
