@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import durable, scratch
 from ..corpus import Corpus
 from ..functions.text import like_ascii, tweet_tokens
 from ..registry import Spec, operator
@@ -81,6 +83,73 @@ def greedy_phrases(text: Column, phrases: list[str]) -> Column:
     return F.filter(F.split(out, " "), lambda w: w != "")
 
 
+PHRASES = 500_000  # phrases of a trie that is sent to tasks; of more, their places are found by a join
+
+
+def phrase_trie(phrases: list[str]) -> tuple[dict[tuple[int, str], int], set[int]]:
+    """(steps, ends): from a node and a word to the next node, and the nodes where a phrase ends; the root is 0."""
+    steps: dict[tuple[int, str], int] = {}
+    ends: set[int] = set()
+    for p in phrases:
+        at = 0
+        for w in p.split("_"):
+            at = steps.setdefault((at, w), len(steps) + 1)
+        ends.add(at)
+    return steps, ends
+
+
+def longest_phrases(words_: list[str], trie: tuple[dict[tuple[int, str], int], set[int]]) -> list[str]:
+    """The words, with the longest phrase that begins at each, from the left, joined by _."""
+    steps, ends = trie
+    out, k = [], 0
+    while k < len(words_):
+        at, size, j = 0, 1, k
+        while j < len(words_) and (at := steps.get((at, words_[j]), 0)):
+            j += 1
+            if at in ends:
+                size = j - k
+        out.append("_".join(words_[k : k + size]))
+        k += size
+    return out
+
+
+def phrase_tokens(df: DataFrame, phrases: DataFrame, most: int = PHRASES) -> DataFrame:
+    """identifier, tokens: the words of each text in lower case, with known phrases of several words joined by _.
+
+    phrases: (phrase), its words apart by blanks or _, of any case; those of one word say nothing.  At each word the longest phrase
+    that begins there is taken, and the search goes on after it.  Up to ``most`` phrases are a trie in every
+    task; of more, runs of words are joined with them, and a text is put together from the longest at each place.
+    A null text has no tokens.
+    """
+    import pyarrow as pa
+
+    low = F.filter(F.split(F.lower(F.coalesce("document", F.lit(""))), r"\s+"), lambda w: w != "")
+    clean = F.array_join(F.filter(F.split(F.lower(F.regexp_replace("phrase", "_", " ")), r"\s+"), lambda w: w != ""), "_")
+    known = phrases.select(clean.alias("phrase")).where(F.col("phrase").contains("_")).distinct()
+    rows = df.select("identifier", low.alias("w"))
+    few = known.limit(most + 1).collect()
+    if len(few) <= most:
+        sent = df.sparkSession.sparkContext.broadcast(phrase_trie(sorted(r[0] for r in few)))
+
+        def run(it):
+            for batch in it:
+                found = [longest_phrases(w, sent.value) for w in batch.column("w").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("identifier"), pa.array(found, pa.list_(pa.string()))], names=["identifier", "tokens"])
+
+        return rows.mapInArrow(run, f"identifier {df.schema['identifier'].dataType.simpleString()}, tokens array<string>")
+    sizes = [r[0] for r in known.select(F.size(F.split("phrase", "_"))).distinct().collect()]  # lengths of phrases
+    grams = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("w", i + 1, n), "_").alias("phrase")))
+    runs = F.flatten(F.array(*(F.when(F.size("w") >= n, grams(n)).otherwise(F.array().cast("array<struct<at:int,n:int,phrase:string>>")) for n in sorted(sizes))))
+    hits = rows.select("identifier", F.inline(runs)).join(known, "phrase").groupBy("identifier", "at").agg(F.max("n").alias("n"))
+    places = hits.groupBy("identifier").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("at"))
+    # each word is taken with the place where the text goes on
+    step = lambda acc, i: F.when(i < acc["next"], acc).otherwise(F.struct(F.array_append(acc["out"], F.array_join(F.slice("w", i + 1, _size(i)), "_")).alias("out"), (i + _size(i)).alias("next")))
+    _size = lambda i: F.coalesce(F.try_element_at("at", i), F.lit(1))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
+    every = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+    return rows.join(places, "identifier", "left").select("identifier", F.aggregate(every, start, step)["out"].alias("tokens"))
+
+
 def without_marks(tokens: Column) -> Column:
     """Tokens that start with # or @ become empty."""
     return F.transform(tokens, lambda t: F.when(t.startswith("#") | t.startswith("@"), "").otherwise(t))
@@ -100,10 +169,76 @@ def _tagger(name: str, tokens: Callable[[Column], Column]):
     return run
 
 
+def _tag_words(items: Column, word: str = "w") -> Column:
+    return F.transform(items, lambda x: F.coalesce(x[word], F.lit("")))
+
+
+def shapes(words_: Column) -> Column:
+    """Attributes of words for tagging: the words around, and a word's beginnings, endings and shape."""
+    from .crf import text_features
+
+    def more(w: Column) -> Column:
+        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "[A-Z]+", "X"), "[a-z]+", "x"), "[0-9]+", "0")
+        ends = [F.concat(F.lit(f"end{k}="), F.lower(F.right(w, F.lit(k)))) for k in (1, 2, 3)]
+        return F.array(*ends, F.concat(F.lit("begin="), F.lower(F.left(w, F.lit(2)))), F.concat(F.lit("shape="), shape))
+
+    return F.zip_with(text_features(words_), F.transform(words_, more), lambda a, b: F.concat(a, b))
+
+
+def train_tagger(sequences: DataFrame, iterations: int = 25):
+    """A part-of-speech model of tagged sequences (items: array of structs w, pos), as ``corpora.sequences`` reads them."""
+    from . import crf
+
+    rows = sequences.select(F.monotonically_increasing_id().alias("identifier"), shapes(_tag_words(F.col("items"))).alias("features"), F.transform("items", lambda x: x["pos"]).alias("y"))
+    with scratch() as keep:
+        return crf.train(keep(durable(rows)), iterations=iterations)
+
+
+def tagged(df: DataFrame, model) -> DataFrame:
+    """identifier, tokens: TAG/word of each space-split word of the texts; empty words are left out."""
+    from . import crf
+
+    split = F.filter(F.split(F.coalesce("document", F.lit("")), " "), lambda w: w != "")
+    rows = df.select("identifier", split.alias("w"))
+    found = crf.tag(rows.select("identifier", shapes(F.col("w")).alias("features")), model)
+    return rows.join(found, "identifier").select("identifier", F.zip_with("y", "w", lambda t, w: F.concat(t, F.lit("/"), w)).alias("tokens"))
+
+
+def load_tagger(spark, path: str, *names: str) -> None:
+    """Let the named taggers (NLTKPOSTagger, ...) tag by the model that ``crf.save_model`` has kept at path."""
+    from pyspark.sql.functions import pandas_udf
+
+    from . import crf
+
+    model = crf.load_model(spark, path)
+    width, sent = len(model.columns), spark.sparkContext.broadcast(model)
+
+    def run(s: pd.Series) -> pd.Series:
+        import pyarrow as pa
+
+        known = sent.value
+        features = pa.array([[a.tolist() for a in x] for x in s], pa.list_(pa.list_(pa.int32())))
+        out = []
+        for _, _, chains, _ in crf._chains(pa.RecordBatch.from_arrays([features], names=["x"]), known):
+            best = chains.best()
+            out += [[known.classes[c] for c in best[a : a + n]] for a, n in zip(chains.begin, chains.sizes, strict=True)]
+        return pd.Series(out)
+
+    of = pandas_udf(run, "array<string>")
+
+    def tokens(text: Column) -> Column:
+        split = F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != "")
+        hashed = F.transform(shapes(split), lambda f: F.transform(f, lambda a: F.pmod(F.xxhash64(a), F.lit(width)).cast("int")))
+        return F.zip_with(of(hashed), split, lambda t, w: F.concat(t, F.lit("/"), w))
+
+    for name in names:
+        TAGGERS[name] = tokens
+
+
 def _plugged(name: str):
     def tokens(text: Column) -> Column:
         if name not in TAGGERS:
-            raise ValueError(f"{name} needs a model: put a function into TAGGERS")
+            raise ValueError(f"{name} needs a model: load one by load_tagger, or put a function into TAGGERS")
         return TAGGERS[name](text)
 
     return tokens

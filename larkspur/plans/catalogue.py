@@ -247,6 +247,16 @@ def greedy_phrases(spark, d):
     return tweets(spark, d).select("identifier", F.size(w).cast("long").alias("n_words"), F.array_contains(w, "good_apple").alias("joined"))
 
 
+@register("lexicon_phrases")
+def lexicon_phrases(spark, d):
+    """Phrases are all pairs and threes of neighbouring words of the benchmark texts: far more than a plan can name."""
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    runs = F.concat(X.pairs(w, 0, "_"), X.triples(w, "_"))
+    known = table(spark, d, "benchmark").select(F.explode(runs).alias("phrase")).distinct()
+    found = tokens.phrase_tokens(tweets(spark, d), known)
+    return found.select("identifier", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.filter("tokens", lambda t: t.contains("_"))).cast("long").alias("n_phrases"))
+
+
 # Lexicon and domains
 
 _LEXICON = [("good", "a", "1", 0.75, 0.0), ("good", "n", "2", 0.5, 0.125), ("the", "r", "3", 0.0, 0.25), ("apple", "n", "4", 0.25, 0.0), ("der", "n", "4", 0.0, 0.5), ("la", "n", "5", 0.625, 0.25)]

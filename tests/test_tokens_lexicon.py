@@ -162,3 +162,66 @@ def test_six_thousand_sets_that_share_an_item(spark):
     began = time.time()
     assert cluster.jaccard_pairs(items).count() == 0
     assert time.time() - began < 40
+
+
+def test_phrases_of_a_large_lexicon(spark):
+    """100,000 phrases, by a trie and by joins, against a scan of all runs of words."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    phrases = {"_".join(rng.choice(vocabulary) for _ in range(rng.choice([2, 2, 3, 4]))) for _ in range(100_000)} | {"w1_w2", "w1_w2_w3", "w2_w3_w4_w5", "single"}
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(30))) for _ in range(60)] + ["W1 w2\tw3  w4 w5", "w1 w2 w9", None, " ", "w1"]
+
+    def scan(text):
+        w, out = (text or "").lower().split(), []
+        while w:
+            n = max([k for k in range(2, min(4, len(w)) + 1) if "_".join(w[:k]) in phrases], default=1)
+            out.append("_".join(w[:n]))
+            w = w[n:]
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "identifier long, document string")
+    known = spark.createDataFrame([(p.replace("_", " ") if k % 2 else p.upper(),) for k, p in enumerate(sorted(phrases))], "phrase string")
+    want = {i: scan(t) for i, t in enumerate(texts)}
+    assert want[60] == ["w1_w2_w3", "w4", "w5"]
+    for most in (tokens.PHRASES, 10):
+        assert {r["identifier"]: r["tokens"] for r in tokens.phrase_tokens(df, known, most).collect()} == want
+    assert sum("_" in t for w in want.values() for t in w) > 100
+
+
+def test_a_tagger_is_trained_and_loaded(spark, tmp_path):
+    """Tags follow from endings, and after "the" from the word before; a workflow's tagger uses the model."""
+    import random
+
+    from larkspur.corpus import Corpus
+    from larkspur.operators import crf
+    from larkspur.plans import workflow
+
+    rng = random.Random(2)
+
+    def sentence():
+        out = []
+        while len(out) < 12:
+            stem = "".join(rng.choice("bdfgkmp") + rng.choice("aeiou") for _ in range(2))
+            kind = rng.randrange(3)
+            out += [("the", "D"), (stem + "ing", "N")] if kind == 0 else [(stem + "ing", "V")] if kind == 1 else [(stem + "ly", "R")]
+        return out
+
+    train, test = [sentence() for _ in range(80)], [sentence() for _ in range(20)]
+    (tmp_path / "train").write_text("\n\n".join("\n".join(f"{w} {t}" for w, t in s) for s in train) + "\n")
+    model = tokens.train_tagger(corpora.sequences(spark, str(tmp_path / "train"), ("w", "pos")), iterations=15)
+    assert model.classes == ["D", "N", "R", "V"]
+    df = spark.createDataFrame([(i, " ".join(w for w, _ in s)) for i, s in enumerate(test)] + [(99, None), (100, "")], "identifier long, document string")
+    got = {r["identifier"]: r["tokens"] for r in tokens.tagged(df, model).collect()}
+    want = [f"{t}/{w}" for s in test for w, t in s]
+    right = sum(a == b for a, b in zip([t for i in range(20) for t in got[i]], want, strict=True))
+    assert right > 0.97 * len(want) and got[99] == got[100] == []
+    crf.save_model(spark, model, f"{tmp_path}/m")
+    try:
+        tokens.load_tagger(spark, f"{tmp_path}/m", "GimpelPOSTagger")
+        done = workflow.run(spark, workflow.Workflow(tasks=workflow.steps(("GimpelPOSTagger", {"dest": "g"}))), Corpus(spark, {"input": df}))
+        names = {r["identifier"]: r["token"] for r in done.table("pos_tokens_g").collect()}
+        assert {r["document_identifier"]: [names[t] for t in r["tokens"]] for r in done.table("pos_g").collect()} == got
+    finally:
+        tokens.TAGGERS.pop("GimpelPOSTagger", None)
