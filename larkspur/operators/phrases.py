@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoint import durable, scratch
+from ..checkpoint import delete, durable, scratch
 from ..corpus import Corpus
 from ..functions.text import decile, letters_only, words
 from ..registry import Spec, operator
@@ -436,7 +436,7 @@ def evolve(df: DataFrame, annotations: DataFrame, generations: int = GENERATIONS
     uniform = lambda tag: F.pmod(F.xxhash64("key", F.lit(f"{seed} {tag}")), F.lit(1 << 40)).cast("double") / float(1 << 40)
     mutated = lambda score, tag: score + F.when(uniform(f"{tag} which") < 0.05, 0.4 * uniform(f"{tag} by") - 0.2).otherwise(0.0)
     genome = durable(seen.select("key", "n", F.array(F.col("m"), *(mutated(F.col("m"), f"start {k}") for k in range(1, POOL))).alias("g")))
-    few = genome.count() <= FEW_KEYS
+    held, few = genome, genome.count() <= FEW_KEYS
     target = 0.5 * (F.col("a1") + F.col("a2"))
 
     def errors(table: DataFrame, size: int) -> list[float]:
@@ -451,7 +451,9 @@ def evolve(df: DataFrame, annotations: DataFrame, generations: int = GENERATIONS
             break
         parents = rng.integers(0, POOL, (POOL, 2))
         child = lambda c: mutated(F.when(uniform(f"{generation} {c}") < 0.5, F.get("g", int(parents[c][0]))).otherwise(F.get("g", int(parents[c][1]))), f"{generation} {c}")  # noqa: E731, B023
-        both = durable(genome.select("key", "n", F.concat("g", F.array(*(child(c) for c in range(POOL)))).alias("g")))
+        before, both = held, durable(genome.select("key", "n", F.concat("g", F.array(*(child(c) for c in range(POOL)))).alias("g")))
+        delete(before)
+        held = both
         young = errors(both.select("key", "n", F.slice("g", POOL + 1, POOL).alias("g")), POOL)
         place = list(range(POOL))
         for c, e in enumerate(young):
@@ -459,7 +461,10 @@ def evolve(df: DataFrame, annotations: DataFrame, generations: int = GENERATIONS
                 worst = int(np.argmax(value))
                 place[worst], value[worst] = POOL + c, e
         genome = both.select("key", "n", F.array(*(F.get("g", p) for p in place)).alias("g"))
-    return durable(genome.select("key", "n", F.get("g", int(np.argmin(value))).alias("score")))
+    out = durable(genome.select("key", "n", F.get("g", int(np.argmin(value))).alias("score")))
+    delete(held)
+    delete(rows)
+    return out
 
 
 def evolved(df: DataFrame, scores: DataFrame) -> DataFrame:

@@ -259,33 +259,36 @@ def lexicon_phrases(spark, d):
 
 # Lexicon and domains
 
-_LEXICON = [("good", "a", "1", 0.75, 0.0), ("good", "n", "2", 0.5, 0.125), ("the", "r", "3", 0.0, 0.25), ("apple", "n", "4", 0.25, 0.0), ("der", "n", "4", 0.0, 0.5), ("la", "n", "5", 0.625, 0.25)]
-_LEX_SQL = "lex(word, pos, id, positive, negative) AS (VALUES " + ", ".join(f"('{w}', '{p}', '{i}', {a}::DOUBLE, {b}::DOUBLE)" for w, p, i, a, b in _LEXICON) + ")"
+#: a lexicon of the words of the benchmark texts, those of even length in two senses; scores follow from a word's letters
+_LEX_SQL = """lw AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark), lx AS (SELECT word, ascii(word) AS a, length(word) AS n, unnest(range(CASE WHEN length(word) % 2 = 0 THEN 2 ELSE 1 END)) AS sense FROM lw WHERE word <> ''),
+ lex AS (SELECT word, CASE sense WHEN 0 THEN 'a' ELSE 'n' END AS pos, concat(word, '.', CAST(sense AS VARCHAR)) AS id, ((a * 5 + n + 3 * sense) % 9)::DOUBLE / 16 AS positive, ((a * 3 + n + sense) % 8)::DOUBLE / 16 AS negative FROM lx)"""
 _WORDS = "w AS (SELECT identifier, unnest(string_split(lower(document), ' ')) AS word FROM tweets)"
 
 
-def _lexicon(spark):
-    return spark.createDataFrame(_LEXICON, "word string, pos string, id string, positive double, negative double")
+def _lexicon(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word <> ''").distinct()
+    rows = words.selectExpr("word", "ascii(word) AS a", "length(word) AS n", "explode(sequence(0, CASE WHEN length(word) % 2 = 0 THEN 1 ELSE 0 END)) AS sense")
+    return rows.selectExpr("word", "CASE sense WHEN 0 THEN 'a' ELSE 'n' END AS pos", "concat(word, '.', sense) AS id", "CAST((a * 5 + n + 3 * sense) % 9 AS DOUBLE) / 16 AS positive", "CAST((a * 3 + n + sense) % 8 AS DOUBLE) / 16 AS negative")
 
 
 @register("lexicon_strength", f"WITH {_LEX_SQL} SELECT word, max(positive) AS max_positive, max(negative) AS max_negative FROM lex GROUP BY word")
 def lexicon_strength(spark, d):
-    return lexicon.strengths(_lexicon(spark))
+    return lexicon.strengths(_lexicon(spark, d))
 
 
-@register("lexicon_label", _T + f", {_LEX_SQL}, {_WORDS} SELECT identifier AS document_identifier, CAST(CASE WHEN identifier IN (SELECT identifier FROM w JOIN lex USING (word) WHERE positive >= 0.5) THEN 1 ELSE 0 END AS BIGINT) AS label FROM tweets")
+@register("lexicon_label", _T + f", {_LEX_SQL}, {_WORDS} SELECT identifier AS document_identifier, CAST(CASE WHEN identifier IN (SELECT identifier FROM w JOIN lex USING (word) WHERE positive >= 0.4375) THEN 1 ELSE 0 END AS BIGINT) AS label FROM tweets")
 def lexicon_label(spark, d):
-    return lexicon.strength_labels(tweets(spark, d), _lexicon(spark), 0.5)
+    return lexicon.strength_labels(tweets(spark, d), _lexicon(spark, d), 0.4375)
 
 
-@register("lexicon_either_label", _T + f", {_LEX_SQL}, {_WORDS} SELECT identifier AS document_identifier, CAST(CASE WHEN identifier IN (SELECT identifier FROM w JOIN lex USING (word) WHERE positive >= 0.5 OR negative >= 0.5) THEN 1 ELSE 0 END AS BIGINT) AS label FROM tweets")
+@register("lexicon_either_label", _T + f", {_LEX_SQL}, {_WORDS} SELECT identifier AS document_identifier, CAST(CASE WHEN identifier IN (SELECT identifier FROM w JOIN lex USING (word) WHERE positive >= 0.4375 OR negative >= 0.4375) THEN 1 ELSE 0 END AS BIGINT) AS label FROM tweets")
 def lexicon_either_label(spark, d):
-    return lexicon.strength_labels(tweets(spark, d), _lexicon(spark), 0.5, True)
+    return lexicon.strength_labels(tweets(spark, d), _lexicon(spark, d), 0.4375, True)
 
 
 @register("subjectivity", _T + f", {_LEX_SQL}, {_WORDS}, s AS (SELECT word, avg(1 - (positive + negative)) AS score FROM lex GROUP BY word), m AS (SELECT identifier, avg(score) AS m FROM w JOIN s USING (word) GROUP BY identifier) SELECT t.identifier, round(coalesce(m, 0::DOUBLE), 9) AS subjectivity FROM tweets t LEFT JOIN m USING (identifier)")
 def subjectivity(spark, d):
-    return lexicon.subjectivity(tweets(spark, d), lexicon.objectivity(_lexicon(spark))).select("identifier", F.round("subjectivity", 9).alias("subjectivity"))
+    return lexicon.subjectivity(tweets(spark, d), lexicon.objectivity(_lexicon(spark, d))).select("identifier", F.round("subjectivity", 9).alias("subjectivity"))
 
 
 _TREE = {"tech": {"Apple": {"terms": ["apple", "ipad mini"]}, "terms": ["the"]}, "sport": {"terms": ["tag1", "user3"]}}
