@@ -208,6 +208,8 @@ def evolve(sentences: DataFrame, words: int, settings: Settings = Settings(), sc
 def correlation(a: np.ndarray, b: np.ndarray) -> float:
     """Pearson correlation of two score signals, the shorter followed by zeros (deviation: means are taken off)."""
     n = max(len(a), len(b))
+    if not n:
+        return 0.0
     a, b = np.pad(a, (0, n - len(a))), np.pad(b, (0, n - len(b)))
     a, b = a - a.mean(), b - b.mean()
     d = np.sqrt((a * a).sum() * (b * b).sum())
