@@ -25,6 +25,7 @@ from .common import save
 from .shingles import batches
 
 SHARD_TOKENS = 64_000_000
+SHARD_PIECES = 1_000_000  # of a shard, about: short texts are many rows to few tokens
 
 
 def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -101,8 +102,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, most: int = 4096, end_id: i
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = save(docs.mapInArrow(_pieces(vocabulary, most, end_id), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_TOKENS))
+    total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
+    shards = max(1, -(-total["tokens"] // SHARD_TOKENS), -(-total["rows"] // SHARD_PIECES))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(shards)))  # repeated rows are no hot group
     packed = dealt.groupBy("shard").applyInArrow(_pack(most), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)
