@@ -217,7 +217,7 @@ WekaResultsExport file table|WhiteSpacePOSTagger dest|WordSenseDisambiguate tabl
 def test_attributes_of_users_workflows_are_known():
     for tag in USED.split("|"):
         name, *attributes = tag.split(" ")
-        w = workflow.parse("<W><WorkflowTasks><%s %s/></WorkflowTasks></W>" % (name, " ".join(f'{a}="1"' for a in attributes)))
+        w = workflow.parse("<W><WorkflowTasks><%s %s/></WorkflowTasks></W>" % (name, " ".join(f'{a}="{"weka.classifiers.rules.JRip" if a == "classifier" else 1}"' for a in attributes)))
         workflow.validate(w)
     with pytest.raises(ValueError, match="knows no eps"):
         workflow.validate(workflow.parse('<W><WorkflowTasks><ClusterLabeller src="a" dest="b" eps="1"/></WorkflowTasks></W>'))
