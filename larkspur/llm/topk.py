@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 BLOCK = 8192  # vectors of an index block
 ASKED = 4096  # queries that a task gets for a block
 SEGMENTS = 24  # of a dimension, at most
-ROUNDS = (0.6, 0.7, 0.8, 1.0)  # shares of all postings after which the bound is tried
+ROUNDS = (0.7, 0.85, 1.0)  # shares of all postings after which the bound is tried
 FEW = 4  # a search stops once a block's size / FEW vectors, or fewer, can be members
 LARGEST = 2.0**53  # integers up to it are exact as doubles
 
@@ -36,7 +36,7 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids.astype(np.int64), rows.astype(np.int64)
         n, d = rows.shape
-        self.order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32) if n else np.zeros((d, 0), np.int32)
+        self.order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int64) if n else np.zeros((d, 0), np.int64)
         dims, begins, ends, lows, highs = [], [], [], [], []
         for j in range(d if n else 0):
             value = self.rows[self.order[j], j]
@@ -50,11 +50,17 @@ class ImpactIndex:
             highs += value[cut[1:] - 1].tolist()
         self.dim, self.begin, self.end = np.array(dims, np.int64), np.array(begins, np.int64), np.array(ends, np.int64)
         self.low, self.high = np.array(lows, np.int64), np.array(highs, np.int64)
-        self.most = np.abs(self.rows.astype(float)).max(initial=0)
+        self.real = self.rows.astype(float)
+        self.postings = self.order.ravel()  # dimension after dimension
+        self.at = np.empty(n * d, np.int64)  # a search writes its postings here, so that it allocates nothing large
+        self.most = np.abs(self.real).max(initial=0)
 
     def exact(self, some: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Scores of some rows."""
-        if float(np.abs(q.astype(float)).max(initial=0)) * self.most * max(1, len(q)) < 2.0**62:
+        most = float(np.abs(q.astype(float)).max(initial=0)) * self.most * max(1, len(q))
+        if most < LARGEST:  # every partial sum is a whole number that a double holds
+            return (self.real[some] @ q.astype(float)).astype(np.int64)
+        if most < 2.0**62:
             return self.rows[some] @ q
         return self.rows[some].astype(object) @ q.astype(object)
 
@@ -78,15 +84,27 @@ class ImpactIndex:
         lost = 0.0 if np.abs(worth).max(initial=0) * (d + 1) < LARGEST else 1e-12 * (d + 2) * float(np.abs(worth).max()) * (d + 1)
         size = self.end[segments] - self.begin[segments]
         after = np.cumsum(size)
-        acc, met = np.zeros(n), np.zeros(n)
+        # impact and count share one sum, the count in its lowest bits, while a double holds both exactly
+        step = 1 << used.bit_length()
+        joint = float(impact.max(initial=0)) * (used + 1) * step < LARGEST
+        weight = impact * step + 1 if joint else impact
+        acc, met, both = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
         done = 0
         for share in ROUNDS:
             upto = len(segments) if share == ROUNDS[-1] else int(np.searchsorted(after, share * n * used))
             now = segments[done:upto]
             if len(now):
-                at = np.concatenate([self.order[j, a:z] for j, a, z in zip(self.dim[now].tolist(), self.begin[now].tolist(), self.end[now].tolist(), strict=True)])
-                acc += np.bincount(at, np.repeat(impact[now], size[done:upto]), n)
-                met += np.bincount(at, minlength=n)
+                first = self.dim[now] * n + self.begin[now]
+                at = self.at[: int(size[done:upto].sum())]
+                np.concatenate([self.postings[a:z] for a, z in zip(first.tolist(), (first + size[done:upto]).tolist(), strict=True)], out=at)
+                added = np.bincount(at, np.repeat(weight[now], size[done:upto]), n)
+                if joint:
+                    both += added.astype(np.int64)
+                    met = both & (step - 1)
+                    acc = both >> used.bit_length()
+                else:
+                    acc += added
+                    met += np.bincount(at, minlength=n)
             done = upto
             rest = impact[segments[done]] if done < len(segments) else 0.0
             bound = acc + (used - met) * rest + (base + lost)
