@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 8192  # vectors of an index block
+BLOCK = 16384  # vectors of an index block; what a query costs besides its postings is spread over them
 ASKED = 4096  # queries that a task gets for a block
 SEGMENTS = 24  # of a dimension, at most
 ROUNDS = (0.7, 0.85, 1.0)  # shares of all postings after which the bound is tried
@@ -36,10 +36,10 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids.astype(np.int64), rows.astype(np.int64)
         n, d = rows.shape
-        self.order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int64) if n else np.zeros((d, 0), np.int64)
+        order = np.argsort(rows.T, axis=1, kind="stable").astype(np.int64)
         dims, begins, ends, lows, highs = [], [], [], [], []
         for j in range(d if n else 0):
-            value = self.rows[self.order[j], j]
+            value = self.rows[order[j], j]
             width = max(1, (int(value[-1]) - int(value[0])) // SEGMENTS + 1)
             cut = np.unique(np.searchsorted(value, np.minimum(int(value[0]) + width * np.arange(SEGMENTS + 1, dtype=object), 2**62).astype(np.int64)))
             cut = np.unique(np.concatenate([[0], cut, [n]]))
@@ -51,7 +51,7 @@ class ImpactIndex:
         self.dim, self.begin, self.end = np.array(dims, np.int64), np.array(begins, np.int64), np.array(ends, np.int64)
         self.low, self.high = np.array(lows, np.int64), np.array(highs, np.int64)
         self.real = self.rows.astype(float)
-        self.postings = self.order.ravel()  # dimension after dimension
+        self.postings = order.ravel()  # dimension after dimension
         self.at = np.empty(n * d, np.int64)  # a search writes its postings here, so that it allocates nothing large
         self.most = np.abs(self.real).max(initial=0)
 
