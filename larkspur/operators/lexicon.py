@@ -133,15 +133,28 @@ def compatible(tokens: DataFrame, target: str = "target") -> Column:
     return tag.isNull() | F.startswith(tag, F.try_element_at(starts, kind)) | ((kind == "a") & (tag == "A"))
 
 
-@operator("FinancialDistanceAnnotator", ("pos",), ("annotateStockTweets", "similarity", "outputColumn"))
+@operator("FinancialDistanceAnnotator", ("pos",), ("annotateStockTweets", "similarity", "outputColumn", "hypernyms", "senses"))
 def _financial(c: Corpus, s: Spec) -> Corpus:
     """Nested Synset elements name the targets.  The table similarity has (word, target, similarity): the best path
-    similarity of any sense of a word."""
+    similarity of any sense of a word.  With the attribute hypernyms, which names a table (synset, hypernym), it is computed from that graph and
+    the table senses (word, synset), for which targets must be named.  A named target that a document's tags fit
+    counts 0 where nothing is similar to it; targets that no tag fits don't count."""
+    from .hypernyms import similarities
     from .tokens import tokens_of
 
-    wanted = [x.get("text") for x in s.all("Synset")]
-    table = c.table(s.get("similarity", "similarity"))
-    table = table.where(F.col("target").isin(wanted)) if wanted else table
+    wanted = sorted({x.get("text") for x in s.all("Synset")})
     rows = tokens_of(c, s.get("pos")).withColumn("word", F.lower(F.regexp_replace("token", "/[^/]*$", "")))
+    graph = s.get("hypernyms")
+    if graph and not wanted:
+        raise ValueError("FinancialDistanceAnnotator with hypernyms needs Synset elements")
+    if graph:
+        table = similarities(c.table(s.get("senses", "senses")), c.table(graph), c.spark.createDataFrame([(w,) for w in wanted], "target string"))
+    else:
+        table = c.table(s.get("similarity", "similarity"))
+    table = table.where(F.col("target").isin(wanted)) if wanted else table
     fit = rows.join(table, "word").where(compatible(rows)).select("document_identifier", "target", "similarity")
+    if wanted:
+        named = rows.withColumn("target", F.explode(F.array(*[F.lit(w) for w in wanted])))
+        zeros = named.where(compatible(named)).select("document_identifier", "target", F.lit(0.0).alias("similarity")).distinct()
+        fit = fit.unionByName(zeros)
     return c.with_input(mean_best(c.input, fit, s.get("annotateStockTweets", False, bool), s.get("outputColumn", "distance")))
