@@ -17,12 +17,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
 from .common import save
-from .shingles import batches
 
 SHARD_TOKENS = 64_000_000
 SHARD_PIECES = 1_000_000  # of a shard, about: short texts are many rows to few tokens
@@ -63,16 +63,27 @@ def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
     return seq, off, made
 
 
+def _ranges(texts: pa.Array, limit: int = 1 << 20):
+    """Ranges of rows whose texts hold about limit bytes (one text at least), found without making strings of them."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(end):
+        hi = max(lo + 1, int(np.searchsorted(end, limit + (end[lo - 1] if lo else 0), side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def _pieces(path: str, most: int, end_id: int):
     end = end_id.to_bytes(4, "little")
 
     def run(it):
+        pa.default_memory_pool().release_unused()  # a worker that earlier stages used holds freed memory
         chunks = bpe.id_chunks(path)
         for batch in it:
-            docs, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in batches(texts):
+            docs, texts = batch.column(0), batch.column(1)
+            for lo, hi in _ranges(texts):
                 out = []
-                for d, ids in zip(docs[lo:hi].to_pylist(), chunks.of(texts[lo:hi]), strict=True):
+                for d, ids in zip(docs[lo:hi].to_pylist(), chunks.of(texts[lo:hi].to_pylist()), strict=True):
                     ids += end
                     for k, a in enumerate(range(0, len(ids), 4 * most)):
                         part = ids[a : a + 4 * most]
