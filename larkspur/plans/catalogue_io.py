@@ -15,7 +15,7 @@ from ..corpus import Corpus
 from ..fixtures import annotations, tweets
 from ..functions import text as X
 from ..operators import annotations as A
-from ..operators import evolve, features, labels, phrases
+from ..operators import evolve, features, hypernyms, labels, phrases
 from ..sources import corpora, sinks
 from . import workflow
 from .catalogue import _EMO, _POS, _T, _TA, _TOKENS, _classified, register, table
@@ -401,3 +401,20 @@ def nearest_neighbours(spark, d):
 
     rows = _classified(spark, d)
     return classify.nearest(rows.where("identifier % 2 = 0"), rows.where("identifier % 2 = 1"))
+
+
+# A graph: two parents to every odd part
+
+_PARENTS = "SELECT concat('p', p_partkey, '.n.01') AS synset, concat('p', CAST(floor(p_partkey / 2) AS BIGINT), '.n.01') AS hypernym FROM {part} WHERE p_partkey > 1 UNION SELECT concat('p', p_partkey, '.n.01'), concat('p', CAST(floor(p_partkey / 3) AS BIGINT), '.n.01') FROM {part} WHERE p_partkey > 2 AND p_partkey % 2 = 1"
+_TARGETS = ("p7.n.01", "p18.n.01", "p101.n.01")
+
+
+@register(
+    "hypernym_distances",
+    f"WITH RECURSIVE e AS ({_PARENTS.format(part='part')}), up AS (SELECT DISTINCT synset AS s, synset AS a, 0 AS d FROM (SELECT synset FROM e UNION SELECT hypernym FROM e)"
+    " UNION SELECT up.s, e.hypernym, up.d + 1 FROM up JOIN e ON up.a = e.synset), m AS (SELECT s, a, min(d) AS d FROM up GROUP BY s, a)"
+    f" SELECT t.s AS target, x.s AS synset, CAST(min(t.d + x.d) AS BIGINT) AS distance FROM m t JOIN m x ON t.a = x.a WHERE t.s IN {_TARGETS} GROUP BY t.s, x.s",
+)
+def hypernym_distances(spark, d):
+    edges = spark.sql(_PARENTS, part=table(spark, d, "part"))
+    return hypernyms.distances(edges, spark.createDataFrame([(t,) for t in _TARGETS], "target string"))
