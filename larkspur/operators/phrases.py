@@ -15,7 +15,7 @@ from ..corpus import Corpus
 from ..functions.text import decile, letters_only, words
 from ..registry import Spec, operator
 from . import crf
-from .annotations import positions, share_vectors, subjectivity_vector, vectors
+from .annotations import share_vectors, subjectivity_vector, vectors, word_marks
 
 
 def empirical(annotations: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def empirical(annotations: DataFrame) -> DataFrame:
 
 def word_rates(df: DataFrame, annotations: DataFrame) -> DataFrame:
     """word, rate: the share of a word's marks that aren't q, over all places and annotators; words in lower case."""
-    rows = df.select("identifier", F.posexplode(words(F.lower("document"))).alias("at", "word"))
-    return rows.join(positions(annotations.select("identifier", "annotation")), ["identifier", "at"]).groupBy("word").agg(F.avg((F.col("mark") != "q").cast("double")).alias("rate"))
+    rows = word_marks(df, annotations, "counts").select(F.inline("x"))
+    return rows.groupBy("word").agg((F.sum("hits").cast("double") / F.sum("n")).alias("rate"))
 
 
 def human(annotations: DataFrame) -> DataFrame:
