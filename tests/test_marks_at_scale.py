@@ -57,3 +57,30 @@ def test_repeated_identifiers_count_together(spark):
     a = spark.createDataFrame([(1, "pq")], "identifier long, annotation string")
     assert sorted(map(tuple, features.discrete_marks(d, a).collect())) == [(1, "a", "q"), (1, "b", "q")]
     assert {r["word"]: r["rate"] for r in phrases.word_rates(d, a).collect()} == {"a": 0.5, "b": 0.5}
+
+
+def test_markov_of_rare_and_common_words_agree(spark):
+    import numpy as np
+
+    d = spark.createDataFrame([(k, " ".join(f"w{chr(97 + (k * j) % 7)} Good" for j in range(k % 5 + 1))) for k in range(40)] + [(50, None), (51, "")], "identifier long, document string")
+    a = spark.createDataFrame([(k, "pqqpnqqqpp"[k % 3 :]) for k in range(30)], "identifier long, annotation string")
+    model = phrases.markov_model(phrases.labelled_words(d, A.share_vectors(a)))
+    got = [{r["identifier"]: r["annotation"] for r in phrases.markov(d, model, common=n).collect()} for n in (0, 3, 1000)]
+    assert got[0] == got[1] == got[2] and 50 not in got[0] and len(got[0][51]) == 1
+    trans, emission = model
+    e = {(r["word"], r["class"]): r["e"] for r in emission.collect()}
+    for r in d.where("document IS NOT NULL").collect():
+        rows = np.array([[e.get(("".join(c for c in w.lower() if c.isalpha()), k), -12.0) for k in range(phrases.CLASSES)] for w in r["document"].split(" ")])
+        assert got[0][r["identifier"]] == [c / 10 for c in phrases.viterbi(trans, rows)]
+
+
+def test_labelled_words_match_the_columns(spark):
+    d, a = given(spark)
+    d = d.union(spark.createDataFrame([(6, "  Big Cat 9 sat Kİn On-it "), (7, "")], d.schema))
+    a = a.union(spark.createDataFrame([(6, "qpqpqpqpqp"), (6, "pppp"), (7, "p")], a.schema))
+    shares = A.share_vectors(a)
+    rows = d.join(shares, "identifier").select("identifier", "annotation", F.inline(phrases.counted_words(F.col("document")))).withColumn("p", F.get("annotation", F.col("at"))).where("p IS NOT NULL")
+    want = sorted((r["identifier"], r["at"], r["word"]) for r in rows.collect())
+    made = phrases.labelled_words(d, shares)
+    assert sorted((r["identifier"], r["at"], r["word"]) for r in made.collect()) == want and len(want) > 4
+    assert "counted" not in plan(made) and "ArrowEvalPython" in plan(made)
