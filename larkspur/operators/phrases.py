@@ -17,7 +17,7 @@ from ..corpus import Corpus
 from ..functions.text import decile, letters_only, words
 from ..registry import Spec, operator
 from . import crf
-from .annotations import share_vectors, subjectivity_vector, vectors, word_marks
+from .annotations import share_vectors, vectors, word_marks
 
 
 def empirical(annotations: DataFrame) -> DataFrame:
@@ -530,11 +530,18 @@ def evolution_pairs(df: DataFrame) -> DataFrame:
     """identifier, at, i, j, ij: neighbouring words of each text, normalised, and their pair as one key."""
     from .normalise import evolution_words
 
-    rows = df.select("identifier", evolution_words(F.col("document")).alias("w"))
+    rows = _neighbours(df.select("identifier", evolution_words(F.col("document")).alias("w")))
+    return rows.select("identifier", "at", "i", "j", F.concat_ws(" ", "i", "j").alias("ij"))
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """identifier, at, i, j, and with shares a, the class values a1 and a2 of the words that have one, of neighbouring words w."""
     n = F.greatest(F.size("w") - 1, F.lit(0))
-    both = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
-    rows = rows.select("identifier", F.posexplode(both).alias("at", "x")).select("identifier", "at", "x.i", "x.j")
-    return rows.withColumn("ij", F.concat_ws(" ", "i", "j"))
+    names = {"i": "w", "j": "w"} | ({"a1": "a", "a2": "a"} if "a" in rows.columns else {})
+    late = {"j", "a2"}
+    both = F.arrays_zip(*(F.slice(c, F.lit(2 if k in late else 1), n).alias(k) for k, c in names.items()))
+    out = rows.select("identifier", F.posexplode(both).alias("at", "x")).select("identifier", "at", *(F.col("x")[k].alias(k) for k in names))
+    return out.where("a1 IS NOT NULL AND a2 IS NOT NULL") if "a" in rows.columns else out
 
 
 def evolution_targets(pairs_: DataFrame, shares: DataFrame) -> DataFrame:
@@ -544,18 +551,29 @@ def evolution_targets(pairs_: DataFrame, shares: DataFrame) -> DataFrame:
     return left.join(one.select("identifier", (F.col("at") - 1).alias("at"), F.col("a").alias("a2")), ["identifier", "at"])
 
 
-def _scores(rows: DataFrame, genome: DataFrame, few: bool, size: int) -> DataFrame:
+def evolution_sums(df: DataFrame, annotations: DataFrame) -> DataFrame:
+    """ij, i, j, n, s1, s2, t, tt of each pair of neighbouring words of annotated texts: how often it occurs, the sums of the class values
+    that its words were given, and of their means and the squares of those.  The error of a score over all texts follows from these."""
+    from .normalise import evolution_words
+
+    shares = share_vectors(annotations).select("identifier", F.transform("annotation", lambda p: class_value(decile(p))).alias("a"))
+    rows = _neighbours(df.select("identifier", evolution_words(F.col("document")).alias("w")).join(shares, "identifier"))
+    mean = 0.5 * (F.col("a1") + F.col("a2"))
+    sums = rows.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("a1").alias("s1"), F.sum("a2").alias("s2"), F.sum(mean).alias("t"), F.sum(mean * mean).alias("tt"))
+    return sums.select(F.concat_ws(" ", "i", "j").alias("ij"), "*")
+
+
+def _scores(rows: DataFrame, genome: DataFrame, few: bool, size: int, names: tuple[str, ...] = ("ij", "i", "j")) -> DataFrame:
     """rows with s: for each of size genomes the mean of a pair's and its words' scores, weighted by how often each was seen.
 
-    genome: (key, n, g: array of scores).  Keys that were never seen have no weight.
+    genome: (key, n, g: array of scores); of names, those that aren't joined are columns of rows.  Keys that were never seen have no weight.
     """
-    for name in ("ij", "i", "j"):
+    for name in names:
         table = genome.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("g").alias(f"g_{name}"))
         rows = rows.join(F.broadcast(table) if few else table, name, "left")
     weight = sum((F.coalesce(f"n_{x}", F.lit(0)) for x in ("i", "j")), F.coalesce("n_ij", F.lit(0)))
-    part = lambda x, k: F.coalesce(F.col(f"n_{x}") * F.get(F.col(f"g_{x}"), k), F.lit(0.0))
-    score = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(weight > 0, (part("ij", k) + part("i", k) + part("j", k)) / weight).otherwise(0.0))
-    return rows.withColumn("s", score)
+    part = lambda x, k: F.coalesce(F.col(f"n_{x}") * F.get(F.col(f"g_{x}"), F.lit(k)), F.lit(0.0))
+    return rows.withColumn("s", F.array(*(F.when(weight > 0, (part("ij", k) + part("i", k) + part("j", k)) / weight).otherwise(0.0) for k in range(size))))
 
 
 def evolve(df: DataFrame, annotations: DataFrame, generations: int = GENERATIONS, spread: float = 0.005, seed: int = 0) -> DataFrame:
@@ -565,43 +583,49 @@ def evolve(df: DataFrame, annotations: DataFrame, generations: int = GENERATIONS
     The first genome has the mean annotation of each key; others start as mutations of it.  A child takes each score
     from either of two parents, and one in twenty is changed by up to 0.2; it takes the place of the worst genome if its error
     is at most the mean one.  The search ends once the errors of the pool are within spread, or after the given
-    generations of ``POOL`` children.  Genomes are columns of a table of keys; what is random in a key comes from hashes, so a
-    generation is one join and one aggregate over the texts, and only errors come to the driver.
+    generations of ``POOL`` children.  The texts are read once, for the sums of each distinct pair.  Genomes are columns of two tables,
+    of pairs with their sums and of words; what is random in a key comes from hashes, so a
+    generation joins the words to the distinct pairs, and only errors come to the driver.
     """
-    rows = durable(evolution_targets(evolution_pairs(df), subjectivity_vector(annotations)))
-    parts = [rows.select(F.col("ij").alias("key"), (0.5 * (F.col("a1") + F.col("a2"))).alias("a")), rows.select(F.col("i").alias("key"), F.col("a1").alias("a")), rows.select(F.col("j").alias("key"), F.col("a2").alias("a"))]
-    seen = parts[0].union(parts[1]).union(parts[2]).groupBy("key").agg(F.count("*").alias("n"), F.avg("a").alias("m"))
     uniform = lambda tag: F.pmod(F.xxhash64("key", F.lit(f"{seed} {tag}")), F.lit(1 << 40)).cast("double") / float(1 << 40)
     mutated = lambda score, tag: score + F.when(uniform(f"{tag} which") < 0.05, 0.4 * uniform(f"{tag} by") - 0.2).otherwise(0.0)
-    genome = durable(seen.select("key", "n", F.array(F.col("m"), *(mutated(F.col("m"), f"start {k}") for k in range(1, POOL))).alias("g")))
-    held, few = genome, genome.count() <= FEW_KEYS
-    target = 0.5 * (F.col("a1") + F.col("a2"))
-
-    def errors(table: DataFrame, size: int) -> list[float]:
-        scored = _scores(rows, table, few, size)
-        each = [F.coalesce(F.sum(F.pow(F.col("s")[k] - target, F.lit(2.0))), F.lit(0.0)).alias(f"e{k}") for k in range(size)]
-        return list(scored.agg(*each).first())
-
-    value = errors(genome, POOL)
-    rng = np.random.default_rng(seed)
-    for generation in range(generations):
-        if max(value) - min(value) < spread:
-            break
-        parents = rng.integers(0, POOL, (POOL, 2))
-        child = lambda c: mutated(F.when(uniform(f"{generation} {c}") < 0.5, F.get("g", int(parents[c][0]))).otherwise(F.get("g", int(parents[c][1]))), f"{generation} {c}")  # noqa: E731, B023
-        before, both = held, durable(genome.select("key", "n", F.concat("g", F.array(*(child(c) for c in range(POOL)))).alias("g")))
-        delete(before)
-        held = both
-        young = errors(both.select("key", "n", F.slice("g", POOL + 1, POOL).alias("g")), POOL)
-        place = list(range(POOL))
-        for c, e in enumerate(young):
-            if e <= sum(value) / POOL:
-                worst = int(np.argmax(value))
-                place[worst], value[worst] = POOL + c, e
-        genome = both.select("key", "n", F.array(*(F.get("g", p) for p in place)).alias("g"))
-    out = durable(genome.select("key", "n", F.get("g", int(np.argmin(value))).alias("score")))
-    delete(held)
-    delete(rows)
+    first = F.array(F.col("m"), *(mutated(F.col("m"), f"start {k}") for k in range(1, POOL))).alias("g")
+    with scratch() as keep:
+        sums = keep(durable(evolution_sums(df, annotations)))
+        ends = sums.select(F.col("i").alias("key"), "n", F.col("s1").alias("a")).union(sums.select("j", "n", "s2"))
+        words_ = durable(ends.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("a") / F.sum("n")).alias("m")).select("key", "n", first))
+        pairs_ = durable(sums.select(F.col("ij").alias("key"), "i", "j", "n", "t", "tt", (F.col("t") / F.col("n")).alias("m")).select("key", "i", "j", "n", "t", "tt", first))
+        held = [words_, pairs_]
+        few = words_.count() <= FEW_KEYS
+
+        def errors(words_: DataFrame, pairs_: DataFrame, size: int) -> list[float]:
+            rows = pairs_.select("i", "j", "n", "t", "tt", F.col("n").alias("n_ij"), F.col("g").alias("g_ij"))
+            scored = _scores(rows, words_, few, size, ("i", "j"))
+            each = [F.coalesce(F.sum(F.col("n") * F.col("s")[k] * F.col("s")[k] - 2 * F.col("s")[k] * F.col("t") + F.col("tt")), F.lit(0.0)).alias(f"e{k}") for k in range(size)]
+            return list(scored.agg(*each).first())
+
+        value = errors(words_, pairs_, POOL)
+        rng = np.random.default_rng(seed)
+        for generation in range(generations):
+            if max(value) - min(value) < spread:
+                break
+            parents = rng.integers(0, POOL, (POOL, 2))
+            child = lambda c: mutated(F.when(uniform(f"{generation} {c}") < 0.5, F.get("g", F.lit(int(parents[c][0])))).otherwise(F.get("g", F.lit(int(parents[c][1])))), f"{generation} {c}")  # noqa: E731, B023
+            before = held
+            held = [durable(x.withColumn("g", F.concat("g", F.array(*(child(c) for c in range(POOL)))))) for x in (words_, pairs_)]
+            for x in before:
+                delete(x)
+            young = errors(*(x.withColumn("g", F.slice("g", POOL + 1, POOL)) for x in held), POOL)
+            place = list(range(POOL))
+            for c, e in enumerate(young):
+                if e <= sum(value) / POOL:
+                    worst = int(np.argmax(value))
+                    place[worst], value[worst] = POOL + c, e
+            words_, pairs_ = (x.withColumn("g", F.array(*(F.get("g", F.lit(p)) for p in place))) for x in held)
+        score = F.get("g", F.lit(int(np.argmin(value)))).alias("score")
+        out = durable(words_.select("key", "n", score).union(pairs_.select("key", "n", score)))
+        for x in held:
+            delete(x)
     return out
 
 

@@ -1,5 +1,6 @@
 """Marks of words are counted within a document: no word or mark is a row that is shuffled or joined."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,15 @@ def test_labelled_words_match_the_columns(spark):
     made = phrases.labelled_words(d, shares)
     assert sorted((r["identifier"], r["at"], r["word"]) for r in made.collect()) == want and len(want) > 4
     assert "counted" not in plan(made) and "ArrowEvalPython" in plan(made)
+
+
+def test_evolution_reads_texts_once_for_sums_of_distinct_pairs(spark):
+    d = spark.createDataFrame([(k, "good day good day bad") for k in range(6)] + [(9, "day"), (10, "x y")], "identifier long, document string")
+    a = spark.createDataFrame([(k, "pqnqp"[k % 2 :]) for k in range(6)] + [(9, "p")], "identifier long, annotation string")
+    sums = {r["ij"]: r for r in phrases.evolution_sums(d, a).collect()}
+    rows = phrases.evolution_targets(phrases.evolution_pairs(d), A.subjectivity_vector(a)).collect()
+    assert sorted(sums) == sorted({r["ij"] for r in rows})
+    for ij, r in sums.items():
+        own = [x for x in rows if x["ij"] == ij]
+        t = [0.5 * (x["a1"] + x["a2"]) for x in own]
+        assert r["n"] == len(own) and np.allclose([r["s1"], r["s2"], r["t"], r["tt"]], [sum(x["a1"] for x in own), sum(x["a2"] for x in own), sum(t), sum(x * x for x in t)])
