@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from ..checkpoint import durable, scratch
 from ..corpus import Corpus
@@ -23,16 +27,61 @@ TAGGERS: dict[str, Callable[[Column], Column]] = {}
 
 
 FEW = 10_000  # ids that a plan may hold
+COMMON = 500_000  # values that are sent to the tasks; others are joined
+
+
+def replaced(df: DataFrame, key: str, lists: str, table: DataFrame, most: int = COMMON) -> DataFrame:
+    """df with each value of the array column lists replaced by what table (two columns, each value once) has for it, else null.
+
+    Up to ``most`` values, the most frequent where there are more, go to every task, which looks up a row's values in place.  Only
+    other values are rows that are shuffled: each once for a row of df, which key tells from others.
+    """
+    a, b = "_a", "_b"  # the table's names may be those of df
+    table = table.toDF(a, b)
+    kind = table.schema[b].dataType
+    few = table.limit(most + 1).toArrow().combine_chunks()
+    whole = few.num_rows <= most
+    if not whole:
+        counts = df.select(F.explode(lists).alias(a)).groupBy(a).agg(F.count("*").alias("_n"))
+        step, every, least = F.floor(F.log2("_n") * 8), 0, float("inf")
+        counts = durable(counts)
+        for r in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():  # a few hundred steps
+            every += r["count"]
+            least = r["s"] if every <= most else least
+        few = table.join(counts.where(step >= least).select(a), a, "left_semi").select(a, b).toArrow().combine_chunks()
+    flat = lambda name: few.column(name).combine_chunks() if few.num_rows else pa.array([], few.schema.field(name).type)
+    sent = df.sparkSession.sparkContext.broadcast((flat(a), flat(b)))
+
+    def run(x):
+        keys, values = sent.value
+        n = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(x).dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=keys.cast(coded.dictionary.type))
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, values.take(found.take(coded.indices)))
+
+    look = F.arrow_udf(run, f"array<{kind.simpleString()}>", ArrowUDFType.SCALAR)
+    full = F.coalesce(F.col(lists), F.array().cast(df.schema[lists].dataType))
+    if whole:
+        return df.withColumn(lists, look(full))
+    made = df.withColumns({"_old": full, lists: look(full)})
+    rest = made.select(key, F.explode(F.array_distinct(F.filter(F.zip_with("_old", lists, lambda x, y: F.when(y.isNull(), x)), lambda x: x.isNotNull()))).alias(a))
+    rest = rest.join(table, a).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(a, b))).alias("_rare"))
+    filled = F.zip_with("_old", lists, lambda x, y: F.coalesce(y, F.try_element_at("_rare", x)))
+    return made.join(rest, key, "left").withColumn(lists, F.when(F.col("_rare").isNull(), F.col(lists)).otherwise(filled)).select(*df.columns)
 
 
 def tokenised(df: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
-    """(dictionary, sequences) of the tokens of df's documents, in order."""
-    rows = df.select(F.col("identifier").alias("document_identifier"), F.posexplode(tokens).alias("at", "token"))
-    names = number(rows.select("token").distinct(), "token", 1, "identifier").select("identifier", "token")
-    ids = rows.join(names, "token").groupBy("document_identifier").agg(F.sort_array(F.collect_list(F.struct("at", "identifier"))).alias("s"))
-    sequences = df.select(F.col("identifier").alias("document_identifier")).join(ids, "document_identifier", "left")
-    sequences = sequences.select(F.col("document_identifier").alias("identifier"), "document_identifier", F.coalesce(F.col("s.identifier"), F.array().cast("array<bigint>")).alias("tokens"))
-    return names, sequences
+    """(dictionary, sequences) of the tokens of df's documents, in order; null tokens are left out."""
+    rows = df.select("identifier", F.array_compact(tokens).alias("tokens"))
+    names = durable(number(rows.select(F.explode("tokens").alias("token")).distinct(), "token", 1, "identifier").select("identifier", "token"))
+    ids = replaced(rows, "identifier", "tokens", names.select("token", "identifier"))
+    return names, ids.select("identifier", F.col("identifier").alias("document_identifier"), "tokens")
+
+
+def spelled(sequences: DataFrame, names: DataFrame) -> DataFrame:
+    """The sequences with tokens in place of ids."""
+    return replaced(sequences, "document_identifier", "tokens", names.select("identifier", "token"))
 
 
 def token_rows(sequences: DataFrame) -> DataFrame:
@@ -61,14 +110,14 @@ def unpopular(sequences: DataFrame, least: int, most: int) -> DataFrame:
 def without_tokens(sequences: DataFrame, ids: DataFrame) -> DataFrame:
     """The sequences without the given ids; repeats of other tokens and empty sequences stay.
 
-    Up to ``FEW`` ids are looked up in a set that the plan holds; more are joined to the tokens.
+    Up to ``FEW`` ids are looked up in a set that the plan holds; more are looked up as ``replaced`` does.
     """
     few = [r[0] for r in ids.limit(FEW + 1).collect()]
     if len(few) <= FEW:
         return sequences.withColumn("tokens", F.filter("tokens", lambda t: ~t.isin(few)) if few else F.col("tokens"))
-    kept = token_rows(sequences).join(ids, "identifier", "left_anti")
-    again = kept.groupBy("document_identifier").agg(F.sort_array(F.collect_list(F.struct("at", "identifier"))).alias("s"))
-    return sequences.select("identifier", "document_identifier").join(again, "document_identifier", "left").select("identifier", "document_identifier", F.coalesce(F.col("s.identifier"), F.array().cast("array<bigint>")).alias("tokens"))
+    gone = replaced(sequences.withColumn("_gone", F.col("tokens")), "document_identifier", "_gone", ids.select("identifier", F.lit(True).alias("gone")).distinct())
+    kept = F.filter(F.arrays_zip("tokens", "_gone"), lambda x: x["_gone"].isNull())
+    return gone.withColumn("tokens", F.transform(kept, lambda x: x["tokens"])).select(*sequences.columns)
 
 
 def greedy_phrases(text: Column, phrases: list[str]) -> Column:
@@ -121,8 +170,6 @@ def phrase_tokens(df: DataFrame, phrases: DataFrame, most: int = PHRASES) -> Dat
     task; of more, runs of words are joined with them, and a text is put together from the longest at each place.
     A null text has no tokens.
     """
-    import pyarrow as pa
-
     low = F.filter(F.split(F.lower(F.coalesce("document", F.lit(""))), r"\s+"), lambda w: w != "")
     clean = F.array_join(F.filter(F.split(F.lower(F.regexp_replace("phrase", "_", " ")), r"\s+"), lambda w: w != ""), "_")
     known = phrases.select(clean.alias("phrase")).where(F.col("phrase").contains("_")).distinct()
