@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoint import durable
+from ..checkpoint import durable, scratch
 from .labels import number
 from .phrases import fold
 
@@ -108,51 +108,86 @@ def sign_change_column(signal: Column) -> Column:
     return F.size(F.filter(F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n), lambda a, b: a != b), lambda x: x))
 
 
-SIDE = 4096  # signals of a block that neighbours are looked for in
+SIDE, CELLS_SIDE = 1 << 16, 1 << 22  # signals of a block that neighbours are looked for in, and their values together
+CLOSE = 2e-5  # more than single precision is off for signals of unit length
 
 
-def _matrix(col) -> tuple[np.ndarray, np.ndarray]:
-    rows = [np.asarray(x, float) for x in col]
-    n = np.array([len(x) for x in rows], np.int64)
-    out = np.zeros((len(rows), max(1, n.max(initial=0))))
-    for k, x in enumerate(rows):
-        out[k, : len(x)] = x
+def _block(table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Signals as lines of a matrix, followed by zeros, and their lengths."""
+    col = table.column(name).combine_chunks()
+    flat, n = col.flatten().to_numpy(zero_copy_only=False), col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(n), max(1, int(n.max(initial=0)))))
+    out[np.arange(out.shape[1]) < n[:, None]] = flat
     return out, n
 
 
-def _best(known, asked):
-    import pandas as pd
+def _unit(rows: np.ndarray, n: int) -> np.ndarray:
+    """Signals over n places with their means taken off, of length 1, or 0 if they are constant."""
+    x = rows[:, :n]
+    x = np.pad(x, ((0, 0), (0, n - x.shape[1])))
+    square = (x * x).sum(1)
+    x = x - x.mean(1)[:, None]
+    size = np.sqrt((x * x).sum(1))
+    return x * np.where(size > 1e-12 * np.sqrt(square) + 1e-150, 1 / np.where(size > 0, size, 1), 0.0)[:, None]
+
 
-    if not len(known) or not len(asked):
-        return pd.DataFrame({"identifier": [], "t": [], "y": [], "c": []})
-    known = known.sort_values("t")
-    (a, na), (b, nb) = _matrix(asked["asked"]), _matrix(known["known"])
-    width = max(a.shape[1], b.shape[1])
-    a, b = np.pad(a, ((0, 0), (0, width - a.shape[1]))), np.pad(b, ((0, 0), (0, width - b.shape[1])))
-    n = np.maximum(np.maximum.outer(na, nb), 1)
-    sa, sb = a.sum(1), b.sum(1)
-    cov = a @ b.T - np.outer(sa, sb) / n
-    var = np.sqrt(np.maximum((a * a).sum(1)[:, None] - sa[:, None] ** 2 / n, 0) * np.maximum((b * b).sum(1)[None, :] - sb[None, :] ** 2 / n, 0))
-    c = np.round(np.where(var > 1e-12, cov / np.where(var > 1e-12, var, 1), 0.0), 12)
-    k = c.argmax(1)
-    return pd.DataFrame({"identifier": asked["identifier"].to_numpy(), "t": known["t"].to_numpy()[k], "y": known["y"].to_numpy()[k], "c": c[np.arange(len(k)), k]})
+def _best(known: pa.Table, asked: pa.Table) -> pa.Table:
+    """For each asked signal the known one that correlates best, of equals the least t.
+
+    Places count up to the longer of two signals, so asked signals meet the known ones by that length.  Products of
+    single precision find all that can be best; these few are compared in double precision.
+    """
+    known = known.sort_by("t")
+    (b, nb), (a, na) = _block(known, "known"), _block(asked, "asked")
+    best, place = np.full(len(na), -np.inf), np.zeros(len(na), np.int64)
+    for n in np.unique(np.concatenate([na, nb])).tolist() if len(na) and len(nb) else []:
+        for mine, theirs in ((na == n, nb <= n), (na < n, nb == n)):
+            i, j = np.flatnonzero(mine), np.flatnonzero(theirs)
+            if not len(i) or not len(j):
+                continue
+            left, right = _unit(a[i], max(1, n)), _unit(b[j], max(1, n))
+            short, across = left.astype(np.float32), np.ascontiguousarray(right.astype(np.float32).T)
+            step = max(1, (1 << 20) // len(j))
+            for k in range(0, len(i), step):
+                c = short[k : k + step] @ across
+                r, at = np.nonzero(c >= (np.maximum(c.max(1), best[i[k : k + step]].astype(np.float32)) - np.float32(CLOSE))[:, None])
+                if not len(r):
+                    continue
+                exact = np.concatenate([np.round(np.einsum("ij,ij->i", left[k + r[z : z + 65536]], right[at[z : z + 65536]]), 12) + 0.0 for z in range(0, len(r), 65536)])
+                who, t = i[k + r], j[at]
+                first = np.lexsort((t, -exact, who))
+                first = first[np.flatnonzero(np.diff(who[first], prepend=-1))]
+                who, t, exact = who[first], t[first], exact[first]
+                more = (exact > best[who]) | ((exact == best[who]) & (t < place[who]))
+                best[who[more]], place[who[more]] = exact[more], t[more]
+    some = np.flatnonzero(best > -np.inf)
+    at = pa.array(place[some])
+    return pa.table({"identifier": asked.column("identifier").take(pa.array(some)), "t": known.column("t").take(at), "y": known.column("y").take(at), "c": pa.array(best[some])})
 
 
 def nearest_signals(train: DataFrame, test: DataFrame, group: str | None = None) -> DataFrame:
     """identifier, prediction: the label of the training signal that correlates best, of equals the least identifier's.
 
     train and test: (identifier, y, signal).  With group (a column of both) only signals of one group are compared, as a meta
-    classifier does; a row whose group has no training signal is undecided (null).  Signals are compared in blocks
-    of about ``SIDE`` by ``SIDE``, of which only the best leaves.
+    classifier does; a row whose group has no training signal is undecided (null).  All signals of a group are compared, in blocks
+    of about ``SIDE`` by ``SIDE`` (or ``CELLS_SIDE`` values), as many as the group needs, of which only the best leaves.
     """
     g = F.col(group).cast("long") if group else F.lit(0).cast("long")
-    across, down = (max(1, -(-df.count() // SIDE)) for df in (train, test))
-    dealt = lambda df, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64("identifier"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
-    known = dealt(train.withColumn("_g", g), "_j", across, "_i", down).select("_g", "_i", "_j", F.col("identifier").alias("t"), F.col("y").cast("int").alias("y"), F.col("signal").alias("known"))
-    asked = dealt(test.withColumn("_g", g), "_i", down, "_j", across).select("_g", "_i", "_j", F.col("identifier").alias("identifier"), F.col("signal").alias("asked"))
-    found = known.groupBy("_g", "_i", "_j").cogroup(asked.groupBy("_g", "_i", "_j")).applyInPandas(_best, "identifier long, t long, y int, c double")
-    best = found.groupBy("identifier").agg(F.min_by("y", F.struct(-F.col("c"), F.col("t"))).alias("prediction"))
-    return test.select("identifier", "y").join(best, "identifier", "left")
+    with scratch() as keep:
+        known = keep(durable(train.select(g.alias("_g"), F.col("identifier").alias("t"), F.col("y").cast("int").alias("y"), F.col("signal").alias("known"))))
+        asked = keep(durable(test.select(g.alias("_g"), "identifier", "y", F.col("signal").alias("asked"))))
+
+        def parts(df: DataFrame, signal: str, name: str) -> DataFrame:
+            n = F.greatest(F.ceil(F.count("*") / F.lit(SIDE)), F.ceil(F.sum(F.size(signal)) / F.lit(CELLS_SIDE)), F.lit(1).cast("long"))
+            return df.groupBy("_g").agg(n.cast("int").alias(name))
+
+        blocks = parts(known, "known", "_across").join(parts(asked, "asked", "_down"), "_g")
+        dealt = lambda df, by, own, n, other, m: df.join(blocks, "_g").withColumns({own: F.pmod(F.xxhash64(by), F.col(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(m) - 1))})
+        left = dealt(known, "t", "_j", "_across", "_i", "_down").select("_g", "_i", "_j", "t", "y", "known")
+        right = dealt(asked, "identifier", "_i", "_down", "_j", "_across").select("_g", "_i", "_j", "identifier", "asked")
+        found = left.groupBy("_g", "_i", "_j").cogroup(right.groupBy("_g", "_i", "_j")).applyInArrow(_best, "identifier long, t long, y int, c double")
+        best = found.groupBy("identifier").agg(F.min_by("y", F.struct(-F.col("c"), F.col("t"))).alias("prediction"))
+        return durable(asked.select("identifier", "y").join(best, "identifier", "left"))
 
 
 def k_cross(rows: DataFrame, classify, folds: int = 5, seed: int = 0) -> DataFrame:
