@@ -27,7 +27,7 @@ def empirical(annotations: DataFrame) -> DataFrame:
 
 def word_rates(df: DataFrame, annotations: DataFrame) -> DataFrame:
     """word, rate: the share of a word's marks that aren't q, over all places and annotators; words in lower case."""
-    rows = word_marks(df, annotations, "counts").select(F.inline("x"))
+    rows = word_marks(df, annotations, "counts")
     return rows.groupBy("word").agg((F.sum("hits").cast("double") / F.sum("n")).alias("rate"))
 
 
