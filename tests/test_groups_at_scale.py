@@ -5,6 +5,7 @@ import pytest
 
 from larkspur.functions import groups
 from larkspur.operators import annotations as A
+from larkspur.operators import features
 
 
 def plan(df) -> str:
@@ -35,3 +36,12 @@ def test_union_votes_gather_nothing(spark):
     assert "collect_list" not in plan(made)
     got = {(r["identifier"], r["at"]): r["mark"] for r in made.collect()}
     assert got[None, 0] == "p" and got[9, 0] == "^" and got[1, 3] == "q" and len(got) == 6 + 2 + 1 + 1 + 1 + 3
+
+
+@pytest.mark.parametrize("limit", [1, 1 << 20])
+def test_shares_and_word_marks_gather_nothing(spark, limit, monkeypatch):
+    monkeypatch.setattr(A, "CHARACTERS", limit)
+    d, a = given(spark)
+    assert "collect_list" not in plan(A.share_vectors(a)) and "collect_list" not in plan(features.word_shares(d, a))
+    assert {r["identifier"]: r["annotation"] for r in A.share_vectors(a).collect()}[1] == [1.0, 0.5, 1.0, 0.0, 1.0, 1.0]
+    assert len(features.word_shares(d, a).collect()) == 4 + 2 + 3
