@@ -5,7 +5,7 @@ import pytest
 
 from larkspur.functions import groups
 from larkspur.operators import annotations as A
-from larkspur.operators import features
+from larkspur.operators import features, phrases
 
 
 def plan(df) -> str:
@@ -45,3 +45,10 @@ def test_shares_and_word_marks_gather_nothing(spark, limit, monkeypatch):
     assert "collect_list" not in plan(A.share_vectors(a)) and "collect_list" not in plan(features.word_shares(d, a))
     assert {r["identifier"]: r["annotation"] for r in A.share_vectors(a).collect()}[1] == [1.0, 0.5, 1.0, 0.0, 1.0, 1.0]
     assert len(features.word_shares(d, a).collect()) == 4 + 2 + 3
+
+
+def test_word_rates_are_summed_before_they_are_rows(spark):
+    d = spark.createDataFrame([(k, "a b a") for k in range(50)], "identifier long, document string").coalesce(1)
+    a = spark.createDataFrame([(k, "pqq") for k in range(50)], "identifier long, annotation string").coalesce(1)
+    assert "Generate" not in plan(phrases.word_rates(d, a))
+    assert {r["word"]: r["rate"] for r in phrases.word_rates(d, a).collect()} == {"a": 0.5, "b": 0.0}
