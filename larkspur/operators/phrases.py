@@ -17,7 +17,7 @@ from ..corpus import Corpus
 from ..functions.text import decile, letters_only, words
 from ..registry import Spec, operator
 from . import crf
-from .annotations import share_vectors, vectors, word_marks
+from .annotations import _counted, _shares, beside, share_vectors, vectors, word_marks
 
 
 def empirical(annotations: DataFrame) -> DataFrame:
@@ -63,6 +63,9 @@ def fixed(df: DataFrame, entry: dict[str, float] | DataFrame, forward: dict[str,
     return df.select("identifier").join(out, "identifier", "left").select("identifier", F.coalesce("annotation", F.array().cast("array<double>")).alias("annotation"))
 
 
+CLASSES = 10  # deciles
+
+
 def counted_words(text: Column) -> Column:
     """(at, word) of the space-split words that count, at being the place in the text.
 
@@ -87,31 +90,69 @@ def _split(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), coded.indices.to_numpy(), coded.dictionary
 
 
+def _counted_places(texts, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(row, place, number, words) of the counted words (``counted_words``) of texts at places before size, that of each row."""
+    row, at, code, names = _split(texts)
+    names = names.to_pylist()
+    clean = [_clean(w) for w in names]
+    known = {w: k for k, w in enumerate(dict.fromkeys(clean))}
+    number = np.array([known[w] for w in clean], np.int64)[code] if names else code
+    use = np.array([w != "" for w in names], bool)[code] if names else np.zeros(0, bool)
+    row, at, code, number = row[use], at[use], code[use], number[use]
+    low = np.array([w[:1].lower() == w[:1] for w in names] or [True])[code]
+    use = (low | (np.diff(row, prepend=-1) != 0)) & (number != known.get("", -1))
+    row, at, number = row[use], at[use], number[use]
+    use = at < size[row]
+    return row[use], at[use], number[use], list(known)
+
+
 def _labelled(text: str, shares: str) -> Column:
     """(at, word, share) of each text's counted words that have a share (``counted_words``), by Arrow batches."""
 
     def run(texts, lists):
-        row, at, code, names = _split(texts)
-        names = names.to_pylist()
-        clean = [_clean(w) for w in names]
-        known = {w: k for k, w in enumerate(dict.fromkeys(clean))}
-        number = np.array([known[w] for w in clean], np.int64)[code] if names else code
-        use = np.array([w != "" for w in names], bool)[code] if names else np.zeros(0, bool)
-        row, at, code, number = row[use], at[use], code[use], number[use]
-        low = np.array([w[:1].lower() == w[:1] for w in names] or [True])[code]
-        use = (low | (np.diff(row, prepend=-1) != 0)) & (number != known.get("", -1))
-        row, at, number = row[use], at[use], number[use]
         size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        use = at < size[row]
-        row, at, number = row[use], at[use], number[use]
+        row, at, number, known = _counted_places(texts, size)
         share = pc.list_flatten(lists).take(pa.array((np.cumsum(size) - size)[row] + at))
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
-        made = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(list(known), pa.string()).take(pa.array(number)), share], names=["at", "word", "share"])
+        made = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(known, pa.string()).take(pa.array(number)), share], names=["at", "word", "share"])
         return pa.ListArray.from_arrays(pa.array(ends), made)
 
     return F.arrow_udf(run, "array<struct<at:int,word:string,share:double>>", ArrowUDFType.SCALAR)(text, shares)
 
 
+def _classes(texts: pa.ListArray, annotations: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(row, place, number, class, words) of the counted words of rows' texts that have a mark, with the class of ``decile``."""
+    size, m = _counted(annotations)
+    own = pc.list_parent_indices(texts).to_numpy()
+    text, at, number, known = _counted_places(pc.list_flatten(texts), size[own])
+    row = own[text]
+    class_ = np.maximum(np.floor((_shares(m) - 0.001) * 10), 0).astype(np.int32)
+    return row, at, number, class_[(np.cumsum(size) - size)[row] + at], known
+
+
+def marked_words(df: DataFrame, annotations: DataFrame) -> DataFrame:
+    """``labelled_words`` of the shares of annotations (identifier, annotation), whose strings meet the texts in one group."""
+
+    def run(ids, texts, lists):
+        row, at, number, class_, known = _classes(texts, lists)
+        columns = [ids.take(pa.array(row)), pa.array(at, pa.int32()), pa.array(known, pa.string()).take(pa.array(number)), pa.array(class_)]
+        return pa.RecordBatch.from_arrays(columns, names=["identifier", "at", "word", "class"])
+
+    return beside(df, annotations, F.col("document"), run, f"identifier {df.schema['identifier'].dataType.simpleString()}, at int, word string, class int")
+
+
+def class_counts(df: DataFrame, annotations: DataFrame) -> DataFrame:
+    """word, class, n: how often a counted word has a class (``marked_words``), summed over documents of a batch."""
+
+    def run(ids, texts, lists):
+        _, _, number, class_, known = _classes(texts, lists)
+        keys, n = np.unique(number * CLASSES + class_, return_counts=True)
+        columns = [pa.array(known, pa.string()).take(pa.array(keys // CLASSES)), pa.array((keys % CLASSES).astype(np.int32)), pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "class", "n"])
+
+    return beside(df, annotations, F.col("document"), run, "word string, class int, n long")
+
+
 def labelled_words(df: DataFrame, shares: DataFrame) -> DataFrame:
     """identifier, at, word, class: counted words with the decile class of the share at their place in the text.
 
@@ -127,9 +168,9 @@ def labelled_words(df: DataFrame, shares: DataFrame) -> DataFrame:
 def bayes_table(words_: DataFrame) -> DataFrame:
     """word, class, score: P(word | class) / P(class), the class of greatest score (ties to the smaller).
 
-    The denominators come from two aggregates, the second over ten classes.
+    words_ has a row for each occurrence, or counts n of them.  The denominators come from two aggregates, the second over ten classes.
     """
-    n = words_.groupBy("word", "class").agg(F.count("*").alias("n"))
+    n = durable(words_.groupBy("word", "class").agg((F.sum("n") if "n" in words_.columns else F.count("*")).alias("n")))  # read twice
     per_class = n.groupBy("class").agg(F.sum("n").alias("nc"))
     scale = per_class.withColumn("t", F.expr("sum(nc) OVER ()"))  # ten rows
     scored = n.join(F.broadcast(scale), "class").withColumn("score", (F.col("n").cast("double") / F.col("nc")) / (F.col("nc").cast("double") / F.col("t")))
@@ -149,9 +190,6 @@ def bayesian(df: DataFrame, table: DataFrame) -> DataFrame:
     return df.select("identifier").join(vectors(scored), "identifier", "left").select("identifier", F.coalesce("annotation", F.array(F.lit(0.0))).alias("annotation"))
 
 
-CLASSES = 10
-
-
 def markov_model(words_: DataFrame) -> tuple[np.ndarray, DataFrame]:
     """(log transitions of START, 0..9, END; (word, class, log emission)) with add-one smoothing of transitions."""
     nxt, prv = F.lead("class").over(_by_position()), F.lag("class").over(_by_position())
@@ -409,10 +447,6 @@ def _annotator(name: str, make, *optional: str):
     return run
 
 
-def _learned(c: Corpus, marks: DataFrame) -> DataFrame:
-    return labelled_words(c.input, share_vectors(marks))
-
-
 _annotator("EmpiricalSubjectivePhraseAnnotator", lambda c, s, d, m: empirical(m).join(d.select("identifier"), "identifier", "left_semi"))
 _annotator("HumanBasedSubjectivePhraseAnnotator", lambda c, s, d, m: human(m).join(d.select("identifier"), "identifier", "left_semi"))
 _annotator(
@@ -425,8 +459,8 @@ _annotator(
     ),
     "legacy",
 )
-_annotator("NLTKSubjectivePhraseBayesianAnnotator", lambda c, s, d, m: bayesian(d, bayes_table(_learned(c, m))))
-_annotator("NLTKSubjectivePhraseMarkovAnnotator", lambda c, s, d, m: markov(d, markov_model(_learned(c, m))))
+_annotator("NLTKSubjectivePhraseBayesianAnnotator", lambda c, s, d, m: bayesian(d, bayes_table(class_counts(c.input, m))))
+_annotator("NLTKSubjectivePhraseMarkovAnnotator", lambda c, s, d, m: markov(d, markov_model(marked_words(c.input, m))))
 _annotator("CRFSubjectiveAnnotator", lambda c, s, d, m: crf_annotation(d, crf_model(c.input, m)))
 
 
@@ -664,12 +698,12 @@ def _of_crf(train: DataFrame, marks: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def _of_markov(train: DataFrame, marks: DataFrame, test: DataFrame) -> DataFrame:
-    return markov(test, markov_model(labelled_words(train, share_vectors(marks))))
+    return markov(test, markov_model(marked_words(train, marks)))
 
 
 #: annotators for cross validation: step -> f(training documents, their annotations, test documents)
 TAGGERS = {
-    "NLTKSubjectivePhraseBayesianAnnotator": lambda s: lambda train, marks, test: bayesian(test, bayes_table(labelled_words(train, share_vectors(marks)))),
+    "NLTKSubjectivePhraseBayesianAnnotator": lambda s: lambda train, marks, test: bayesian(test, bayes_table(class_counts(train, marks))),
     "NLTKSubjectivePhraseMarkovAnnotator": lambda s: _of_markov,
     "CRFSubjectiveAnnotator": lambda s: _of_crf,
     "FixedSubjectivePhraseAnnotator": _fixed_of,

@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.functions import groups
 from larkspur.operators import annotations as A
@@ -52,3 +53,14 @@ def test_word_rates_are_summed_before_they_are_rows(spark):
     a = spark.createDataFrame([(k, "pqq") for k in range(50)], "identifier long, annotation string").coalesce(1)
     assert "Generate" not in plan(phrases.word_rates(d, a))
     assert {r["word"]: r["rate"] for r in phrases.word_rates(d, a).collect()} == {"a": 0.5, "b": 0.0}
+
+
+def test_classes_are_counted_beside_the_texts(spark):
+    d, a = given(spark)
+    rows = phrases.labelled_words(d, A.share_vectors(a))
+    assert sorted(map(tuple, phrases.marked_words(d, a).collect())) == sorted(map(tuple, rows.collect()))
+    counts = phrases.class_counts(d, a)
+    assert "Join" not in plan(counts) and plan(counts).count("Exchange hash") == 1
+    want = {(r["word"], r["class"]): r["count"] for r in rows.groupBy("word", "class").count().collect()}
+    assert {(r["word"], r["class"]): r["n"] for r in counts.groupBy("word", "class").agg(F.sum("n").alias("n")).collect()} == want and len(want) > 3
+    assert sorted(map(tuple, phrases.bayes_table(counts).collect())) == sorted(map(tuple, phrases.bayes_table(rows).collect()))
