@@ -82,6 +82,29 @@ def _clean(word: str) -> str:
     return "".join(c for c in word.lower() if "a" <= c <= "z")
 
 
+_LETTERS = np.zeros(256, np.uint8)  # what _clean makes of a byte of ASCII; 0 goes
+_LETTERS[[*b"abcdefghijklmnopqrstuvwxyz"]] = _LETTERS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = [*b"abcdefghijklmnopqrstuvwxyz"]
+
+
+def _cleaned(names: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(``_clean`` of words, whether a word's first character is as in lower case): from the bytes, but for words of other than ASCII."""
+    whole = names.cast(pa.large_string())
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)
+    first = np.append(data, 0)[ends[:-1]]
+    low = ~((first >= ord("A")) & (first <= ord("Z"))) | (np.diff(ends) == 0)
+    data = data[ends[0] : ends[-1]] if len(ends) else data
+    chars = _LETTERS[data]
+    kept = np.concatenate([[0], np.cumsum(chars != 0)])[ends - ends[0]].astype(np.int32)
+    clean = pa.StringArray.from_buffers(len(names), pa.py_buffer(kept), pa.py_buffer(chars[chars != 0]))
+    odd = pc.not_equal(pc.binary_length(whole), pc.utf8_length(whole).cast(pa.int64()))
+    if pc.any(odd).as_py():
+        words_ = names.filter(odd).to_pylist()
+        clean = pc.replace_with_mask(clean, odd, pa.array([_clean(w) for w in words_], pa.string()))
+        low[odd.to_numpy(zero_copy_only=False)] = [w[:1].lower() == w[:1] for w in words_]
+    return clean, low
+
+
 def _split(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(row, place in it, number, distinct words) of the space-split words of texts."""
     lists = pc.split_pattern(texts, " ")
@@ -90,20 +113,18 @@ def _split(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), coded.indices.to_numpy(), coded.dictionary
 
 
-def _counted_places(texts, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def _counted_places(texts, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(row, place, number, words) of the counted words (``counted_words``) of texts at places before size, that of each row."""
     row, at, code, names = _split(texts)
-    names = names.to_pylist()
-    clean = [_clean(w) for w in names]
-    known = {w: k for k, w in enumerate(dict.fromkeys(clean))}
-    number = np.array([known[w] for w in clean], np.int64)[code] if names else code
-    use = np.array([w != "" for w in names], bool)[code] if names else np.zeros(0, bool)
-    row, at, code, number = row[use], at[use], code[use], number[use]
-    low = np.array([w[:1].lower() == w[:1] for w in names] or [True])[code]
-    use = (low | (np.diff(row, prepend=-1) != 0)) & (number != known.get("", -1))
+    use = (pc.binary_length(names).to_numpy(zero_copy_only=False) > 0)[code]
+    row, at, code = row[use], at[use], code[use]
+    clean, low = _cleaned(names)
+    coded = clean.dictionary_encode()
+    number = coded.indices.to_numpy().astype(np.int64)[code]
+    use = (low[code] | (np.diff(row, prepend=-1) != 0)) & (number != pc.index(coded.dictionary, "").as_py())
     row, at, number = row[use], at[use], number[use]
     use = at < size[row]
-    return row[use], at[use], number[use], list(known)
+    return row[use], at[use], number[use], coded.dictionary
 
 
 def _labelled(text: str, shares: str) -> Column:
@@ -114,13 +135,13 @@ def _labelled(text: str, shares: str) -> Column:
         row, at, number, known = _counted_places(texts, size)
         share = pc.list_flatten(lists).take(pa.array((np.cumsum(size) - size)[row] + at))
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
-        made = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(known, pa.string()).take(pa.array(number)), share], names=["at", "word", "share"])
+        made = pa.StructArray.from_arrays([pa.array(at, pa.int32()), known.take(pa.array(number)), share], names=["at", "word", "share"])
         return pa.ListArray.from_arrays(pa.array(ends), made)
 
     return F.arrow_udf(run, "array<struct<at:int,word:string,share:double>>", ArrowUDFType.SCALAR)(text, shares)
 
 
-def _classes(texts: pa.ListArray, annotations: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def _classes(texts: pa.ListArray, annotations: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(row, place, number, class, words) of the counted words of rows' texts that have a mark, with the class of ``decile``."""
     size, m = _counted(annotations)
     own = pc.list_parent_indices(texts).to_numpy()
@@ -135,7 +156,7 @@ def marked_words(df: DataFrame, annotations: DataFrame) -> DataFrame:
 
     def run(ids, texts, lists):
         row, at, number, class_, known = _classes(texts, lists)
-        columns = [ids.take(pa.array(row)), pa.array(at, pa.int32()), pa.array(known, pa.string()).take(pa.array(number)), pa.array(class_)]
+        columns = [ids.take(pa.array(row)), pa.array(at, pa.int32()), known.take(pa.array(number)), pa.array(class_)]
         return pa.RecordBatch.from_arrays(columns, names=["identifier", "at", "word", "class"])
 
     return beside(df, annotations, F.col("document"), run, f"identifier {df.schema['identifier'].dataType.simpleString()}, at int, word string, class int")
@@ -147,7 +168,7 @@ def class_counts(df: DataFrame, annotations: DataFrame) -> DataFrame:
     def run(ids, texts, lists):
         _, _, number, class_, known = _classes(texts, lists)
         keys, n = np.unique(number * CLASSES + class_, return_counts=True)
-        columns = [pa.array(known, pa.string()).take(pa.array(keys // CLASSES)), pa.array((keys % CLASSES).astype(np.int32)), pa.array(n)]
+        columns = [known.take(pa.array(keys // CLASSES)), pa.array((keys % CLASSES).astype(np.int32)), pa.array(n)]
         return pa.RecordBatch.from_arrays(columns, names=["word", "class", "n"])
 
     return beside(df, annotations, F.col("document"), run, "word string, class int, n long")
@@ -279,7 +300,7 @@ def markov(df: DataFrame, model: tuple[np.ndarray, DataFrame], unseen: float = -
 
         def rare(texts):
             row, _, code, names = _split(texts)
-            clean = pa.array([_clean(w) for w in names.to_pylist()], pa.string())
+            clean, _ = _cleaned(names)
             coded = clean.dictionary_encode()
             strange = pc.is_null(sent.value.find(coded.dictionary)).to_numpy(zero_copy_only=False)
             number = coded.indices.to_numpy()[code] if len(clean) else code
@@ -305,7 +326,7 @@ def markov(df: DataFrame, model: tuple[np.ndarray, DataFrame], unseen: float = -
                     lo, hi = hi, max(hi + 1, int(np.searchsorted(end, TEXTS + (end[hi - 1] if hi else 0), side="right")))
                     part = batch.slice(lo, hi - lo)
                     row, _, code, names = _split(part.column(1))
-                    clean = pa.array([_clean(w) for w in names.to_pylist()], pa.string())
+                    clean, _ = _cleaned(names)
                     place = pc.fill_null(known.find(clean), len(known.words)).to_numpy(zero_copy_only=False).astype(np.int64)
                     e = known.scores[place[code]]
                     extra = part.column(2)

@@ -67,6 +67,14 @@ def test_classes_are_counted_beside_the_texts(spark):
     assert sorted(map(tuple, phrases.bayes_table(counts).collect())) == sorted(map(tuple, phrases.bayes_table(rows).collect()))
 
 
+def test_words_are_cleaned_in_their_bytes():
+    words = ["", "Big", "on-IT", "9", "é", "Élan", "Kİn", "aßB", "İx", "zz", "ÀÉ", "a\tb", "[x]{Y}"]
+    for names in (pa.array(words), pa.array(["gone", *words])[1:], pa.array(words[:2]), pa.array([], pa.string())):
+        clean, low = phrases._cleaned(names)
+        assert clean.to_pylist() == [phrases._clean(w) for w in names.to_pylist()]
+        assert low.tolist() == [w[:1].lower() == w[:1] for w in names.to_pylist()]
+
+
 ODD = ["The a-b caT\tdog", "", None, "  two  the  two ", "É x̂ İI ß", "only", "don't STOP, the Stop running runs", " ", "a\nb c", "x"]
 
 
