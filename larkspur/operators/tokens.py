@@ -120,6 +120,16 @@ def without_tokens(sequences: DataFrame, ids: DataFrame) -> DataFrame:
     return gone.withColumn("tokens", F.transform(kept, lambda x: x["tokens"])).select(*sequences.columns)
 
 
+def rewritten(df: DataFrame, tokens: Column, part: str) -> DataFrame:
+    """identifier, document_identifier, tokens: those of each document that aren't LIKE %part%, spelled.
+
+    What ``tokenised``, ``without_tokens`` of ``matching`` and ``spelled`` give one after the other; as a token's spelling says whether
+    it goes, none has to be numbered, looked up or shuffled.
+    """
+    kept = F.filter(F.array_compact(tokens), lambda t: ~like_ascii(t, f"%{part}%"))
+    return df.select("identifier", F.col("identifier").alias("document_identifier"), kept.alias("tokens"))
+
+
 def greedy_phrases(text: Column, phrases: list[str]) -> Column:
     """Words with the known multi-word phrases joined by _, longer phrases first.
 
